@@ -146,7 +146,7 @@ def sql(needs: list[str], body: str, recursive: bool = False) -> str:
 
     for n in needs:
         visit(n)
-    parts = ",\n".join(f"{n} AS ({PARTS[n]})" for n in order)
+    parts = ",\n".join(f"{n} AS {'MATERIALIZED ' if n.endswith(('_seq', 'sim')) else ''}({PARTS[n]})" for n in order)
     keyword = "WITH RECURSIVE" if recursive else "WITH"
     body = body.strip()
     if body.upper().startswith("WITH "):

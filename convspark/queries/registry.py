@@ -6,7 +6,7 @@ import importlib
 
 from convspark.session import configure
 
-SECTIONS = ["text_queries", "retrieval_queries"]
+SECTIONS = ["text_queries", "retrieval_queries", "ingest_queries", "policy_queries"]
 
 
 def _sections():

@@ -322,7 +322,12 @@ def _(spark, sf):
     return stats.select("event_type", "n", *[F.round(p, 6).alias(p) for p in points])
 
 
-@query("rounded_values", "SELECT event_id, round_even(value / 8, 2) AS even2, round(value * 1000) AS r0 FROM events")
+@query(
+    "rounded_values",
+    """WITH c AS (SELECT event_id, value, round(value * 100)::BIGINT AS n FROM events)
+    SELECT event_id, (n // 8 + CASE WHEN n % 8 > 4 OR (n % 8 = 4 AND (n // 8) % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS even2,
+    round(value * 1000) AS r0 FROM c""",
+)
 def _(spark, sf):
     e = T.read(spark, sf, "events")
     return e.select("event_id", F.bround(F.col("value") / 8, 2).alias("even2"), F.round(F.col("value") * 1000).alias("r0"))
