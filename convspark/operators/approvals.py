@@ -48,17 +48,9 @@ def classify(votes: DataFrame, queue: DataFrame, max_required: int) -> DataFrame
         .join(quorum, key, "left")
         .select(*key, F.least("veto_at", "quorum_at").alias("end_at"))
     )
-    seat = seats.select(*key, "decided_by", "first_at", "seat")
-    v = v.join(end, key, "left")
-    # first approval of this voter; equality is null-safe because a single approval may be anonymous
-    mine = (
-        (v["tenant_id"] == seat["tenant_id"])
-        & (v["action_id"] == seat["action_id"])
-        & (v["vote"] == "approve")
-        & v["decided_by"].eqNullSafe(seat["decided_by"])
-        & (v["at"] == seat["first_at"])
-    )
-    out = v.join(seat, mine, "left").select(*[v[c] for c in v.columns], seat["seat"])
+    # the seat belongs to one vote, so this join has unique keys on both sides
+    seat = seats.select(*key, F.col("first_at.vote_id").alias("vote_id"), "seat")
+    out = v.join(end, key, "left").join(seat, [*key, "vote_id"], "left")
     outcome = (
         F.when(~found, "not_found")
         .when(F.col("end_at").isNotNull() & (F.col("at") > F.col("end_at")), "already_decided")

@@ -74,7 +74,7 @@ def _(spark, sf):
         "event_id",
         "p.action_type",
         F.try_element_at("p.payload", F.lit("_planner_reasoning")).alias("reasoning"),
-        F.size("p.payload").alias("n_keys") if False else F.when(F.col("p").isNotNull(), F.size("p.payload")).alias("n_keys"),
+        F.when(F.col("p").isNotNull(), F.size("p.payload")).alias("n_keys"),
     )
 
 

@@ -242,18 +242,16 @@ def _(spark, sf):
 
 
 # responses built from whole turns: bare, fenced, fenced with prose after the fence, trailing prose, numbered
-_RAW_S = F.concat(F.lit('{"note":"'), F.regexp_replace("text", r'["\\\x00-\x1f]', " "), F.lit('"}'))
-
-
 def _responses(spark, sf):
+    obj = F.concat(F.lit('{"note":"'), F.regexp_replace("text", r'["\\\x00-\x1f]', " "), F.lit('"}'))
     n = (F.col("conv_id") + F.col("turn")) % 4
     raw = (
-        F.when(n == 0, _RAW_S)
-        .when(n == 1, F.concat(F.lit("```json\n"), _RAW_S, F.lit("\n```\nanything after")))
-        .when(n == 2, F.concat(_RAW_S, F.lit(" trailing prose")))
-        .otherwise(F.concat(F.lit("  \n```\n"), _RAW_S, F.lit("\n")))
+        F.when(n == 0, obj)
+        .when(n == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```\nanything after")))
+        .when(n == 2, F.concat(obj, F.lit(" trailing prose")))
+        .otherwise(F.concat(F.lit("  \n```\n"), obj, F.lit("\n")))
     )
-    return T.dialogues(spark, sf).select("conv_id", "turn", raw.alias("raw"), _RAW_S.alias("obj"))
+    return T.dialogues(spark, sf).select("conv_id", "turn", raw.alias("raw"), obj.alias("obj"))
 
 
 @query(
