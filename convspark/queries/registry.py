@@ -6,7 +6,14 @@ import importlib
 
 from convspark.session import configure
 
-SECTIONS = ["text_queries", "retrieval_queries", "ingest_queries", "policy_queries"]
+SECTIONS = [
+    "text_queries",
+    "retrieval_queries",
+    "ingest_queries",
+    "policy_queries",
+    "identity_queries",
+    "cache_queries",
+]
 
 
 def _sections():
