@@ -62,3 +62,36 @@ def histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
         T.nth(V.FACT_INTENTS + ["greeting", "courtesy"], F.col("conv_id") % 12).alias("intent"),
     )
     return pairs, messages, actions
+
+
+def pad_histories(dialogues: DataFrame, starts: DataFrame, least: int, most: int) -> DataFrame:
+    """Pad each primary dialogue with older ones up to ``least`` messages, trimming the oldest beyond ``most``.
+
+    ``dialogues``: pool_pos (1-based pool order), conv_id, n_messages. ``starts``: pair_id, pool_pos of the primary.
+    The pool is consumed in order: a pair takes its primary and then the following dialogues until its running count
+    reaches ``least``. Each padding dialogue is one day older than the one before it. Returns one row per (pair,
+    dialogue) with ``days_back`` and ``n_kept``, the messages left after trimming from the oldest end.
+
+    Pairs own disjoint stretches of the pool, so the running count is a prefix-sum difference; dialogues before the
+    next start are matched to their pair by position, not by comparing all pairs with all dialogues.
+    """
+    owner = Window.partitionBy("stretch").orderBy("pool_pos")
+    marked = starts.select("pair_id", "pool_pos").join(dialogues, "pool_pos", "right")
+    # a stretch is found from the sorted starts by counting starts at or before a position, slice by slice
+    slice_ = F.floor(F.col("pool_pos") / 4096)
+    per_slice = marked.groupBy(slice_.alias("s")).agg(F.count("pair_id").alias("n"))
+    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_slice.select("s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("s").orderBy("pool_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marked.withColumn("s", slice_).withColumn("i", F.count("pair_id").over(inside)).join(F.broadcast(base), "s")
+    placed = counted.withColumn("stretch", F.col("base") + F.col("i")).filter("stretch > 0")
+    # a stretch can only use dialogues while fewer than ``least`` messages came before, and each has at least one
+    placed = placed.withColumn("nth", F.row_number().over(owner)).filter(F.col("nth") <= least)
+    upto = owner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = placed.withColumn("sum", F.sum("n_messages").over(upto)).withColumn("pair_id", F.first("pair_id", True).over(upto))
+    used = run.filter((F.col("nth") == 1) | (F.col("sum") - F.col("n_messages") < least))
+    # the newest messages stay: the primary is newest, so what exceeds ``most`` falls off the last dialogue
+    kept = F.greatest(F.lit(0), F.least(F.col("n_messages"), F.lit(most) - (F.col("sum") - F.col("n_messages"))))
+    # a primary alone is never trimmed
+    kept = F.when(F.col("nth") == 1, F.col("n_messages")).otherwise(kept)
+    return used.select("pair_id", "conv_id", (F.col("nth") - 1).alias("days_back"), "n_messages", kept.alias("n_kept"))

@@ -13,6 +13,7 @@ SECTIONS = [
     "policy_queries",
     "identity_queries",
     "cache_queries",
+    "evaluate_queries",
 ]
 
 
