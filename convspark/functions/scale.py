@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convspark.session import cut_lineage
+
 
 def sliced_rank(df: DataFrame, keys: list[str], order: list[Column], slices: Column, name: str = "rank") -> DataFrame:
     """1-based position within ``keys``, computed slice by slice.
@@ -40,6 +42,7 @@ def order_statistics(
     """
     df = df.filter(F.col(value).isNotNull())
     counted = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counted = cut_lineage(counted)  # read several times below, the input only once
     bounds = counted.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n")
     )

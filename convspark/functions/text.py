@@ -13,6 +13,11 @@ from convspark import values as V
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE_SPACE, "")
 
@@ -207,24 +212,40 @@ def cache_namespace(tenant: Column, customer: Column, scope: str) -> Column:
 
 def unfence(raw: Column) -> Column:
     """Drop the opening fence line and everything from the closing fence on."""
-    text = strip(raw)
-    lines = F.split(text, "\r\n|\n|\r")
-    body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    fences = F.transform(body, lambda x: strip(x).startswith("```"))
-    close = F.array_position(fences, True).cast("int")
-    kept = F.when(close > 0, F.slice(body, 1, F.greatest(close - 1, F.lit(0)))).otherwise(body)
-    return F.when(text.startswith("```"), strip(F.array_join(kept, "\n"))).otherwise(text)
+
+    def inner(lines):
+        close = F.array_position(F.transform(lines, lambda x: strip(x).startswith("```")), True).cast("int")
+        return F.when(close > 0, F.slice(lines, 1, F.greatest(close - 1, F.lit(0)))).otherwise(lines)
+
+    after_first = lambda lines: F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    opened = lambda text: let(let(F.split(text, "\r\n|\n|\r"), after_first), inner)
+    return let(
+        strip(raw),
+        lambda text: F.when(text.startswith("```"), strip(F.array_join(opened(text), "\n"))).otherwise(text),
+    )
 
 
 def strict_object(text: Column) -> Column:
     """VARIANT of a JSON object, null for anything else; trailing prose is refused by two wrappings."""
-    whole = F.try_parse_json(text)
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    keyed = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
-    one_item = F.try_variant_get(listed, "$[1]", "variant").isNull() & listed.isNotNull()
-    one_key = keyed.isNotNull() & (F.schema_of_variant(F.try_variant_get(keyed, "$.x", "variant")) == F.schema_of_variant(whole))
-    is_object = F.schema_of_variant(whole).startswith("OBJECT")
-    return F.when(is_object & one_item & one_key, whole)
+
+    def checked(t):
+        one_item = let(
+            F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))),
+            lambda v: v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull(),
+        )
+        kind_of_x = let(
+            F.try_parse_json(F.concat(F.lit('{"x":'), t, F.lit("}"))),
+            lambda v: F.schema_of_variant(F.try_variant_get(v, "$.x", "variant")),
+        )
+        return let(
+            F.try_parse_json(t),
+            lambda v: let(
+                F.schema_of_variant(v),
+                lambda kind: F.when(kind.startswith("OBJECT") & one_item & (kind_of_x == kind), v),
+            ),
+        )
+
+    return let(text, checked)
 
 
 def call_cost(in_tokens: Column, out_tokens: Column, usd_in: Column, usd_out: Column) -> Column:

@@ -14,39 +14,53 @@ IDENTITY = ["tenant_id", "kind", "value"]
 
 def normalize(kind: Column, raw: Column) -> Column:
     """Canonical identity value: trimmed; phones keep digits and one leading +; email and handle are lower-cased."""
-    v = X.strip(raw)
-    # class with Unicode digits, as the stored values were made
-    digits = F.regexp_replace(F.regexp_replace(v, r"(?U)[^\d+]", ""), r"^\++", "")
-    phone = F.concat(F.when(v.startswith("+"), F.lit("+")).otherwise(F.lit("")), digits)
-    return (
-        F.when(v == "", v).when(kind == "phone", phone).when(kind.isin("email", "chat_handle"), F.lower(v)).otherwise(v)
-    )
+
+    def canonical(v):
+        # class with Unicode digits, as the stored values were made
+        digits = F.regexp_replace(F.regexp_replace(v, r"(?U)[^\d+]", ""), r"^\++", "")
+        phone = F.concat(F.when(v.startswith("+"), F.lit("+")).otherwise(F.lit("")), digits)
+        return (
+            F.when(v == "", v)
+            .when(kind == "phone", phone)
+            .when(kind.isin("email", "chat_handle"), F.lower(v))
+            .otherwise(v)
+        )
+
+    return X.let(X.strip(raw), canonical)
 
 
 def _string(payload: Column, key: str) -> Column:
     """String field of a VARIANT object; any other type is ignored."""
-    is_text = F.schema_of_variant(F.try_variant_get(payload, f"$.{key}", "variant")) == "STRING"
-    return F.when(is_text, F.try_variant_get(payload, f"$.{key}", "string"))
+    return X.let(
+        F.try_variant_get(payload, f"$.{key}", "variant"),
+        lambda field: F.when(F.schema_of_variant(field) == "STRING", field.cast("string")),
+    )
 
 
 def hints(payload: Column) -> Column:
     """ARRAY<STRUCT<kind, value>> in lookup priority, deduplicated, from a JSON payload."""
-    v = F.try_parse_json(payload)
-    found = []
-    for i, (key, kind) in enumerate(V.IDENTITY_KEYS):
-        value = normalize(F.lit(kind), _string(v, key))
-        entry = F.struct(
-            F.lit(V.IDENTITY_KINDS.index(kind)).alias("p"), F.lit(i).alias("i"), F.lit(kind).alias("kind"), value.alias("value")
+
+    def entries(v):
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(V.IDENTITY_KINDS.index(kind)).alias("p"),
+                    F.lit(i).alias("i"),
+                    F.lit(kind).alias("kind"),
+                    normalize(F.lit(kind), _string(v, key)).alias("value"),
+                )
+                for i, (key, kind) in enumerate(V.IDENTITY_KEYS)
+            ]
         )
-        found.append(F.when(value != "", entry))
-    ordered = F.sort_array(F.array_compact(F.array(*found)))
+
+    found = F.filter(X.let(F.try_parse_json(payload), entries), lambda h: F.coalesce(h["value"], F.lit("")) != "")
+    ordered = F.sort_array(found)
     return F.array_distinct(F.transform(ordered, lambda h: F.struct(h["kind"].alias("kind"), h["value"].alias("value"))))
 
 
 def display_name(payload: Column) -> Column:
-    v = F.try_parse_json(payload)
-    names = [X.blank_to_null(X.strip(_string(v, key))) for key in V.DISPLAY_NAME_KEYS]
-    return F.left(F.coalesce(*names), F.lit(128))
+    first = lambda v: F.coalesce(*[X.blank_to_null(X.strip(_string(v, key))) for key in V.DISPLAY_NAME_KEYS])
+    return F.left(X.let(F.try_parse_json(payload), first), F.lit(128))
 
 
 def find_by_identity(wanted: DataFrame, identities: DataFrame, customers: DataFrame) -> DataFrame:

@@ -103,12 +103,10 @@ def judge(actions: DataFrame, rules: DataFrame) -> DataFrame:
 
 def parse_judge(raw: Column) -> Column:
     """Decision named by a strict JSON response; anything else is the safe decision."""
-    obj = X.strict_object(X.unfence(F.coalesce(raw, F.lit(""))))
-    named = F.when(
-        F.schema_of_variant(F.try_variant_get(obj, "$.decision", "variant")) == "STRING",
-        F.try_variant_get(obj, "$.decision", "string"),
-    )
-    return F.when(named.isin(V.DECISIONS), named).otherwise(F.lit(V.SAFE_DECISION))
+    field = lambda obj: F.try_variant_get(obj, "$.decision", "variant")
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+    named = X.let(X.strict_object(X.unfence(F.coalesce(raw, F.lit("")))), lambda obj: X.let(field(obj), text))
+    return X.let(named, lambda d: F.when(d.isin(V.DECISIONS), d).otherwise(F.lit(V.SAFE_DECISION)))
 
 
 def narratives(rules: DataFrame) -> DataFrame:

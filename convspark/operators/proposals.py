@@ -23,8 +23,10 @@ def fallback_reason(event_type: Column) -> Column:
 
 
 def _text_of(v: Column, path: str) -> Column:
-    is_text = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
-    return F.when(is_text, F.try_variant_get(v, path, "string"))
+    return X.let(
+        F.try_variant_get(v, path, "variant"),
+        lambda field: F.when(F.schema_of_variant(field) == "STRING", field.cast("string")),
+    )
 
 
 def parse_response(raw: Column) -> Column:
@@ -33,7 +35,10 @@ def parse_response(raw: Column) -> Column:
     The action must be a known type and the payload an object; the reasoning is copied into the payload unless it is
     there already.
     """
-    obj = X.strict_object(X.unfence(F.coalesce(raw, F.lit(""))))
+    return X.let(X.strict_object(X.unfence(F.coalesce(raw, F.lit("")))), _validated)
+
+
+def _validated(obj: Column) -> Column:
     action = _text_of(obj, "$.action_type")
     kind = F.schema_of_variant(F.try_variant_get(obj, "$.payload", "variant"))
     # a missing payload is an empty one; JSON null is not an object

@@ -83,7 +83,7 @@ def pad_histories(dialogues: DataFrame, starts: DataFrame, least: int, most: int
     before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     base = per_slice.select("s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("s").orderBy("pool_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = marked.withColumn("s", slice_).withColumn("i", F.count("pair_id").over(inside)).join(F.broadcast(base), "s")
+    counted = marked.withColumn("s", slice_).withColumn("i", F.count("pair_id").over(inside)).join(base, "s")
     placed = counted.withColumn("stretch", F.col("base") + F.col("i")).filter("stretch > 0")
     # a stretch can only use dialogues while fewer than ``least`` messages came before, and each has at least one
     placed = placed.withColumn("nth", F.row_number().over(owner)).filter(F.col("nth") <= least)

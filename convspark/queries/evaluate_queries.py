@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convspark.plans import evaluate as E, prepare as N
-from convspark.queries import duck as D
+from convspark.queries import duck as D, policy_queries  # noqa: F401 (registers the scenario parts)
 from convspark.queries.retrieval_queries import run_all
+from convspark.session import cut_lineage
 from convspark.sources import tables as T
 
 QUERIES, ORACLE = {}, {}
@@ -22,22 +23,27 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+# the brief study compares the champion with the plain dump and the cheap baseline
+IN_SCOPE = ("naive_dump", "hybrid", "recency")
+D.part("study_briefs", ["all_briefs"], f"SELECT * FROM all_briefs WHERE strategy IN ({', '.join(D.lit(s) for s in IN_SCOPE)})")
+
 # a stand-in latency that grows with the brief, so that percentiles have something to rank
 _LAT = "(0.05 + brief_tokens * 0.003 + n_kept * 0.001)"
 
 
 def judged(spark, sf):
     """(briefs of every strategy with bucket and latency, their scores, pairs)"""
-    briefs, pairs = run_all(spark, sf)
+    briefs, pairs = run_all(spark, sf, strategies=IN_SCOPE)
     briefs = briefs.join(pairs.select("pair_id", "bucket"), "pair_id").withColumn("latency_ms", F.expr(_LAT))
+    briefs = cut_lineage(briefs)  # several reports read the packed briefs
     return briefs, E.score(briefs, pairs), pairs
 
 
 D.part(
     "briefs_x",
-    ["all_briefs", "pairs"],
+    ["study_briefs", "pairs"],
     f"""SELECT b.*, p.bucket, p.query, p.ground_truth, p.intent, 0.05 + b.brief_tokens * 0.003 + b.n_kept * 0.001 AS latency_ms
-    FROM all_briefs b JOIN pairs p ON p.pair_id = b.pair_id""",
+    FROM study_briefs b JOIN pairs p ON p.pair_id = b.pair_id""",
 )
 D.part(
     "scored0",
@@ -86,12 +92,12 @@ def _(spark, sf):
 
 @query(
     "results_with_scores",
-    rsql(["scored"], """SELECT strategy, pair_id, brief_tokens::INT AS brief_tokens, CASE WHEN strategy <> 'rerank' THEN quality END AS quality
+    rsql(["scored"], """SELECT strategy, pair_id, brief_tokens::INT AS brief_tokens, CASE WHEN strategy <> 'recency' THEN quality END AS quality
     FROM scored"""),
 )
 def _(spark, sf):
     briefs, scores, _ = judged(spark, sf)
-    out = E.attach_scores(briefs.select("strategy", "pair_id", "brief_tokens"), scores.filter("strategy <> 'rerank'"))
+    out = E.attach_scores(briefs.select("strategy", "pair_id", "brief_tokens"), scores.filter("strategy <> 'recency'"))
     return out.select("strategy", "pair_id", "brief_tokens", "quality")
 
 

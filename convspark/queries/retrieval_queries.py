@@ -301,12 +301,12 @@ def _(spark, sf):
     return packing.source_counts(segments, b, R.KEYS).select("pair_id", "source", "n_in_brief")
 
 
-def run_all(spark, sf, default_budget: int = V.DEFAULT_BUDGET):
-    """Every strategy on every pair, each under its own budget or the run's default."""
+def run_all(spark, sf, default_budget: int = V.DEFAULT_BUDGET, strategies=tuple(R.STRATEGY_BUDGETS)):
+    """The given strategies on every pair, each under its own budget or the run's default."""
     pairs, messages, actions = prepare.histories(spark, sf)
     now = F.lit(NOW).cast("timestamp")
     keys, segments, groups = ["strategy", *R.KEYS], None, None
-    for name in R.STRATEGY_BUDGETS:
+    for name in strategies:
         s = R.run_strategy(name, pairs, messages, actions, now).select(
             F.lit(name).alias("strategy"), *R.KEYS, "source", "ord", "seq", "body", "token_estimate", "priority"
         )
