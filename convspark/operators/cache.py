@@ -255,3 +255,61 @@ def sweep(requests: DataFrame, thresholds: list[float], scopes: dict[str, Column
             run = replay(scoped, t).select(F.lit(scope).alias("scope"), F.lit(t).alias("threshold"), "*")
             out = run if out is None else out.unionByName(run)
     return out
+
+
+def replay_lru(requests: DataFrame, threshold: float, max_entries: int) -> DataFrame:
+    """Replay with at most ``max_entries`` entries per namespace, the least recently used one being evicted.
+
+    Eviction makes each outcome depend on the whole sequence before it, so a namespace is walked in order. Its rows
+    arrive sorted and are streamed: memory holds the entries of one namespace, never its requests. Use customer-scoped
+    namespaces; ``replay`` is the form for large ones.
+    """
+    if not 0.0 < threshold <= 1.0:
+        raise ValueError(f"threshold must be in (0, 1], got {threshold}")
+    if max_entries <= 0:
+        raise ValueError(f"max_entries must be positive, got {max_entries}")
+    exact_at = V.EXACT_SIMILARITY
+    vector = X.buckets(F.col("key_text"))
+    rows = requests.select("ns", "seq", "key_text", "response", vector.alias("buckets"))
+    ordered = rows.repartition("ns").sortWithinPartitions("ns", "seq")
+
+    def walk(batches):
+        import math
+        from collections import Counter, OrderedDict
+
+        import pandas as pd
+
+        ns, lru, by_key = None, OrderedDict(), {}
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.ns != ns:
+                    ns, lru, by_key = row.ns, OrderedDict(), {}
+                vec = Counter(row.buckets)
+                norm = math.sqrt(sum(c * c for c in vec.values()))
+                best, sim = by_key.get(row.key_text), 1.0
+                if best is None:
+                    sim = 0.0
+                    for entry, (_, other, other_norm, _) in lru.items():
+                        small, large = (vec, other) if len(vec) <= len(other) else (other, vec)
+                        dot = sum(c * large.get(b, 0) for b, c in small.items())
+                        s = dot / (norm * other_norm) if dot else 0.0
+                        if s > sim:
+                            best, sim = entry, s
+                evicted = None
+                if best is not None and sim >= threshold:
+                    lru.move_to_end(best)
+                    out.append((ns, row.seq, "exact" if sim >= exact_at else "near", sim, best, lru[best][3], evicted))
+                    continue
+                lru[row.seq] = (row.key_text, vec, norm, row.response)
+                by_key[row.key_text] = row.seq
+                if len(lru) > max_entries:
+                    evicted, (old_key, *_) = lru.popitem(last=False)
+                    by_key.pop(old_key, None)
+                out.append((ns, row.seq, "miss", sim, None, None, evicted))
+            frame = pd.DataFrame(out, columns=["ns", "seq", "kind", "similarity", "entry_id", "answer", "evicted"])
+            yield frame.astype({"entry_id": "Int64", "evicted": "Int64"})
+
+    return ordered.mapInPandas(
+        walk, "ns string, seq long, kind string, similarity double, entry_id long, answer string, evicted long"
+    )

@@ -14,6 +14,7 @@ SECTIONS = [
     "identity_queries",
     "cache_queries",
     "evaluate_queries",
+    "streaming_queries",
 ]
 
 
