@@ -38,23 +38,25 @@ def lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.95) ->
     exact = asked.join(known, ["ns", "digest"]).filter(F.col("key_text") == F.col("entry_text"))
     exact = exact.select("ns", "request_id", F.col("exact_id").alias("entry_id"))
     rest = asked.join(exact.select("ns", "request_id"), ["ns", "request_id"], "left_anti")
-    qv, qn = vectors(rest, ["ns", "request_id"], "key_text")
+    # a prompt asked many times is scored once; the first text combines map-side
+    prompts = rest.groupBy("ns", "digest").agg(F.first("key_text").alias("key_text"))
+    qv, qn = vectors(prompts, ["ns", "digest"], "key_text")
     ev, en = vectors(entries, ["ns", "entry_id"], "key_text")
     dots = (
         qv.join(ev.withColumnRenamed("w", "we"), ["ns", "bucket"])
-        .groupBy("ns", "request_id", "entry_id")
+        .groupBy("ns", "digest", "entry_id")
         .agg(F.sum(F.col("w") * F.col("we")).alias("dot"))
     )
     scored = (
-        dots.join(qn.withColumnRenamed("sq", "sq_q"), ["ns", "request_id"])
+        dots.join(qn.withColumnRenamed("sq", "sq_q"), ["ns", "digest"])
         .join(en.withColumnRenamed("sq", "sq_e"), ["ns", "entry_id"])
         .join(entries.select("ns", "entry_id", "last_touch_seq"), ["ns", "entry_id"])
         .withColumn("sim", _cos(F.col("dot"), F.col("sq_q"), F.col("sq_e")))
     )
-    best = scored.groupBy("ns", "request_id").agg(
+    best = scored.groupBy("ns", "digest").agg(
         F.max_by(F.struct("entry_id", "sim"), F.struct("sim", -F.col("last_touch_seq"))).alias("b")
     )
-    near = rest.select("ns", "request_id").join(best, ["ns", "request_id"], "left").select(
+    near = rest.select("ns", "request_id", "digest").join(best, ["ns", "digest"], "left").select(
         "ns", "request_id", "b.entry_id", F.coalesce("b.sim", F.lit(0.0)).alias("similarity")
     )
     near = near.withColumn(
