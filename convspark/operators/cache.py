@@ -169,6 +169,9 @@ def replay(requests: DataFrame, threshold: float = 0.95) -> DataFrame:
     return out.withColumn("kind", kind).withColumnRenamed("sim", "similarity").drop("key_id")
 
 
+_SLICE = 1 << 16  # requests per slice of an entry's timeline
+
+
 def _least_recent(tied: DataFrame) -> DataFrame:
     """One entry per request: the least recently touched of its equally similar ones.
 
@@ -186,15 +189,24 @@ def _least_recent(tied: DataFrame) -> DataFrame:
         hits = single.select("ns", "entry_id", F.col("seq").alias("hit")).unionByName(
             choice.select("ns", "entry_id", F.col("seq").alias("hit"))
         )
-        # last hit of each entry before the request, as a running maximum over the entry's timeline
-        marks = several.select("ns", "entry_id", "seq", F.lit(None).cast("long").alias("hit")).unionByName(
-            hits.select("ns", "entry_id", F.col("hit").alias("seq"), "hit").join(
-                several.select("ns", "entry_id").distinct(), ["ns", "entry_id"], "left_semi"
-            )
+        # last hit of each entry before the request: the latest one of the earlier slices, or of the own slice; an
+        # entry with very many hits is handled slice by slice
+        slice_ = F.floor(F.col("seq") / _SLICE)
+        hits = hits.withColumnRenamed("hit", "seq").withColumn("s", slice_)
+        per_slice = hits.groupBy("ns", "entry_id", "s").agg(F.max("seq").alias("m"))
+        asked = several.select("ns", "entry_id", "seq").withColumn("s", slice_)
+        all_slices = per_slice.unionByName(
+            asked.select("ns", "entry_id", "s", F.lit(None).cast("long").alias("m")).distinct()
+        ).groupBy("ns", "entry_id", "s").agg(F.max("m").alias("m"))
+        earlier = Window.partitionBy("ns", "entry_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+        carried = all_slices.select("ns", "entry_id", "s", F.max("m").over(earlier).alias("carried"))
+        marks = asked.select("ns", "entry_id", "s", "seq", F.lit(None).cast("long").alias("hit")).unionByName(
+            hits.select("ns", "entry_id", "s", "seq", F.col("seq").alias("hit"))
         )
-        line = Window.partitionBy("ns", "entry_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+        line = Window.partitionBy("ns", "entry_id", "s").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
         touched = marks.withColumn("last", F.max("hit").over(line)).filter("hit IS NULL")
-        touched = touched.withColumn("last", F.greatest(F.coalesce("last", F.col("entry_id")), F.col("entry_id")))
+        touched = touched.join(carried, ["ns", "entry_id", "s"])
+        touched = touched.withColumn("last", F.coalesce(F.greatest("last", "carried", "entry_id"), F.col("entry_id")))
         new = cut_lineage(touched.groupBy("ns", "seq").agg(F.min_by("entry_id", "last").alias("entry_id")))
         changed = new.join(choice.withColumnRenamed("entry_id", "old"), ["ns", "seq"]).filter("entry_id <> old")
         stable = changed.isEmpty()

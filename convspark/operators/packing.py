@@ -13,6 +13,12 @@ def header(customer: Column, tenant: Column) -> Column:
     return F.concat(F.lit("Borrower: "), customer, F.lit(" (tenant="), tenant, F.lit(")"))
 
 
+# up to this budget a key's candidates are at most 4 * budget characters per distinct cost, and travel with their text
+CARRY_TEXT_UP_TO = 10_000
+_REF = "ord:int,seq:bigint"
+_PART = "body:string,source:string"
+
+
 def pack(segments: DataFrame, groups: DataFrame, keys: list[str], max_budget: int) -> DataFrame:
     """Pack each key of ``groups`` (key columns, ``header`` or '', ``token_budget``).
 
@@ -21,67 +27,64 @@ def pack(segments: DataFrame, groups: DataFrame, keys: list[str], max_budget: in
 
     The walk itself is sequential, but its input is bounded by the budget: once a segment of cost c is skipped,
     every later one of cost c is skipped too, so only the first floor(budget / c) segments of each cost can be
-    taken. That filter is exact, and its literal part (``max_budget``) is applied map-side.
+    taken. That filter is exact, and its literal part (``max_budget``) is applied map-side. For large budgets the
+    walk runs on costs alone and the texts of the kept segments are joined back.
     """
     if max_budget <= 0:
         raise ValueError(f"token_budget must be positive, got {max_budget}")
+    carry = max_budget <= CARRY_TEXT_UP_TO
     head_cost = F.when(F.col("header") != "", X.estimate_tokens(F.col("header")) + 1).otherwise(F.lit(0))
     groups = groups.select(
         *keys,
         F.col("token_budget").cast("int"),
         F.when(head_cost <= F.col("token_budget"), blank(F.col("header"))).alias("header"),
-        F.when(head_cost <= F.col("token_budget"), head_cost).otherwise(F.lit(0)).alias("head_cost"),
+        F.when(head_cost <= F.col("token_budget"), head_cost).otherwise(F.lit(0)).cast("int").alias("head_cost"),
     )
-    sized = segments.select(*keys, "priority", "ord", "seq", (F.col("token_estimate") + 1).alias("cost"))
-    sized = sized.filter(F.col("cost") <= max_budget)
+    text = ["body", "source"] if carry else []
+    sized = segments.select(*keys, "priority", "ord", "seq", (F.col("token_estimate") + 1).alias("cost"), *text)
     same_cost = Window.partitionBy(*keys, "cost").orderBy(*reading_order())
     candidates = (
-        sized.withColumn("nth", F.row_number().over(same_cost))
+        sized.filter(F.col("cost") <= max_budget)
+        .withColumn("nth", F.row_number().over(same_cost))
         .filter(F.col("nth") <= max_budget)
-        .join(groups.select(*keys, "token_budget", "head_cost"), keys)
-        .filter(F.col("nth") * F.col("cost") <= F.col("token_budget") - F.col("head_cost"))
+        .filter(F.col("nth") * F.col("cost") <= max_budget)
     )
-    walks = candidates.groupBy(*keys, "token_budget", "head_cost").agg(
-        F.sort_array(
-            F.collect_list(F.struct((-F.col("priority")).alias("down"), F.col("ord"), F.col("seq"), F.col("cost")))
-        ).alias("items")
-    )
-    ref = "array<struct<ord:int,seq:bigint>>"
-    start = F.struct(F.col("head_cost").cast("int").alias("used"), F.array().cast(ref).alias("kept"))
+    item = F.struct((-F.col("priority")).alias("down"), "ord", "seq", "cost", *text)
+    items = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    fields = _PART if carry else _REF
+    kept_type = f"array<struct<{fields}>>"
+    start = F.struct(F.col("head_cost").alias("used"), F.array().cast(kept_type).alias("kept"))
 
     def step(s, x):
+        entry = F.struct(*[x[f.split(":")[0]].alias(f.split(":")[0]) for f in fields.split(",")])
         fits = s["used"] + x["cost"] <= F.col("token_budget")
-        taken = F.struct(
-            (s["used"] + x["cost"]).alias("used"),
-            F.concat(s["kept"], F.array(F.struct(x["ord"].alias("ord"), x["seq"].alias("seq")))).alias("kept"),
-        )
+        taken = F.struct((s["used"] + x["cost"]).alias("used"), F.array_append(s["kept"], entry).alias("kept"))
         return F.when(fits, taken).otherwise(s)
 
-    kept = walks.select(*keys, F.posexplode(F.aggregate("items", start, step, lambda s: s["kept"])).alias("pos", "ref"))
-    kept = kept.select(*keys, "pos", F.col("ref.ord").alias("ord"), F.col("ref.seq").alias("seq"))
-    # bodies travel once, and only kept ones are gathered: at most one budget per key
-    bodies = (
-        segments.select(*keys, "ord", "seq", "source", "body")
-        .join(kept, [*keys, "ord", "seq"])
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "body", "source"))).alias("parts"))
+    walked = groups.join(items, keys, "left").withColumn(
+        "w",
+        F.when(F.col("items").isNotNull(), F.aggregate("items", start, step)).otherwise(start),
     )
-    packed = groups.join(bodies, keys, "left")
-    brief = F.concat_ws("\n", F.col("header"), F.array_join(F.transform("parts", lambda p: p["body"]), "\n"))
-    return packed.select(
-        *keys,
-        "token_budget",
-        F.coalesce(brief, F.lit("")).alias("brief_text"),
-        F.coalesce(F.size("parts"), F.lit(0)).alias("n_kept"),
-        (
-            F.aggregate(
-                F.coalesce("parts", F.array().cast("array<struct<pos:int,body:string,source:string>>")),
-                F.col("head_cost"),
-                lambda s, p: s + X.estimate_tokens(p["body"]) + 1,
-            )
-        ).alias("used_tokens"),
-    ).withColumn("brief_tokens", X.estimate_tokens(F.col("brief_text"))).withColumn(
-        # the accounting above makes a tail trim unreachable; kept as a check
+    packed = walked.select(*keys, "token_budget", "header", F.col("w.used").alias("used_tokens"), F.col("w.kept").alias("parts"))
+    if not carry:
+        refs = packed.select(*keys, F.posexplode("parts").alias("pos", "ref"))
+        refs = refs.select(*keys, "pos", F.col("ref.ord").alias("ord"), F.col("ref.seq").alias("seq"))
+        # only kept texts are gathered: at most one budget per key
+        parts = (
+            segments.select(*keys, "ord", "seq", "source", "body")
+            .join(refs, [*keys, "ord", "seq"])
+            .groupBy(*keys)
+            .agg(F.sort_array(F.collect_list(F.struct("pos", "body", "source"))).alias("parts"))
+        )
+        packed = packed.drop("parts").join(parts, keys, "left")
+    lines = F.array_join(F.transform("parts", lambda p: p["body"]), "\n")
+    n_kept = F.coalesce(F.size("parts"), F.lit(0))
+    brief = F.concat_ws("\n", F.col("header"), F.when(n_kept > 0, lines))
+    out = packed.select(
+        *keys, "token_budget", F.coalesce(brief, F.lit("")).alias("brief_text"), n_kept.alias("n_kept"), "used_tokens"
+    )
+    # the accounting above makes a tail trim unreachable; kept as a check
+    return out.withColumn("brief_tokens", X.estimate_tokens(F.col("brief_text"))).withColumn(
         "over_budget", F.col("brief_tokens") > F.col("token_budget")
     )
 

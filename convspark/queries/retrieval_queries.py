@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convspark import values as V
@@ -305,17 +308,17 @@ def run_all(spark, sf, default_budget: int = V.DEFAULT_BUDGET, strategies=tuple(
     """The given strategies on every pair, each under its own budget or the run's default."""
     pairs, messages, actions = prepare.histories(spark, sf)
     now = F.lit(NOW).cast("timestamp")
-    keys, segments, groups = ["strategy", *R.KEYS], None, None
+    keys, by_budget = ["strategy", *R.KEYS], {}
     for name in strategies:
-        s = R.run_strategy(name, pairs, messages, actions, now).select(
-            F.lit(name).alias("strategy"), *R.KEYS, "source", "ord", "seq", "body", "token_estimate", "priority"
-        )
-        g = packing.brief_groups(
-            pairs, F.lit(R.strategy_budget(name, default_budget)), [F.lit(name).alias("strategy")]
-        )
-        segments = s if segments is None else segments.unionByName(s)
-        groups = g if groups is None else groups.unionByName(g)
-    return packing.pack(segments, groups, keys, V.NAIVE_BUDGET), pairs
+        by_budget.setdefault(R.strategy_budget(name, default_budget), []).append(name)
+    packed = []
+    for budget, names in by_budget.items():  # strategies of one budget are packed together
+        tag = lambda name: F.lit(name).alias("strategy")
+        cols = [*R.KEYS, "source", "ord", "seq", "body", "token_estimate", "priority"]
+        runs = [R.run_strategy(n, pairs, messages, actions, now).select(tag(n), *cols) for n in names]
+        groups = [packing.brief_groups(pairs, F.lit(budget), [tag(n)]) for n in names]
+        packed.append(packing.pack(reduce(DataFrame.unionByName, runs), reduce(DataFrame.unionByName, groups), keys, budget))
+    return reduce(DataFrame.unionByName, packed), pairs
 
 
 _ALL = list(R.STRATEGY_BUDGETS)

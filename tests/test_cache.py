@@ -70,6 +70,25 @@ def test_replay_equals_sequential_walk(spark, seed, threshold):
     assert got == expect
 
 
+def test_ties_go_to_the_least_recently_used_entry(spark):
+    texts = ["aa bb", "cc dd", "aa bb cc dd", "cc dd aa bb", "aa bb", "dd cc bb aa", "cc bb aa dd", "ee ff", "bb aa dd cc"]
+    rows = [("n", i, t, f"r{i}") for i, t in enumerate(texts)]
+    expect = _fold(rows, 0.7)
+    assert len({expect[("n", i)][1] for i in (2, 3, 5, 6, 8)}) == 2
+    df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
+    got = {(r.ns, r.seq): (r.kind, r.entry_id, r.answer) for r in cache.replay(df, 0.7).collect()}
+    assert got == expect
+
+
+def test_eviction_equals_sequential_walk(spark):
+    rows = _rows(7, 80, 5)
+    df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
+    unlimited = {(r.ns, r.seq): (r.kind, r.entry_id, r.answer) for r in cache.replay_lru(df, 0.8, 1000).collect()}
+    assert unlimited == _fold(rows, 0.8)
+    tight = cache.replay_lru(df, 0.8, 2).collect()
+    assert sum(r.evicted is not None for r in tight) == sum(r.kind == "miss" for r in tight) - 4
+
+
 def test_copies_settle_in_one_round(spark):
     rows = [("n", i, f"same words here again {'x' * (i % 2)}", "a") for i in range(40)]
     df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
