@@ -40,6 +40,8 @@ def order_statistics(
     Values are first counted (map-side), then the value range of each key is cut into ``slices`` equal parts; only
     the parts that hold a wanted position are looked at value by value, and the counts make equal values one row.
     """
+    if not keys:
+        raise ValueError("order_statistics needs at least one key column")
     df = df.filter(F.col(value).isNotNull())
     counted = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     counted = cut_lineage(counted)  # read several times below, the input only once
@@ -47,7 +49,7 @@ def order_statistics(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n")
     )
     bounds = bounds.select("*", *[p for name, rule in points.items() for p in _positions(name, *rule)])
-    cut = counted.join(bounds, keys) if keys else counted.crossJoin(F.broadcast(bounds))
+    cut = counted.join(bounds, keys)
     width = F.col("_hi") - F.col("_lo")
     part = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * slices), F.lit(slices - 1)))
     cut = cut.withColumn("_part", F.coalesce(part, F.lit(0)))
@@ -58,7 +60,7 @@ def order_statistics(
 
     wanted_cols = [c for c in bounds.columns if c.startswith("_pos_")]
     wanted = bounds.select(*keys, F.explode(F.array_distinct(F.array(*wanted_cols))).alias("_pos"))
-    hit = sizes.join(wanted, keys) if keys else sizes.crossJoin(F.broadcast(wanted))
+    hit = sizes.join(wanted, keys)
     hit = hit.filter((F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_end")))
     hit = hit.select(*keys, "_part", "_start", "_pos")
 
@@ -71,7 +73,7 @@ def order_statistics(
         (F.col("_pos") >= F.col("_from")) & (F.col("_pos") < F.col("_to"))
     )
     found = picked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_v"))).alias("_at"))
-    out = bounds.join(found, keys) if keys else bounds.crossJoin(F.broadcast(found))
+    out = bounds.join(found, keys)
     return out.select(*keys, "n", F.col("_lo").alias("min"), F.col("_hi").alias("max"),
                       *[_value(name, *rule).alias(name) for name, rule in points.items()])
 

@@ -13,46 +13,48 @@ from convspark import values as V
 from convspark.functions import safety, text as X
 
 
-def _kind(v: Column, field: str) -> Column:
-    """Variant type name of a field: null when absent, 'VOID' when JSON null."""
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
-
-
-def _text(v: Column, field: str) -> Column:
-    return F.try_variant_get(v, f"$.{field}", "string")
-
-
 def parse_requests(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Typed fields plus ``errors``: one entry per rule broken, empty for a valid request."""
-    v = F.try_parse_json(F.col(column))
-    keys = F.json_object_keys(F.col(column))
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
-    # null kinds are folded so that the rules below never see an unknown
-    kind = lambda f: F.coalesce(_kind(v, f), F.when(F.array_contains(keys, f), "VOID").otherwise("MISSING"))
-    size = lambda f: F.length(_text(v, f))
-    string = lambda f: kind(f) == "STRING"
-    optional = lambda f: kind(f).isin("VOID", "MISSING")
+    """Typed fields plus ``errors``: one entry per rule broken, empty for a valid request.
+
+    The document is parsed once, then each field once; Spark keeps the three steps apart because later ones use the
+    parsed values several times.
+    """
+    names = [c for c in raw.columns]
+    parsed = raw.select("*", F.try_parse_json(F.col(column)).alias("_v"), F.json_object_keys(F.col(column)).alias("_keys"))
+    # kind of each field: VOID for JSON null, MISSING when absent, so that the rules below never see an unknown
+    field = lambda f: F.try_variant_get("_v", f"$.{f}", "variant")
+    kind_of = lambda f: F.coalesce(
+        F.schema_of_variant(field(f)), F.when(F.array_contains("_keys", f), "VOID").otherwise("MISSING")
+    )
+    fields = parsed.select(
+        *names,
+        "_keys",
+        F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)).alias("_is_object"),
+        *[kind_of(f).alias(f"_kind_{f}") for f in V.REQUEST_FIELDS],
+        *[F.try_variant_get("_v", f"$.{f}", "string").alias(f) for f in V.REQUEST_FIELDS[:-1]],
+        F.coalesce(F.get_json_object(column, "$.payload"), F.lit("{}")).alias("payload"),
+    )
+    string = lambda f: F.col(f"_kind_{f}") == "STRING"
+    optional = lambda f: F.col(f"_kind_{f}").isin("VOID", "MISSING")
+    size = lambda f: F.length(f)
     rule = lambda bad, name: F.when(bad, F.lit(name))
-    fields = F.array(
+    broken = F.array(
         rule(~string("tenant_id") | ~size("tenant_id").between(1, 64), "tenant_id"),
         rule(~optional("customer_id") & (~string("customer_id") | (size("customer_id") > 64)), "customer_id"),
-        rule(~string("channel_code") | ~_text(v, "channel_code").isin(V.CHANNELS), "channel_code"),
-        rule(~string("event_type") | ~_text(v, "event_type").isin(V.EVENT_TYPES), "event_type"),
+        rule(~string("channel_code") | ~F.col("channel_code").isin(V.CHANNELS), "channel_code"),
+        rule(~string("event_type") | ~F.col("event_type").isin(V.EVENT_TYPES), "event_type"),
         rule(
             ~optional("idempotency_key") & (~string("idempotency_key") | ~size("idempotency_key").between(1, 128)),
             "idempotency_key",
         ),
-        rule(~kind("payload").startswith("OBJECT") & (kind("payload") != "MISSING"), "payload"),
+        rule(~F.col("_kind_payload").startswith("OBJECT") & (F.col("_kind_payload") != "MISSING"), "payload"),
     )
-    extra = F.array_except(keys, F.array(*[F.lit(f) for f in V.REQUEST_FIELDS]))
-    errors = F.when(F.coalesce(is_object, F.lit(False)), F.array_compact(F.concat(fields, extra))).otherwise(
-        F.array(F.lit("body"))
-    )
-    tenant = F.when(F.coalesce(is_object, F.lit(False)) & string("tenant_id"), X.blank_to_null(_text(v, "tenant_id")))
-    return raw.select(
-        "*",
-        *[_text(v, f).alias(f) for f in V.REQUEST_FIELDS[:-1]],
-        F.coalesce(F.get_json_object(column, "$.payload"), F.lit("{}")).alias("payload"),
+    extra = F.array_except("_keys", F.array(*[F.lit(f) for f in V.REQUEST_FIELDS]))
+    errors = F.when(F.col("_is_object"), F.array_compact(F.concat(broken, extra))).otherwise(F.array(F.lit("body")))
+    tenant = F.when(F.col("_is_object") & string("tenant_id"), X.blank_to_null(F.col("tenant_id")))
+    return fields.select(
+        *names,
+        *V.REQUEST_FIELDS,
         errors.alias("errors"),
         F.coalesce(tenant, F.lit("_unparseable_")).alias("quarantine_tenant"),
     )

@@ -269,7 +269,7 @@ def _(spark, sf):
     rules = T.policy_rules(spark)
     counts = T.events(spark, sf).groupBy("tenant_id").agg(F.count("*").alias("n_events"))
     listed = P.tenants(rules).join(counts, "tenant_id")
-    return rules.join(F.broadcast(listed), "tenant_id")
+    return rules.join(listed, "tenant_id")
 
 
 # ---- decisions ----------------------------------------------------------------------------------

@@ -353,7 +353,7 @@ def _(spark, sf):
 
     told = P.narratives(T.policy_rules(spark))
     counts = T.events(spark, sf).groupBy("tenant_id").agg(F.count("*").alias("n_events"))
-    return counts.join(F.broadcast(told), "tenant_id", "left").select("tenant_id", "narrative", "n_events")
+    return counts.join(told, "tenant_id", "left").select("tenant_id", "narrative", "n_events")
 
 
 @query(
