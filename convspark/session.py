@@ -56,6 +56,7 @@ def local(app: str = "convspark", cores: str = "8", shuffle: int = 8) -> SparkSe
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call-site capture per Column call
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
