@@ -92,20 +92,31 @@ def create_customers(requests: DataFrame, identities: DataFrame | None) -> tuple
     """(identity rows to insert, refused requests) for new customers created with all their identities or not at all.
 
     ``requests``: tenant_id, customer_id, created_at, identities ARRAY<STRUCT<kind, value>>. A request is refused when
-    one of its identities is stored already, or is asked for by an earlier request of the batch.
+    one of its identities is stored already, or belongs to a request of the batch that was accepted before it. Per
+    round, requests that are the earliest open ones for all their identities are accepted, and the open ones that share
+    an identity with them are refused; both are decided by map-side minima, and the rest goes to the next round.
     """
-    rows = requests.select(
-        "tenant_id", "customer_id", "created_at", F.explode_outer("identities").alias("h")
-    ).select("tenant_id", "customer_id", "created_at", "h.kind", "h.value")
-    first = rows.filter("kind IS NOT NULL").groupBy(*IDENTITY).agg(F.min(F.struct("created_at", "customer_id")).alias("first"))
-    checked = rows.join(first, IDENTITY, "left")
-    taken = F.col("first.customer_id") != F.col("customer_id")
-    if identities is not None:
-        checked = checked.join(identities.select(*IDENTITY, F.lit(True).alias("stored")), IDENTITY, "left")
-        taken = taken | F.col("stored").isNotNull()
-    refused = checked.filter(taken).select("tenant_id", "customer_id").distinct()
-    fresh = rows.filter("kind IS NOT NULL").join(refused, ["tenant_id", "customer_id"], "left_anti")
-    return fresh.select("tenant_id", "customer_id", "kind", "value", "created_at"), refused
+    who = ["tenant_id", "customer_id"]
+    rows = requests.select(*who, "created_at", F.explode("identities").alias("h")).select(
+        *who, "created_at", "h.kind", "h.value"
+    )
+    rows = cut_lineage(rows)
+    if identities is None:
+        refused = rows.select(*who).limit(0)
+    else:
+        refused = rows.join(identities.select(*IDENTITY), IDENTITY, "left_semi").select(*who).distinct()
+    open_ = cut_lineage(rows.join(refused, who, "left_anti"))
+    accepted = rows.limit(0)
+    while not open_.isEmpty():
+        first = open_.groupBy(*IDENTITY).agg(F.min(F.struct("created_at", "customer_id")).alias("first"))
+        marked = open_.join(first, IDENTITY).withColumn("leads", F.col("first.customer_id") == F.col("customer_id"))
+        leaders = marked.groupBy(*who).agg(F.bool_and("leads").alias("leads")).filter("leads").select(*who)
+        won = cut_lineage(open_.join(leaders, who, "left_semi"))
+        left = open_.join(won.select(*who).distinct(), who, "left_anti")
+        lost = cut_lineage(left.join(won.select(*IDENTITY), IDENTITY, "left_semi").select(*who).distinct())
+        open_ = cut_lineage(left.join(lost, who, "left_anti"))
+        accepted, refused = accepted.unionByName(won), refused.unionByName(lost)
+    return accepted.select(*who, "kind", "value", "created_at"), refused
 
 
 # ---- resolution ---------------------------------------------------------------------------------

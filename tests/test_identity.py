@@ -106,3 +106,23 @@ def test_hints_order_and_types(spark):
     assert [(h.kind, h.value) for h in got] == [
         ("external_id", "E9"), ("email", "b@x.com"), ("phone", "+12"), ("chat_handle", "zed"),
     ]
+
+
+def test_customers_are_created_in_order(spark):
+    rng = random.Random(4)
+    stored = {("t", "email", "m0")}
+    rows, expect = [], {}
+    for i in range(40):
+        ids = [("email", f"m{rng.randrange(12)}")] + ([("phone", f"p{rng.randrange(12)}")] if rng.random() < 0.6 else [])
+        rows.append(("t", f"c{i:02d}", i, [{"kind": k, "value": v} for k, v in ids]))
+        keys = {("t", k, v) for k, v in ids}
+        expect[f"c{i:02d}"] = not keys & stored
+        if expect[f"c{i:02d}"]:
+            stored |= keys
+    requests = spark.createDataFrame(
+        rows, "tenant_id string, customer_id string, created_at long, identities array<struct<kind:string,value:string>>"
+    )
+    known = spark.createDataFrame([("t", "email", "m0", "old")], "tenant_id string, kind string, value string, customer_id string")
+    inserted, refused = I.create_customers(requests, known)
+    assert {r.customer_id for r in inserted.collect()} == {c for c, ok in expect.items() if ok}
+    assert {r.customer_id for r in refused.collect()} == {c for c, ok in expect.items() if not ok}
