@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,28 +9,12 @@ from convspark import values as V
 from convspark.functions.text import let
 
 _FLAGS = "(?iU)"  # case-insensitive with Unicode word, space and case classes
-# the only non-ASCII letters that match an ASCII letter without regard to case
-_FOLDED = "[\u0130\u0131\u017f\u212a]"
-
-
-def _possible(text: Column, lowered: Column, groups: list[list[str]]) -> Column:
-    """Cheap necessary condition of a family: one word of every group occurs. Plain substring search costs a small
-    part of the pattern search that it spares most texts."""
-    any_of = lambda words: reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
-    return reduce(lambda a, b: a & b, [any_of(g) for g in groups]) | text.rlike(_FOLDED)
 
 
 def detect_flags(text: Column) -> Column:
     """Families that match the original text, in bank order."""
-
-    def found(s):
-        hits = [
-            F.when(_possible(s["t"], s["low"], V.INJECTION_WORDS[flag]) & s["t"].rlike(_FLAGS + p), F.lit(flag))
-            for flag, p, _ in V.INJECTION_FAMILIES
-        ]
-        return F.array_compact(F.array(*hits))
-
-    return let(F.struct(text.alias("t"), F.lower(text).alias("low")), found)
+    hits = [F.when(text.rlike(_FLAGS + p), F.lit(flag)) for flag, p, _ in V.INJECTION_FAMILIES]
+    return F.array_compact(F.array(*hits))
 
 
 def has_markers(text: Column) -> Column:
@@ -45,12 +27,11 @@ def sanitize(text: Column, wrap: bool = True) -> tuple[Column, Column]:
 
     def rewrite(flag, pattern, replacement):
         def step(s):
-            hit = _possible(s["t"], F.lower(s["t"]), V.INJECTION_WORDS[flag]) & s["t"].rlike(_FLAGS + pattern)
             new = F.struct(
                 F.regexp_replace(s["t"], _FLAGS + pattern, replacement).alias("t"),
                 F.array_append(s["flags"], F.lit(flag)).alias("flags"),
             )
-            return F.when(hit, new).otherwise(s)
+            return F.when(s["t"].rlike(_FLAGS + pattern), new).otherwise(s)
 
         return step
 

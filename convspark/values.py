@@ -72,27 +72,6 @@ INJECTION_FAMILIES = [
         "[flagged: policy-override phrase removed]",
     ),
 ]
-# words without which a family cannot match: one of each group
-INJECTION_WORDS = {
-    "instruction_override": [
-        ["ignore", "disregard", "forget", "override"],
-        ["instruction", "prompt", "rule", "directive", "message"],
-    ],
-    "role_impersonation": [["system", "assistant", "user", "role", "<|im_", "inst]", "<<sys>>", "<</sys>>"]],
-    "system_prompt_leak": [
-        ["reveal", "show", "print", "repeat", "leak", "tell"],
-        ["prompt", "instructions", "rules"],
-    ],
-    "jailbreak_persona": [
-        ["you", "act", "pretend", "roleplay"],
-        ["dan", "developer", "jailbroken", "unrestricted", "restrictions", "rules", "filter", "limit"],
-    ],
-    "delimiter_abuse": [["```", "<system>", "</system>", "<prompt>", "</prompt>"]],
-    "policy_override": [
-        ["skip", "bypass", "override", "disable", "ignore"],
-        ["approval", "compliance", "policy", "policies", "review", "audit", "human", "verification"],
-    ],
-}
 BEGIN_UNTRUSTED = "<<<BEGIN_UNTRUSTED_CUSTOMER_CONTENT>>>"
 END_UNTRUSTED = "<<<END_UNTRUSTED_CUSTOMER_CONTENT>>>"
 
