@@ -5,7 +5,11 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
+    "secret_scan",
+    "decontaminate",
     "simhash",
+    "mixing",
+    "language_id",
 ]
 
 
