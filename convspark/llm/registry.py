@@ -5,10 +5,13 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
+    "url_filter",
     "secret_scan",
     "decontaminate",
     "simhash",
     "mixing",
+    "warc",
+    "quality_rules",
     "language_id",
 ]
 
