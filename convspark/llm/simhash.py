@@ -5,10 +5,11 @@ distance of two count vectors never exceeds the Hamming distance of the fingerpr
 1 is 01, 2 is 11), so a vector is one 64-bit number and the Manhattan distance is the bit count of an exclusive or.
 
 The range join runs over grids: the 32 counts form ``BLOCKS`` blocks, and two vectors within distance r agree in at least
-BLOCKS - r blocks, so they share a cell in the grid of one of the choices of so many blocks. Pairs that share a cell are
-kept if the Manhattan distance, then the Hamming distance, is at most r.
+BLOCKS - r blocks, so they share a cell in the grid of one of the choices of so many blocks. Fingerprints that share a
+cell are linked if the Manhattan distance, then the Hamming distance, is at most r. Of a cell with more than two, only a
+star for each group of linked fingerprints leaves the task, so a group of near copies gives no pairs.
 
-A cell with more than ``CELL`` fingerprints is not paired. Its fingerprints go through an exact way instead: two
+A cell with more than ``CELL`` fingerprints is not compared. Its fingerprints go through an exact way instead: two
 fingerprints within 2h bits have a common neighbour within h bits of both, so each one visits all 64-bit numbers within h
 bits, and all that meet at a number are within 2h of each other and linked to the smallest of them, without pairs.
 """
@@ -33,8 +34,8 @@ SEED = 42
 MAX_BITS = 4
 #: Blocks of equal width that the counts form; 8 blocks of 8 bits give 70 grids of some 2^23 cells in effect.
 BLOCKS = 8
-#: Fingerprints of a cell that are compared with each other; larger cells go the exact way without pairs.
-CELL = 64
+#: Fingerprints of a cell that are compared with each other; larger cells go the exact way without comparisons.
+CELL = 512
 _EVEN = 0x5555555555555555
 #: Shingles whose bits are counted at once.
 _PART = 255 * 64
@@ -94,21 +95,56 @@ def _cells(counts: Column, max_bits: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
+def cell_stars(fps: list[int], max_bits: int) -> list[tuple[int, int]]:
+    """(smallest, other) for the groups that the links between the fingerprints of a cell form."""
+    x = np.array(sorted(fps), np.int64).view(np.uint64)
+    even = np.uint64(_EVEN)
+    after = x >> np.uint64(1)
+    counts = ((x | after) & even) | ((x & after & even) << np.uint64(1))
+    left = np.ones(len(x), bool)
+    out = []
+    while left.any():
+        first = int(left.argmax())
+        left[first] = False
+        reached, at = [], 0
+        while at <= len(reached):
+            one = first if at == 0 else reached[at - 1]
+            near = np.flatnonzero(left & (np.bitwise_count(counts ^ counts[one]) <= max_bits))
+            near = near[np.bitwise_count(x[near] ^ x[one]) <= max_bits]
+            left[near] = False
+            reached += near.tolist()
+            at += 1
+        out += [(first, other) for other in reached]
+    signed = x.view(np.int64).tolist()
+    return [(signed[a], signed[b]) for a, b in out]
+
+
+_LINKS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+_ARROW_LINKS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp`` of which the components are those of all pairs within
     ``max_bits`` (from 0 to blocks - 1 bits, blocks at most 16)."""
+
+    @F.arrow_udf(_LINKS)
+    def stars(cells: pa.Array) -> pa.Array:
+        found = [[{"a": a, "b": b} for a, b in cell_stars(c, max_bits)] for c in cells.to_pylist()]
+        return pa.array(found, _ARROW_LINKS)
+
     placed = fps.select("fp", embedding(F.col("fp")).alias("counts"))
     placed = placed.select("fp", F.explode(_cells(F.col("counts"), max_bits, blocks)).alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = placed.join(shared, "key")
-
-    together = members.filter(F.col("n") <= cell).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    pairs = together.select("fps", F.posexplode("fps").alias("i", "a"))
-    pairs = pairs.select("a", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps") - F.col("i") - 1)).alias("b"))
-    difference = F.col("a").bitwiseXOR(F.col("b"))
+    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    # most cells that are shared have two fingerprints
+    pairs = shared.filter("n = 2").select("a", "b")
     bound = F.bit_count(embedding(F.col("a")).bitwiseXOR(embedding(F.col("b"))))
+    difference = F.col("a").bitwiseXOR(F.col("b"))
     pairs = pairs.filter(bound <= max_bits).filter(F.bit_count(difference) <= max_bits)
 
+    members = placed.join(shared.filter("n > 2").select("key", "n"), "key")
+    together = members.filter(F.col("n") <= cell).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    pairs = pairs.union(together.select(F.explode(stars("fps")).alias("link")).select("link.a", "link.b"))
+
     crowded = members.filter(F.col("n") > cell).select("fp").distinct()
     half = (max_bits + 1) // 2
     flips = [_signed(sum(1 << i for i in chosen)) for k in range(half + 1) for chosen in combinations(range(64), k)]
