@@ -159,8 +159,10 @@ def search_shard(texts: list[list[bytes]], blocks) -> list[dict]:
     return out
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """``docs`` with a column ``found`` (an input column of that name goes): n_words, n_hit, spans of hit words (numbers
+def search(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, name: str = "found"
+) -> DataFrame:
+    """``docs`` with a column ``name`` (an input column of that name goes): n_words, n_hit, spans of hit words (numbers
     of words, end exclusive, merged), items (ids as strings, sorted).
 
     A null or empty text has no words and no hits. Rows are judged one by one, so repeated rows and ids stay. Very long
@@ -182,7 +184,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: i
             out += search_shard(texts, (s.value for s in sent))
             yield pa.array(out, _ARROW_FOUND)
 
-    return replaced(docs, found=look("text"))
+    return replaced(docs, **{name: look("text")})
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -220,10 +222,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A document of which no word is left goes, unless it had none to begin with. ``n_chars``, where there is such a
     column, is counted anew for changed texts.
     """
-    seen = search(docs, benchmark)
-    hit = F.col("found.n_hit") > 0
-    clean = seen.filter(~hit | (F.col("found.n_hit") < F.col("found.n_words")))
-    clean = clean.withColumn("text", _without("text", F.when(hit, F.col("found.spans"))))
+    found = "_llm_found"
+    seen = search(docs, benchmark, name=found)
+    hit = F.col(f"{found}.n_hit") > 0
+    clean = seen.filter(~hit | (F.col(f"{found}.n_hit") < F.col(f"{found}.n_words")))
+    clean = clean.withColumn("text", _without("text", F.when(hit, F.col(f"{found}.spans"))))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.when(hit, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))

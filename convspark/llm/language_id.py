@@ -1,7 +1,7 @@
 """Operator 10: the language of a text by cross-parsing.
 
 A suffix automaton for each language accepts all substrings of a sample of its labelled text. A text is parsed against
-each automaton into phrases, each the longest match from where the last one ended; the number of phrases, times the logarithm
+each automaton into phrases, each the longest match from where the last one ended, with the next letter if the sample lacks it; the number of phrases, times the logarithm
 of the sample's length and over the text's length, estimates the cross entropy. The language with the least wins.
 
 Texts are parsed whole, in pieces of ``PIECE`` symbols that each begin a phrase, so that the pieces of a batch advance
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convspark.llm.common import replaced, table
+from convspark.llm.common import table
 
 #: Bounds of the labelled sample: documents of a language, and code points taken from the start of each.
 SAMPLE_DOCS = 80
@@ -103,6 +103,8 @@ class Model:
 class Parser:
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
+        if not self.langs:
+            return
         alphabet = sorted({c for t in texts.values() for c in t} - {_GAP})
         # 0 is a letter that no language has, 1 a gap
         self.codes = np.zeros(0x110000, np.uint8 if len(alphabet) < 254 else np.int32)
@@ -113,7 +115,7 @@ class Parser:
         parts, base, self.starts = [], 0, []
         for lang in self.langs:
             steps = suffix_automaton(texts[lang])
-            root = np.full(size, base * size * 2 + 1, np.int64)  # an unseen letter: a phrase ends, and none has begun
+            root = np.full(size, base * size * 2 + 1, np.int64)  # an unseen letter is the last of its phrase
             for c, to in steps[0].items():
                 root[code[c]] = (base + to) * size * 2 + 1
             rows = np.repeat(root[None, :], len(steps), axis=0)
@@ -123,7 +125,7 @@ class Parser:
             parts.append(rows.ravel())
             self.starts.append(base * size)
             base += len(steps)
-        #: twice the offset of the next state's row, plus 1 where a phrase ends before this symbol
+        #: twice the offset of the next state's row, plus 1 where a phrase ends
         self.next = np.concatenate(parts)
         if base * size * 2 < 1 << 31:
             self.next = self.next.astype(np.int32)
@@ -147,7 +149,8 @@ class Parser:
             ended[:, :n] += to & 1
             state[:, :n] = to >> 1
         out = np.empty((len(pieces), len(self.langs)), np.int64)
-        out[order] = (ended + 1).T
+        begun = state != np.array(self.starts)[:, None]
+        out[order] = (ended + begun).T
         return out
 
     def predict(self, texts: list[str | None]) -> list[dict]:
@@ -204,21 +207,27 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     that need equally many phrases the first by name wins, with score 0. The score is 1 less the ratio of the best rate to
     the second best; with a single language it is 1. The text is the only input; each row is judged alone.
     """
+    kept = docs.drop("lang_pred", "score")
+    found = _parsed(kept, model)
+    return found.select(
+        *kept.columns, F.col("_llm_found.lang").alias("lang_pred"), F.col("_llm_found.score").alias("score")
+    )
+
+
+def _parsed(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(FOUND)
     def parse(text: pa.Array) -> pa.Array:
         return pa.array(_parser(sent.value).predict(text.to_pylist()), _ARROW_FOUND)
 
-    kept = replaced(docs).drop("lang_pred", "score")
-    found = kept.withColumn("_found", parse("text"))
-    return found.select(*kept.columns, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+    return docs.withColumn("_llm_found", parse("text"))
 
 
 def known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a language: rejects texts without letters and texts that fit two languages alike."""
-    seen = identify(docs, fit(docs))
-    return seen.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
+    seen = _parsed(docs, fit(docs))
+    return seen.filter((F.col("_llm_found.lang") != UNKNOWN) & (F.col("_llm_found.score") > 0)).select(*docs.columns)
 
 
 def query(spark, sf_dir):

@@ -76,13 +76,13 @@ def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, total:
     # as a table its size is known: Spark broadcasts it if it is small, else joins by source and splits hot ones
     folder = shared_folder(spark, "mix")
     distributions(rates(docs, weights, default, total)).write.parquet(folder)
-    cdf = spark.read.parquet(folder).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
+    cdf = spark.read.parquet(folder).select(F.col("source").alias("_llm_source"), F.col("cdf").alias("_llm_cdf"))
     clean = replaced(docs).drop("copy_no", "order_key")
     u = F.conv(F.substring(_hash(seed, F.col("doc_id")), 1, _DIGITS), 16, 10).cast("long") / F.lit(float(16**_DIGITS))
-    drawn = clean.withColumns({"_u": u, "_key": _source()}).join(cdf, F.col("_key") == F.col("_source"))
-    copies = F.size(F.filter("_cdf", lambda p: p <= F.col("_u")))
-    drawn = drawn.withColumn("_n", copies).filter("_n > 0")
-    out = drawn.select(*clean.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"))
+    drawn = clean.withColumns({"_llm_u": u, "_llm_key": _source()}).join(cdf, F.col("_llm_key") == F.col("_llm_source"))
+    copies = F.size(F.filter("_llm_cdf", lambda p: p <= F.col("_llm_u")))
+    drawn = drawn.withColumn("_llm_n", copies).filter("_llm_n > 0")
+    out = drawn.select(*clean.columns, F.explode(F.sequence(F.lit(1), F.col("_llm_n"))).alias("copy_no"))
     out = out.withColumn("order_key", _hash(seed, F.lit("place"), F.col("doc_id"), F.col("copy_no")))
     return out.repartition("order_key").sortWithinPartitions("order_key")
 

@@ -191,14 +191,20 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = MAX_RUL
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     cuts = {k: np.unique(np.quantile(v, np.linspace(0, 1, THRESHOLDS))) for k, v in rows.items()} if len(bad) else {}
+    tried = dict(cuts)
     while len(rules) < max_rules and bad[left].any():
         grow, prune = left & ~third, left & third
-        rule = _grow({k: v[grow] for k, v in rows.items()}, bad[grow], cuts)
+        rule = _grow({k: v[grow] for k, v in rows.items()}, bad[grow], tried)
+        if not rule:
+            break
+        begun = rule[0].feature
         held = {k: v[prune] for k, v in rows.items()}
         rule = _prune(rule, held, bad[prune])
         c = _covers(rule, held, int(prune.sum()))
-        if not rule or not c.any() or bad[prune][c].mean() < precision:
-            break
+        if not c.any() or bad[prune][c].mean() < precision:
+            del tried[begun]  # grown again without the statistic that it began with
+            continue
+        tried = dict(cuts)
         rules.append(rule)
         left &= ~_covers(rule, rows, len(bad))
     return rules
@@ -216,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> list[Ru
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
     rows = statistics(rows).filter(~base_failed(F.col("stats")))
     made = features(F.col("stats"))
-    got = rows.select("doc_id", "quality", *[c.alias(k) for k, c in made.items()]).toPandas()
-    got = got.sort_values(["doc_id", *made], kind="stable")
+    # in the order of a hash: labels that follow a period in doc_id would fall into one of the thirds
+    got = rows.select(F.xxhash64("doc_id").alias("h"), "quality", *[c.alias(k) for k, c in made.items()]).toPandas()
+    got = got.sort_values(["h", *made], kind="stable")
     return learn({k: got[k].to_numpy(float) for k in made}, (got["quality"] == 0).to_numpy())
 
 

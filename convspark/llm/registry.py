@@ -9,8 +9,10 @@ MODULES = [
     "secret_scan",
     "decontaminate",
     "simhash",
+    "substring_dedup",
     "mixing",
     "warc",
+    "html_text",
     "quality_rules",
     "language_id",
 ]

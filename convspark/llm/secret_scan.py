@@ -150,13 +150,13 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with reported parts replaced in the texts; no row goes, other texts stay as they are. ``n_chars``, where
     there is such a column, is counted anew for changed texts."""
-    out = docs.withColumn("_clean", _redact("text"))
-    changed = ~F.col("_clean").eqNullSafe(F.col("text"))
+    out = docs.withColumn("_llm_clean", _redact("text"))
+    changed = ~F.col("_llm_clean").eqNullSafe(F.col("text"))
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
-    columns["text"] = F.col("_clean")
+    columns["text"] = F.col("_llm_clean")
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(changed, F.char_length("_clean").cast(kind)).otherwise(F.col("n_chars"))
+        columns["n_chars"] = F.when(changed, F.char_length("_llm_clean").cast(kind)).otherwise(F.col("n_chars"))
     return out.select(*[c.alias(name) for name, c in columns.items()])
 
 

@@ -191,9 +191,9 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     best = prints.groupBy("fp").agg(F.min(order).alias("_best")).join(found, "fp")
     best = best.groupBy("root").agg(F.min("_best").alias("_best")).select("_best.doc_id", "_best._tie")
     best = best.select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t"))
-    keyed = docs.withColumn("_tie", tie)
-    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_tie"] == best["_t"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_tie"]).select(*docs.columns)
+    keyed = docs.withColumn("_llm_tie", tie)
+    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_llm_tie"] == best["_t"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_llm_tie"]).select(*docs.columns)
 
 
 def query(spark, sf_dir):

@@ -123,9 +123,9 @@ def judge(pages: DataFrame, labels: DataFrame, host_rules: list[tuple[str, str,
         rule = F.when(fits, F.lit(host + start)).otherwise(rule)
         verdict = F.when(fits, F.lit(what)).otherwise(verdict)
     mined = match(pages, mine(pages, labels))
-    out = seen.withColumns({"rule": rule, "_fixed": verdict}).join(mined, "url", "left")
+    out = seen.withColumns({"rule": rule, "_llm_fixed": verdict}).join(mined, "url", "left")
     learned = F.when(F.col("because").isNotNull(), "block").otherwise("allow")
-    out = out.withColumn("verdict", F.coalesce("_fixed", learned))
+    out = out.withColumn("verdict", F.coalesce("_llm_fixed", learned))
     return out.select(*kept, "rule", "verdict", "because", "confidence")
 
 
