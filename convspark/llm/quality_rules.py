@@ -24,7 +24,7 @@ MAX_REPEAT_PERCENT = 30
 #: Labelled rows that the rules are learned from, those with the smallest hashes of doc_id.
 FIT_ROWS = 20_000
 MAX_RULES = 12
-#: Thresholds tried for a statistic: so many quantiles of the labelled rows.
+#: Thresholds tried for a statistic: half way between so many quantiles of the labelled rows.
 THRESHOLDS = 64
 #: Of the rows of the pruning third that a rule covers, the part that must be bad.
 MIN_PRECISION = 0.9
@@ -190,7 +190,11 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = MAX_RUL
     third = np.arange(len(bad)) % 3 == 2
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
-    cuts = {k: np.unique(np.quantile(v, np.linspace(0, 1, THRESHOLDS))) for k, v in rows.items()} if len(bad) else {}
+    cuts = {}
+    for k, v in rows.items() if len(bad) else ():
+        q = np.unique(np.quantile(v, np.linspace(0, 1, THRESHOLDS + 1)))
+        if len(q) > 1:
+            cuts[k] = (q[1:] + q[:-1]) / 2
     tried = dict(cuts)
     while len(rules) < max_rules and bad[left].any():
         grow, prune = left & ~third, left & third

