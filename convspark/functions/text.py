@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -142,36 +144,88 @@ def plain_line(channel: Column, ts: Column, sender: Column, content: Column) ->
     return F.concat(F.lit("["), channel, F.lit("] "), minute(ts), F.lit(" "), sender, F.lit(": "), content)
 
 
-def message_line(channel, ts, sender, content, subject, attachments) -> Column:
-    extras = F.concat_ws(
-        "; ",
-        F.when(subject.isNotNull(), F.concat(F.lit("subject="), py_repr(subject))),
-        F.when(
-            attachments.isNotNull(),
-            F.concat(F.lit("attachments=["), F.array_join(attachments, ", "), F.lit("]")),
-        ),
-    )
+def message_line(channel, ts, sender, content, subject, attachments, extras: Column | None = None) -> Column:
+    """``extras`` replaces what subject and attachments render to, see ``metadata_extras``."""
+    if extras is None:
+        extras = F.concat_ws(
+            "; ",
+            F.when(subject.isNotNull(), F.concat(F.lit("subject="), py_repr(subject))),
+            F.when(
+                attachments.isNotNull(),
+                F.concat(F.lit("attachments=["), F.array_join(attachments, ", "), F.lit("]")),
+            ),
+        )
     tail = F.when(extras != "", F.concat(F.lit(" ("), extras, F.lit(")"))).otherwise(F.lit(""))
     return F.concat(plain_line(channel, ts, sender, content), tail)
 
 
+def _variant_text(value: Column, quote: bool) -> Column:
+    """A JSON scalar as text; strings quoted or as they are. Objects stay JSON text."""
+    kind, plain = F.schema_of_variant(value), value.cast("string")
+    text = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(plain))
+    if quote:
+        text = text.when(kind == "STRING", py_repr(plain))
+    return text.otherwise(plain)
+
+
+def _variant_items(value: Column, quote: bool) -> Column:
+    items = F.try_variant_get(value, "$", "array<variant>")
+    return F.array_join(F.transform(items, lambda x: _variant_text(x, quote)), ", ")
+
+
+def _is_list(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
+
+
+def detail(key: Column, value: Column) -> Column:
+    """One action detail from its JSON value: ``v`` for the line, where a list is joined, and ``s`` for scoring, where it
+    keeps brackets and quotes."""
+    line = F.when(_is_list(value), _variant_items(value, False)).otherwise(_variant_text(value, False))
+    scored = F.when(_is_list(value), F.concat(F.lit("["), _variant_items(value, True), F.lit("]")))
+    return F.struct(key.alias("k"), line.alias("v"), scored.otherwise(_variant_text(value, False)).alias("s"))
+
+
+def metadata_extras(metadata: Column) -> Column:
+    """Subject and attachments of a message's metadata, a map of JSON values: given keys are rendered, nulls too."""
+    given = lambda k: F.coalesce(F.map_contains_key(metadata, k), F.lit(False))
+    subject, files = F.try_element_at(metadata, F.lit("subject")), F.try_element_at(metadata, F.lit("attachments"))
+    listed = F.concat(F.lit("["), _variant_items(files, False), F.lit("]"))
+    return F.concat_ws(
+        "; ",
+        F.when(given("subject"), F.concat(F.lit("subject="), _variant_text(subject, True))),
+        F.when(given("attachments"), F.concat(F.lit("attachments="), F.when(_is_list(files), listed).otherwise(_variant_text(files, True)))),
+    )
+
+
 def action_line(ts: Column, action_type: Column, details: Column) -> Column:
-    """``details`` is ARRAY<STRUCT<k, v>>, which keeps key order."""
+    """``details`` is ARRAY<STRUCT<k, v, s>>, which keeps key order."""
     parts = F.array_join(F.transform(details, lambda d: F.concat(d["k"], F.lit("="), d["v"])), "; ")
     tail = F.when(F.size(details) > 0, F.concat(F.lit(" ("), parts, F.lit(")"))).otherwise(F.lit(""))
     return F.concat(F.lit("[action] "), minute(ts), F.lit(" "), action_type, tail)
 
 
 def action_text(action_type: Column, details: Column) -> Column:
-    parts = F.array_join(F.transform(details, lambda d: F.concat_ws(" ", d["k"], d["v"])), " ")
+    parts = F.array_join(F.transform(details, lambda d: F.concat_ws(" ", d["k"], d["s"])), " ")
     return strip(F.concat(action_type, F.lit(" "), parts))
 
 
+@dataclass(frozen=True)
+class Summariser:
+    """A text from a block of lines, newest first. One that declares to read only the first ``reads`` characters gets a
+    block of so many lines (a line has at least one character and its break); any other gets the whole block."""
+
+    text: Callable[[Column], Column]
+    reads: int | None = None
+
+
 def summarize(block: Column) -> Column:
     """Default deterministic summariser: head of the block plus a marker."""
     return F.concat(F.left(block, F.lit(V.SUMMARY_CHARS)), F.lit(V.SUMMARY_SUFFIX))
 
 
+HEAD = Summariser(summarize, V.SUMMARY_CHARS)
+
+
 # ---- answer recall ------------------------------------------------------------------------------
 
 

@@ -11,12 +11,12 @@ def eligible(pool, voter):
     return pool.isNull() | (voter.isNotNull() & F.array_contains(pool, F.coalesce(voter, F.lit(""))))
 
 
-def classify(votes: DataFrame, queue: DataFrame, max_required: int) -> DataFrame:
+def classify(votes: DataFrame, queue: DataFrame) -> DataFrame:
     """``outcome`` of every vote: not_found, already_decided, not_eligible, duplicate or accepted.
 
     ``votes``: tenant_id, action_id, vote_id, vote (approve/reject), decided_by, voted_at [, reason].
     ``queue``: tenant_id, action_id, required_approvals, eligible_approvers; one row per action.
-    ``max_required`` bounds required_approvals and is only used to prune the per-action ranking map-side.
+    The largest required_approvals of the queue, read first, prunes the per-action ranking map-side.
 
     Votes take effect in (voted_at, vote_id) order. An action ends with the earlier of its first eligible veto and its
     Nth valid approval, counting each voter's first one; both are aggregates of the votes, so an action holding a large
@@ -24,6 +24,7 @@ def classify(votes: DataFrame, queue: DataFrame, max_required: int) -> DataFrame
     """
     key = ["tenant_id", "action_id"]
     at = F.struct("voted_at", "vote_id")
+    most = queue.agg(F.max("required_approvals")).first()[0] or 0
     rules = queue.select(*key, "required_approvals", "eligible_approvers")
     v = votes.join(rules, key, "left").withColumn("at", at)
     found = F.col("required_approvals").isNotNull()
@@ -38,7 +39,7 @@ def classify(votes: DataFrame, queue: DataFrame, max_required: int) -> DataFrame
     order = Window.partitionBy(*key).orderBy("first_at")
     seats = (
         firsts.withColumn("seat", F.row_number().over(order))
-        .filter(F.col("seat") <= max_required)
+        .filter(F.col("seat") <= most)
         .filter(F.col("seat") <= F.col("required_approvals"))
     )
     quorum = seats.filter("seat = required_approvals").select(*key, F.col("first_at").alias("quorum_at"))
@@ -106,8 +107,8 @@ def progress(resolved: DataFrame) -> DataFrame:
 
 def promote(actions: DataFrame, resolved: DataFrame) -> DataFrame:
     """Status of queued actions after the votes: executed, rejected or still pending_approval."""
-    state = resolved.select("action_id", F.col("state").alias("q_state"), F.col("decided_at").alias("q_at"))
-    joined = actions.join(state, "action_id", "left")
+    state = resolved.select("tenant_id", "action_id", F.col("state").alias("q_state"), F.col("decided_at").alias("q_at"))
+    joined = actions.join(state, ["tenant_id", "action_id"], "left")
     status = (
         F.when(F.col("q_state") == "approved", "executed")
         .when(F.col("q_state") == "rejected", "rejected")

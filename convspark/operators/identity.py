@@ -74,18 +74,28 @@ def list_identities(identities: DataFrame, tenant_id: str, customer_id: str) ->
     return mine.orderBy("created_at", "identity_id")
 
 
-def add_identities(requests: DataFrame, identities: DataFrame, customers: DataFrame) -> DataFrame:
-    """``action`` per requested (tenant, customer, kind, value): insert, noop, collision or unknown_customer."""
+def add_identities(requests: DataFrame, identities: DataFrame, customers: DataFrame, order: str) -> DataFrame:
+    """``action`` per requested (tenant, customer, kind, value): insert, noop, collision or unknown_customer.
+
+    Requests take effect by the column ``order``. Who owns the identity is looked at first: an identity of somebody else is
+    a collision even for an unknown customer. A free identity goes to the earliest request of a known customer, which is
+    a map-side minimum; the requests after it meet that owner.
+    """
     owners = identities.select(*IDENTITY, F.col("customer_id").alias("owner"))
     known = customers.select("tenant_id", "customer_id", F.lit(True).alias("known")).distinct()
     joined = requests.join(known, ["tenant_id", "customer_id"], "left").join(owners, IDENTITY, "left")
+    free = joined.filter(F.col("owner").isNull() & F.col("known"))
+    claims = free.groupBy(*IDENTITY).agg(F.min(F.struct(F.col(order).alias("at"), "customer_id")).alias("claim"))
+    joined = joined.join(claims, IDENTITY, "left")
+    claimed = F.when(F.col(order) > F.col("claim.at"), F.col("claim.customer_id"))
+    owner = F.coalesce("owner", claimed)
     action = (
-        F.when(F.col("known").isNull(), "unknown_customer")
-        .when(F.col("owner").isNull(), "insert")
-        .when(F.col("owner") == F.col("customer_id"), "noop")
-        .otherwise("collision")
+        F.when(owner == F.col("customer_id"), "noop")
+        .when(owner.isNotNull(), "collision")
+        .when(F.col("known").isNull(), "unknown_customer")
+        .otherwise("insert")
     )
-    return joined.withColumn("action", action).drop("known")
+    return joined.withColumn("action", action).drop("known", "claim")
 
 
 def create_customers(requests: DataFrame, identities: DataFrame | None) -> tuple[DataFrame, DataFrame]:

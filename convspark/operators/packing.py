@@ -13,11 +13,6 @@ def header(customer: Column, tenant: Column) -> Column:
     return F.concat(F.lit("Borrower: "), customer, F.lit(" (tenant="), tenant, F.lit(")"))
 
 
-# up to this budget a key's candidates are at most 4 * budget characters per distinct cost, and travel with their text
-CARRY_TEXT_UP_TO = 10_000
-_REF = "ord:int,seq:bigint"
-_PART = "body:string,source:string"
-
 
 def pack(segments: DataFrame, groups: DataFrame, keys: list[str], max_budget: int) -> DataFrame:
     """Pack each key of ``groups`` (key columns, ``header`` or '', ``token_budget``).
@@ -27,21 +22,22 @@ def pack(segments: DataFrame, groups: DataFrame, keys: list[str], max_budget: in
 
     The walk itself is sequential, but its input is bounded by the budget: once a segment of cost c is skipped,
     every later one of cost c is skipped too, so only the first floor(budget / c) segments of each cost can be
-    taken. That filter is exact, and its literal part (``max_budget``) is applied map-side. For large budgets the
-    walk runs on costs alone and the texts of the kept segments are joined back.
+    taken: at most four times the budget in characters for each distinct cost. That filter is exact. ``max_budget`` is an
+    upper bound that applies map-side; a group with a larger budget is an error. The walk reads costs only and notes
+    positions; texts are picked once, at its end.
     """
     if max_budget <= 0:
         raise ValueError(f"token_budget must be positive, got {max_budget}")
-    carry = max_budget <= CARRY_TEXT_UP_TO
+    over = F.raise_error(F.concat(F.lit(f"token_budget above max_budget {max_budget}: "), F.col("token_budget").cast("string")))
     head_cost = F.when(F.col("header") != "", X.estimate_tokens(F.col("header")) + 1).otherwise(F.lit(0))
+    groups = groups.withColumn("token_budget", F.when(F.col("token_budget") > max_budget, over.cast("int")).otherwise(F.col("token_budget").cast("int")))
     groups = groups.select(
         *keys,
-        F.col("token_budget").cast("int"),
+        "token_budget",
         F.when(head_cost <= F.col("token_budget"), blank(F.col("header"))).alias("header"),
         F.when(head_cost <= F.col("token_budget"), head_cost).otherwise(F.lit(0)).cast("int").alias("head_cost"),
     )
-    text = ["body", "source"] if carry else []
-    sized = segments.select(*keys, "priority", "ord", "seq", (F.col("token_estimate") + 1).alias("cost"), *text)
+    sized = segments.select(*keys, "priority", "ord", "seq", (F.col("token_estimate") + 1).alias("cost"), "body", "source")
     same_cost = Window.partitionBy(*keys, "cost").orderBy(*reading_order())
     candidates = (
         sized.filter(F.col("cost") <= max_budget)
@@ -49,34 +45,22 @@ def pack(segments: DataFrame, groups: DataFrame, keys: list[str], max_budget: in
         .filter(F.col("nth") <= max_budget)
         .filter(F.col("nth") * F.col("cost") <= max_budget)
     )
-    item = F.struct((-F.col("priority")).alias("down"), "ord", "seq", "cost", *text)
+    item = F.struct((-F.col("priority")).alias("down"), "ord", "seq", "cost", "body", "source")
     items = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    fields = _PART if carry else _REF
-    kept_type = f"array<struct<{fields}>>"
-    start = F.struct(F.col("head_cost").alias("used"), F.array().cast(kept_type).alias("kept"))
+    costs = F.transform("items", lambda x, i: F.struct(x["cost"].alias("cost"), i.alias("at")))
+    start = F.struct(F.col("head_cost").alias("used"), F.array().cast("array<int>").alias("kept"))
 
     def step(s, x):
-        entry = F.struct(*[x[f.split(":")[0]].alias(f.split(":")[0]) for f in fields.split(",")])
         fits = s["used"] + x["cost"] <= F.col("token_budget")
-        taken = F.struct((s["used"] + x["cost"]).alias("used"), F.array_append(s["kept"], entry).alias("kept"))
+        taken = F.struct((s["used"] + x["cost"]).alias("used"), F.array_append(s["kept"], x["at"]).alias("kept"))
         return F.when(fits, taken).otherwise(s)
 
     walked = groups.join(items, keys, "left").withColumn(
         "w",
-        F.when(F.col("items").isNotNull(), F.aggregate("items", start, step)).otherwise(start),
+        F.when(F.col("items").isNotNull(), F.aggregate(costs, start, step)).otherwise(start),
     )
-    packed = walked.select(*keys, "token_budget", "header", F.col("w.used").alias("used_tokens"), F.col("w.kept").alias("parts"))
-    if not carry:
-        refs = packed.select(*keys, F.posexplode("parts").alias("pos", "ref"))
-        refs = refs.select(*keys, "pos", F.col("ref.ord").alias("ord"), F.col("ref.seq").alias("seq"))
-        # only kept texts are gathered: at most one budget per key
-        parts = (
-            segments.select(*keys, "ord", "seq", "source", "body")
-            .join(refs, [*keys, "ord", "seq"])
-            .groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "body", "source"))).alias("parts"))
-        )
-        packed = packed.drop("parts").join(parts, keys, "left")
+    parts = F.when(F.col("items").isNotNull(), F.transform(F.col("w.kept"), lambda i: F.get("items", i)))
+    packed = walked.select(*keys, "token_budget", "header", F.col("w.used").alias("used_tokens"), parts.alias("parts"))
     lines = F.array_join(F.transform("parts", lambda p: p["body"]), "\n")
     n_kept = F.coalesce(F.size("parts"), F.lit(0))
     brief = F.concat_ws("\n", F.col("header"), F.when(n_kept > 0, lines))

@@ -106,40 +106,41 @@ def semantic(queries: DataFrame, messages: DataFrame, actions: DataFrame, keys:
     )
 
 
-def _summary(cold_newest_first: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
-    """One SUMMARY segment per key from its cold messages.
-
-    The summariser reads the first SUMMARY_CHARS characters of the newest-first block. A line has at least one
-    character and a line break, so the newest SUMMARY_CHARS lines determine it, however long the cold tail is.
-    """
+def _summary(cold_newest_first: DataFrame, counts: DataFrame, keys: list[str], summariser: X.Summariser) -> DataFrame:
+    """One SUMMARY segment per key from its cold messages."""
     block = cold_newest_first.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("cold_rank", "line"))).alias("lines"), F.max("ts").alias("ts")
     )
     body = F.concat(
-        F.lit("[summary] "), X.summarize(F.array_join(F.transform("lines", lambda s: s["line"]), "\n"))
+        F.lit("[summary] "), summariser.text(F.array_join(F.transform("lines", lambda s: s["line"]), "\n"))
     )
     rows = block.join(counts, keys).select(*keys, F.lit(0).alias("seq"), "ts", body.alias("body"), "n_cold")
     return _segments(rows, keys, "summary", 0, F.lit(V.SUMMARY_BAND))
 
 
-def _newest(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
-    """The newest ``n`` rows per key; the literal limit is applied map-side before the shuffle."""
+def _newest(rows: DataFrame, keys: list[str], n: int | None, name: str) -> DataFrame:
+    """The newest ``n`` rows per key, or all; the literal limit is applied map-side before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(F.col("ts").desc(), F.col("seq"))
-    return rows.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+    numbered = rows.withColumn(name, F.row_number().over(w))
+    return numbered if n is None else numbered.filter(F.col(name) <= n)
 
 
 def summarized(
-    messages: DataFrame, actions: DataFrame, recent_window: int = 5, keys: list[str] = KEYS
+    messages: DataFrame,
+    actions: DataFrame,
+    recent_window: int = 5,
+    keys: list[str] = KEYS,
+    summariser: X.Summariser = X.HEAD,
 ) -> DataFrame:
     """Newest ``recent_window`` messages verbatim, one summary of the rest, every action."""
     msgs = message_rows(messages, keys)
-    head = _newest(msgs, keys, recent_window + V.SUMMARY_CHARS, "r")
+    head = _newest(msgs, keys, None if summariser.reads is None else recent_window + summariser.reads, "r")
     warm = head.filter(F.col("r") <= recent_window)
     cold = head.filter(F.col("r") > recent_window).withColumn("cold_rank", F.col("r"))
     counts = msgs.groupBy(*keys).agg((F.count("*") - recent_window).alias("n_cold")).filter("n_cold > 0")
     acts = _segments(action_rows(actions, keys), keys, "prior_action", 1, F.lit(V.ACTION_BAND) + _epoch(F.col("ts")))
     return (
-        _summary(cold, counts, keys)
+        _summary(cold, counts, keys, summariser)
         .unionByName(acts)
         .unionByName(_segments(warm, keys, "recent_message", 2, _epoch(F.col("ts"))))
     )
@@ -167,6 +168,7 @@ def hybrid(
     warm_hours: int = 24,
     cold_hours: int = 72,
     keys: list[str] = KEYS,
+    summariser: X.Summariser = X.HEAD,
 ) -> DataFrame:
     """Summary of the cold tail, all actions, warm messages verbatim, mid messages by similarity."""
     tiered = tiers(messages, actions, warm_hours, cold_hours, keys)
@@ -179,7 +181,7 @@ def hybrid(
     mid = _scored(tiered.filter("tier = 'mid'"), query_vectors(queries, keys), keys)
     rank = F.col("sim") + _epoch(F.col("ts")) * F.lit(V.TIME_TIEBREAK)
     return (
-        _summary(_newest(cold, keys, V.SUMMARY_CHARS, "cold_rank"), counts, keys)
+        _summary(_newest(cold, keys, summariser.reads, "cold_rank"), counts, keys, summariser)
         .unionByName(acts)
         .unionByName(warm)
         .unionByName(_segments(mid, keys, "semantic_match", 3, rank, F.round("sim", 6)))

@@ -85,8 +85,7 @@ def pad_histories(dialogues: DataFrame, starts: DataFrame, least: int, most: int
     inside = Window.partitionBy("s").orderBy("pool_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = marked.withColumn("s", slice_).withColumn("i", F.count("pair_id").over(inside)).join(base, "s")
     placed = counted.withColumn("stretch", F.col("base") + F.col("i")).filter("stretch > 0")
-    # a stretch can only use dialogues while fewer than ``least`` messages came before, and each has at least one
-    placed = placed.withColumn("nth", F.row_number().over(owner)).filter(F.col("nth") <= least)
+    placed = placed.withColumn("nth", F.row_number().over(owner))
     upto = owner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = placed.withColumn("sum", F.sum("n_messages").over(upto)).withColumn("pair_id", F.first("pair_id", True).over(upto))
     used = run.filter((F.col("nth") == 1) | (F.col("sum") - F.col("n_messages") < least))

@@ -119,13 +119,17 @@ def _(spark, sf):
 @query(
     "added_identities",
     D.sql(["evt", "ident"], """, r AS (SELECT event_id, tenant_id, CASE event_id % 4 WHEN 0 THEN customer_id WHEN 1 THEN 'c' || (user_id + 5)
-    WHEN 2 THEN 'gone' ELSE customer_id END AS customer_id, CASE WHEN event_id % 4 = 3 THEN 'email' ELSE 'external_id' END AS kind,
-    CASE WHEN event_id % 4 = 3 THEN 'n' || event_id ELSE 'U' || user_id END AS value FROM evt),
-    c AS (SELECT DISTINCT tenant_id, customer_id FROM evt)
-    SELECT r.event_id, CASE WHEN c.customer_id IS NULL THEN 'unknown_customer' WHEN i.customer_id IS NULL THEN 'insert'
-    WHEN i.customer_id = r.customer_id THEN 'noop' ELSE 'collision' END AS action FROM r
+    WHEN 2 THEN 'gone' ELSE CASE WHEN event_id % 12 = 3 THEN 'gone' ELSE customer_id END END AS customer_id,
+    CASE WHEN event_id % 4 = 3 THEN 'email' ELSE 'external_id' END AS kind,
+    CASE WHEN event_id % 4 = 3 THEN 'n' || event_id // 40 ELSE 'U' || user_id END AS value FROM evt),
+    c AS (SELECT DISTINCT tenant_id, customer_id FROM evt),
+    j AS (SELECT r.*, c.customer_id IS NOT NULL AS known, i.customer_id AS stored FROM r
     LEFT JOIN c ON c.tenant_id = r.tenant_id AND c.customer_id = r.customer_id
-    LEFT JOIN ident i ON i.tenant_id = r.tenant_id AND i.kind = r.kind AND i.value = r.value"""),
+    LEFT JOIN ident i ON i.tenant_id = r.tenant_id AND i.kind = r.kind AND i.value = r.value),
+    o AS (SELECT *, coalesce(stored, first_value(CASE WHEN known THEN customer_id END IGNORE NULLS) OVER (
+    PARTITION BY tenant_id, kind, value ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS owner FROM j)
+    SELECT event_id, CASE WHEN owner = customer_id THEN 'noop' WHEN owner IS NOT NULL THEN 'collision'
+    WHEN known THEN 'insert' ELSE 'unknown_customer' END AS action FROM o"""),
 )
 def _(spark, sf):
     e = T.events(spark, sf)
@@ -134,11 +138,11 @@ def _(spark, sf):
     requests = e.select(
         "event_id",
         "tenant_id",
-        F.when(n % 4 == 1, other).when(n % 4 == 2, "gone").otherwise(F.col("customer_id")).alias("customer_id"),
+        F.when(n % 4 == 1, other).when((n % 4 == 2) | (n % 12 == 3), "gone").otherwise(F.col("customer_id")).alias("customer_id"),
         F.when(n % 4 == 3, "email").otherwise("external_id").alias("kind"),
-        F.when(n % 4 == 3, F.concat(F.lit("n"), n)).otherwise(F.concat(F.lit("U"), "user_id")).alias("value"),
+        F.when(n % 4 == 3, F.concat(F.lit("n"), F.floor(n / 40))).otherwise(F.concat(F.lit("U"), "user_id")).alias("value"),
     )
-    return I.add_identities(requests, identity_table(spark, sf), customer_table(spark, sf)).select("event_id", "action")
+    return I.add_identities(requests, identity_table(spark, sf), customer_table(spark, sf), "event_id").select("event_id", "action")
 
 
 D.part(

@@ -28,56 +28,69 @@ def query(name: str, oracle: str | None = None):
 # ---- files --------------------------------------------------------------------------------------
 
 
+# so many messages or actions share a history
+_HISTORY = 20
+
+
 def _write_histories(spark, sf) -> str:
-    """One JSON line per turn or event, in the nested history layout."""
+    """JSON lines in the nested history layout: some messages or some events of a customer in one line."""
     folder = sinks.scratch(spark, "histories")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    none_m = "array<struct<channel:string,sender:string,content:string,timestamp:string,metadata:struct<subject:string,attachments:array<string>>>>"
-    none_a = "array<struct<action_type:string,details:map<string,string>,timestamp:string>>"
-    messages = T.messages(spark, sf).select(
-        "customer_id",
-        "tenant_id",
-        F.lit("conversations").alias("source"),
-        F.array(F.col("conv_id").cast("string")).alias("source_ids"),
-        F.array(
-            F.struct(
-                "channel", "sender", "content", stamp("ts").alias("timestamp"),
-                F.struct("subject", "attachments").alias("metadata"),
-            )
-        ).cast(none_m).alias("channel_messages"),
-        F.array().cast(none_a).alias("prior_actions"),
-    )
-    actions = T.prior_actions(spark, sf).select(
-        "customer_id",
-        "tenant_id",
-        F.lit("events").alias("source"),
-        F.array(F.col("seq").cast("string")).alias("source_ids"),
-        F.array().cast(none_m).alias("channel_messages"),
-        F.array(
-            F.struct("action_type", F.map_from_entries("details").alias("details"), stamp("ts").alias("timestamp"))
-        ).cast(none_a).alias("prior_actions"),
-    )
-    messages.unionByName(actions).write.json(folder)
+    inside = lambda items: F.transform(F.sort_array(items), lambda x: x["item"])
+    where = ["tenant_id", "customer_id", F.floor(F.col("seq") / _HISTORY).alias("part")]
+    message = F.struct(
+        "channel", "sender", "content", stamp("ts").alias("timestamp"), F.struct("subject", "attachments").alias("metadata")
+    )
+    messages = T.messages(spark, sf).groupBy(*where).agg(
+        inside(F.collect_list(F.struct("seq", message.alias("item")))).alias("channel_messages")
+    )
+    seq = F.col("seq")
+    details = F.struct(
+        F.array_join("details.v", "").alias("k"),
+        F.array(F.lit("w2"), F.concat(F.lit("it's "), seq)).alias("papers"),
+        seq.cast("int").alias("n"),
+        (seq % 2 == 0).alias("even"),
+        F.when(seq % 3 == 0, "x").alias("note"),
+    )
+    action = F.struct("action_type", details.alias("details"), stamp("ts").alias("timestamp"))
+    actions = T.prior_actions(spark, sf).groupBy(*where).agg(
+        inside(F.collect_list(F.struct("seq", action.alias("item")))).alias("prior_actions")
+    )
+    for n, part in enumerate((messages, actions)):
+        rows = part.withColumns({"source": F.lit("tables"), "source_ids": F.array(F.col("part").cast("string"))})
+        rows.drop("part").write.option("ignoreNullFields", "false").json(f"{folder}/kind={n}")
     return folder
 
 
 @query(
     "load_histories",
     D.sql(
-        ["msg_line", "act"],
-        """SELECT tenant_id, customer_id, 'message' AS kind, md5(body) AS body_md5 FROM msg_line
-        UNION ALL SELECT tenant_id, customer_id, 'action', md5(body) FROM act""",
+        ["msg", "act"],
+        f"""SELECT tenant_id, customer_id, 'message' AS kind, seq % {_HISTORY} AS seq, md5({D.LINE} || ' (subject='
+        || CASE WHEN subject IS NULL THEN 'None' ELSE {D.repr_('subject')} END || '; attachments='
+        || CASE WHEN attachments IS NULL THEN 'None' ELSE '[' || array_to_string(attachments, ', ') || ']' END || ')') AS body_md5,
+        '' AS text FROM msg
+        UNION ALL SELECT tenant_id, customer_id, 'action',
+        row_number() OVER (PARTITION BY tenant_id, customer_id, seq // {_HISTORY} ORDER BY seq) - 1,
+        md5('[action] ' || {D.minute('ts')} || ' ' || action_type || ' (k=' || k || '; papers=w2, it''s ' || seq || '; n=' || seq
+        || '; even=' || CASE WHEN seq % 2 = 0 THEN 'True' ELSE 'False' END || '; note=' || CASE WHEN seq % 3 = 0 THEN 'x' ELSE 'None' END
+        || ')'), action_type || ' k ' || k || ' papers [''w2'', "it''s ' || seq || '"] n ' || seq || ' even '
+        || CASE WHEN seq % 2 = 0 THEN 'True' ELSE 'False' END || ' note ' || CASE WHEN seq % 3 = 0 THEN 'x' ELSE 'None' END
+        FROM act""",
     ),
 )
 def _(spark, sf):
     h = readers.load_histories(spark, _write_histories(spark, sf))
-    cols = [F.col(c) for c in ("channel", "ts", "sender", "content", "subject", "attachments")]
-    m = readers.history_messages(h).select("tenant_id", "customer_id", F.lit("message").alias("kind"), X.message_line(*cols).alias("b"))
+    cols = [F.col(c) for c in ("channel", "ts", "sender", "content", "subject", "attachments", "extras")]
+    m = readers.history_messages(h).select(
+        "tenant_id", "customer_id", F.lit("message").alias("kind"), "seq", X.message_line(*cols).alias("b"), F.lit("").alias("text")
+    )
     a = readers.history_actions(h).select(
-        "tenant_id", "customer_id", F.lit("action").alias("kind"),
+        "tenant_id", "customer_id", F.lit("action").alias("kind"), "seq",
         X.action_line(F.col("ts"), F.col("action_type"), F.col("details")).alias("b"),
+        X.action_text(F.col("action_type"), F.col("details")).alias("text"),
     )
-    return m.unionByName(a).select("tenant_id", "customer_id", "kind", F.md5("b").alias("body_md5"))
+    return m.unionByName(a).select("tenant_id", "customer_id", "kind", "seq", F.md5("b").alias("body_md5"), "text")
 
 
 def _pairs_file(spark, sf) -> str:
@@ -110,57 +123,43 @@ def _(spark, sf):
     return readers.in_bucket(prepare.histories(spark, sf)[0], "medium", "bucket").select("pair_id", "bucket")
 
 
-TEMPLATE_ACTIONS = {
-    "message_received": "s s s s c n n n n x x s c",
-    "document_uploaded": "u u u r r r",
-    "status_changed": "n s n n",
-    "anomaly_detected": "x n n n",
-    "system_event": "x x x",
-}
-TEMPLATE_DIFFICULTY = {
-    "message_received": "e e e e m m h h m h m e m",
-    "document_uploaded": "e e e m h m",
-    "status_changed": "e e m m",
-    "anomaly_detected": "m h h h",
-    "system_event": "e e e",
+# what a scenario of each event type expects: the event's number picks one in turn
+EXPECTED_ACTIONS = {
+    "message_received": ["send_borrower_message", "schedule_call", "notify_loan_officer", "no_op"],
+    "document_uploaded": ["update_status", "request_document"],
+    "status_changed": ["notify_loan_officer", "send_borrower_message", "update_status"],
+    "anomaly_detected": ["notify_loan_officer", "no_op"],
+    "system_event": ["no_op"],
 }
-LETTER = {
-    "s": "send_borrower_message", "c": "schedule_call", "n": "notify_loan_officer",
-    "x": "no_op", "u": "update_status", "r": "request_document",
-    "e": "easy", "m": "medium", "h": "hard",
-}
+DIFFICULTIES = ["easy", "medium", "hard"]
 
 
-def _template(codes: dict[str, str]):
+def _expected_action():
     out = F
-    for kind, letters in codes.items():
-        names = [LETTER[c] for c in letters.split()]
+    for kind, names in EXPECTED_ACTIONS.items():
         out = out.when(F.col("event_type") == kind, T.nth(names, F.col("event_id") % len(names)))
     return out.otherwise(F.lit(None))
 
 
-def _template_sql(codes: dict[str, str]) -> str:
-    arms = ""
-    for kind, letters in codes.items():
-        names = [LETTER[c] for c in letters.split()]
-        arms += f" WHEN {D.lit(kind)} THEN {D.strlist(names)}[(event_id % {len(names)} + 1)::INT]"
-    return f"CASE event_type{arms} END"
+_EXPECTED_SQL = "CASE event_type" + "".join(
+    f" WHEN {D.lit(kind)} THEN {D.strlist(names)}[(event_id % {len(names)} + 1)::INT]" for kind, names in EXPECTED_ACTIONS.items()
+) + " END"
 
 
 D.part(
     "scen",
     ["evt"],
     f"""SELECT 's' || event_id AS scenario_id, event_id, tenant_id, customer_id, channel_code, event_type, received_at,
-    {_template_sql(TEMPLATE_ACTIONS)} AS action_type, {_template_sql(TEMPLATE_DIFFICULTY)} AS difficulty FROM evt""",
+    {_EXPECTED_SQL} AS action_type, {D.strlist(DIFFICULTIES)}[(event_id % 3 + 1)::INT] AS difficulty FROM evt""",
 )
 
 
 def scenarios(spark, sf):
-    """Every event as a scenario with the action its template expects."""
+    """Every event as a scenario with the action it expects."""
     return T.events(spark, sf).select(
         F.concat(F.lit("s"), F.col("event_id")).alias("scenario_id"),
         "event_id", "tenant_id", "customer_id", "channel_code", "event_type", "received_at",
-        _template(TEMPLATE_ACTIONS).alias("action_type"), _template(TEMPLATE_DIFFICULTY).alias("difficulty"),
+        _expected_action().alias("action_type"), T.nth(DIFFICULTIES, F.col("event_id") % 3).alias("difficulty"),
     )
 
 

@@ -439,7 +439,6 @@ D.part(
     """SELECT action_id, state, approvals, (SELECT count(*) FROM vwalk x WHERE x.action_id = w.action_id AND outcome = 'accepted')
     AS row_version FROM (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY r DESC) AS z FROM vwalk) w WHERE z = 1""",
 )
-MAX_REQUIRED = 3
 
 
 def votes(spark, sf):
@@ -464,7 +463,7 @@ def voted(spark, sf):
     """(actions, queue rows, classified votes, resolved queue rows)"""
     actions = flow(spark, sf)
     queue = DC.queue_rows(actions)
-    classified = AP.classify(votes(spark, sf), queue, MAX_REQUIRED)
+    classified = AP.classify(votes(spark, sf), queue)
     return actions, queue, classified, AP.resolve(classified, queue)
 
 

@@ -107,7 +107,7 @@ def _(spark, sf):
     queue_path = sinks.scratch(spark, "queue")
     DC.queue_rows(actions).write.parquet(queue_path)
     outcomes = _table(spark, "votes", SD.VOTE_SCHEMA)
-    play(spark, PQ.votes(spark, sf), SD.vote(spark.read.parquet(queue_path), outcomes, PQ.MAX_REQUIRED), "votes", "voted_at")
+    play(spark, PQ.votes(spark, sf), SD.vote(spark.read.parquet(queue_path), outcomes), "votes", "voted_at")
     return outcomes.read().select("vote_id", "outcome")
 
 

@@ -29,7 +29,7 @@ _TURNS = "SELECT conv_id, turn, text FROM conversations"
 
 @query("tokenize_text", f"SELECT doc_id, array_to_string({D.tok('text')}, ' ') AS tokens FROM documents")
 def _(spark, sf):
-    return T.spread(T.read(spark, sf, "documents")).select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
+    return T.read(spark, sf, "documents").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(
@@ -189,10 +189,10 @@ def _(spark, sf):
 
     keys = ["tenant_id", "customer_id"]
     rows = R.message_rows(T.messages(spark, sf), keys)
-    newest = R._newest(rows, keys, V.SUMMARY_CHARS, "r")
+    newest = R._newest(rows, keys, X.HEAD.reads, "r")
     blocks = newest.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("r", "line"))).alias("lines"))
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n_messages"))
-    text = X.summarize(F.array_join(F.transform("lines", lambda s: s["line"]), "\n"))
+    text = X.HEAD.text(F.array_join(F.transform("lines", lambda s: s["line"]), "\n"))
     return blocks.join(counts, keys).select(*keys, text.alias("summary"), "n_messages")
 
 
@@ -202,7 +202,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     toks = F.sort_array(X.recall_tokens(F.col("text")))
-    return T.spread(T.read(spark, sf, "documents")).select("doc_id", F.array_join(toks, " ").alias("tokens"))
+    return T.read(spark, sf, "documents").select("doc_id", F.array_join(toks, " ").alias("tokens"))
 
 
 @query(
@@ -398,7 +398,7 @@ _PHRASED = f"(text || ' ' || {D.strlist(PHRASES)}[(doc_id % {len(PHRASES)} + 1):
 
 
 def _phrased(spark, sf):
-    return T.spread(T.read(spark, sf, "documents")).select(
+    return T.read(spark, sf, "documents").select(
         "doc_id", F.concat_ws(" ", "text", T.nth(PHRASES, F.col("doc_id") % len(PHRASES))).alias("text")
     )
 

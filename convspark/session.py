@@ -14,8 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even where that adds a shuffle downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # top-n-per-group filters prune map-side up to the largest token budget
-    "spark.sql.optimizer.windowGroupLimitThreshold": "50000",
+    # top-n-per-group filters prune map-side whatever n is
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
 }
 
 
@@ -26,7 +26,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``, or the context's; a scratch folder of this machine only
+    where neither is set and the master is local. Elsewhere executors could not see it, so that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
@@ -34,6 +35,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = ctx.getCheckpointDir()
     if current:
         return current
+    if not ctx.master.startswith("local") or ctx.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="convspark-")
     ctx.setCheckpointDir(scratch)
     return scratch

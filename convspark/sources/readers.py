@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from convspark.functions import text as X
 
-# details keep their JSON text: key order matters when they are rendered
+# details and metadata keep their JSON values in the order of the file: both matter when they are rendered
 HISTORY_SCHEMA = (
     "customer_id string, tenant_id string, source string, source_ids array<string>, "
     "channel_messages array<struct<channel:string,sender:string,content:string,timestamp:timestamp,"
-    "metadata:struct<subject:string,attachments:array<string>>>>, "
-    "prior_actions array<struct<action_type:string,timestamp:timestamp,details:map<string,string>>>"
+    "metadata:map<string,variant>>>, "
+    "prior_actions array<struct<action_type:string,timestamp:timestamp,details:map<string,variant>>>"
 )
 PAIR_SCHEMA = (
     "pair_id string, customer_id string, tenant_id string, query string, ground_truth string, "
@@ -44,20 +44,21 @@ def history_messages(histories: DataFrame) -> DataFrame:
         "m.sender",
         "m.content",
         F.col("m.timestamp").alias("ts"),
-        F.col("m.metadata.subject").alias("subject"),
-        F.col("m.metadata.attachments").alias("attachments"),
+        F.try_element_at("m.metadata", F.lit("subject")).cast("string").alias("subject"),
+        F.try_variant_get(F.try_element_at("m.metadata", F.lit("attachments")), "$", "array<string>").alias("attachments"),
+        X.metadata_extras(F.col("m.metadata")).alias("extras"),
     )
 
 
 def history_actions(histories: DataFrame) -> DataFrame:
     a = histories.select("tenant_id", "customer_id", F.posexplode("prior_actions").alias("seq", "a"))
-    details = F.transform(F.map_entries("a.details"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    details = F.transform(F.map_entries("a.details"), lambda e: X.detail(e["key"], e["value"]))
     return a.select(
         "tenant_id",
         "customer_id",
         F.col("seq").cast("long").alias("seq"),
         "a.action_type",
-        F.coalesce(details, F.array().cast("array<struct<k:string,v:string>>")).alias("details"),
+        F.coalesce(details, F.array().cast("array<struct<k:string,v:string,s:string>>")).alias("details"),
         F.col("a.timestamp").alias("ts"),
     )
 

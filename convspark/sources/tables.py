@@ -21,13 +21,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """For work that is heavy per row: a scan with fewer partitions than cores (one small file) is spread over the
-    cores; a large table has many scan partitions and is left as it is."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 def lookup(mapping: dict[str, str], key: Column, default: Column | None = None) -> Column:
     """Fixed small mapping as a CASE expression."""
     out = F
@@ -86,7 +79,7 @@ def prior_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "customer_id",
         F.col("event_id").alias("seq"),
         F.col("event_type").alias("action_type"),
-        F.array(F.struct(F.lit("k").alias("k"), F.col("k").alias("v"))).alias("details"),
+        F.array(F.struct(F.lit("k").alias("k"), F.col("k").alias("v"), F.col("k").alias("s"))).alias("details"),
         F.col("received_at").alias("ts"),
     )
 

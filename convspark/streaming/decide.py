@@ -50,7 +50,7 @@ def decide(rules: DataFrame, quorum: DataFrame, actions: BatchTable, queue: Batc
     return handle
 
 
-def vote(queue: DataFrame, outcomes: BatchTable, max_required: int):
+def vote(queue: DataFrame, outcomes: BatchTable):
     """Votes per micro-batch. The votes accepted so far, at most N per action, are the state: put in front of the new
     ones they give each new vote the outcome it has in the whole sequence."""
     names = ["tenant_id", "action_id", "vote_id", "vote", "decided_by", "reason", "voted_at"]
@@ -60,8 +60,8 @@ def vote(queue: DataFrame, outcomes: BatchTable, max_required: int):
         touched = batch.select("tenant_id", "action_id").distinct()
         prior = accepted.join(touched, ["tenant_id", "action_id"], "left_semi").select(*names)
         rows = queue.join(touched, ["tenant_id", "action_id"], "left_semi")
-        classified = AP.classify(prior.unionByName(batch.select(*names)), rows, max_required)
-        fresh = classified.join(batch.select("vote_id"), "vote_id", "left_semi")
+        classified = AP.classify(prior.unionByName(batch.select(*names)), rows)
+        fresh = classified.join(batch.select("tenant_id", "action_id", "vote_id"), ["tenant_id", "action_id", "vote_id"], "left_semi")
         outcomes.write(fresh, batch_id)
 
     return handle
