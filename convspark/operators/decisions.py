@@ -183,14 +183,17 @@ def policy_audit(actions: DataFrame) -> DataFrame:
         .when(F.col("status") == "execution_failed", failed)
     )
     entries = F.array_compact(F.array(proposal, decision, last))
-    return actions.select("tenant_id", "action_id", "event_id", F.inline(entries))
+    out = actions.select("tenant_id", "action_id", "event_id", F.inline(entries))
+    return out.withColumn("vote_id", F.lit(None).cast("long"))
 
 
 def vote_audit(classified: DataFrame, actions: DataFrame) -> DataFrame:
-    """Entries of accepted votes, and of the execution that the deciding approval sets off."""
+    """Entries of accepted votes, and of the execution that the deciding approval sets off; ``vote_id`` orders votes of
+    one moment."""
     votes = classified.filter("outcome = 'accepted'")
     # the action side has one row per action; a hot action only makes the vote side large
-    keyed = votes.join(actions.select("action_id", "event_id", "action_type", "payload"), "action_id")
+    key = ["tenant_id", "action_id"]
+    keyed = votes.join(actions.select(*key, "event_id", "action_type", "payload"), key)
     reached = F.col("n_approvals") >= F.col("required_approvals")
     approval = _entry(
         1,
@@ -217,4 +220,4 @@ def vote_audit(classified: DataFrame, actions: DataFrame) -> DataFrame:
     execution = _entry(2, "execution", "system", F.col("voted_at"), {"executed_payload": F.to_json(sent)})
     is_veto = F.col("vote") == "reject"
     entries = F.array_compact(F.array(F.when(is_veto, veto).otherwise(approval), F.when(~is_veto & reached, execution)))
-    return keyed.select("tenant_id", "action_id", "event_id", F.inline(entries))
+    return keyed.select("tenant_id", "action_id", "event_id", "vote_id", F.inline(entries))

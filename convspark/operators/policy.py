@@ -51,32 +51,36 @@ def declarative(actions: DataFrame, rules: DataFrame, out: str = "decision") ->
     return actions.join(tables(rules), "tenant_id", "left").withColumn(out, resolve(F.col("rules"), F.col("action_type"))).drop("rules")
 
 
-def rules_function(tenant_rules: dict[str, dict[str, str]]) -> Callable:
-    """Per-tenant callables with the declarative order, for ``python_rules``."""
+def table_rules(tenant, rules, actions, events):
+    """The declarative order as a callable for ``python_rules``."""
+    return actions.map(rules).fillna(rules.get("default") or rules.get("*") or V.SAFE_DECISION)
 
-    def handler(table):
-        return lambda action, event: table.get(action) or table.get("default") or table.get("*") or "approval_required"
 
-    return {tenant: handler(table) for tenant, table in tenant_rules.items()}
+def python_rules(
+    actions: DataFrame, rules: DataFrame, event: Column, handler: Callable = table_rules, out: str = "decision"
+) -> DataFrame:
+    """``handler(tenant, rules, action types, events) -> decisions`` on the rows of one tenant in an Arrow batch, where rules is
+    the tenant's table as a dict and the others are a Series and a DataFrame. Tenants without rules are safe."""
 
+    def run(tenant, table, action, events):
+        import json
 
-def python_rules(actions: DataFrame, handlers: dict[str, Callable], event: Column, out: str = "decision") -> DataFrame:
-    """Tenant callables ``(action_type, event dict) -> decision`` run on Arrow batches; unknown tenants are safe."""
-
-    def run(tenant, action, event):
         import pandas as pd
 
-        rows = event.to_dict("records")
-        decided = [
-            handlers[t](a, e) if t in handlers else "approval_required" for t, a, e in zip(tenant, action, rows)
-        ]
-        return pd.Series(decided)
+        out = pd.Series(V.SAFE_DECISION, index=action.index)
+        for (name, text), rows in pd.DataFrame({"t": tenant, "r": table}).dropna().groupby(["t", "r"]):
+            at = rows.index
+            out[at] = handler(name, json.loads(text), action[at], events.loc[at])
+        return out
 
     import pandas as pd
 
-    run.__annotations__ = {"tenant": pd.Series, "action": pd.Series, "event": pd.DataFrame, "return": pd.Series}
+    run.__annotations__ = {
+        "tenant": pd.Series, "table": pd.Series, "action": pd.Series, "events": pd.DataFrame, "return": pd.Series
+    }
     udf = F.pandas_udf(run, StringType())
-    return actions.withColumn(out, udf("tenant_id", "action_type", event))
+    joined = actions.join(tables(rules).select("tenant_id", F.to_json("rules").alias("_rules")), "tenant_id", "left")
+    return joined.withColumn(out, udf("tenant_id", "_rules", "action_type", event)).drop("_rules")
 
 
 def policy_json(rules: Column) -> Column:
@@ -140,12 +144,12 @@ def parse_naive(response: Column) -> Column:
     )
 
 
-def all_engines(actions: DataFrame, rules: DataFrame, handlers: dict[str, Callable]) -> DataFrame:
+def all_engines(actions: DataFrame, rules: DataFrame) -> DataFrame:
     """Every engine on every action, tagged with ``strategy``."""
     none = [F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens")]
     cols = [*actions.columns, "decision"]
     table = declarative(actions, rules).select(F.lit("declarative").alias("strategy"), *cols, *none)
-    called = python_rules(actions, handlers, F.struct("event_type")).select(F.lit("python_rules").alias("strategy"), *cols, *none)
+    called = python_rules(actions, rules, F.struct("event_type")).select(F.lit("python_rules").alias("strategy"), *cols, *none)
     judged = judge(actions, rules).select(F.lit("llm_judge").alias("strategy"), *cols, "input_tokens", "output_tokens")
     guessed = naive(actions, rules).select(F.lit("naive_llm").alias("strategy"), *cols, "input_tokens", "output_tokens")
     return table.unionByName(called).unionByName(judged).unionByName(guessed)

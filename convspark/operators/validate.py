@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from convspark import values as V
 from convspark.functions import safety, text as X
@@ -80,29 +76,19 @@ def resolve_key(header: Column, body: Column) -> tuple[Column, Column]:
     return F.coalesce(h, b), reason
 
 
-def payload_strings(payload: Column) -> Column:
-    """String leaves of a JSON payload at any depth, in document order (keys excluded).
-
-    The depth is unbounded, which no built-in expression walks; the helper is self-contained so that executors need
-    no installed package.
-    """
-
-    def leaves(batches):
-        import json
-
-        def walk(node):
-            if isinstance(node, str):
-                return [node]
-            children = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
-            return [leaf for child in children for leaf in walk(child)]
+# a JSON string, with the colon behind it if it is a key
+_STRING_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'
 
-        for batch in batches:
-            yield batch.map(lambda p: walk(json.loads(p)) if p is not None else [])
 
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return leaves(batches)
+def payload_strings(payload: Column) -> Column:
+    """String leaves of a JSON payload at any depth, in document order (keys excluded); a null payload has none.
 
-    return F.pandas_udf(typed, ArrayType(StringType()))(payload)
+    Outside strings JSON has no quotes, so the string tokens are found without walking the tree; those before a colon
+    are keys, and the rest is parsed at once.
+    """
+    tokens = F.regexp_extract_all(F.coalesce(payload, F.lit("")), F.lit(_STRING_TOKEN), F.lit(0))
+    leaves = F.filter(tokens, lambda t: ~F.endswith(t, F.lit(":")))
+    return F.from_json(F.concat(F.lit("["), F.array_join(leaves, ","), F.lit("]")), "array<string>")
 
 
 def quarantine_injections(events: DataFrame, leaves: Column) -> DataFrame:

@@ -27,11 +27,11 @@ def action_view(actions: DataFrame, audit: DataFrame) -> DataFrame:
 
     A trail has at most three policy entries and one entry per accepted vote plus an execution.
     """
-    trail = audit.groupBy("action_id").agg(
-        F.sort_array(F.collect_list(F.struct("ts", "step", "kind", "actor_kind", "actor_id"))).alias("audit_trail")
+    trail = audit.groupBy("tenant_id", "action_id").agg(
+        F.sort_array(F.collect_list(F.struct("ts", "step", "vote_id", "kind", "actor_kind", "actor_id"))).alias("audit_trail")
     )
     hidden = F.map_filter("payload", lambda k, _: ~k.isin("_planner_reasoning", "_executed_payload"))
-    return actions.join(trail, "action_id", "left").select(
+    return actions.join(trail, ["tenant_id", "action_id"], "left").select(
         "action_id",
         "tenant_id",
         "event_id",

@@ -164,31 +164,10 @@ def _(spark, sf):
     return P.declarative(scenarios(spark, sf), T.policy_rules(spark)).select("scenario_id", "decision")
 
 
-def handlers():
-    """Per-tenant callables with the same rules as the table."""
-    table: dict[str, dict[str, str]] = {}
-    for tenant, key, decision in POLICY_ROWS:
-        table.setdefault(tenant, {})[key] = decision
-    return P.rules_function(table)
-
-
-POLICY_ROWS = [
-    ("t0", "default", "approval_required"),
-    ("t0", "send_borrower_message", "auto"),
-    ("t0", "update_status", "auto"),
-    ("t0", "no_op", "auto"),
-    ("t0", "schedule_call", "reject"),
-    ("t1", "*", "reject"),
-    ("t1", "notify_loan_officer", "auto"),
-    ("t1", "send_borrower_message", "approval_required"),
-    ("t2", "*", "auto"),
-]
-
-
 @query("python_rule_decisions", D.sql(["scen_x"], _DECIDED))
 def _(spark, sf):
     s = scenarios(spark, sf)
-    return P.python_rules(s, handlers(), F.struct("event_type")).select("scenario_id", "decision")
+    return P.python_rules(s, T.policy_rules(spark), F.struct("event_type")).select("scenario_id", "decision")
 
 
 D.part(
@@ -514,28 +493,28 @@ def _(spark, sf):
 D.part(
     "audit",
     ["flow", "vwalk", "votes_seq"],
-    """SELECT tenant_id, action_id, event_id, 1 AS step, 'proposal' AS kind, 'fallback' AS actor_kind, NULL AS actor_id, created_at AS ts FROM flow
-    UNION ALL SELECT tenant_id, action_id, event_id, 2, 'decision', 'system', NULL, created_at FROM flow
+    """SELECT tenant_id, action_id, event_id, 1 AS step, 'proposal' AS kind, 'fallback' AS actor_kind, NULL AS actor_id, created_at AS ts, NULL::BIGINT AS vote_id FROM flow
+    UNION ALL SELECT tenant_id, action_id, event_id, 2, 'decision', 'system', NULL, created_at, NULL FROM flow
     UNION ALL SELECT tenant_id, action_id, event_id, 3, CASE status WHEN 'rejected' THEN 'rejection' WHEN 'executed' THEN 'execution'
-        ELSE status END, 'system', NULL, created_at FROM flow WHERE status <> 'pending_approval'
+        ELSE status END, 'system', NULL, created_at, NULL FROM flow WHERE status <> 'pending_approval'
     UNION ALL SELECT s.tenant_id, s.action_id, f.event_id, 1, CASE s.vote WHEN 'reject' THEN 'rejection' ELSE 'approval' END,
-        'human', s.decided_by, s.voted_at FROM vwalk w JOIN votes_seq s ON s.vote_id = w.vote_id JOIN flow f
+        'human', s.decided_by, s.voted_at, s.vote_id FROM vwalk w JOIN votes_seq s ON s.vote_id = w.vote_id JOIN flow f
         ON f.action_id = s.action_id WHERE w.outcome = 'accepted'
-    UNION ALL SELECT s.tenant_id, s.action_id, f.event_id, 2, 'execution', 'system', NULL, s.voted_at FROM vwalk w
+    UNION ALL SELECT s.tenant_id, s.action_id, f.event_id, 2, 'execution', 'system', NULL, s.voted_at, s.vote_id FROM vwalk w
         JOIN votes_seq s ON s.vote_id = w.vote_id JOIN flow f ON f.action_id = s.action_id
         WHERE w.outcome = 'accepted' AND w.state = 'approved'""",
 )
 D.part(
     "audit_n",
     ["audit"],
-    "SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, action_id, step) AS audit_id FROM audit",
+    "SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, action_id, step, vote_id NULLS FIRST) AS audit_id FROM audit",
 )
 
 
 def audit(spark, sf):
     actions, _, classified, _ = voted(spark, sf)
     entries = DC.policy_audit(actions).unionByName(DC.vote_audit(classified, actions))
-    return sinks.with_audit_ids(entries, ["ts", "action_id", "step"])
+    return sinks.with_audit_ids(entries, ["ts", "action_id", "step", "vote_id"])
 
 
 _ENTRY = ["tenant_id", "audit_id", "action_id", "event_id", "kind", "actor_kind", "actor_id"]
@@ -584,7 +563,7 @@ def _(spark, sf):
 @query(
     "action_views",
     D.sql(["promoted", "audit"], """SELECT p.action_id, p.status, p.reasoning,
-    (SELECT string_agg(kind, '>' ORDER BY ts, step, kind) FROM audit a WHERE a.action_id = p.action_id) AS trail FROM promoted p""",
+    (SELECT string_agg(kind, '>' ORDER BY ts, step, vote_id NULLS FIRST, kind) FROM audit a WHERE a.action_id = p.action_id) AS trail FROM promoted p""",
           recursive=True),
 )
 def _(spark, sf):
@@ -657,7 +636,7 @@ def study(spark, sf):
     """Four engines on every scenario, against the decision of the policy table."""
     rules = T.policy_rules(spark)
     stamped = P.declarative(scenarios(spark, sf), rules, "expected_decision")
-    return E.policy_results(P.all_engines(stamped, rules, handlers()))
+    return E.policy_results(P.all_engines(stamped, rules))
 
 
 @query("stamped_scenarios", D.sql(["scen_x"], "SELECT scenario_id, action_type, expected_decision FROM scen_x"))

@@ -207,7 +207,7 @@ def test_policy_study(spark):
     rules = spark.createDataFrame([(t, k, d) for t, table in TENANTS.items() for k, d in table.items()], "tenant_id string, key string, decision string")
     stamped = P.declarative(actions, rules, "expected_decision")
     assert Counter(r.expected_decision for r in stamped.collect()) == {"auto": 127, "approval_required": 68, "reject": 5}
-    results = E.policy_results(P.all_engines(stamped, rules, P.rules_function(TENANTS))).cache()
+    results = E.policy_results(P.all_engines(stamped, rules)).cache()
     share = {r.strategy: r.correctness for r in E.decision_cost(results).collect()}
     assert share == {"declarative": 1.0, "python_rules": 1.0, "llm_judge": 1.0, "naive_llm": 0.54}
     confusion = {r.expected_decision: r for r in E.confusion(results).collect() if r.strategy == "naive_llm"}
@@ -315,3 +315,24 @@ def test_load_summary(spark):
     assert got["bank_a"].success_rate == 1.0 and got["bank_b"].success_rate == 0.5
     empty = E.load_summary(s.filter("false"), 2.0).collect()
     assert [(r.tenant_id, r.n, r.p99_ms) for r in empty] == [("*", 0, 0.0)]
+
+
+def test_payload_strings_equal_json_walk(spark):
+    import json
+
+    from convspark.operators.validate import payload_strings
+
+    def walk(node):
+        if isinstance(node, str):
+            return [node]
+        children = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
+        return [leaf for child in children for leaf in walk(child)]
+
+    payloads = [
+        {"a": "x", "b": {"c": ["y:", 'q"uo:te"', {"d": "\\", "e": [[["deep"]]]}], "k\"ey:": ""}, "n": 1, "z": None, "t": True},
+        {}, {"a": "é\n\t  {\"in\": \"side\"}"}, {"list": []}, {"a": ":", "b": "\\\""},
+    ]
+    texts = [json.dumps(p) for p in payloads] + [json.dumps(p, indent=1, ensure_ascii=False) for p in payloads]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "p string")
+    got = [(r.p, list(r.s)) for r in df.select("p", payload_strings(F.col("p")).alias("s")).collect()]
+    assert got == [(t, walk(json.loads(t))) for t in texts] + [(None, [])]
