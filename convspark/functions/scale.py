@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convspark.session import cut_lineage
 
 
 def sliced_rank(df: DataFrame, keys: list[str], order: list[Column], slices: Column, name: str = "rank") -> DataFrame:
@@ -17,8 +16,7 @@ def sliced_rank(df: DataFrame, keys: list[str], order: list[Column], slices: Col
     """
     df = df.withColumn("_slice", slices)
     sizes = df.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = sums_before(sizes, keys, "_slice", "_n", "_before")
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     ranked = df.withColumn("_in_slice", F.row_number().over(inside))
     on = [ranked[k].eqNullSafe(offsets[k]) for k in [*keys, "_slice"]]
@@ -28,31 +26,52 @@ def sliced_rank(df: DataFrame, keys: list[str], order: list[Column], slices: Col
     return joined.withColumn(name, F.col("_before") + F.col("_in_slice")).drop("_slice", "_before", "_in_slice")
 
 
-def order_statistics(
-    df: DataFrame, keys: list[str], value: str, points: dict[str, tuple[str, float]], slices: int = 2048
-) -> DataFrame:
+_BLOCK = 4096
+
+
+def sums_before(sizes: DataFrame, keys: list[str], order: str, n: str, name: str) -> DataFrame:
+    """(keys, order, name): the sum of ``n`` over the rows of the key with a smaller ``order`` (whole numbers, unique).
+
+    Sums are taken inside blocks of 4,096 numbers, then over the blocks, so even without keys a window gets one row
+    for each block only.
+    """
+    sizes = sizes.select(*keys, order, F.col(n).alias("_size"), F.floor(F.col(order) / _BLOCK).alias("_block"))
+    blocks = sizes.groupBy(*keys, "_block").agg(F.sum("_size").alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    on = [sizes[k].eqNullSafe(blocks[k]) for k in [*keys, "_block"]]
+    joined = sizes.join(blocks, on)
+    return joined.select(*[sizes[k] for k in keys], sizes[order], (F.col("_base") + F.col("_in")).alias(name))
+
+
+#: Cuts of a key's values, and the accuracy of the sketch they come from.
+_CUTS, _ACCURACY = 63, 2000
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, points: dict[str, tuple[str, float]]) -> DataFrame:
     """Exact order statistics per key, without gathering a key's values in one task.
 
     ``points`` maps an output name to (rule, p):
       ``linear``  interpolate at (n-1)*p          ``upper_mid``  x[n // 2]
       ``floor``   x[max(0, int(n*p) - 1)]
 
-    Values are first counted (map-side), then the value range of each key is cut into ``slices`` equal parts; only
-    the parts that hold a wanted position are looked at value by value, and the counts make equal values one row.
+    Values are first counted (map-side), then the distinct values of each key are cut at approximate quantiles into
+    parts of about equal size, whatever their distribution. Parts are counted exactly; only those that hold a wanted
+    position are looked at value by value.
     """
     if not keys:
         raise ValueError("order_statistics needs at least one key column")
     df = df.filter(F.col(value).isNotNull())
     counted = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    counted = cut_lineage(counted)  # read several times below, the input only once
+    cuts = F.percentile_approx("_v", [i / (_CUTS + 1) for i in range(1, _CUTS + 1)], _ACCURACY)
     bounds = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n")
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n"), cuts.alias("_cuts")
     )
     bounds = bounds.select("*", *[p for name, rule in points.items() for p in _positions(name, *rule)])
     cut = counted.join(bounds, keys)
-    width = F.col("_hi") - F.col("_lo")
-    part = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * slices), F.lit(slices - 1)))
-    cut = cut.withColumn("_part", F.coalesce(part, F.lit(0)))
+    cut = cut.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
 
     sizes = cut.groupBy(*keys, "_part").agg(F.sum("_n").alias("_m"))
     upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)

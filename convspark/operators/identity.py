@@ -161,10 +161,12 @@ def resolve(events: DataFrame, identities: DataFrame | None = None, stored: Data
     rows = base.select("tenant_id", "event_id", "at", F.posexplode("hints").alias("pos", "h")).select(
         "tenant_id", "event_id", "at", "pos", "h.kind", "h.value"
     )
+    # the stored identities are read once: who owns a hint's identity already does not change from round to round
     if identities is None:
-        known = None
+        rows = rows.withColumn("known", F.lit(None).cast("string"))
     else:
-        known = identities.select(*IDENTITY, F.col("customer_id").alias("known"))
+        rows = rows.join(identities.select(*IDENTITY, F.col("customer_id").alias("known")), IDENTITY, "left")
+    rows = cut_lineage(rows)
 
     key_first = base.groupBy("tenant_id", "idempotency_key").agg(F.min("at").alias("s"))
     state = cut_lineage(
@@ -173,7 +175,7 @@ def resolve(events: DataFrame, identities: DataFrame | None = None, stored: Data
         )
     )
     while True:
-        owned, customers = _round(base, rows, known, state)
+        owned, customers = _round(base, rows, state)
         new = cut_lineage(_outcomes(base, owned, customers))
         changed = new.join(
             state.select("tenant_id", "event_id", F.col("cut").alias("cut0"), F.col("replay").alias("replay0")),
@@ -226,15 +228,11 @@ def resolve(events: DataFrame, identities: DataFrame | None = None, stored: Data
     return result
 
 
-def _round(base: DataFrame, rows: DataFrame, known: DataFrame | None, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _round(base: DataFrame, rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hint rows with their owner, customer of every event) under the claims that ``state`` leaves."""
     event = ["tenant_id", "event_id"]
     claims = rows.join(state, event).filter("NOT replay AND pos < cut")
     first = claims.groupBy(*IDENTITY).agg(F.min("at").alias("first"))
-    if known is not None:
-        first = first.join(known, IDENTITY, "full")
-    else:
-        first = first.withColumn("known", F.lit(None).cast("string"))
     # one row per identity on the right: a hot identity only makes the left side large, which is split at run time
     hint = rows.join(first, IDENTITY, "left")
     before = F.col("known").isNotNull() | F.coalesce(F.col("first") < F.col("at"), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from convspark import values as V
 from convspark.functions import text as X
+from convspark.functions.scale import sums_before
 from convspark.sources import tables as T
 
 
@@ -80,8 +81,7 @@ def pad_histories(dialogues: DataFrame, starts: DataFrame, least: int, most: int
     # a stretch is found from the sorted starts by counting starts at or before a position, slice by slice
     slice_ = F.floor(F.col("pool_pos") / 4096)
     per_slice = marked.groupBy(slice_.alias("s")).agg(F.count("pair_id").alias("n"))
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_slice.select("s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = sums_before(per_slice, [], "s", "n", "base")
     inside = Window.partitionBy("s").orderBy("pool_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = marked.withColumn("s", slice_).withColumn("i", F.count("pair_id").over(inside)).join(base, "s")
     placed = counted.withColumn("stretch", F.col("base") + F.col("i")).filter("stretch > 0")

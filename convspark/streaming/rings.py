@@ -45,17 +45,15 @@ class RingTable(BatchTable):
     """Small by construction: at most cap rows per tenant and batch."""
 
     def read_last(self, before: int | None = None) -> DataFrame:
-        table = self._with_batch()
-        if before is not None:
-            table = table.filter(F.col("batch") < before)
-        last = table.agg(F.max("batch").alias("last"))
-        return table.join(last, F.col("batch") == F.col("last"), "left_semi").drop("batch")
-
-    def _with_batch(self) -> DataFrame:
+        """The ring of the batch before ``before``, by default of the newest. Batches are numbered one after another, so
+        no older folder is read; only a reader that did not write looks up the newest number, from the folder names."""
         full = self.spark.createDataFrame([], self.schema).withColumn("batch", F.lit(0).cast("long"))
-        if not self._exists():
-            return full
-        return self.spark.read.schema(full.schema).option("basePath", self.path).parquet(self.path)
+        if before is None:
+            table = self._stored(full.schema)
+            newest_batch = None if table is None else table.agg(F.max("batch")).first()[0]
+            before = 0 if newest_batch is None else newest_batch + 1
+        table = self._stored(full.schema, f"/batch={before - 1}") if before > 0 else None
+        return (full if table is None else table).select(*self.schema.names)
 
 
 # ---- deferred calls -----------------------------------------------------------------------------

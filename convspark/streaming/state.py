@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,18 +23,21 @@ class BatchTable:
     def read(self, before: int | None = None) -> DataFrame:
         full = StructType(list(self.schema.fields)).add("batch", "long")
         empty = self.spark.createDataFrame([], full)
-        if not self._exists():
+        if (table := self._stored(full)) is None:
             return empty.drop("batch")
-        table = self.spark.read.schema(full).option("basePath", self.path).parquet(self.path)
         return (table if before is None else table.filter(F.col("batch") < before)).drop("batch")
 
     def read_batch(self, batch_id: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id}")
 
-    def _exists(self) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _stored(self, schema: StructType, folder: str = "") -> DataFrame | None:
+        """What was written below the folder; None before the first write."""
+        try:
+            return self.spark.read.schema(schema).option("basePath", self.path).parquet(f"{self.path}{folder}")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
 
 def run_available(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> None:

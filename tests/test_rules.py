@@ -300,7 +300,7 @@ def test_sliced_rank_and_order_statistics(spark):
         seen[k] += 1
         assert got[i] == seen[k]
     points = {"l": ("linear", 0.95), "m": ("upper_mid", 0.5), "f": ("floor", 0.95)}
-    for r in order_statistics(df, ["k"], "v", points, slices=8).collect():
+    for r in order_statistics(df, ["k"], "v", points).collect():
         x = sorted(v for k, _, v in rows if k == r.k)
         n, at = len(x), (len(x) - 1) * 0.95
         assert r.l == pytest.approx(x[int(at)] + (x[min(int(at) + 1, n - 1)] - x[int(at)]) * (at - int(at)))
