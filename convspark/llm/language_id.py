@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from convspark.llm.common import table
 
 #: Bounds of the labelled sample: documents of a language, and code points taken from the start of each.
-SAMPLE_DOCS = 80
-SAMPLE_CHARS = 300
+SAMPLE_DOCS = 64
+SAMPLE_CHARS = 250
 UNKNOWN = "und"
 PIECE = 1024
 #: Pieces that advance together.
@@ -111,26 +111,31 @@ class Parser:
         for i, c in enumerate([_GAP, *alphabet]):
             self.codes[ord(c)] = i + 1
         size = len(alphabet) + 2
-        code = {c: int(self.codes[ord(c)]) for c in [_GAP, *alphabet]}
+        #: twice the offset of the next state's row, plus 1 where a phrase ends
+        self.next = np.zeros(0, np.int64)
         parts, base, self.starts = [], 0, []
         for lang in self.langs:
-            steps = suffix_automaton(texts[lang])
-            root = np.full(size, base * size * 2 + 1, np.int64)  # an unseen letter is the last of its phrase
-            for c, to in steps[0].items():
-                root[code[c]] = (base + to) * size * 2 + 1
-            rows = np.repeat(root[None, :], len(steps), axis=0)
-            for s, go in enumerate(steps):
-                for c, to in go.items():
-                    rows[s, code[c]] = (base + to) * size * 2
-            parts.append(rows.ravel())
+            rows = self._table(texts[lang], size, base)
+            parts.append(rows)
             self.starts.append(base * size)
-            base += len(steps)
-        #: twice the offset of the next state's row, plus 1 where a phrase ends
-        self.next = np.concatenate(parts)
-        if base * size * 2 < 1 << 31:
-            self.next = self.next.astype(np.int32)
+            base += len(rows)
+        self.next = np.concatenate(parts).ravel()
         self.norm = np.array([math.log2(len(texts[lang]) + 1) for lang in self.langs])
 
+    def _table(self, text: str, size: int, base: int) -> np.ndarray:
+        """A row of next states for each state, by symbol."""
+        steps = suffix_automaton(text)
+        states = np.fromiter((s for s, go in enumerate(steps) for _ in go), np.int64)
+        letter = np.fromiter((ord(c) for go in steps for c in go), np.int64)
+        to = np.fromiter((t for go in steps for t in go.values()), np.int64)
+        kind = np.int32 if (base + len(steps)) * size * 2 < 1 << 31 else np.int64
+        root = np.full(size, base * size * 2 + 1, kind)  # an unseen letter is the last of its phrase
+        codes, first = self.codes[letter], states == 0
+        root[codes[first]] = (base + to[first]) * size * 2 + 1
+        rows = np.repeat(root[None, :], len(steps), axis=0)
+        rows[states, codes] = (base + to) * size * 2
+        return rows
+
     def symbols(self, text: str) -> np.ndarray:
         return self.codes[np.frombuffer(letters(text).encode("utf-32-le", "replace"), np.uint32)]
 

@@ -132,7 +132,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, cell:
         found = [[{"a": a, "b": b} for a, b in cell_stars(c, max_bits)] for c in cells.to_pylist()]
         return pa.array(found, _ARROW_LINKS)
 
-    placed = fps.select("fp", embedding(F.col("fp")).alias("counts"))
+    # every fingerprint becomes as many rows as there are grids, so few small partitions must not stay few
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = fps.repartition(parts, "fp").select("fp", embedding(F.col("fp")).alias("counts"))
     placed = placed.select("fp", F.explode(_cells(F.col("counts"), max_bits, blocks)).alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     # most cells that are shared have two fingerprints
@@ -190,10 +192,11 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_tie")
     best = prints.groupBy("fp").agg(F.min(order).alias("_best")).join(found, "fp")
     best = best.groupBy("root").agg(F.min("_best").alias("_best")).select("_best.doc_id", "_best._tie")
-    best = best.select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t"))
-    keyed = docs.withColumn("_llm_tie", tie)
-    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_llm_tie"] == best["_t"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_llm_tie"]).select(*docs.columns)
+    # one key for the join and for repeated rows: texts are dealt and sorted once; a struct with a null equals its like
+    best = best.select(F.struct("doc_id", "_tie").alias("_llm_best"))
+    keyed = docs.withColumn("_llm_key", F.struct("doc_id", tie.alias("_tie")))
+    kept = keyed.join(best, keyed["_llm_key"] == best["_llm_best"], "left_semi")
+    return kept.dropDuplicates(["_llm_key"]).select(*docs.columns)
 
 
 def query(spark, sf_dir):

@@ -85,6 +85,13 @@ def test_one_row_of_each_group_stays(spark):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} <= {r[0] for r in rows}
 
 
+def test_rows_without_an_id_are_groups_too(spark):
+    rows = [(None, "one lonely text without a number", "en", "s", 1)] * 2 + [(None, "another quite different lonely text", "en", "s", 1)]
+    kept = simhash.keep_one(frame(spark, rows))
+    assert sorted(r.text for r in kept.collect()) == sorted({r[1] for r in rows})
+    assert {r.component_id for r in simhash.near_duplicates(frame(spark, rows)).collect()} == {None}
+
+
 def test_empty_table(spark):
     docs = frame(spark, [])
     assert simhash.near_duplicates(docs.select("doc_id", "text")).count() == 0
