@@ -23,40 +23,101 @@ def _cos(dot: Column, sq_a: Column, sq_b: Column) -> Column:
     return dot / (F.sqrt(sq_a.cast("double")) * F.sqrt(sq_b.cast("double")))
 
 
+def exact_hits(requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """(ns, request_id, entry_id) of the requests whose key text is stored; of equal keys the least recently touched."""
+    digest = F.sha2("key_text", 256).alias("digest")
+    first = F.min(F.struct("last_touch_seq", "entry_id", "key_text")).alias("e")
+    known = entries.select("ns", digest, "last_touch_seq", "entry_id", "key_text").groupBy("ns", "digest").agg(first)
+    asked = requests.select("ns", "request_id", "key_text", digest)
+    same = asked.join(known, ["ns", "digest"]).filter(F.col("key_text") == F.col("e.key_text"))
+    return same.select("ns", "request_id", F.col("e.entry_id").alias("entry_id"))
+
+
+#: Below the threshold, the best similarity of what is still open is looked for step by step.
+LEVELS = [0.5, 0.2, 0.0]
+
+
+def _postings(counts: DataFrame, norms: DataFrame, threshold: float, df: DataFrame) -> DataFrame:
+    """The rarest buckets of each key that two keys must share to reach the threshold.
+
+    Buckets are put in one order by ``df`` (ns, bucket, df), rarest first. A key keeps buckets until the norm of what is
+    left falls below threshold * norm; two keys without a common kept bucket have a cosine below the threshold.
+    """
+    order = Window.partitionBy("ns", "key_id").orderBy("df", "bucket").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ranked = counts.join(df, ["ns", "bucket"]).join(norms, ["ns", "key_id"])
+    left = ranked.withColumn("left_sq", F.sum(F.col("w") * F.col("w")).over(order))
+    return left.filter(F.col("left_sq") >= (threshold * threshold - 1e-9) * F.col("sq")).select("ns", "bucket", "key_id")
+
+
+def _frequencies(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("ns", "bucket").agg(F.count("*").alias("df"))
+
+
+def _similar(pairs: DataFrame, asked: tuple, entries: tuple, threshold: float) -> DataFrame:
+    """(ns, key_id, entry_id, sim) of the candidate pairs at or above the threshold; either side is (counts, norms)."""
+    a = asked[0].select("ns", "key_id", "bucket", F.col("w").alias("wa"))
+    b = entries[0].select("ns", F.col("key_id").alias("entry_id"), "bucket", F.col("w").alias("wb"))
+    dots = (
+        pairs.join(a, ["ns", "key_id"])
+        .join(b, ["ns", "entry_id", "bucket"])
+        .groupBy("ns", "key_id", "entry_id")
+        .agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    )
+    na = asked[1].select("ns", "key_id", F.col("sq").alias("sa"))
+    nb = entries[1].select("ns", F.col("key_id").alias("entry_id"), F.col("sq").alias("sb"))
+    sim = _cos(F.col("dot"), F.col("sa"), F.col("sb"))
+    scored = dots.join(na, ["ns", "key_id"]).join(nb, ["ns", "entry_id"]).withColumn("sim", sim)
+    return scored.filter(F.col("sim") >= threshold).select("ns", "key_id", "entry_id", "sim")
+
+
+def closest(asked: tuple, entries: tuple, levels: list[float], earlier: bool = False) -> DataFrame:
+    """(ns, key_id, entry_id, sim): of each key the entries at or above the first of the falling levels that any reaches.
+
+    Either side is (bucket counts, norms) by (ns, key_id). Only keys that reached no level yet go to the next one, where
+    the kept postings grow; so common words join only what nothing rarer connects. ``earlier``: entries have a smaller
+    key_id than the key.
+    """
+    df = cut_lineage(_frequencies(asked[0].select("ns", "bucket").unionByName(entries[0].select("ns", "bucket"))))
+    open_, found = asked[1].select("ns", "key_id"), None
+    for level in levels:
+        mine = _postings(asked[0].join(open_, ["ns", "key_id"], "left_semi"), asked[1], level, df)
+        theirs = _postings(*entries, level, df).withColumnRenamed("key_id", "entry_id")
+        pairs = mine.join(theirs, ["ns", "bucket"])
+        if earlier:
+            pairs = pairs.filter(F.col("entry_id") < F.col("key_id"))
+        scored = cut_lineage(_similar(pairs.select("ns", "key_id", "entry_id").distinct(), asked, entries, level))
+        open_ = cut_lineage(open_.join(scored.select("ns", "key_id").distinct(), ["ns", "key_id"], "left_anti"))
+        found = scored if found is None else found.unionByName(scored)
+        if open_.isEmpty():
+            break
+    return found
+
+
+def _levels(threshold: float) -> list[float]:
+    return [threshold, *[level for level in LEVELS if level < threshold]]
+
+
 def lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Every request against a snapshot of entries in its namespace.
 
     ``requests``: ns, request_id, key_text. ``entries``: ns, entry_id, key_text, response, last_touch_seq. An equal key
-    is an exact hit whatever the threshold; only the other requests go through the inverted-index join. Among equally
+    is an exact hit whatever the threshold; only the other requests go through the inverted index. Among equally
     similar entries the least recently touched one answers. A miss reports its best similarity.
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError(f"threshold must be in (0, 1], got {threshold}")
-    digest = F.sha2("key_text", 256).alias("digest")
-    known = entries.select("ns", digest, F.col("key_text").alias("entry_text"), F.col("entry_id").alias("exact_id"))
-    asked = requests.select("ns", "request_id", "key_text", digest)
-    exact = asked.join(known, ["ns", "digest"]).filter(F.col("key_text") == F.col("entry_text"))
-    exact = exact.select("ns", "request_id", F.col("exact_id").alias("entry_id"))
+    exact = exact_hits(requests, entries)
+    asked = requests.select("ns", "request_id", "key_text", F.sha2("key_text", 256).alias("key_id"))
     rest = asked.join(exact.select("ns", "request_id"), ["ns", "request_id"], "left_anti")
     # a prompt asked many times is scored once; the first text combines map-side
-    prompts = rest.groupBy("ns", "digest").agg(F.first("key_text").alias("key_text"))
-    qv, qn = vectors(prompts, ["ns", "digest"], "key_text")
-    ev, en = vectors(entries, ["ns", "entry_id"], "key_text")
-    dots = (
-        qv.join(ev.withColumnRenamed("w", "we"), ["ns", "bucket"])
-        .groupBy("ns", "digest", "entry_id")
-        .agg(F.sum(F.col("w") * F.col("we")).alias("dot"))
-    )
-    scored = (
-        dots.join(qn.withColumnRenamed("sq", "sq_q"), ["ns", "digest"])
-        .join(en.withColumnRenamed("sq", "sq_e"), ["ns", "entry_id"])
-        .join(entries.select("ns", "entry_id", "last_touch_seq"), ["ns", "entry_id"])
-        .withColumn("sim", _cos(F.col("dot"), F.col("sq_q"), F.col("sq_e")))
-    )
-    best = scored.groupBy("ns", "digest").agg(
+    prompts = rest.groupBy("ns", "key_id").agg(F.first("key_text").alias("key_text"))
+    stored = entries.select("ns", F.col("entry_id").alias("key_id"), "key_text")
+    sides = [tuple(cut_lineage(part) for part in vectors(rows, ["ns", "key_id"], "key_text")) for rows in (prompts, stored)]
+    scored = closest(*sides, _levels(threshold)).join(entries.select("ns", "entry_id", "last_touch_seq"), ["ns", "entry_id"])
+    best = scored.groupBy("ns", "key_id").agg(
         F.max_by(F.struct("entry_id", "sim"), F.struct("sim", -F.col("last_touch_seq"))).alias("b")
     )
-    near = rest.select("ns", "request_id", "digest").join(best, ["ns", "digest"], "left").select(
+    near = rest.select("ns", "request_id", "key_id").join(best, ["ns", "key_id"], "left").select(
         "ns", "request_id", "b.entry_id", F.coalesce("b.sim", F.lit(0.0)).alias("similarity")
     )
     near = near.withColumn(
@@ -73,36 +134,6 @@ def lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.95) ->
 # ---- replay -------------------------------------------------------------------------------------
 
 
-def _postings(counts: DataFrame, norms: DataFrame, threshold: float) -> DataFrame:
-    """The rarest buckets of each key that two keys must share to reach the threshold.
-
-    Buckets are put in one order, rarest first. A key keeps buckets until the norm of what is left falls below
-    threshold * norm; two keys without a common kept bucket have a cosine below the threshold.
-    """
-    df = counts.groupBy("ns", "bucket").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("ns", "key_id").orderBy("df", "bucket").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = counts.join(df, ["ns", "bucket"]).join(norms, ["ns", "key_id"])
-    left = ranked.withColumn("left_sq", F.sum(F.col("w") * F.col("w")).over(order))
-    return left.filter(F.col("left_sq") >= (threshold * threshold - 1e-9) * F.col("sq")).select("ns", "bucket", "key_id")
-
-
-def _similar(pairs: DataFrame, counts: DataFrame, norms: DataFrame, threshold: float) -> DataFrame:
-    """(ns, key_id, entry_id, sim) of the candidate pairs at or above the threshold."""
-    a = counts.select("ns", "key_id", "bucket", F.col("w").alias("wa"))
-    b = counts.select("ns", F.col("key_id").alias("entry_id"), "bucket", F.col("w").alias("wb"))
-    dots = (
-        pairs.join(a, ["ns", "key_id"])
-        .join(b, ["ns", "entry_id", "bucket"])
-        .groupBy("ns", "key_id", "entry_id")
-        .agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    )
-    na = norms.select("ns", "key_id", F.col("sq").alias("sa"))
-    nb = norms.select("ns", F.col("key_id").alias("entry_id"), F.col("sq").alias("sb"))
-    sim = _cos(F.col("dot"), F.col("sa"), F.col("sb"))
-    scored = dots.join(na, ["ns", "key_id"]).join(nb, ["ns", "entry_id"]).withColumn("sim", sim)
-    return scored.filter(F.col("sim") >= threshold).select("ns", "key_id", "entry_id", "sim")
-
-
 def stored_keys(keys: DataFrame, counts: DataFrame, norms: DataFrame, threshold: float) -> DataFrame:
     """Keys a sequential run would store: those not similar to any stored key before them.
 
@@ -111,7 +142,7 @@ def stored_keys(keys: DataFrame, counts: DataFrame, norms: DataFrame, threshold:
     open keys of its postings only. A posting has at most one such key, so a round emits no more pairs than there are
     postings, also in a namespace of near copies, where the first round settles the whole group.
     """
-    postings = cut_lineage(_postings(counts, norms, threshold))
+    postings = cut_lineage(_postings(counts, norms, threshold, _frequencies(counts)))
     without = keys.join(postings.select("ns", "key_id").distinct(), ["ns", "key_id"], "left_anti")
     stored = without.select("ns", "key_id")  # no tokens: never similar to anything
     while not postings.isEmpty():
@@ -122,17 +153,18 @@ def stored_keys(keys: DataFrame, counts: DataFrame, norms: DataFrame, threshold:
         lead_postings = postings.join(leaders, ["ns", "key_id"], "left_semi").withColumnRenamed("key_id", "entry_id")
         open_ = postings.join(leaders, ["ns", "key_id"], "left_anti")
         pairs = open_.join(lead_postings, ["ns", "bucket"]).select("ns", "key_id", "entry_id").distinct()
-        settled = _similar(pairs, counts, norms, threshold).select("ns", "key_id").distinct()
+        settled = _similar(pairs, (counts, norms), (counts, norms), threshold).select("ns", "key_id").distinct()
         postings = cut_lineage(open_.join(settled, ["ns", "key_id"], "left_anti"))
         stored = stored.unionByName(leaders)
     return cut_lineage(stored)
 
 
-def replay(requests: DataFrame, threshold: float = 0.95) -> DataFrame:
+def replay(requests: DataFrame, threshold: float = 0.95, miss_similarity: bool = True) -> DataFrame:
     """Outcome of every request of a log processed in ``seq`` order against an initially empty cache without eviction.
 
     ``requests``: ns, seq (unique per ns), key_text, response. A miss stores (key_text, response). Adds ``kind``
-    (exact / near / miss), ``similarity``, ``entry_id`` (seq of the request that stored the entry) and ``answer``.
+    (exact / near / miss), ``similarity``, ``entry_id`` (seq of the request that stored the entry) and ``answer``. A miss
+    reports its best similarity to what was stored before it, or null if that is not asked for.
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError(f"threshold must be in (0, 1], got {threshold}")
@@ -146,11 +178,11 @@ def replay(requests: DataFrame, threshold: float = 0.95) -> DataFrame:
     norms = cut_lineage(norms)
     stored = stored_keys(keys, counts, norms, threshold)
     # candidates: other keys against stored ones, through the same postings
-    postings = _postings(counts, norms, threshold)
+    postings = _postings(counts, norms, threshold, _frequencies(counts))
     entry_postings = postings.join(stored, ["ns", "key_id"], "left_semi").withColumnRenamed("key_id", "entry_id")
     others = postings.join(stored, ["ns", "key_id"], "left_anti")
     pairs = others.join(entry_postings, ["ns", "bucket"]).select("ns", "key_id", "entry_id").distinct()
-    candidates = _similar(pairs, counts, norms, threshold)
+    candidates = _similar(pairs, (counts, norms), (counts, norms), threshold)
     own = stored.select("ns", "key_id", F.col("key_id").alias("entry_id"), F.lit(1.0).alias("sim"))
     candidates = cut_lineage(candidates.unionByName(own))
 
@@ -166,7 +198,16 @@ def replay(requests: DataFrame, threshold: float = 0.95) -> DataFrame:
     kind = (
         F.when(F.col("entry_id").isNull(), "miss").when(F.col("sim") >= V.EXACT_SIMILARITY, "exact").otherwise("near")
     )
-    return out.withColumn("kind", kind).withColumnRenamed("sim", "similarity").drop("key_id")
+    out = out.withColumn("kind", kind).withColumnRenamed("sim", "similarity")
+    if miss_similarity:
+        # a miss is the first request of a stored key
+        side = tuple(cut_lineage(part.join(stored, ["ns", "key_id"], "left_semi")) for part in (counts, norms))
+        near = closest(side, side, [level for level in LEVELS if level < threshold], earlier=True)
+        best = near.groupBy("ns", "key_id").agg(F.max("sim").alias("best"))
+        out = out.join(best, ["ns", "key_id"], "left")
+        missed = F.when(F.col("kind") == "miss", F.coalesce("best", F.lit(0.0)))
+        out = out.withColumn("similarity", F.coalesce("similarity", missed)).drop("best")
+    return out.drop("key_id")
 
 
 _SLICE = 1 << 16  # requests per slice of an entry's timeline
@@ -217,7 +258,7 @@ def _least_recent(tied: DataFrame) -> DataFrame:
 
 
 def stats(replayed: DataFrame, keys: list[str]) -> DataFrame:
-    """Hit rate, exact and near hits, tokens and USD saved, rounded to 6 digits.
+    """Hit rate, exact and near hits, stores, evictions, tokens and USD saved, rounded to 6 digits.
 
     A hit saves the cost of the entry that answered: its key text in, its response out.
     """
@@ -229,6 +270,8 @@ def stats(replayed: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("lookups"),
         F.count_if(hit).alias("hits"),
         F.count_if(~hit).alias("misses"),
+        F.count_if(~hit).alias("stores"),  # every miss is stored
+        (F.count("evicted") if "evicted" in replayed.columns else F.lit(0).cast("long")).alias("evictions"),
         F.count_if(F.col("kind") == "exact").alias("exact_hits"),
         F.count_if(F.col("kind") == "near").alias("near_hits"),
         F.round(F.avg(hit.cast("int")), 6).alias("hit_rate"),
@@ -266,7 +309,7 @@ def sweep(requests: DataFrame, thresholds: list[float], scopes: dict[str, Column
     for scope, ns in scopes.items():
         scoped = requests.withColumn("ns", ns)
         for t in thresholds:
-            run = replay(scoped, t).select(F.lit(scope).alias("scope"), F.lit(t).alias("threshold"), "*")
+            run = replay(scoped, t, miss_similarity=False).select(F.lit(scope).alias("scope"), F.lit(t).alias("threshold"), "*")
             out = run if out is None else out.unionByName(run)
     return out
 

@@ -129,14 +129,12 @@ def _(spark, sf):
 
 @query(
     "cache_exact_hits",
-    D.sql(["req", "ent"], "SELECT r.seq AS request_id, e.entry_id FROM req r JOIN ent e ON e.tenant_id = r.tenant_id AND e.key_text = r.key_text"),
+    D.sql(["req", "ent"], "SELECT r.seq AS request_id, min(e.entry_id) AS entry_id FROM req r JOIN ent e ON e.tenant_id = r.tenant_id AND e.key_text = r.key_text GROUP BY r.seq"),
 )
 def _(spark, sf):
-    looked = _looked_up(spark, sf, "tenant").filter("kind = 'exact' AND similarity = 1.0")
-    r = requests(spark, sf).select(F.col("seq").alias("request_id"), "key_text")
-    e = entries(spark, sf, "tenant").select("entry_id", F.col("key_text").alias("entry_text"))
-    same = looked.join(r, "request_id").join(e, "entry_id").filter("key_text = entry_text")
-    return same.select("request_id", "entry_id")
+    scope = X.cache_namespace(F.col("tenant_id"), F.col("customer_id"), "tenant")
+    r = requests(spark, sf).select(scope.alias("ns"), F.col("seq").alias("request_id"), "key_text")
+    return C.exact_hits(r, entries(spark, sf, "tenant")).select("request_id", "entry_id")
 
 
 def _scopes():
@@ -163,7 +161,7 @@ def _(spark, sf):
 
 @query("cache_sweep")
 def _(spark, sf):
-    runs = C.sweep(requests(spark, sf), [1.0, 0.9], _scopes())
+    runs = C.sweep(requests(spark, sf), [1.0, 0.95, 0.9, 0.8, 0.7, 0.6], _scopes())
     return C.report(runs, ["scope", "threshold"])
 
 

@@ -28,9 +28,10 @@ def _cos(a, b):
     return dot / (n(a) * n(b))
 
 
-def _fold(rows, threshold):
+def _fold(rows, threshold, limit=10**9, evicted=None):
     """rows: (ns, seq, key, response) in order -> {(ns, seq): (kind, entry, answer)}"""
     spaces, out = {}, {}
+    evicted = {} if evicted is None else evicted
     for ns, seq, key, response in rows:
         lru = spaces.setdefault(ns, OrderedDict())
         exact = next((e for e, v in lru.items() if v[0] == key), None)
@@ -43,10 +44,12 @@ def _fold(rows, threshold):
                     best, sim = e, s
         if best is not None and sim >= threshold:
             lru.move_to_end(best)
-            out[(ns, seq)] = ("exact" if sim >= 1 - 1e-9 else "near", best, lru[best][2])
+            out[(ns, seq)] = ("exact" if sim >= 1 - 1e-9 else "near", best, lru[best][2], round(sim, 9))
         else:
             lru[seq] = (key, _vec(key), response)
-            out[(ns, seq)] = ("miss", None, None)
+            out[(ns, seq)] = ("miss", None, None, round(sim, 9))
+            if len(lru) > limit:
+                evicted[(ns, seq)] = lru.popitem(last=False)[0]
     return out
 
 
@@ -66,7 +69,7 @@ def test_replay_equals_sequential_walk(spark, seed, threshold):
     rows = _rows(seed, 90, 5)
     expect = _fold(rows, threshold)
     df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
-    got = {(r.ns, r.seq): (r.kind, r.entry_id, r.answer) for r in cache.replay(df, threshold).collect()}
+    got = {(r.ns, r.seq): (r.kind, r.entry_id, r.answer, round(r.similarity, 9)) for r in cache.replay(df, threshold).collect()}
     assert got == expect
 
 
@@ -76,17 +79,18 @@ def test_ties_go_to_the_least_recently_used_entry(spark):
     expect = _fold(rows, 0.7)
     assert len({expect[("n", i)][1] for i in (2, 3, 5, 6, 8)}) == 2
     df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
-    got = {(r.ns, r.seq): (r.kind, r.entry_id, r.answer) for r in cache.replay(df, 0.7).collect()}
+    got = {(r.ns, r.seq): (r.kind, r.entry_id, r.answer, round(r.similarity, 9)) for r in cache.replay(df, 0.7).collect()}
     assert got == expect
 
 
 def test_eviction_equals_sequential_walk(spark):
     rows = _rows(7, 80, 5)
     df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
-    unlimited = {(r.ns, r.seq): (r.kind, r.entry_id, r.answer) for r in cache.replay_lru(df, 0.8, 1000).collect()}
+    unlimited = {(r.ns, r.seq): (r.kind, r.entry_id, r.answer, round(r.similarity, 9)) for r in cache.replay_lru(df, 0.8, 1000).collect()}
     assert unlimited == _fold(rows, 0.8)
-    tight = cache.replay_lru(df, 0.8, 2).collect()
-    assert sum(r.evicted is not None for r in tight) == sum(r.kind == "miss" for r in tight) - 4
+    tight, evicted = cache.replay_lru(df, 0.8, 2), {}
+    assert {(r.ns, r.seq): (r.kind, r.entry_id, r.answer, round(r.similarity, 9)) for r in tight.collect()} == _fold(rows, 0.8, 2, evicted)
+    assert {(r.ns, r.seq): r.evicted for r in tight.filter("evicted IS NOT NULL").collect()} == evicted and evicted
 
 
 def test_copies_settle_in_one_round(spark):
@@ -101,3 +105,39 @@ def test_threshold_bounds(spark):
     for bad in (0.0, 1.1):
         with pytest.raises(ValueError):
             cache.replay(df, bad)
+
+
+def test_stats_and_report_equal_sums_over_the_walk(spark):
+    rows = _rows(4, 60, 4)
+    df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
+    df = df.selectExpr("*", "'cold' AS request_kind", "0.5D AS call_cost")
+    walked = _fold(rows, 0.8)
+    runs = cache.replay(df, 0.8)
+    stored = df.selectExpr("ns", "seq AS entry_id", "key_text AS entry_text")
+    truth = {(ns, seq): response for ns, seq, _, response in rows}
+    for r in cache.stats(runs.join(stored, ["ns", "entry_id"], "left"), ["ns"]).collect():
+        mine = {k: v for k, v in walked.items() if k[0] == r.ns}
+        kinds = Counter(v[0] for v in mine.values())
+        assert (r.lookups, r.misses, r.stores, r.evictions) == (len(mine), kinds["miss"], kinds["miss"], 0)
+        assert (r.exact_hits, r.near_hits) == (kinds["exact"], kinds["near"])
+        assert r.output_tokens_saved == sum(len(v[2]) // 4 for v in mine.values() if v[2])
+    for r in cache.sweep(df, [1.0, 0.8], {"ns": F.col("ns")}).transform(lambda d: cache.report(d, ["threshold"])).collect():
+        if r.threshold == 0.8:
+            wrong = sum(v[2] is not None and v[2] != truth[k] for k, v in walked.items())
+            hits = sum(v[0] != "miss" for v in walked.values())
+            assert (r.hits, r.false_hits, r.no_cache_cost_usd, r.cost_saved_usd) == (hits, wrong, 30.0, 0.5 * hits)
+
+
+def test_lookup_equals_all_pairs(spark):
+    rows = _rows(11, 80, 6)
+    entries, asked = rows[:40], rows[40:]
+    e = spark.createDataFrame([("n", s, k, r, s) for _, s, k, r in entries], "ns string, entry_id long, key_text string, response string, last_touch_seq long")
+    q = spark.createDataFrame([("n", s, k) for _, s, k, _ in asked], "ns string, request_id long, key_text string")
+    got = {r.request_id: r for r in cache.lookup(q, e, 0.9).collect()}
+    assert len(got) == len(asked)
+    for _, seq, key, _ in asked:
+        equal = [s for _, s, k, _ in entries if k == key]
+        sims = sorted(((-_cos(_vec(key), _vec(k)), s) for _, s, k, _ in entries))
+        r, best = got[seq], -sims[0][0]
+        assert r.similarity == pytest.approx(1.0 if equal else best)
+        assert r.entry_id == (equal[0] if equal else None if best < 0.9 else min(s for x, s in sims if abs(x + best) < 1e-12))
