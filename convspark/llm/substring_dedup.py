@@ -8,15 +8,18 @@ A document is factored greedily: a factor goes on as long as the next seed, whic
 first place at the same distance from it in the same document. All words of a factor stand in that earlier place, so
 a factor of a window or more is a duplicate span without looking at a text.
 
-Windows that reach over the boundary of a factor may still have occurred, elsewhere. A boundary is an *open* seed: some window
-around it is not inside its factor. The first occurrence of a window always has the first occurrence of its seed, so it
-suffices to hash the windows of open seeds and of the first places that these refer to, and to compare those by hash.
+Windows that reach over the boundary of a factor may still have occurred, elsewhere. The first occurrence of a window is
+never inside a factor; it lies around a later seed, or around the first place of its seed. So it suffices to hash the
+windows around later seeds that are not inside the seed's factor, and those in the same places around the seed's first
+place, and to compare them with each other.
 
 Runs and windows are compared by 64-bit hashes of words that are hashed to 64 bits themselves.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convspark.llm.common import table
+from convspark.llm.common import shared_folder, table
 
 WINDOW = 20
 #: A seed is longer than two neighbouring seeds of a text can be apart, which is WINDOW - SEED_WORDS + 1 words at most.
@@ -76,12 +79,17 @@ def seeds_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return runs[places], places
 
 
-def windows_of(words: list[bytes], at: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, starts) of the windows whose seed has the hash of a seed at one of the places."""
-    hashes = _hashes(words)
-    runs = _runs(hashes, SEED_WORDS)
-    starts = np.flatnonzero(np.isin(_sliding(runs, _PLACES, np.minimum), runs[np.array(at)]))
-    return _runs(hashes, WINDOW)[starts], starts
+def windows_of(words: list[bytes], ranges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the windows that start in one of the ranges (last place included)."""
+    n = len(words) - WINDOW + 1
+    edges = np.zeros(max(n, 0) + 1, np.int64)
+    lows, highs = np.clip(np.array(ranges).T + [[0], [1]], 0, max(n, 0))
+    np.add.at(edges, lows, 1)
+    np.add.at(edges, highs, -1)
+    starts = np.flatnonzero(np.cumsum(edges) > 0)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    return _runs(_hashes(words), WINDOW)[starts], starts
 
 
 _SEED = T.StructType([T.StructField("h", T.LongType()), T.StructField("at", T.LongType())])
@@ -102,8 +110,23 @@ def _seeds(text: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.ArrayType(_SEED))
-def _windows(text: pa.Array, at: pa.Array) -> pa.Array:
-    return _pairs([windows_of(_words(t), a) for t, a in zip(text.cast(pa.binary()).to_pylist(), at.to_pylist())])
+def _windows(packed: pa.Array, ranges: pa.Array) -> pa.Array:
+    rows = zip(packed.to_pylist(), ranges.to_pylist())
+    return _pairs([windows_of(_words(_unpacked(p)), [(x >> 32, x & 0xFFFFFFFF) for x in r]) for p, r in rows])
+
+
+def _unpacked(packed: bytes | None) -> bytes | None:
+    return None if packed is None else zlib.decompress(packed)
+
+
+@F.arrow_udf(T.BinaryType())
+def _pack(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else zlib.compress(t, 1) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+@F.arrow_udf(T.StringType())
+def _unpack(packed: pa.Array) -> pa.Array:
+    return pa.array([None if p is None else _unpacked(p).decode() for p in packed.to_pylist()], pa.string())
 
 
 _KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
@@ -121,16 +144,16 @@ def keep_words(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 @F.arrow_udf(_KEPT)
-def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+def _cut(packed: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
-    for t, s in zip(text.cast(pa.binary()).to_pylist(), spans.to_pylist()):
-        words = _words(t)
+    for p, s in zip(packed.to_pylist(), spans.to_pylist()):
+        words = _words(_unpacked(p))
         kept = keep_words(words, [(x["start"], x["end"]) for x in s or ()])
         out.append({"n_words": len(words), "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode()})
     return pa.array(out, _ARROW_KEPT)
 
 
-TIE, FOUND = "_llm_tie", "_llm_found"
+TIE, PACKED, FOUND = "_llm_tie", "_llm_packed", "_llm_found"
 
 
 #: A place is the document's doc_id and one number: 32 bits of a hash of its text, then the number of the word.
@@ -146,12 +169,19 @@ def _at(spot: Column) -> Column:
     return spot.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def _stored(df: DataFrame, kind: str) -> DataFrame:
+    """Written once in the shared folder and read from there: what follows uses it more than once."""
+    folder = shared_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def _repeated(places: DataFrame) -> DataFrame:
     """(h, doc_id, spot, first) of the places whose hash occurs twice or more; first is the earliest place.
 
     Only hashes and counts, combined map-side, decide what repeats; a frequent hash meets one row in either join."""
     often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    again = places.join(often, "h")
+    again = _stored(places.join(often, "h"), "seeds")
     first = again.groupBy("h").agg(F.min(F.struct("doc_id", "spot")).alias("first"))
     return again.join(first, "h")
 
@@ -160,13 +190,13 @@ def _later(repeated: DataFrame) -> DataFrame:
     return repeated.filter(~F.struct("doc_id", "spot").eqNullSafe(F.col("first")))
 
 
-def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, spans): word spans to remove of the documents that have any; ``docs`` has doc_id, text and ``TIE``."""
-    docs = docs.withColumnRenamed(TIE, "tie")
-    places = docs.select("doc_id", "tie", F.explode(_seeds("text")).alias("seed"))
+def duplicate_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """(key, spans): merged word spans to remove of the documents that have any.
+
+    ``docs`` has doc_id, ``TIE`` and text, ``packed`` doc_id, ``TIE`` and the deflated text."""
+    places = docs.select("doc_id", F.col(TIE).alias("tie"), F.explode(_seeds("text")).alias("seed"))
     places = places.select(F.col("seed.h").alias("h"), "doc_id", _spot(F.col("seed.at")).alias("spot"))
-    later = _later(_repeated(places))
-    later = later.select(
+    later = _later(_repeated(places)).select(
         "doc_id",
         _tie(F.col("spot")).alias("tie"),
         _at(F.col("spot")).alias("at"),
@@ -184,30 +214,58 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     )
     factored = later.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("factor", F.sum("new").over(along))
     whole = Window.partitionBy("doc_id", "tie", "factor")
-    factored = factored.withColumns(
-        {"start": F.min("at").over(whole), "end": (F.max("at").over(whole) + SEED_WORDS)}
-    ).drop("new")
+    factored = factored.withColumns({"start": F.min("at").over(whole), "end": F.max("at").over(whole) + SEED_WORDS})
+    factored = _stored(factored.drop("new", "factor"), "factors")
 
     long = F.col("end") - F.col("start") >= WINDOW
     spans = factored.filter((F.col("at") == F.col("start")) & long).select("doc_id", "tie", "start", "end")
-    reach = WINDOW - SEED_WORDS
-    opened = factored.filter((F.col("at") - reach < F.col("start")) | (F.col("at") + WINDOW > F.col("end")))
-    looked = opened.select("doc_id", "tie", "at").union(opened.select("ref_doc", _tie(F.col("ref")), _at(F.col("ref"))))
-    looked = looked.distinct().groupBy("doc_id", "tie").agg(F.collect_list("at").alias("ats"))
 
-    seen = _joined(docs.withColumnRenamed("tie", TIE), looked, "inner")
-    windows = seen.select("doc_id", F.col(TIE).alias("tie"), F.explode(_windows("text", FOUND)).alias("window"))
+    # a seed's windows start up to so many words before it; those not inside the factor are looked at, here and there
+    earliest = F.col("at") - (WINDOW - SEED_WORDS)
+    left = F.struct(earliest.alias("low"), F.least(F.col("at"), F.col("start") - 1).alias("high"))
+    right = F.struct(F.greatest(earliest, F.col("end") - WINDOW + 1).alias("low"), F.col("at").alias("high"))
+    both = F.filter(F.array(left, right), lambda r: r["low"] <= r["high"])
+    # a range as one number; what lies before a text's start is cut off
+    one = lambda low, high: F.shiftleft(F.greatest(low, F.lit(0)), 32).bitwiseOR(high)
+    shift = _at(F.col("ref")) - F.col("at")
+    here = lambda r: F.struct(
+        F.struct("doc_id", "tie").alias("key"), r["low"].alias("low"), r["high"].alias("high")
+    )
+    there = lambda r: F.struct(
+        F.struct(F.col("ref_doc").alias("doc_id"), _tie(F.col("ref")).alias("tie")).alias("key"),
+        (r["low"] + shift).alias("low"),
+        (r["high"] + shift).alias("high"),
+    )
+    looked = factored.select(F.explode(F.concat(F.transform(both, here), F.transform(both, there))).alias("r")).select("r.*")
+    looked = looked.filter("high >= 0").select("key", one(F.col("low"), F.col("high")).alias("range"))
+    looked = looked.groupBy("key").agg(F.collect_set("range").alias("ranges"))
+
+    seen = _joined(packed, looked, "inner")
+    windows = seen.select("doc_id", F.col(TIE).alias("tie"), F.explode(_windows(PACKED, FOUND)).alias("window"))
     windows = windows.select(F.col("window.h").alias("h"), "doc_id", _spot(F.col("window.at")).alias("spot"))
-    again = _later(_repeated(windows)).select("doc_id", _tie(F.col("spot")).alias("tie"), _at(F.col("spot")).alias("start"))
-    spans = spans.union(again.select("doc_id", "tie", "start", (F.col("start") + WINDOW).alias("end")))
-    return spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    first = windows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "spot")).alias("first"))
+    again = _later(windows.join(first.filter("n > 1"), "h"))
+    again = again.select("doc_id", _tie(F.col("spot")).alias("tie"), _at(F.col("spot")).alias("start"))
+    spans = spans.union(again.select("doc_id", "tie", "start", F.col("start") + WINDOW))
+    spans = _merged(spans.select(F.struct("doc_id", "tie").alias("key"), "start", "end"))
+    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Overlapping and touching spans of a document as one."""
+    along = Window.partitionBy("key").orderBy("start", "end")
+    reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    parts = spans.withColumn("new", F.when(F.col("start") <= reached, 0).otherwise(1))
+    parts = parts.withColumn("part", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return parts.groupBy("key", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def _joined(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """Texts with what is known of them; the texts are dealt by document alike each time, and not sorted."""
-    right = other.select(F.col("doc_id").alias("_llm_id"), F.col("tie").alias("_llm_t"), F.col(other.columns[-1]).alias(FOUND))
-    on = docs["doc_id"].eqNullSafe(right["_llm_id"]) & (docs[TIE] == right["_llm_t"])
-    return docs.join(right.hint("shuffle_hash"), on, how)
+    """Texts with what is known of them, by one key (a struct with a null equals its like): the texts are dealt by
+    document alike each time, and not sorted."""
+    right = other.select(F.col("key").alias("_llm_key"), F.col(other.columns[-1]).alias(FOUND))
+    key = F.struct(docs["doc_id"], docs[TIE].alias("tie"))
+    return docs.join(right.hint("shuffle_hash"), key == right["_llm_key"], how)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -220,10 +278,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     tie = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF))
     clean = docs.drop("n_words", "n_removed", "kept")
     keyed = clean.withColumn(TIE, tie)
-    spans = duplicate_spans(keyed.select("doc_id", "text", TIE))
-    out = _joined(keyed, spans, "left").withColumn("_llm_cut", _cut("text", FOUND))
-    names = ["n_words", "n_removed", "kept"]
-    return out.select(*clean.columns, *[F.col(f"_llm_cut.{c}").alias(c) for c in names])
+    # texts travel deflated, and only they: all other columns are light
+    packed = keyed.withColumn(PACKED, _pack("text")).drop("text")
+    spans = duplicate_spans(keyed.select("doc_id", TIE, "text"), packed.select("doc_id", TIE, PACKED))
+    out = _joined(packed, spans, "left").withColumn("_llm_cut", _cut(PACKED, FOUND))
+    columns = [_unpack(PACKED).alias(c) if c == "text" else F.col(f"`{c}`") for c in clean.columns]
+    return out.select(*columns, *[F.col(f"_llm_cut.{c}").alias(c) for c in ("n_words", "n_removed", "kept")])
 
 
 def query(spark, sf_dir):
