@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convspark import values as V
 from convspark.functions import text as X
 from convspark.operators import cache as C
 from convspark.plans import prepare
@@ -137,6 +138,52 @@ def _(spark, sf):
     return C.exact_hits(r, entries(spark, sf, "tenant")).select("request_id", "entry_id")
 
 
+# the log walked request by request; a namespace keeps its entries with the request that touched them last
+D.part(
+    "key_sim",
+    ["rbow"],
+    """SELECT tenant_id, h, map_from_entries(list((h2, sim))) AS m FROM (SELECT a.tenant_id, a.h, b.h AS h2,
+    sum(a.c * b.c) / (sqrt(any_value(na.n)) * sqrt(any_value(nb.n))) AS sim FROM rbow a
+    JOIN rbow b ON a.tenant_id = b.tenant_id AND a.b = b.b
+    JOIN (SELECT tenant_id, h, sum(c * c) AS n FROM rbow GROUP BY ALL) na ON na.tenant_id = a.tenant_id AND na.h = a.h
+    JOIN (SELECT tenant_id, h, sum(c * c) AS n FROM rbow GROUP BY ALL) nb ON nb.tenant_id = b.tenant_id AND nb.h = b.h
+    GROUP BY a.tenant_id, a.h, b.h) GROUP BY tenant_id, h""",
+)
+THRESHOLDS = [1.0, 0.95, 0.9, 0.8, 0.7, 0.6]
+
+
+def _walked(name: str, scopes: list[str], thresholds: list[float]) -> None:
+    """Parts ``<name>_seq``, the requests by scope and threshold, and ``<name>``, the walk over them."""
+    values = ", ".join(f"('{s}', {t!r}::DOUBLE)" for s in scopes for t in thresholds)
+    D.part(
+        f"{name}_seq",
+        ["req", "key_sim"],
+        f"""SELECT *, row_number() OVER (PARTITION BY scope, threshold, ns ORDER BY seq) AS r FROM (
+        SELECT v.scope, v.threshold, CASE v.scope WHEN 'tenant' THEN q.tenant_id ELSE q.tenant_id || ':' || q.customer_id END AS ns,
+        q.seq, md5(q.key_text) AS h, k.m FROM req q LEFT JOIN key_sim k ON k.tenant_id = q.tenant_id AND k.h = md5(q.key_text),
+        (VALUES {values}) v(scope, threshold))""",
+    )
+    D.part(
+        name,
+        [f"{name}_seq"],
+        f"""SELECT scope, threshold, ns, 0::BIGINT AS r, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, NULL::DOUBLE AS similarity,
+        NULL::BIGINT AS entry_id, []::STRUCT(e BIGINT, h VARCHAR, t BIGINT)[] AS entries
+        FROM (SELECT DISTINCT scope, threshold, ns FROM {name}_seq)
+        UNION ALL SELECT scope, threshold, ns, r, seq, kind, similarity, CASE WHEN kind <> 'miss' THEN b.e END,
+        CASE WHEN kind = 'miss' THEN list_append(entries, {{'e': seq, 'h': h, 't': r}}) ELSE list_transform(entries,
+            lambda x: {{'e': x.e, 'h': x.h, 't': CASE WHEN x.e = b.e THEN r ELSE x.t END}}) END
+        FROM (SELECT *, CASE WHEN b IS NULL THEN 0.0 ELSE least(b.s, 1.0) END AS similarity,
+            CASE WHEN b IS NULL OR b.s < threshold THEN 'miss' WHEN b.s >= 1 - 1e-9::DOUBLE THEN 'exact' ELSE 'near' END AS kind
+            FROM (SELECT w.scope, w.threshold, w.ns, q.r, q.seq, q.h, w.entries, list_sort(list_transform(w.entries, lambda x:
+                {{'s': CASE WHEN x.h = q.h THEN 2.0::DOUBLE ELSE coalesce(q.m[x.h], 0.0) END, 't': -x.t, 'e': x.e}}))[-1] AS b
+                FROM {name} w JOIN {name}_seq q ON q.scope = w.scope AND q.threshold = w.threshold AND q.ns = w.ns AND q.r = w.r + 1))""",
+    )
+
+
+_walked("cache_walk", ["tenant_customer"], [THRESHOLD])
+_walked("sweep_walk", ["tenant", "tenant_customer"], THRESHOLDS)
+
+
 def _scopes():
     tenant, customer = F.col("tenant_id"), F.col("customer_id")
     return {s: X.cache_namespace(tenant, customer, s) for s in ("tenant", "tenant_customer")}
@@ -146,22 +193,58 @@ def _replayed(spark, sf, scope="tenant_customer", threshold=THRESHOLD):
     return C.replay(requests(spark, sf).withColumn("ns", _scopes()[scope]), threshold)
 
 
-@query("cache_replay")
+@query(
+    "cache_replay",
+    D.sql(["cache_walk"], "SELECT ns, seq, kind, round(similarity, 6) AS similarity, entry_id FROM cache_walk WHERE seq IS NOT NULL",
+          recursive=True),
+)
 def _(spark, sf):
     """Request log replayed in order, each customer with an own namespace."""
     return _replayed(spark, sf).select("ns", "seq", "kind", F.round("similarity", 6).alias("similarity"), "entry_id")
 
 
-@query("cache_stats")
+@query(
+    "cache_stats",
+    D.sql(
+        ["cache_walk", "req"],
+        f""", x AS (SELECT q.tenant_id, w.kind, length(e.key_text) // 4 AS i, length(e.response) // 4 AS o FROM cache_walk w
+        JOIN req q ON q.seq = w.seq LEFT JOIN req e ON e.seq = w.entry_id)
+        SELECT tenant_id, count(*) AS lookups, count(*) FILTER (kind <> 'miss') AS hits, count(*) FILTER (kind = 'miss') AS misses,
+        count(*) FILTER (kind = 'miss') AS stores, 0::BIGINT AS evictions, count(*) FILTER (kind = 'exact') AS exact_hits,
+        count(*) FILTER (kind = 'near') AS near_hits, round(avg(CASE WHEN kind <> 'miss' THEN 1 ELSE 0 END), 6) AS hit_rate,
+        coalesce(sum(i), 0)::BIGINT AS input_tokens_saved, coalesce(sum(o), 0)::BIGINT AS output_tokens_saved,
+        round(coalesce(sum(i / 1e6 * {V.USD_PER_M_INPUT}::DOUBLE + o / 1e6 * {V.USD_PER_M_OUTPUT}::DOUBLE), 0), 6) AS cost_saved_usd
+        FROM x GROUP BY tenant_id""",
+        recursive=True,
+    ),
+)
 def _(spark, sf):
     r = _replayed(spark, sf)
     stored = requests(spark, sf).select(F.col("seq").alias("entry_id"), F.col("key_text").alias("entry_text"))
     return C.stats(r.join(stored, "entry_id", "left"), ["tenant_id"])
 
 
-@query("cache_sweep")
+@query(
+    "cache_sweep",
+    D.sql(
+        ["sweep_walk", "req"],
+        """, x AS (SELECT w.scope, w.threshold, w.kind <> 'miss' AS hit, q.paraphrase, coalesce(e.response <> q.response, false) AS wrong,
+        length(q.key_text) // 4 / 1e6 * 3.0::DOUBLE + length(q.response) // 4 / 1e6 * 15.0::DOUBLE AS cost
+        FROM sweep_walk w JOIN (SELECT r.*, k::INT % 4 IN (1, 2) AS paraphrase FROM req r JOIN evt v ON v.event_id = r.seq) q
+        ON q.seq = w.seq LEFT JOIN req e ON e.seq = w.entry_id)
+        SELECT scope, threshold, count(*) AS lookups, count(*) FILTER (hit) AS hits,
+        round(avg(CASE WHEN hit THEN 1 ELSE 0 END), 6) AS hit_rate, 0::BIGINT AS hits_cold,
+        count(*) FILTER (hit AND NOT paraphrase) AS hits_exact_return, count(*) FILTER (hit AND paraphrase) AS hits_paraphrase_return,
+        round(sum(cost), 6) AS no_cache_cost_usd, round(sum(CASE WHEN hit THEN cost ELSE 0 END), 6) AS cost_saved_usd,
+        round(sum(CASE WHEN hit THEN cost ELSE 0 END) * 100 / sum(cost), 4) AS cost_reduction_pct,
+        count(*) FILTER (hit AND wrong) AS false_hits,
+        round(coalesce(count(*) FILTER (hit AND wrong) / nullif(count(*) FILTER (hit), 0), 0), 6) AS false_hit_rate
+        FROM x GROUP BY scope, threshold""",
+        recursive=True,
+    ),
+)
 def _(spark, sf):
-    runs = C.sweep(requests(spark, sf), [1.0, 0.95, 0.9, 0.8, 0.7, 0.6], _scopes())
+    runs = C.sweep(requests(spark, sf), THRESHOLDS, _scopes())
     return C.report(runs, ["scope", "threshold"])
 
 
