@@ -152,8 +152,8 @@ D.part(
 THRESHOLDS = [1.0, 0.95, 0.9, 0.8, 0.7, 0.6]
 
 
-def _walked(name: str, scopes: list[str], thresholds: list[float]) -> None:
-    """Parts ``<name>_seq``, the requests by scope and threshold, and ``<name>``, the walk over them."""
+def walked(name: str, scopes: list[str], thresholds: list[float], limit: int = 1 << 30) -> None:
+    """Parts ``<name>_seq``, the requests by scope and threshold, and ``<name>``, the walk over them with ``limit`` entries."""
     values = ", ".join(f"('{s}', {t!r}::DOUBLE)" for s in scopes for t in thresholds)
     D.part(
         f"{name}_seq",
@@ -167,21 +167,25 @@ def _walked(name: str, scopes: list[str], thresholds: list[float]) -> None:
         name,
         [f"{name}_seq"],
         f"""SELECT scope, threshold, ns, 0::BIGINT AS r, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, NULL::DOUBLE AS similarity,
-        NULL::BIGINT AS entry_id, []::STRUCT(e BIGINT, h VARCHAR, t BIGINT)[] AS entries
+        NULL::BIGINT AS entry_id, NULL::BIGINT AS evicted, []::STRUCT(e BIGINT, h VARCHAR, t BIGINT)[] AS entries
         FROM (SELECT DISTINCT scope, threshold, ns FROM {name}_seq)
-        UNION ALL SELECT scope, threshold, ns, r, seq, kind, similarity, CASE WHEN kind <> 'miss' THEN b.e END,
-        CASE WHEN kind = 'miss' THEN list_append(entries, {{'e': seq, 'h': h, 't': r}}) ELSE list_transform(entries,
+        UNION ALL SELECT scope, threshold, ns, r, seq, kind, similarity, CASE WHEN kind <> 'miss' THEN b.e END, evicted,
+        CASE WHEN kind = 'miss' THEN list_append(list_filter(entries, lambda x: evicted IS NULL OR x.e <> evicted),
+            {{'e': seq, 'h': h, 't': r}}) ELSE list_transform(entries,
             lambda x: {{'e': x.e, 'h': x.h, 't': CASE WHEN x.e = b.e THEN r ELSE x.t END}}) END
+        FROM (SELECT *, CASE WHEN kind = 'miss' AND len(entries) >= {limit}
+            THEN list_sort(list_transform(entries, lambda x: {{'t': x.t, 'e': x.e}}))[1].e END AS evicted
         FROM (SELECT *, CASE WHEN b IS NULL THEN 0.0 ELSE least(b.s, 1.0) END AS similarity,
             CASE WHEN b IS NULL OR b.s < threshold THEN 'miss' WHEN b.s >= 1 - 1e-9::DOUBLE THEN 'exact' ELSE 'near' END AS kind
             FROM (SELECT w.scope, w.threshold, w.ns, q.r, q.seq, q.h, w.entries, list_sort(list_transform(w.entries, lambda x:
                 {{'s': CASE WHEN x.h = q.h THEN 2.0::DOUBLE ELSE coalesce(q.m[x.h], 0.0) END, 't': -x.t, 'e': x.e}}))[-1] AS b
-                FROM {name} w JOIN {name}_seq q ON q.scope = w.scope AND q.threshold = w.threshold AND q.ns = w.ns AND q.r = w.r + 1))""",
+                FROM {name} w JOIN {name}_seq q ON q.scope = w.scope AND q.threshold = w.threshold AND q.ns = w.ns AND q.r = w.r + 1)))""",
     )
 
 
-_walked("cache_walk", ["tenant_customer"], [THRESHOLD])
-_walked("sweep_walk", ["tenant", "tenant_customer"], THRESHOLDS)
+walked("cache_walk", ["tenant_customer"], [THRESHOLD])
+walked("tight_walk", ["tenant_customer"], [THRESHOLD], 2)
+walked("sweep_walk", ["tenant", "tenant_customer"], THRESHOLDS)
 
 
 def _scopes():

@@ -214,9 +214,24 @@ def _(spark, sf):
     return SI.envelopes(raw).groupBy("tenant_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("stream_linked_customers")
+_ARRIVAL = f"CASE WHEN strftime(received_at, '%Y-%m-%d') < '{CUTS[0]}' THEN 0 WHEN strftime(received_at, '%Y-%m-%d') < '{CUTS[1]}' THEN 1 ELSE 2 END"
+
+
+@query(
+    "stream_linked_customers",
+    D.sql(
+        ["link_walk"],
+        f""", a AS (SELECT w.*, {_ARRIVAL} AS arrival FROM link_walk w JOIN arrival_seq q ON q.event_id = w.event_id)
+        SELECT w.tenant_id, w.event_id, w.outcome, CASE w.outcome WHEN 'collision' THEN NULL WHEN 'replay'
+            THEN CASE WHEN s.arrival = w.arrival THEN s.customer END ELSE w.customer END AS customer_id,
+        CASE WHEN w.outcome = 'linked' THEN split_part(w.matched, ':', 1) END AS matched_kind,
+        CASE WHEN w.outcome = 'linked' THEN substr(w.matched, instr(w.matched, ':') + 1) END AS matched_value FROM a w
+        LEFT JOIN (SELECT * FROM a WHERE outcome IN ('created', 'linked')) s ON s.tenant_id = w.tenant_id AND s.key = w.key""",
+        recursive=True,
+    ),
+)
 def _(spark, sf):
-    """Identity linking in three arrivals; equals the one-batch resolution (checked in the tests)."""
+    """Identity linking in three arrivals. A replay names its customer only if the key was stored in the same arrival."""
     e = IQ.hinted_events(spark, sf).withColumn("customer_id", F.lit(None).cast("string"))
     rows = e.select("tenant_id", "event_id", "received_at", "idempotency_key", "customer_id", "hints")
     out = _table(spark, "outcomes", SI.OUTCOME_SCHEMA)
@@ -225,7 +240,11 @@ def _(spark, sf):
     return out.read().select("tenant_id", "event_id", "outcome", "customer_id", "matched_kind", "matched_value")
 
 
-@query("cache_replay_with_eviction")
+@query(
+    "cache_replay_with_eviction",
+    D.sql(["tight_walk"], "SELECT ns, seq, kind, round(similarity, 6) AS similarity, entry_id, evicted FROM tight_walk WHERE seq IS NOT NULL",
+          recursive=True),
+)
 def _(spark, sf):
     """Replay per customer with room for two entries only."""
     r = cache_queries.requests(spark, sf).withColumn("ns", F.concat_ws(":", "tenant_id", "customer_id"))
