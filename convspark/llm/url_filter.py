@@ -131,8 +131,51 @@ def judge(pages: DataFrame, labels: DataFrame, host_rules: list[tuple[str, str,
 
 def query(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, table(spark, sf_dir, "labels")).drop("url")
-
+    out = judge(pages, table(spark, sf_dir, "labels"))
+    return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("because", " ").alias("because"), "confidence")
+
+
+def _fixed_sql(value) -> str:
+    """CASE over the fixed rules, longest first."""
+    arms = ""
+    for what, host, start in sorted(HOST_RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])):
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{start}')"
+        arms += f" WHEN {fits} THEN '{value(what, host + start)}'"
+    return f"CASE{arms} END"
+
+
+#: Itemsets by listing the subsets of each labelled page's tokens: for small tables.
+_SQL = f"""
+WITH parts AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '{_PARTS}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '{_PARTS}', 2), '') AS path, coalesce(regexp_extract(url, '{_PARTS}', 3), '') AS asked FROM pages
+), t AS (
+  SELECT page_id, url, host, path, list_sort(list_distinct(list_filter(list_concat(list_concat(
+    list_transform(string_split(host, '.'), lambda x: 'h:' || x),
+    list_transform(string_split_regex(lower(path), '[^\\p{{L}}\\p{{N}}]+'), lambda x: 'p:' || x)),
+    list_transform(regexp_extract_all(asked, '[?&]([^=&]+)', 1), lambda x: 'q:' || lower(x))), lambda x: length(x) > 2))) AS tokens FROM parts
+), known AS (
+  SELECT doc_id, bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels GROUP BY doc_id
+), seen AS (
+  SELECT t.tokens, k.bad FROM t JOIN known k ON k.doc_id = t.page_id WHERE len(t.tokens) > 0
+), subsets AS (
+  SELECT list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s, bad
+  FROM (SELECT tokens, bad, unnest(range(1, 1::BIGINT << len(tokens))) AS m FROM seen)
+), rules AS (
+  SELECT s, count(*) FILTER (bad) / count(*) AS confidence, count(*) FILTER (bad) AS both_n FROM subsets GROUP BY s
+  HAVING count(*) FILTER (bad) >= greatest(1, ceil({MIN_SUPPORT} * (SELECT count(*) FROM seen)))
+), kept AS (
+  SELECT * FROM rules r WHERE confidence >= {MIN_CONFIDENCE} AND both_n >= {MIN_PAGES} AND NOT EXISTS (SELECT 1 FROM rules q
+    WHERE len(q.s) = len(r.s) - 1 AND list_has_all(r.s, q.s) AND q.confidence >= r.confidence)
+), found AS (
+  SELECT url, max({{'c': confidence, 'n': len(s), 's': s}}) AS best FROM (SELECT DISTINCT url, tokens FROM t WHERE url IS NOT NULL) u
+  JOIN kept ON list_has_all(u.tokens, kept.s) GROUP BY url
+)
+SELECT page_id, host, path, {_fixed_sql(lambda what, rule: rule)} AS rule,
+  coalesce({_fixed_sql(lambda what, rule: what)}, CASE WHEN best IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+  array_to_string(best.s, ' ') AS because, best.c AS confidence
+FROM t LEFT JOIN found USING (url)
+"""
 
 QUERIES = {"op1_url_filter": query}
-ORACLE = {}
+ORACLE = {"op1_url_filter": _SQL}

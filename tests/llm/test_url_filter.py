@@ -73,3 +73,16 @@ def test_without_labels_or_pages(spark):
     assert U.judge(page.limit(0), label).count() == 0
     clash = page.withColumn("verdict", F.lit(1)).withColumn("host", F.lit(2))
     assert U.judge(clash, label).columns == ["page_id", "url", "html", "host", "path", "rule", "verdict", "because", "confidence"]
+
+
+def test_sql_equals_the_query_where_rules_are_mined(spark, tmp_path):
+    import duckdb
+
+    frame(spark, pages(), "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    frame(spark, labels(), "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = U.query(spark, str(tmp_path))
+    want = con.execute(U.ORACLE["op1_url_filter"]).fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want) and any(r[5] for r in want)
