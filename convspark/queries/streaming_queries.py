@@ -83,6 +83,21 @@ def _(spark, sf):
     return t["actions"].read().select("action_id", "decision", "status")
 
 
+@query(
+    "stream_replayed_actions",
+    D.sql(["flow0"], """SELECT tenant_id, event_id, action_id, decision, CASE decision WHEN 'reject' THEN 'rejected' WHEN 'auto' THEN 'executed'
+    ELSE 'pending_approval' END AS status FROM flow0"""),
+)
+def _(spark, sf):
+    """Every event arrives twice, in one batch or in two: the second arrival is answered with the stored action."""
+    e = _events(spark, sf).drop("idempotency_key", "channel_code")
+    again = e.withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 3 DAYS"))
+    schemas = (SD.ACTION_SCHEMA, SD.QUEUE_SCHEMA, SD.AUDIT_SCHEMA, SD.REJECT_SCHEMA, SD.ACTION_SCHEMA)
+    t = [_table(spark, n, s) for n, s in zip(("actions", "queue", "audit", "rejects", "replays"), schemas)]
+    play(spark, e.unionByName(again), SD.decide(T.policy_rules(spark), T.quorum_rules(spark), *t), "replay")
+    return t[-1].read().select("tenant_id", "event_id", "action_id", "decision", "status")
+
+
 @query(
     "stream_audit_counts",
     D.sql(["flow0", "evt"], """SELECT kind, count(*) AS n FROM (SELECT unnest(CASE decision WHEN 'approval_required' THEN ['proposal', 'decision']

@@ -29,23 +29,39 @@ VOTE_SCHEMA = (
 )
 
 
-def decide(rules: DataFrame, quorum: DataFrame, actions: BatchTable, queue: BatchTable, audit: BatchTable, rejects: BatchTable):
+def decide(
+    rules: DataFrame,
+    quorum: DataFrame,
+    actions: BatchTable,
+    queue: BatchTable,
+    audit: BatchTable,
+    rejects: BatchTable,
+    replays: BatchTable | None = None,
+):
     """Event -> proposal -> decision -> queue / execution -> audit, once per (tenant, event).
 
     A row without tenant or event id goes to the reject table and never fails the batch; an event decided by an
-    earlier batch adds neither action nor audit.
+    earlier batch adds neither action nor audit. What is asked again is answered with the stored action: ``replays`` gets one
+    row for each further arrival of an event.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         bad = A.missing_envelope_fields(batch)
         rejects.write(batch.filter(bad).select("tenant_id", "event_id", F.lit("missing envelope field").alias("reason")), batch_id)
-        done = actions.read(before=batch_id).select("tenant_id", "event_id")
-        fresh = batch.filter(~bad).join(done, ["tenant_id", "event_id"], "left_anti")
+        key = ["tenant_id", "event_id"]
+        asked = batch.filter(~bad)
+        stored = actions.read(before=batch_id)
+        fresh = asked.join(stored.select(*key), key, "left_anti")
         decided = DC.decide(DC.materialize(PR.propose(fresh)), rules)
         actions.write(DC.apply_decision(decided, quorum), batch_id)
         written = actions.read_batch(batch_id)
         queue.write(DC.queue_rows(written), batch_id)
         audit.write(DC.policy_audit(written), batch_id)
+        if replays is not None:
+            arrivals = asked.groupBy(*key).agg(F.count("*").alias("n"))
+            known = stored.withColumn("first", F.lit(0)).unionByName(written.withColumn("first", F.lit(1)))
+            again = known.join(arrivals, key).filter("n > first").withColumn("n", F.explode(F.expr("sequence(first + 1, n)")))
+            replays.write(again, batch_id)
 
     return handle
 
