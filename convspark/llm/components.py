@@ -18,8 +18,7 @@ def roots(links: DataFrame) -> DataFrame:
 
     ``links`` has two columns of the same orderable type. Large-star and small-star steps alternate until the links no
     longer change: every node then points at its root. Each step takes a minimum per node, which combines map-side, and
-    joins it back to the links, where a hot node meets one row and is split at run time. Each round is checkpointed in
-    the shared folder. Links with a null end and links from a node to itself are ignored.
+    joins it back to the links of the node. Each round is checkpointed in the shared folder. Links with a null end and links from a node to itself are ignored.
     """
     left, right = links.columns
     edges = links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))

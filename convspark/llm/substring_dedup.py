@@ -179,10 +179,11 @@ def _stored(df: DataFrame, kind: str) -> DataFrame:
 def _repeated(places: DataFrame) -> DataFrame:
     """(h, doc_id, spot, first) of the places whose hash occurs twice or more; first is the earliest place.
 
-    Only hashes and counts, combined map-side, decide what repeats; a frequent hash meets one row in either join."""
-    often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    Only hashes and counts, combined map-side, decide what repeats. Both sides of a join are tables or scans, not
+    aggregates, so that Spark can split the rows of a frequent hash among tasks: each meets one row."""
+    often = _stored(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     again = _stored(places.join(often, "h"), "seeds")
-    first = again.groupBy("h").agg(F.min(F.struct("doc_id", "spot")).alias("first"))
+    first = _stored(again.groupBy("h").agg(F.min(F.struct("doc_id", "spot")).alias("first")), "first")
     return again.join(first, "h")
 
 
@@ -243,8 +244,10 @@ def duplicate_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
     seen = _joined(packed, looked, "inner")
     windows = seen.select("doc_id", F.col(TIE).alias("tie"), F.explode(_windows(PACKED, FOUND)).alias("window"))
     windows = windows.select(F.col("window.h").alias("h"), "doc_id", _spot(F.col("window.at")).alias("spot"))
+    # as for the seeds: tables on both sides of the join, for windows that are very frequent
+    windows = _stored(windows, "windows")
     first = windows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "spot")).alias("first"))
-    again = _later(windows.join(first.filter("n > 1"), "h"))
+    again = _later(windows.join(_stored(first.filter("n > 1").drop("n"), "first"), "h"))
     again = again.select("doc_id", _tie(F.col("spot")).alias("tie"), _at(F.col("spot")).alias("start"))
     spans = spans.union(again.select("doc_id", "tie", "start", F.col("start") + WINDOW))
     spans = _merged(spans.select(F.struct("doc_id", "tie").alias("key"), "start", "end"))
