@@ -22,9 +22,10 @@ HOST_RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
+#: Share of the labelled pages below which the SQL text lists no sets; it only differs above 2,000 labelled pages.
 MIN_SUPPORT = 0.004
 MIN_CONFIDENCE = 0.5
-#: Bad pages that a rule needs at least, however few pages are labelled.
+#: Bad pages that a rule needs at least, however many pages are labelled.
 MIN_PAGES = 8
 _BLOCK = "=block"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -52,12 +53,13 @@ def tokens_of(url: Column) -> Column:
 def mine(
     pages: DataFrame,
     labels: DataFrame,
-    support: float = MIN_SUPPORT,
+    support: float = 0.0,
     confidence: float = MIN_CONFIDENCE,
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """(tokens, filed, confidence, support): rules from pages whose page_id is the doc_id of a label.
 
+    A rule needs ``min_pages`` bad pages at any size, and ``support`` as a share of the labelled pages if one is given.
     A page is bad if a label of it has quality 0 or toxic 1. Null ids, null urls and urls without tokens teach nothing;
     without labelled pages there are no rules. The rules are read from a table in the shared folder.
     """
@@ -69,10 +71,11 @@ def mine(
     marked = F.when(F.col("bad"), F.array_append("tokens", F.lit(_BLOCK))).otherwise(F.col("tokens"))
     baskets = seen.select(marked.alias("items"))
     folder = shared_folder(spark, "rules")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    size = baskets.count()
+    share = min(1.0, max(support, (min_pages - 0.5) / max(size, 1)))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
     model.freqItemsets.select(F.array_sort("items").alias("items"), "freq").write.parquet(f"{folder}/sets")
     sets = spark.read.parquet(f"{folder}/sets")
-    size = baskets.count()
 
     with_mark = sets.filter(F.array_contains("items", _BLOCK) & (F.size("items") > 1))
     with_mark = with_mark.select(F.array_remove("items", _BLOCK).alias("tokens"), F.col("freq").alias("both"))

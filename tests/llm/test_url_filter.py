@@ -67,6 +67,18 @@ def test_rules_are_pruned(spark):
     assert all(r.confidence == 1.0 and r.filed in r.tokens for r in rules)
 
 
+def test_eight_bad_pages_are_enough_at_any_size(spark):
+    found = []
+    for good in (100, 6000):
+        rows = [(i, f"http://tail.net/{i}") for i in range(8)] + [(i, f"http://seven.net/{i}") for i in range(8, 15)]
+        rows += [(i, f"http://fine{i % 50}.org/{i}") for i in range(15, 15 + good)]
+        page = frame(spark, rows, "page_id long, url string")
+        label = frame(spark, [(i, int(i >= 15), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+        found.append(sorted((r.tokens, r.confidence) for r in U.mine(page, label).filter("filed like 'h:%'").collect()))
+    assert found[0] == found[1]
+    assert (["h:tail"], 1.0) in found[1] and not any("h:seven" in tokens for tokens, _ in found[1])
+
+
 def test_without_labels_or_pages(spark):
     page, label = frame(spark, pages(), "page_id long, url string, html string"), frame(spark, [], "doc_id long, quality int, toxic int")
     assert U.judge(page, label).filter("because is not null").count() == 0
