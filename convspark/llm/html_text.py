@@ -8,6 +8,7 @@ line between paragraphs, list items with their markers, preformatted text as it
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -44,11 +45,13 @@ CLOSES = {
 WALLS = {"table", "td", "th", "caption"}
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-#: Elements within one another; deeper ones are taken as siblings, so that a page cannot exhaust the stack.
-MAX_DEPTH = 100
+#: What indentation and padding may add to a page: so many characters, or so many times its markup. A table beyond that pads
+#: its columns to 40 only, a list or quotation beyond that is indented by its innermost 100 levels; no text is left out.
+ROOM = 1 << 20
+ROOM_X = 8
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     attrs: dict
@@ -65,23 +68,21 @@ class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = [Node("html", {})]
-        self.below: dict[str, int] = {}
+        #: Of each tag, the places of its open elements.
+        self.places: dict[str, list[int]] = {}
 
     def _pop_to(self, length: int) -> None:
         for node in self.open[length:]:
-            self.below[node.tag] -= 1
+            self.places[node.tag].pop()
         del self.open[length:]
 
+    def _innermost(self, tags: set[str]) -> int:
+        return max((found[-1] for t in tags if (found := self.places.get(t))), default=0)
+
     def _last(self, tags: set[str], walls: set[str]) -> int:
         """Place of the innermost open element of the tags; 0 if there is none or a wall is nearer."""
-        if not any(self.below.get(t) for t in tags):
-            return 0
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                return i
-            if self.open[i].tag in walls:
-                return 0
-        return 0
+        at = self._innermost(tags)
+        return at if at and at >= self._innermost(walls) else 0
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and len(self.open) > 1 and tag != "body":
@@ -104,9 +105,8 @@ class TreeBuilder(HTMLParser):
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
-        if len(self.open) <= MAX_DEPTH:
-            self.open.append(node)
-            self.below[node.tag] = self.below.get(node.tag, 0) + 1
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -124,11 +124,67 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
+@dataclass(eq=False)
+class Indented:
+    """Lines behind a prefix, the first and the later ones; the last line is not empty."""
+
+    lines: list[str | Indented]
+    first: str
+    later: str
+
+
+class Room:
+    """What indentation and padding may still add to the page."""
+
+    def __init__(self, size: int):
+        self.left = max(ROOM, ROOM_X * size)
+
+    def take(self, n: int) -> bool:
+        if n > self.left:
+            return False
+        self.left -= n
+        return True
+
+
+def _flat(lines: list[str | Indented], room: Room) -> list[str]:
+    """The lines with their prefixes."""
+    if not any(isinstance(x, Indented) for x in lines):
+        return lines
+    wanted, stack = 0, [(iter(lines), 0)]
+    while stack:
+        inside, width = stack[-1]
+        for x in inside:
+            if isinstance(x, Indented):
+                stack.append((iter(x.lines), width + len(x.first)))
+                break
+            wanted += width
+        else:
+            stack.pop()
+    levels = 0 if room.take(wanted) else -100
+    out: list[str] = []
+    walk, around = [(iter(lines), False)], []
+    while walk:
+        inside, prefixed = walk[-1]
+        for x in inside:
+            if isinstance(x, Indented):
+                walk.append((iter(x.lines), bool(x.first)))
+                if x.first:
+                    around.append((x, len(out)))
+                break
+            out.append(("".join(a.first if at == len(out) else a.later for a, at in around[levels:]) + x).rstrip())
+        else:
+            walk.pop()
+            if prefixed:
+                around.pop()
+    return out
+
+
 class Lines:
     """Text under layout: words collapse to one blank, blocks start lines, a gap is one empty line."""
 
-    def __init__(self):
-        self.done: list[str] = []
+    def __init__(self, room: Room):
+        self.room = room
+        self.done: list[str | Indented] = []
         self.now: list[str] = []
         self.gap = False
 
@@ -154,42 +210,68 @@ class Lines:
         self.line()
         self.gap |= spaced
 
-    def add(self, lines: list[str], prefix: str = "", later: str = "") -> None:
+    def add(self, lines: list[str | Indented]) -> None:
         self.line()
         if lines:
             self._space()
-            self.done += [((prefix if i == 0 else later) + x).rstrip() for i, x in enumerate(lines)]
+            self.done += [x.rstrip() if isinstance(x, str) else x for x in lines]
+
+    def indent(self, lines: list[str | Indented], prefix: str, later: str) -> None:
+        self.add([Indented(lines, prefix, later)] if lines else [])
 
-    def result(self) -> list[str]:
+    def result(self) -> list[str | Indented]:
         self.line()
         return self.done
 
 
+def _run(step: Generator):
+    """The value of a generator that yields the generators it needs the values of: recursion without the interpreter's stack."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 def _raw(node: Node) -> str:
-    out = []
-    for c in node.children:
-        out.append(c if isinstance(c, str) else "\n" if c.tag == "br" else _raw(c) if c.visible else "")
+    out: list[str] = []
+    stack = [iter(node.children)]
+    while stack:
+        for c in stack[-1]:
+            if isinstance(c, str):
+                out.append(c)
+            elif c.tag == "br":
+                out.append("\n")
+            elif c.visible:
+                stack.append(iter(c.children))
+                break
+        else:
+            stack.pop()
     return "".join(out)
 
 
-def _inside(node: Node) -> list[str]:
-    out = Lines()
-    _flow(node, out)
+def _inside(node: Node, room: Room) -> Generator:
+    out = Lines(room)
+    yield _flow(node, out)
     lines = out.result()
     while lines and not lines[-1]:
         lines.pop()
     return lines
 
 
-def _flow(node: Node, out: Lines) -> None:
+def _flow(node: Node, out: Lines) -> Generator:
     for c in node.children:
         if isinstance(c, str):
             out.text(c)
         elif c.visible:
-            _element(c, out)
+            yield _element(c, out)
 
 
-def _element(node: Node, out: Lines) -> None:
+def _element(node: Node, out: Lines) -> Generator:
     tag = node.tag
     if tag == "br":
         out.line() if out.now else out.add([""])
@@ -199,30 +281,30 @@ def _element(node: Node, out: Lines) -> None:
         if node.attrs.get("alt"):
             out.text(node.attrs["alt"])
     elif tag in ("ul", "ol"):
-        _list(node, out)
+        yield _list(node, out)
     elif tag == "table":
         out.block(True)
-        out.add(_table(node))
+        out.add((yield _table(node, out.room)))
         out.block(True)
     elif tag == "pre":
         out.block(True)
         out.add(_raw(node).strip("\n").split("\n"))
         out.block(True)
     elif tag == "dd":
-        out.add(_inside(node), "  ", "  ")
+        out.indent((yield _inside(node, out.room)), "  ", "  ")
     elif tag == "blockquote":
         out.block(True)
-        out.add(_inside(node), "> ", "> ")
+        out.indent((yield _inside(node, out.room)), "> ", "> ")
         out.block(True)
     elif tag in BLOCK:
         out.block(tag in SPACED)
-        _flow(node, out)
+        yield _flow(node, out)
         out.block(tag in SPACED)
     else:
-        _flow(node, out)
+        yield _flow(node, out)
 
 
-def _list(node: Node, out: Lines) -> None:
+def _list(node: Node, out: Lines) -> Generator:
     number = node.attrs.get("start") or ""
     count = int(number) if re.fullmatch(r"-?[0-9]{1,9}", number, re.ASCII) else 1
     out.block(True)
@@ -232,19 +314,22 @@ def _list(node: Node, out: Lines) -> None:
                 out.text(c)
         elif c.visible and c.tag == "li":
             mark = f"{count}. " if node.tag == "ol" else "- "
-            out.add(_inside(c) or [""], mark, " " * len(mark))
+            out.indent((yield _inside(c, out.room)) or [""], mark, " " * len(mark))
             count += 1
         elif c.visible:
-            _element(c, out)
+            yield _element(c, out)
     out.block(True)
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node, room: Room) -> Generator:
     """Cells of a column start at the same place; a cell of several lines is joined to one."""
-    lead: list[str] = []
+    lead: list[str | Indented] = []
     rows: list[list[str]] = []
 
-    def collect(part: Node) -> None:
+    def joined(part: Node) -> Generator:
+        return " ".join(x for x in _flat((yield _inside(part, room)), room) if x)
+
+    def collect(part: Node) -> Generator:
         for c in part.children:
             if isinstance(c, str):
                 if c.strip():
@@ -252,23 +337,29 @@ def _table(node: Node) -> list[str]:
             elif not c.visible:
                 continue
             elif c.tag == "tr":
-                cells = [x for x in c.children if isinstance(x, Node) and x.visible and x.tag in ("td", "th")]
-                stray = [x for x in c.children if x not in cells and (isinstance(x, Node) or x.strip())]
-                row = [" ".join(x for x in _inside(cell) if x) for cell in cells]
-                if other := " ".join(x for x in _inside(Node("div", {}, stray)) if x):
+                row, stray = [], []
+                for x in c.children:
+                    if isinstance(x, str):
+                        stray += [x] if x.strip() else []
+                    elif x.visible and x.tag in ("td", "th"):
+                        row.append((yield joined(x)))
+                    else:
+                        stray.append(x)
+                if stray and (other := (yield joined(Node("div", {}, stray)))):
                     row.append(other)
                 if row:
                     rows.append(row)
             elif c.tag in ("thead", "tbody", "tfoot"):
-                collect(c)
-            else:
-                lead.extend(_inside(Node("div", {}, [c])))
+                yield collect(c)
+            elif lines := (yield _inside(Node("div", {}, [c]), room)):
+                lead.append(Indented(lines, "", ""))
 
-    collect(node)
+    yield collect(node)
     widths = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
     # padding up to one very long cell in every row would square the size
-    widths = [min(w, 40) for w in widths]
-    return lead + ["  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in rows]
+    if not room.take(sum(w - len(x) for r in rows for x, w in zip(r[:-1], widths))):
+        widths = [min(w, 40) for w in widths]
+    return lead + ["  ".join([*(x.ljust(w) for x, w in zip(r[:-1], widths)), r[-1]]).rstrip() for r in rows]
 
 
 def render(html: str | None) -> str:
@@ -276,7 +367,8 @@ def render(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    return "\n".join(_inside(builder.open[0])).strip("\n")
+    room = Room(len(html or ""))
+    return "\n".join(_flat(_run(_inside(builder.open[0], room)), room)).strip("\n")
 
 
 @F.arrow_udf(T.StringType())
@@ -288,7 +380,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with a column ``text`` (an input column of that name goes).
 
     Null and empty pages have an empty text. Any markup gives a text: unclosed elements end with the page, unmatched end
-    tags are ignored, elements nested deeper than ``MAX_DEPTH`` become siblings. Rows are judged alone.
+    tags are ignored, elements may be nested at any depth. Rows are judged alone.
     """
     return replaced(pages, text=_render("html"))
 

@@ -38,6 +38,25 @@ def test_any_markup_gives_a_text():
     assert len(render("<p>" + "word " * 200_000).split()) == 200_000
 
 
+def test_layout_and_visibility_at_any_depth():
+    for deep in ("<font>" * 101, "<div>" * 3000):
+        assert render(f"{deep}<script>x</script><i style='display:none'>y</i>a<ul><li>b<li>c</ul>") == "a\n\n- b\n- c"
+        assert render(f"<div hidden>{deep}<div>x</div>y</div>").strip() == ""
+        assert render(f"{deep}<table><tr><td>a<td>b<tr><td>cc<td>d</table>") == "a   b\ncc  d"
+    assert render("<blockquote>" * 300 + "q") == "> " * 300 + "q"
+    assert render("<ul><li>" * 150 + "a<li>b") == "- " * 150 + "a\n" + "  " * 149 + "- b"
+    # indentation that would square the page keeps its innermost levels, and all text
+    rows = render("<blockquote>x" * 5000).split("\n")
+    assert [x[-1] for x in rows if x.endswith("x")] == ["x"] * 5000 and rows[-1] == "> " * 100 + "x"
+
+
+def test_columns_are_as_wide_as_their_cells():
+    long = "w" * 70
+    assert render(f"<table><tr><td>{long}<td>1<tr><td>x<td>2</table>") == f"{long}  1\n{'x'.ljust(70)}  2"
+    rows = render("<table><tr><td>" + "w" * 100_000 + "<td>1" + "<tr><td>x<td>2" * 500).split("\n")
+    assert rows[1:] == ["x".ljust(40) + "  2"] * 500
+
+
 def test_rows_and_columns(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "v", "")]
     pages = frame(spark, rows, "page_id long, url string, html string").withColumn("text", F.lit(5))
