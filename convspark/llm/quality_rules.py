@@ -23,9 +23,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Labelled rows that the rules are learned from, those with the smallest hashes of doc_id.
 FIT_ROWS = 20_000
-MAX_RULES = 12
-#: Thresholds tried for a statistic: half way between so many quantiles of the labelled rows.
-THRESHOLDS = 64
+#: No bound in practice: each rule covers a labelled row that no rule before it does, and the list ends by precision.
+MAX_RULES = FIT_ROWS
 #: Of the rows of the pruning third that a rule covers, the part that must be bad.
 MIN_PRECISION = 0.9
 
@@ -146,17 +145,31 @@ def _covers(rule: Rule, rows: dict[str, np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def _grow(rows: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndarray]) -> Rule:
+def _cuts(x: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Half way between neighbouring values, except where both have bad rows only or good rows only. ``x`` is sorted,
+    ``hits`` counts the bad rows before each place."""
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    ends = np.r_[first[1:], len(x)]
+    share = (hits[ends] - hits[first]) / (ends - first)
+    same = (share[1:] == share[:-1]) & ((share[1:] == 0) | (share[1:] == 1))
+    values = x[first]
+    return (values[:-1] + (values[1:] - values[:-1]) / 2)[~same]
+
+
+def _grow(rows: dict[str, np.ndarray], bad: np.ndarray, tried: list[str]) -> Rule:
     """Adds the condition of the largest gain until the rule covers no good row."""
     rule: Rule = ()
     inside = np.ones(len(bad), bool)
     while bad[inside].any() and not bad[inside].all():
         p0, n0 = int(bad[inside].sum()), int((~bad[inside]).sum())
         best, gain = None, 0.0
-        for name, values in cuts.items():
+        for name in tried:
             x, y = rows[name][inside], bad[inside]
             order = np.argsort(x, kind="stable")
             x, hits = x[order], np.r_[0, np.cumsum(y[order])]
+            values = _cuts(x, hits)
+            if not len(values):
+                continue
             for at_least in (True, False):
                 at = np.searchsorted(x, values, side="left" if at_least else "right")
                 p = p0 - hits[at] if at_least else hits[at]
@@ -190,12 +203,7 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = MAX_RUL
     third = np.arange(len(bad)) % 3 == 2
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
-    cuts = {}
-    for k, v in rows.items() if len(bad) else ():
-        q = np.unique(np.quantile(v, np.linspace(0, 1, THRESHOLDS + 1)))
-        if len(q) > 1:
-            cuts[k] = (q[1:] + q[:-1]) / 2
-    tried = dict(cuts)
+    tried = list(rows)
     while len(rules) < max_rules and bad[left].any():
         grow, prune = left & ~third, left & third
         rule = _grow({k: v[grow] for k, v in rows.items()}, bad[grow], tried)
@@ -206,9 +214,9 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = MAX_RUL
         rule = _prune(rule, held, bad[prune])
         c = _covers(rule, held, int(prune.sum()))
         if not c.any() or bad[prune][c].mean() < precision:
-            del tried[begun]  # grown again without the statistic that it began with
+            tried.remove(begun)  # grown again without the statistic that it began with
             continue
-        tried = dict(cuts)
+        tried = list(rows)
         rules.append(rule)
         left &= ~_covers(rule, rows, len(bad))
     return rules
@@ -235,12 +243,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> list[Ru
 def verdict(stats: Column, rules: list[Rule]) -> Column:
     """Number of the first rule that covers the row, from 1; null if none does."""
     made = features(stats)
-    out = F.lit(None).cast("int")
-    for number, rule in reversed(list(enumerate(rules, 1))):
+    out = F.when(F.lit(False), F.lit(0))  # one flat CASE, however many rules
+    for number, rule in enumerate(rules, 1):
         condition = rule[0].column(made)
         for c in rule[1:]:
             condition = condition & c.column(made)
-        out = F.when(condition, F.lit(number)).otherwise(out)
+        out = out.when(condition, F.lit(number))
     return out
 
 

@@ -69,6 +69,29 @@ def test_expression_equals_the_list():
     assert Q.learn({"a": np.zeros(9)}, np.arange(9) % 2 == 0) == []  # nothing tells them apart
 
 
+def _found(rows, bad):
+    rules = Q.learn(rows, bad)
+    return rules, np.any([np.zeros(len(bad), bool), *[Q._covers(r, rows, len(bad)) for r in rules]], axis=0)
+
+
+def test_a_rare_defect_is_cut_off_where_it_begins():
+    rng = np.random.default_rng(1)
+    bad = np.arange(6000) % 200 == 7
+    rows = {"a": np.where(bad, 1.1 + rng.random(6000) / 10, rng.random(6000))}
+    rows["a"][7] = 500.0  # an outlier moves no threshold
+    assert (_found(rows, bad)[1] == bad).all()
+
+
+def test_the_list_ends_by_precision_and_not_by_length():
+    rng = np.random.default_rng(2)
+    rows = {"a": rng.integers(0, 40, 8000).astype(float)}
+    bad = rows["a"] % 2 == 1
+    rules, found = _found(rows, bad)
+    assert len(rules) > 12 and (found == bad).all()
+    noise = rng.random(8000) < 0.1
+    assert (_found({"a": rng.random(8000), "b": rng.random(8000)}, noise)[1]).mean() < 0.01
+
+
 def test_rule_numbers_follow_the_order(spark):
     rules = [(Q.Condition("words", False, 10.0),), (Q.Condition("words", True, 5.0), Q.Condition("digit_share", True, 0.5))]
     docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(["a b", "1 " * 30, "x " * 30])])
