@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from convspark.llm.common import table
 
-#: Bounds of the labelled sample: documents of a language, and code points taken from the start of each.
+#: Bounds of the labelled sample: different texts of a language, and code points taken from a hashed place of each.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 250
 UNKNOWN = "und"
@@ -45,14 +45,20 @@ def letters(text: str) -> str:
 
 
 def sample(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Normalised training text of each language: of its labelled documents outside the held-out quarter, those with the
-    smallest hashes of doc_id (of equal hashes, of the text). At most max_docs * max_chars code points a language reach
-    the driver. Null languages, null texts and texts without letters teach nothing."""
+    """Normalised training text of each language: of the different labelled texts outside the held-out quarter, those with
+    the smallest hashes; of each a run of ``max_chars`` code points of its letters, from a place that its hash gives. At most
+    max_docs * max_chars code points a language reach the driver. Null languages, null texts and texts without letters
+    teach nothing."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    known = known.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, max_chars).alias("text"))
-    # Spark keeps max_docs rows of a language in each task before the shuffle
-    few = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-    rows = few.filter(F.col("n") <= max_docs).orderBy("lang", "n").collect()
+    known = known.select("lang", F.xxhash64("text").alias("h"), "text")
+    # copies go first, by their hash; then Spark keeps max_docs rows of a language in each task before the shuffle
+    places = known.select("lang", "h").distinct()
+    few = places.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= max_docs)
+    only = F.trim(F.regexp_replace("text", r"\P{L}+", " "))
+    taken = known.join(F.broadcast(few), ["lang", "h"]).select("lang", "n", "h", only.alias("text"))
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("text") - max_chars + 1, F.lit(1)).cast("long")).cast("int") + 1
+    taken = taken.select("lang", "n", F.substr("text", start, F.lit(max_chars)).alias("text"))
+    rows = taken.groupBy("lang", "n").agg(F.min("text").alias("text")).orderBy("lang", "n").collect()
     out: dict[str, str] = {}
     for r in rows:
         out[r["lang"]] = out.get(r["lang"], "") + letters(r["text"])
@@ -230,8 +236,12 @@ def _parsed(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a language: rejects texts without letters and texts that fit two languages alike."""
-    seen = _parsed(docs, fit(docs))
+    """The rows of ``docs`` with a language: rejects texts without letters and texts that fit two languages alike. Where no
+    row teaches a language, all texts with letters stay."""
+    model = fit(docs)
+    if not model.texts:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    seen = _parsed(docs, model)
     return seen.filter((F.col("_llm_found.lang") != UNKNOWN) & (F.col("_llm_found.score") > 0)).select(*docs.columns)
 
 

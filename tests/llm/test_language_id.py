@@ -87,6 +87,24 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert L.sample(frame(spark, rows)) == L.sample(frame(spark, other))
 
 
+def test_sample_takes_different_texts_from_any_place(spark):
+    rng = random.Random(6)
+    header = "same header of all pages " * 20
+    rows = [(i, header + text_of(rng, "bb", 200), "bb", "s", 1) for i in range(200)]
+    rows += [(i, "0" * 400 + text_of(rng, "aa", 9), "aa", "s", 1) for i in range(200, 230)]
+    rows += [(i, "only copy", "cc", "s", 1) for i in range(1000, 3000)] + [(i, text_of(rng, "cc"), "cc", "s", 1) for i in range(300, 400)]
+    got = L.sample(frame(spark, rows))
+    assert got["bb"].count("strig") > 100  # what stands behind the header
+    assert got["aa"].count(" ") > 50  # letters behind 400 digits
+    assert got["cc"].count("only copy") <= 1 and len(got["cc"]) > 60 * 200
+    assert all(len(t) <= L.SAMPLE_DOCS * (L.SAMPLE_CHARS + 2) for t in got.values())
+
+
+def test_pipeline_keeps_texts_with_letters_where_nothing_was_learned(spark):
+    docs = frame(spark, [(1, "abc def", None, "s", 7), (2, "12 3", None, "s", 4), (3, None, None, "s", 0), (4, "é", None, "s", 1)])
+    assert sorted(r.doc_id for r in L.known_language(docs).collect()) == [1, 4]
+
+
 def test_awkward_texts(spark):
     rows = [*documents(), (901, "123 !! 45", "en", "s", 1)]
     docs = frame(spark, [*corpus(90), *rows]).withColumn("score", F.lit("clash"))
