@@ -15,6 +15,7 @@ MODULES = [
     "html_text",
     "quality_rules",
     "language_id",
+    "centroids",
 ]
 
 
