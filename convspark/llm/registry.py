@@ -16,6 +16,7 @@ MODULES = [
     "quality_rules",
     "language_id",
     "centroids",
+    "mixture_packing",
     "turn_repair",
 ]
 
