@@ -2,14 +2,15 @@
 
 Strong parts are reported alone: assignments of secrets, access identifiers, long hexadecimal runs. Weak parts are logins,
 service endpoints and random-looking tokens. They are common in clean text, so they are reported only where complementary
-parts co-occur: within ``REACH`` code points of each other and in one scope, a paragraph (text between blank lines).
+parts co-occur in one scope, a paragraph (text between blank lines), however long. A reach in code points can be asked for
+on top of that.
 
 * a token: beside an access identifier, or beside a login and an endpoint
 * a login: beside a secret (assignment, hexadecimal run, token) and an endpoint
 * an endpoint: beside an identifier (access identifier, login) and a secret
 
-The parts of a text are joined as intervals: each kind is a list sorted by position, and what lies in reach of a part is
-found by bisection, so a text with very many parts stays near linear. A text's parts never leave its row, hence there
+The parts of a text are joined as intervals: each kind is a list sorted by position, and what lies in the scope of a part
+is found by bisection, so a text with very many parts stays near linear. A text's parts never leave its row, hence there
 is no shuffle, whatever the key or the size of a text.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,8 +27,6 @@ from pyspark.sql import types as T
 
 from convspark.llm.common import replaced, table
 
-#: Code points between the ends of two parts that are linked.
-REACH = 200
 #: Strong kinds, in the order in which equal starts are listed; weak kinds follow.
 STRONG = ["assign", "access", "hex"]
 WEAK = ["login", "token", "endpoint"]
@@ -54,17 +54,19 @@ def _random_looking(token: str) -> bool:
 
 
 class _Scopes:
-    """Which parts lie in reach of a span, in the same scope."""
+    """Which parts lie in the scope of a span, and within ``reach`` code points of it if that is given."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, reach: int | None):
         self.ends = [m.start() for m in _SCOPE_END.finditer(text)]
+        self.reach = len(text) if reach is None else reach
 
     def near(self, span: tuple[int, int], parts: list[tuple[int, int]]) -> bool:
-        """Parts are sorted and do not overlap each other; the span itself is no part of them."""
+        """Parts are sorted and do not overlap each other; the span itself is no part of them. The nearest on either side
+        decides: a part further out is in scope and reach only if that one is."""
         scope = bisect_left(self.ends, span[0])
         at = bisect_left(parts, span)
         return any(
-            bisect_left(self.ends, a) == scope and a - span[1] <= REACH and span[0] - b <= REACH
+            bisect_left(self.ends, a) == scope and a - span[1] <= self.reach and span[0] - b <= self.reach
             for a, b in parts[max(0, at - 1) : at + 1]
         )
 
@@ -72,7 +74,7 @@ class _Scopes:
         return any(self.near(span, parts) for parts in lists)
 
 
-def scan_text(text: str | None) -> list[tuple[str, int, int]]:
+def scan_text(text: str | None, reach: int | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start, then kind."""
     if not text:
         return []
@@ -85,12 +87,13 @@ def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     found["hex"] = [m.span() for m in _HEX.finditer(text)]
     logins = [m.span() for m in _LOGIN.finditer(text)]
     if logins or found["access"]:  # every rule needs an identifier
-        scopes = _Scopes(text)
+        scopes = _Scopes(text, reach)
         strong = sorted(x for k in STRONG for x in found[k])
         endpoints = [m.span() for m in _ENDPOINT.finditer(text)]
         taken = sorted(strong + logins + endpoints)
         tokens = [m.span() for m in _TOKEN.finditer(text) if _random_looking(m[0])]
-        tokens = [x for x in tokens if not _overlaps(x, taken)]
+        reached = list(accumulate((b for _, b in taken), max))
+        tokens = [x for x in tokens if not _overlaps(x, taken, reached)]
         secrets = found["assign"], found["hex"], tokens
         for x in tokens:
             if scopes.near(x, found["access"]) or scopes.near(x, logins) and scopes.near(x, endpoints):
@@ -105,15 +108,15 @@ def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _overlaps(span: tuple[int, int], taken: list[tuple[int, int]]) -> bool:
-    """Spans of ``taken`` are sorted by start; of those that start before the span, few reach into it."""
+def _overlaps(span: tuple[int, int], taken: list[tuple[int, int]], reached: list[int]) -> bool:
+    """``taken`` is sorted by start; ``reached`` holds the furthest end of each of its spans and all before it."""
     at = bisect_left(taken, (span[1], 0))
-    return any(b > span[0] for _, b in taken[max(0, at - 4) : at])
+    return at > 0 and reached[at - 1] > span[0]
 
 
-def redact_text(text: str | None) -> str | None:
+def redact_text(text: str | None, reach: int | None = None) -> str | None:
     """Each run of reported parts becomes its kind in brackets."""
-    spans = scan_text(text)
+    spans = scan_text(text, reach)
     if not spans:
         return text
     kept, done = [], 0
@@ -128,29 +131,37 @@ _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("star
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-@F.arrow_udf(T.ArrayType(_SPAN))
-def _scan(text: pa.Array) -> pa.Array:
-    found = [[{"kind": k, "start": a, "end": b} for k, a, b in scan_text(t)] for t in text.to_pylist()]
-    return pa.array(found, _ARROW)
 
+def _scan(text: str, reach: int | None) -> Column:
+    @F.arrow_udf(T.ArrayType(_SPAN))
+    def run(texts: pa.Array) -> pa.Array:
+        found = [[{"kind": k, "start": a, "end": b} for k, a, b in scan_text(t, reach)] for t in texts.to_pylist()]
+        return pa.array(found, _ARROW)
 
-@F.arrow_udf(T.StringType())
-def _redact(text: pa.Array) -> pa.Array:
-    return pa.array([redact_text(t) for t in text.to_pylist()], pa.string())
+    return run(text)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def _redact(text: str, reach: int | None) -> Column:
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([redact_text(t, reach) for t in texts.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def scan(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """``docs`` with a column ``secrets`` (an input column of that name goes): kind, start and end of each reported part.
 
-    A null or empty text has none. Each row is judged alone, so repeated rows stay; texts are read whole.
+    Weak parts are linked in their whole paragraph, or only within ``reach`` code points. A null or empty text has none.
+    Each row is judged alone, so repeated rows stay; texts are read whole.
     """
-    return replaced(docs, secrets=_scan("text"))
+    return replaced(docs, secrets=_scan("text", reach))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """``docs`` with reported parts replaced in the texts; no row goes, other texts stay as they are. ``n_chars``, where
     there is such a column, is counted anew for changed texts."""
-    out = docs.withColumn("_llm_clean", _redact("text"))
+    out = docs.withColumn("_llm_clean", _redact("text", reach))
     changed = ~F.col("_llm_clean").eqNullSafe(F.col("text"))
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
     columns["text"] = F.col("_llm_clean")
