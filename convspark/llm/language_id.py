@@ -22,9 +22,12 @@ from pyspark.sql import types as T
 
 from convspark.llm.common import table
 
-#: Bounds of the labelled sample: different texts of a language, and code points taken from a hashed place of each.
-SAMPLE_DOCS = 64
-SAMPLE_CHARS = 250
+#: Bound of the labelled sample: different texts of a language, each learned whole.
+SAMPLE_DOCS = 16
+#: Texts of more code points are sampled only where a language has too few others.
+LONG_TEXT = 20_000
+#: Groups of tasks whose candidates are ranked apart first.
+_GROUPS = 16
 UNKNOWN = "und"
 PIECE = 1024
 #: Pieces that advance together.
@@ -44,20 +47,19 @@ def letters(text: str) -> str:
     return _GAP + _GAP.join("".join(c if c.isalpha() else _GAP for c in text.lower()).split()) + _GAP
 
 
-def sample(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Normalised training text of each language: of the different labelled texts outside the held-out quarter, those with
-    the smallest hashes; of each a run of ``max_chars`` code points of its letters, from a place that its hash gives. At most
-    max_docs * max_chars code points a language reach the driver. Null languages, null texts and texts without letters
-    teach nothing."""
+def sample(docs: DataFrame, max_docs: int = SAMPLE_DOCS, long_text: int = LONG_TEXT) -> dict[str, str]:
+    """Normalised training text of each language: whole texts, ``max_docs`` of a language at most. Of the different labelled
+    texts outside the held-out quarter those with the smallest hashes are taken, such of more than ``long_text`` code
+    points last. Only these texts reach the driver. Null languages, null texts and texts without letters teach nothing."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    known = known.select("lang", F.xxhash64("text").alias("h"), "text")
-    # copies go first, by their hash; then Spark keeps max_docs rows of a language in each task before the shuffle
-    places = known.select("lang", "h").distinct()
-    few = places.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= max_docs)
-    only = F.trim(F.regexp_replace("text", r"\P{L}+", " "))
-    taken = known.join(F.broadcast(few), ["lang", "h"]).select("lang", "n", "h", only.alias("text"))
-    start = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("text") - max_chars + 1, F.lit(1)).cast("long")).cast("int") + 1
-    taken = taken.select("lang", "n", F.substr("text", start, F.lit(max_chars)).alias("text"))
+    known = known.select("lang", F.xxhash64("text").alias("h"), (F.char_length("text") > long_text).alias("long"), "text")
+    # copies go first, by their hash; then max_docs rows of a language stay in each task, in each group of tasks, in all
+    places = known.select("lang", "h", "long").distinct().withColumn("part", F.spark_partition_id() % _GROUPS)
+    order = [F.col("long"), F.col("h")]
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    few = places.withColumn("n", rank("lang", "part")).filter(F.col("n") <= max_docs).drop("n")
+    few = few.withColumn("n", rank("lang")).filter(F.col("n") <= max_docs).select("lang", "h", "long", "n")
+    taken = known.join(F.broadcast(few), ["lang", "h", "long"])  # max_docs rows of a language
     rows = taken.groupBy("lang", "n").agg(F.min("text").alias("text")).orderBy("lang", "n").collect()
     out: dict[str, str] = {}
     for r in rows:
@@ -107,6 +109,9 @@ class Model:
 
 
 class Parser:
+    """The automata of all languages as one hash table of their edges: memory follows the length of the samples, whatever
+    the number of letters. A state is written as its number times the number of symbols, so an edge's key is a sum."""
+
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         if not self.langs:
@@ -117,30 +122,53 @@ class Parser:
         for i, c in enumerate([_GAP, *alphabet]):
             self.codes[ord(c)] = i + 1
         size = len(alphabet) + 2
-        #: twice the offset of the next state's row, plus 1 where a phrase ends
-        self.next = np.zeros(0, np.int64)
-        parts, base, self.starts = [], 0, []
-        for lang in self.langs:
-            rows = self._table(texts[lang], size, base)
-            parts.append(rows)
-            self.starts.append(base * size)
-            base += len(rows)
-        self.next = np.concatenate(parts).ravel()
+        keys, goals, starts, self.first = [], [], [], np.zeros((len(self.langs), size), np.int64)
+        base = 0
+        for n, lang in enumerate(self.langs):
+            steps = suffix_automaton(texts[lang])
+            states = np.fromiter((s for s, go in enumerate(steps) for _ in go), np.int64)
+            codes = self.codes[np.fromiter((ord(c) for go in steps for c in go), np.int64)]
+            to = (base + np.fromiter((t for go in steps for t in go.values()), np.int64)) * size
+            keys.append((base + states) * size + codes)
+            goals.append(to)
+            starts.append(base * size)
+            self.first[n] = base * size  # a letter that the sample lacks is the last of its phrase
+            self.first[n, codes[states == 0]] = to[states == 0]
+            base += len(steps)
+        self.starts = np.array(starts, np.int64)
+        self._fill(np.concatenate(keys), np.concatenate(goals))
         self.norm = np.array([math.log2(len(texts[lang]) + 1) for lang in self.langs])
 
-    def _table(self, text: str, size: int, base: int) -> np.ndarray:
-        """A row of next states for each state, by symbol."""
-        steps = suffix_automaton(text)
-        states = np.fromiter((s for s, go in enumerate(steps) for _ in go), np.int64)
-        letter = np.fromiter((ord(c) for go in steps for c in go), np.int64)
-        to = np.fromiter((t for go in steps for t in go.values()), np.int64)
-        kind = np.int32 if (base + len(steps)) * size * 2 < 1 << 31 else np.int64
-        root = np.full(size, base * size * 2 + 1, kind)  # an unseen letter is the last of its phrase
-        codes, first = self.codes[letter], states == 0
-        root[codes[first]] = (base + to[first]) * size * 2 + 1
-        rows = np.repeat(root[None, :], len(steps), axis=0)
-        rows[states, codes] = (base + to) * size * 2
-        return rows
+    def _fill(self, keys: np.ndarray, goals: np.ndarray) -> None:
+        """Open addressing, a quarter full: an edge lies at its place or behind it, with no gap between."""
+        bits = max(3, int(len(keys) * 4 - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.goals = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        place = self._place(keys)
+        while len(keys):
+            taken, first = np.unique(place, return_index=True)
+            first = first[self.keys[taken] < 0]
+            self.keys[place[first]], self.goals[place[first]] = keys[first], goals[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, goals, place = keys[rest], goals[rest], (place[rest] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def _follow(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(goal, found) of each edge."""
+        place = self._place(keys)
+        there = self.keys[place]
+        found = there == keys
+        open_ = np.flatnonzero(~found & (there >= 0))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & self.mask
+            there = self.keys[place[open_]]
+            hit = there == keys[open_]
+            found[open_[hit]] = True
+            open_ = open_[~hit & (there >= 0)]
+        return self.goals[place], found
 
     def symbols(self, text: str) -> np.ndarray:
         return self.codes[np.frombuffer(letters(text).encode("utf-32-le", "replace"), np.uint32)]
@@ -152,15 +180,19 @@ class Parser:
         grid = np.zeros((int(sizes.max()), len(pieces)), pieces[0].dtype)
         for column, i in enumerate(order.tolist()):
             grid[: sizes[i], column] = pieces[i]
-        state = np.repeat(np.array(self.starts, np.int64)[:, None], len(pieces), axis=1)
+        state = np.repeat(self.starts[:, None], len(pieces), axis=1)
         ended = np.zeros(state.shape, np.int32)
         live = np.searchsorted(-sizes[order], -np.arange(len(grid)), side="left")
         for t, n in enumerate(live.tolist()):
-            to = self.next[state[:, :n] + grid[t, :n]]
-            ended[:, :n] += to & 1
-            state[:, :n] = to >> 1
+            goal, found = self._follow((state[:, :n] + grid[t, :n]).ravel())
+            # where no edge goes on the phrase ends, and the letter begins the next one if the sample has it
+            misses = np.flatnonzero(~found)
+            lang, piece = np.divmod(misses, n)
+            goal[misses] = self.first[lang, grid[t, piece]]
+            ended[lang, piece] += 1
+            state[:, :n] = goal.reshape(-1, n)
         out = np.empty((len(pieces), len(self.langs)), np.int64)
-        begun = state != np.array(self.starts)[:, None]
+        begun = state != self.starts[:, None]
         out[order] = (ended + begun).T
         return out
 

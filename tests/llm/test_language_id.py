@@ -93,11 +93,32 @@ def test_sample_takes_different_texts_from_any_place(spark):
     rows = [(i, header + text_of(rng, "bb", 200), "bb", "s", 1) for i in range(200)]
     rows += [(i, "0" * 400 + text_of(rng, "aa", 9), "aa", "s", 1) for i in range(200, 230)]
     rows += [(i, "only copy", "cc", "s", 1) for i in range(1000, 3000)] + [(i, text_of(rng, "cc"), "cc", "s", 1) for i in range(300, 400)]
-    got = L.sample(frame(spark, rows))
+    got = L.sample(frame(spark, rows).repartition(40))
     assert got["bb"].count("strig") > 100  # what stands behind the header
     assert got["aa"].count(" ") > 50  # letters behind 400 digits
-    assert got["cc"].count("only copy") <= 1 and len(got["cc"]) > 60 * 200
-    assert all(len(t) <= L.SAMPLE_DOCS * (L.SAMPLE_CHARS + 2) for t in got.values())
+    assert got["cc"].count("only copy") <= 1 and len(got["cc"]) > 60 * L.SAMPLE_DOCS
+    whole = {L.letters(t) for _, t, *_ in rows}
+    for text in got.values():  # whole texts, as many as the bound says
+        assert sum(text.count(t) for t in whole if t in text) == L.SAMPLE_DOCS
+
+
+def test_long_texts_are_sampled_last(spark):
+    rng = random.Random(7)
+    rows = [(i, text_of(rng, "aa", 400), "aa", "s", 1) for i in range(60)] + [(i, text_of(rng, "aa", 9), "aa", "s", 1) for i in range(60, 70)]
+    rows += [(i, text_of(rng, "bb", 400), "bb", "s", 1) for i in range(100, 103)]
+    got = L.sample(frame(spark, rows), max_docs=4, long_text=200)
+    assert len(got["aa"]) < 4 * 200 < len(got["bb"])
+
+
+def test_many_letters_take_little_memory():
+    rng = random.Random(3)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 5000)]
+    samples = {f"l{k}": L.letters("".join(rng.choice(signs[k * 500 :]) for _ in range(20_000))) for k in range(4)}
+    parser = L.Parser(samples)
+    assert parser.keys.nbytes + parser.goals.nbytes < 64 * sum(map(len, samples.values())) * 4
+    piece = L.letters("".join(rng.choice(signs) for _ in range(900)) + samples["l2"][500:560])
+    got = parser.count([parser.symbols(piece)])[0].tolist()
+    assert got == [plain_phrases(L.letters(piece), samples[lang]) for lang in parser.langs]
 
 
 def test_pipeline_keeps_texts_with_letters_where_nothing_was_learned(spark):
