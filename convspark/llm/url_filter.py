@@ -1,9 +1,13 @@
 """Operator 1: URL filter by fixed rules, then by association rules.
 
-FP-growth mines combinations of URL tokens (host labels, path words, names of parameters) together with the mark of a
-blocked page from labelled pages. Rules "tokens, so block" are pruned by support and confidence, and by each
-shorter rule that is as confident. They are matched by an inverted index: each rule is filed under its rarest token,
-and a page is compared only with rules filed under a token it has.
+FP-growth mines combinations of URL tokens (host labels, path words, names of parameters) from the labelled pages that are
+blocked. Rules "tokens, so block" are pruned by support, by confidence (how many of all labelled pages with the tokens
+are blocked), and by each shorter rule that is as confident. Tokens that occur on the same labelled pages are one item:
+one stands for any of them, and a set with two is never better than with one. A token of confidence 1 is a rule at once,
+and no set with it can be better, so it is not mined. What is left of a URL template is a few items, however long it is.
+
+Rules are matched by an inverted index: each is filed under its rarest item, and a page is compared only with rules filed
+under an item it has. The same index counts, over all labelled pages, how often the mined sets occur.
 """
 
 from __future__ import annotations
@@ -22,12 +26,9 @@ HOST_RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-#: Share of the labelled pages below which the SQL text lists no sets; it only differs above 2,000 labelled pages.
-MIN_SUPPORT = 0.004
 MIN_CONFIDENCE = 0.5
 #: Bad pages that a rule needs at least, however many pages are labelled.
 MIN_PAGES = 8
-_BLOCK = "=block"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
@@ -50,61 +51,92 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: F.length(x) > 2)))
 
 
-def mine(
-    pages: DataFrame,
-    labels: DataFrame,
-    support: float = 0.0,
-    confidence: float = MIN_CONFIDENCE,
-    min_pages: int = MIN_PAGES,
-) -> DataFrame:
-    """(tokens, filed, confidence, support): rules from pages whose page_id is the doc_id of a label.
-
-    A rule needs ``min_pages`` bad pages at any size, and ``support`` as a share of the labelled pages if one is given.
-    A page is bad if a label of it has quality 0 or toxic 1. Null ids, null urls and urls without tokens teach nothing;
-    without labelled pages there are no rules. The rules are read from a table in the shared folder.
-    """
-    spark = pages.sparkSession
+def _labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row, tokens, bad): the labelled pages with a token. A page is bad if a label of it has quality 0 or toxic 1."""
     bad = F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1))
     known = labels.groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad"))
     seen = pages.select("page_id", tokens_of(F.col("url")).alias("tokens")).join(known, "page_id")
-    seen = seen.filter(F.size("tokens") > 0)
-    marked = F.when(F.col("bad"), F.array_append("tokens", F.lit(_BLOCK))).otherwise(F.col("tokens"))
-    baskets = seen.select(marked.alias("items"))
-    folder = shared_folder(spark, "rules")
-    size = baskets.count()
-    share = min(1.0, max(support, (min_pages - 0.5) / max(size, 1)))
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
-    model.freqItemsets.select(F.array_sort("items").alias("items"), "freq").write.parquet(f"{folder}/sets")
-    sets = spark.read.parquet(f"{folder}/sets")
-
-    with_mark = sets.filter(F.array_contains("items", _BLOCK) & (F.size("items") > 1))
-    with_mark = with_mark.select(F.array_remove("items", _BLOCK).alias("tokens"), F.col("freq").alias("both"))
-    rules = with_mark.join(sets.select(F.col("items").alias("tokens"), "freq"), "tokens")
-    rules = rules.select("tokens", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / size).alias("support"))
-    # every shorter set of a frequent one is frequent, so each rule meets all rules of one token less
-    less = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("out"))
-    less = less.select("tokens", "confidence", F.array_remove("tokens", F.col("out")).alias("shorter"))
-    other = rules.select(F.col("tokens").alias("shorter"), F.col("confidence").alias("as_good"))
-    needless = less.join(other, "shorter").filter(F.col("as_good") >= F.col("confidence")).select("tokens").distinct()
-    rules = rules.filter((F.col("confidence") >= confidence) & (F.col("support") * size >= min_pages - 0.5))
-    kept = rules.join(needless, "tokens", "left_anti")
-
-    single = sets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    filed = kept.select("tokens", F.explode("tokens").alias("token")).join(single, "token")
-    filed = filed.groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("rare"))
-    kept.join(filed, "tokens").select("tokens", F.col("rare.token").alias("filed"), "confidence", "support").write.parquet(
-        f"{folder}/rules"
+    return seen.filter(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("row"), "tokens", "bad")
+
+
+def _items(seen: DataFrame, min_pages: int) -> DataFrame:
+    """(token, item, n, bad): tokens of enough bad pages, the item each belongs to, labelled pages with it, bad ones.
+
+    The pages of a token are told apart by their number and two sums of hashes of their rows."""
+    each = seen.select("row", "bad", F.explode("tokens").alias("token"))
+    total = lambda *parts: F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))
+    stats = each.groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("bad"), total("row").alias("s"), total("row", F.lit(1)).alias("t")
     )
-    return spark.read.parquet(f"{folder}/rules")
+    stats = stats.filter(F.col("bad") >= min_pages)
+    same = stats.groupBy("n", "bad", "s", "t").agg(F.min("token").alias("item"))
+    return stats.join(same, ["n", "bad", "s", "t"]).select("token", "item", "n", "bad")
+
 
+def _filed(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Sets (items) with ``filed``: the item of theirs that the fewest labelled pages have."""
+    rare = sets.select("items", F.explode("items").alias("item")).join(sizes, "item")
+    rare = rare.groupBy("items").agg(F.min(F.struct("n", "item")).alias("rare"))
+    return sets.join(rare, "items").select(sets["*"], F.col("rare.item").alias("filed"))
+
+
+def mine(
+    pages: DataFrame, labels: DataFrame, confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES
+) -> tuple[DataFrame, DataFrame]:
+    """Rules (items, filed, confidence, bad) and members (token, item), from pages whose page_id is the doc_id of a label.
+
+    A page has an item if it has a token of it. A rule needs ``min_pages`` bad pages, at any number of labelled pages. Null
+    ids, null urls and urls without tokens teach nothing; without labelled pages there are no rules. Both are read from
+    tables in the shared folder.
+    """
+    spark = pages.sparkSession
+    folder = shared_folder(spark, "rules")
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    seen = stored(_labelled(pages, labels), "seen")
+    members = stored(_items(seen, min_pages), "members")
+    sizes = members.select("item", "n", "bad").distinct()
+    singles = sizes.select(F.array("item").alias("items"), "n", "bad")
+    # what is always bad is a rule as it is; of the others sets are mined
+    open_ = members.filter("bad < n")
+    baskets = seen.select("row", "bad", F.explode("tokens").alias("token")).join(open_.select("token", "item"), "token")
+    baskets = stored(baskets.groupBy("row", "bad").agg(F.collect_set("item").alias("items")), "baskets")
+    blocked = baskets.filter("bad")
+    size = blocked.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_pages - 0.5) / max(size, 1)), minConfidence=confidence)
+    sets = model.fit(blocked).freqItemsets.filter(F.size("items") > 1)
+    sets = _filed(sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("bad")), sizes)
+    sets = stored(sets, "sets")
+    asked = baskets.select(F.col("items").alias("has"), F.explode("items").alias("filed"))
+    counted = asked.join(sets.select("items", "filed"), "filed").filter(F.size(F.array_except("items", "has")) == 0)
+    counted = counted.groupBy("items").agg(F.count("*").alias("n"))
+    larger = sets.select("items", "bad").join(counted, "items").select("items", "n", "bad")
+    found = stored(singles.union(larger).select("items", "bad", (F.col("bad") / F.col("n")).alias("confidence")), "found")
+
+    # every shorter set of a frequent one is frequent, so each rule meets all rules of one item less
+    less = found.filter(F.size("items") > 1).select("items", "confidence", F.explode("items").alias("out"))
+    less = less.select("items", "confidence", F.array_remove("items", F.col("out")).alias("shorter"))
+    other = found.select(F.col("items").alias("shorter"), F.col("confidence").alias("as_good"))
+    needless = less.join(other, "shorter").filter(F.col("as_good") >= F.col("confidence")).select("items").distinct()
+    kept = found.filter(F.col("confidence") >= confidence).join(needless, "items", "left_anti")
+    rules = stored(_filed(kept, sizes).select("items", "filed", "confidence", "bad"), "rules")
+    return rules, members.select("token", "item")
+
+
+def match(urls: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:
     """(url, because, confidence): of each distinct url that a rule fits, the most confident rule; ties go to the
-    longer, then the later rule."""
-    pages = urls.select("url").filter(F.col("url").isNotNull()).distinct().withColumn("has", tokens_of(F.col("url")))
-    asked = pages.select("url", "has", F.explode("has").alias("filed"))
-    near = asked.join(rules, "filed").filter(F.size(F.array_except("tokens", "has")) == 0)
-    best = F.max(F.struct("confidence", F.size("tokens").alias("n"), "tokens")).alias("best")
+    longer, then the later rule. ``because`` has the last token of each item that the url has."""
+    pages = urls.select("url").filter(F.col("url").isNotNull()).distinct()
+    tokens = pages.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(members, "token")
+    has = tokens.groupBy("url", "item").agg(F.max("token").alias("token"))
+    has = has.groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("item", "token"))).alias("has"))
+    asked = has.select("url", "has", F.explode(F.map_keys("has")).alias("filed"))
+    near = asked.join(rules, "filed").filter(F.size(F.array_except("items", F.map_keys("has"))) == 0)
+    why = F.array_sort(F.transform("items", lambda i: F.element_at("has", i)))
+    best = F.max(F.struct("confidence", F.size("items").alias("n"), why.alias("tokens"))).alias("best")
     found = near.groupBy("url").agg(best)
     return found.select("url", F.col("best.tokens").alias("because"), F.col("best.confidence").alias("confidence"))
 
@@ -125,7 +157,7 @@ def judge(pages: DataFrame, labels: DataFrame, host_rules: list[tuple[str, str,
         fits = fits & F.startswith(F.col("path"), F.lit(start))
         rule = F.when(fits, F.lit(host + start)).otherwise(rule)
         verdict = F.when(fits, F.lit(what)).otherwise(verdict)
-    mined = match(pages, mine(pages, labels))
+    mined = match(pages, *mine(pages, labels))
     out = seen.withColumns({"rule": rule, "_llm_fixed": verdict}).join(mined, "url", "left")
     learned = F.when(F.col("because").isNotNull(), "block").otherwise("allow")
     out = out.withColumn("verdict", F.coalesce("_llm_fixed", learned))
@@ -166,9 +198,9 @@ WITH parts AS (
   FROM (SELECT tokens, bad, unnest(range(1, 1::BIGINT << len(tokens))) AS m FROM seen)
 ), rules AS (
   SELECT s, count(*) FILTER (bad) / count(*) AS confidence, count(*) FILTER (bad) AS both_n FROM subsets GROUP BY s
-  HAVING count(*) FILTER (bad) >= greatest(1, ceil({MIN_SUPPORT} * (SELECT count(*) FROM seen)))
+  HAVING count(*) FILTER (bad) >= {MIN_PAGES}
 ), kept AS (
-  SELECT * FROM rules r WHERE confidence >= {MIN_CONFIDENCE} AND both_n >= {MIN_PAGES} AND NOT EXISTS (SELECT 1 FROM rules q
+  SELECT * FROM rules r WHERE confidence >= {MIN_CONFIDENCE} AND NOT EXISTS (SELECT 1 FROM rules q
     WHERE len(q.s) = len(r.s) - 1 AND list_has_all(r.s, q.s) AND q.confidence >= r.confidence)
 ), found AS (
   SELECT url, max({{'c': confidence, 'n': len(s), 's': s}}) AS best FROM (SELECT DISTINCT url, tokens FROM t WHERE url IS NOT NULL) u

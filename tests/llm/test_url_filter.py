@@ -1,5 +1,8 @@
+import random
 from collections import Counter
+from itertools import combinations, product
 
+import pytest
 from pyspark.sql import functions as F
 
 from convspark.llm import url_filter as U
@@ -61,10 +64,60 @@ def test_mined_rules_block_what_the_labels_say(spark):
 
 def test_rules_are_pruned(spark):
     page, label = frame(spark, pages(), "page_id long, url string, html string"), frame(spark, labels(), "doc_id long, quality int, toxic int")
-    rules = U.mine(page, label).collect()
-    # one token is as confident as any combination with it
-    assert sorted(r.tokens for r in rules) == [["h:win"], ["p:bonus"]]
-    assert all(r.confidence == 1.0 and r.filed in r.tokens for r in rules)
+    rules, members = U.mine(page, label)
+    # one token is as confident as any combination with it, and one item with what occurs on the same pages
+    assert [(r.items, r.filed, r.confidence) for r in rules.collect()] == [(["h:win"], "h:win", 1.0)]
+    assert sorted(r.token for r in members.filter("item = 'h:win'").collect()) == ["h:win", "p:bonus"]
+
+
+def test_a_long_template_is_a_few_items(spark):
+    words = "/".join(f"word{k}" for k in range(40))
+    rows = [(i, f"http://a{i % 3}.net/{words}/{i}") for i in range(130)]  # 100 bad pages, then 30 good ones
+    rows += [(i, f"http://a{i % 3}.net/{words}/bad/{i}") for i in range(200, 220)]
+    page = frame(spark, rows, "page_id long, url string")
+    label = frame(spark, [(i, int(100 <= i < 130), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    rules, members = U.mine(page, label)
+    assert members.count() > 40 and members.select("item").distinct().count() <= 6
+    got = {tuple(r.items): r.confidence for r in rules.collect()}
+    assert got[("p:bad",)] == 1.0 and len(got) <= 6
+    found = U.match(frame(spark, [(f"http://x.org/word7/{i}",) for i in range(3)] + [("http://x.org/",)], "url string"), rules, members)
+    assert {(tuple(r.because), r.confidence) for r in found.collect()} == {(("p:word7",), 120 / 150)} and found.count() == 3
+
+
+def plain_rules(rows, bad):
+    """All subsets of all labelled pages' tokens."""
+    n, hits = Counter(), Counter()
+    for i, tokens in rows:
+        for k in range(1, len(tokens) + 1):
+            for s in combinations(tokens, k):
+                n[s] += 1
+                hits[s] += bad[i]
+    conf = {s: hits[s] / n[s] for s in n if hits[s] >= U.MIN_PAGES}
+    needless = {s for s in conf if any(conf[x] >= conf[s] for x in combinations(s, len(s) - 1) if x)}
+    return {s: c for s, c in conf.items() if c >= U.MIN_CONFIDENCE and s not in needless}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rules_equal_all_subsets(spark, seed):
+    rng = random.Random(seed)
+    rows, bad = [], {}
+    for i in range(400):
+        words = [w for w in "abcd" if rng.random() < 0.5] + (["twin", "pair"] if rng.random() < 0.4 else [])
+        bad[i] = rng.random() < 0.1 + 0.15 * len({"a", "b", "twin"} & set(words))
+        rows.append((i, "http://h/" + "/".join(f"{w}x" for w in words)))
+    page = frame(spark, rows, "page_id long, url string")
+    label = frame(spark, [(i, int(not b), 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    rules, members = U.mine(page, label)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.item, []).append(r.token)
+    got = {}
+    for r in rules.collect():
+        for tokens in product(*[of[i] for i in r.items]):
+            got[tuple(sorted(tokens))] = r.confidence
+    tokens = {r.page_id: tuple(r.t) for r in page.select("page_id", U.tokens_of(F.col("url")).alias("t")).collect()}
+    want = plain_rules([(i, tokens[i]) for i in bad if tokens[i]], bad)
+    assert got == want and any(len(s) > 1 for s in want)
 
 
 def test_eight_bad_pages_are_enough_at_any_size(spark):
@@ -74,9 +127,11 @@ def test_eight_bad_pages_are_enough_at_any_size(spark):
         rows += [(i, f"http://fine{i % 50}.org/{i}") for i in range(15, 15 + good)]
         page = frame(spark, rows, "page_id long, url string")
         label = frame(spark, [(i, int(i >= 15), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
-        found.append(sorted((r.tokens, r.confidence) for r in U.mine(page, label).filter("filed like 'h:%'").collect()))
+        rules, members = U.mine(page, label)
+        rules = rules.join(members, F.col("filed") == F.col("item")).filter("token like 'h:%'")
+        found.append(sorted((r.token, r.confidence) for r in rules.collect()))
     assert found[0] == found[1]
-    assert (["h:tail"], 1.0) in found[1] and not any("h:seven" in tokens for tokens, _ in found[1])
+    assert ("h:tail", 1.0) in found[1] and not any(token == "h:seven" for token, _ in found[1])
 
 
 def test_without_labels_or_pages(spark):
