@@ -11,12 +11,16 @@ def eligible(pool, voter):
     return pool.isNull() | (voter.isNotNull() & F.array_contains(pool, F.coalesce(voter, F.lit(""))))
 
 
+#: Parts that the approvals of one action are ranked in.
+_SLOTS = 64
+
+
 def classify(votes: DataFrame, queue: DataFrame) -> DataFrame:
     """``outcome`` of every vote: not_found, already_decided, not_eligible, duplicate or accepted.
 
     ``votes``: tenant_id, action_id, vote_id, vote (approve/reject), decided_by, voted_at [, reason].
     ``queue``: tenant_id, action_id, required_approvals, eligible_approvers; one row per action.
-    The largest required_approvals of the queue, read first, prunes the per-action ranking map-side.
+    Approvals are ranked in ``_SLOTS`` parts of an action first, of which at most N each go on to the ranking of the action.
 
     Votes take effect in (voted_at, vote_id) order. An action ends with the earlier of its first eligible veto and its
     Nth valid approval, counting each voter's first one; both are aggregates of the votes, so an action holding a large
@@ -24,7 +28,6 @@ def classify(votes: DataFrame, queue: DataFrame) -> DataFrame:
     """
     key = ["tenant_id", "action_id"]
     at = F.struct("voted_at", "vote_id")
-    most = queue.agg(F.max("required_approvals")).first()[0] or 0
     rules = queue.select(*key, "required_approvals", "eligible_approvers")
     v = votes.join(rules, key, "left").withColumn("at", at)
     found = F.col("required_approvals").isNotNull()
@@ -36,12 +39,11 @@ def classify(votes: DataFrame, queue: DataFrame) -> DataFrame:
     # a voter's first valid approval; an anonymous one counts by itself (only where one approval is enough)
     approvals = v.filter("vote = 'approve' AND may_vote")
     firsts = approvals.groupBy(*key, "decided_by", "required_approvals").agg(F.min("at").alias("first_at"))
-    order = Window.partitionBy(*key).orderBy("first_at")
-    seats = (
-        firsts.withColumn("seat", F.row_number().over(order))
-        .filter(F.col("seat") <= most)
-        .filter(F.col("seat") <= F.col("required_approvals"))
-    )
+    firsts = firsts.withColumn("slot", F.pmod(F.xxhash64("decided_by"), F.lit(_SLOTS)))
+    seats = firsts
+    for part in ([*key, "slot"], key):
+        order = Window.partitionBy(*part).orderBy("first_at")
+        seats = seats.withColumn("seat", F.row_number().over(order)).filter(F.col("seat") <= F.col("required_approvals"))
     quorum = seats.filter("seat = required_approvals").select(*key, F.col("first_at").alias("quorum_at"))
     end = (
         rules.select(*key)

@@ -10,6 +10,21 @@ from convspark.functions import text as X
 from convspark.operators import policy as P
 
 
+def as_actions(proposals: DataFrame) -> DataFrame:
+    """The pending_policy action that each proposal would be, row by row."""
+    rest = [c for c in proposals.columns if c not in ("tenant_id", "event_id", "proposed_at", "proposal_id", "payload")]
+    return proposals.select(
+        X.stable_id("act_", F.col("tenant_id"), F.col("event_id")).alias("action_id"),
+        "tenant_id",
+        "event_id",
+        "proposal_id",
+        *rest,
+        F.lit("pending_policy").alias("status"),
+        "payload",
+        F.col("proposed_at").alias("created_at"),
+    )
+
+
 def materialize(proposals: DataFrame) -> DataFrame:
     """One pending_policy action per (tenant, event): a replayed event keeps its first proposal.
 

@@ -132,13 +132,26 @@ def create_customers(requests: DataFrame, identities: DataFrame | None) -> tuple
 # ---- resolution ---------------------------------------------------------------------------------
 
 _NO_CUT = 1 << 20  # above any hint position
+_REFUSED = -1  # below any: a refused event claims nothing
 
 
-def resolve(events: DataFrame, identities: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+def _first_cut() -> Column:
+    return F.when(F.col("refused"), F.lit(_REFUSED)).otherwise(F.lit(_NO_CUT))
+
+
+def resolve(
+    events: DataFrame,
+    identities: DataFrame | None = None,
+    stored: DataFrame | None = None,
+    customers: DataFrame | None = None,
+) -> DataFrame:
     """Resolve every event to a customer, exactly as processing them one by one in (received_at, event_id) order would.
 
     ``events``: tenant_id, event_id, received_at, idempotency_key, customer_id (explicit or null), hints.
-    ``identities``: tenant_id, kind, value, customer_id already known. ``stored``: tenant_id, idempotency_key already used.
+    ``identities``: tenant_id, kind, value, customer_id already known. ``stored``: tenant_id, idempotency_key, event_id,
+    customer_id of events stored before; a replay of one names it and its customer. ``customers``: tenant_id, customer_id of
+    the customers there are; an event with another explicit customer is refused (``unknown_customer``): it attaches
+    nothing, is not stored, and its key stays free. Without ``customers`` explicit customers are taken as they are.
 
     An event is a replay when an earlier event of its key was stored. Otherwise the explicit customer, the owner of its
     first owned hint, or a new customer takes it, and its free hints become that customer's, in order, up to the first
@@ -153,10 +166,20 @@ def resolve(events: DataFrame, identities: DataFrame | None = None, stored: Data
     base = events.select(
         "tenant_id", "event_id", "idempotency_key", F.col("customer_id").alias("explicit"), at.alias("at"), "hints"
     )
+    if customers is None:
+        base = base.withColumn("refused", F.lit(False))
+    else:
+        there = customers.select("tenant_id", F.col("customer_id").alias("explicit"), F.lit(True).alias("there")).distinct()
+        base = base.join(there, ["tenant_id", "explicit"], "left")
+        base = base.withColumn("refused", F.col("explicit").isNotNull() & F.col("there").isNull()).drop("there")
     if stored is not None:
-        used = stored.select("tenant_id", "idempotency_key").distinct()
-        replayed = base.join(used, ["tenant_id", "idempotency_key"], "left_semi").select("tenant_id", "event_id")
-        base = base.join(used, ["tenant_id", "idempotency_key"], "left_anti")
+        key = ["tenant_id", "idempotency_key"]
+        used = stored.select(*key, F.col("event_id").alias("stored_event_id"), F.col("customer_id").alias("stored_customer_id"))
+        used = used.dropDuplicates(key)
+        replayed = base.select(*key, "event_id").join(used, key).select(
+            "tenant_id", "event_id", "stored_event_id", "stored_customer_id"
+        )
+        base = base.join(used.select(*key), key, "left_anti")
     base = cut_lineage(base)
     rows = base.select("tenant_id", "event_id", "at", F.posexplode("hints").alias("pos", "h")).select(
         "tenant_id", "event_id", "at", "pos", "h.kind", "h.value"
@@ -171,7 +194,7 @@ def resolve(events: DataFrame, identities: DataFrame | None = None, stored: Data
     key_first = base.groupBy("tenant_id", "idempotency_key").agg(F.min("at").alias("s"))
     state = cut_lineage(
         base.join(key_first, ["tenant_id", "idempotency_key"]).select(
-            "tenant_id", "event_id", F.lit(_NO_CUT).alias("cut"), (F.col("at") > F.col("s")).alias("replay")
+            "tenant_id", "event_id", _first_cut().alias("cut"), (F.col("at") > F.col("s")).alias("replay")
         )
     )
     while True:
@@ -207,7 +230,9 @@ def resolve(events: DataFrame, identities: DataFrame | None = None, stored: Data
     ).withColumnRenamed("event_id", "stored_event_id")
     out = out.join(who, ["tenant_id", "stored_event_id"], "left")
     collided = F.col("cut") < _NO_CUT
-    outcome = F.when(F.col("replay"), "replay").when(collided, "collision").when(F.col("created"), "created").otherwise("linked")
+    refused = F.col("cut") == _REFUSED
+    outcome = F.when(F.col("replay"), "replay").when(refused, "unknown_customer").when(collided, "collision")
+    outcome = outcome.when(F.col("created"), "created").otherwise("linked")
     live = ~F.col("replay") & ~collided
     result = out.select(
         "tenant_id",
@@ -219,12 +244,14 @@ def resolve(events: DataFrame, identities: DataFrame | None = None, stored: Data
         F.when(live & F.col("explicit").isNull(), F.col("match_value")).alias("matched_value"),
         # hints in front of a colliding one stay attached
         F.when(~F.col("replay"), F.transform("added", lambda h: F.struct(h["kind"].alias("kind"), h["value"].alias("value")))).alias("added"),
-        F.when(~F.col("replay"), F.col("customer_id")).alias("attached_to"),
+        F.when(~F.col("replay") & ~refused, F.col("customer_id")).alias("attached_to"),
         F.when(F.col("replay"), F.col("stored_event_id")).alias("replay_of"),
     )
     if stored is not None:
-        blank = [F.lit(None).cast(t).alias(n) for n, t in result.dtypes if n not in ("tenant_id", "event_id", "outcome")]
-        result = result.unionByName(replayed.select("tenant_id", "event_id", F.lit("replay").alias("outcome"), *blank))
+        filled = {"outcome": F.lit("replay"), "customer_id": F.col("stored_customer_id"), "replay_of": F.col("stored_event_id")}
+        filled |= {"tenant_id": F.col("tenant_id"), "event_id": F.col("event_id"), "customer_created": F.lit(False)}
+        again = [filled.get(n, F.lit(None)).cast(t).alias(n) for n, t in result.dtypes]
+        result = result.unionByName(replayed.select(*again))
     return result
 
 
@@ -290,7 +317,8 @@ def _outcomes(base: DataFrame, owned: DataFrame, customers: DataFrame) -> DataFr
         .groupBy(*event)
         .agg(F.min("pos").alias("cut"))
     )
-    judged = base.select(*event, "idempotency_key", "at").join(clash, event, "left")
+    judged = base.select(*event, "idempotency_key", "at", "refused").join(clash, event, "left")
+    judged = judged.withColumn("cut", F.when(F.col("refused"), F.lit(_REFUSED)).otherwise(F.col("cut")))
     key = ["tenant_id", "idempotency_key"]
     kept = judged.filter("cut IS NULL").groupBy(*key).agg(F.min("at").alias("s"))
     return judged.join(kept, key, "left").select(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from convspark.operators import cache as C, decisions as DC
 from convspark.queries import cache_queries, duck as D, identity_queries as IQ, policy_queries as PQ
 from convspark.sources import sinks, tables as T
 from convspark.streaming import decide as SD, ingest as SI, rings as SR
-from convspark.streaming.state import BatchTable, run_available
+from convspark.streaming.state import BatchTable, KeyTable, run_available
 
 QUERIES, ORACLE = {}, {}
 CUTS = ["2024-01-11", "2024-01-21"]
@@ -24,15 +25,22 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-def play(spark, rows, handler, name: str, time: str = "received_at"):
-    """Feed ``rows`` as three arrivals, in time order, to a file stream that is stopped and resumed in between."""
+def play(spark, rows, steps, name: str, time: str = "received_at"):
+    """Feed ``rows`` as three arrivals, in time order, to a file stream that is stopped and resumed in between.
+
+    ``steps``: (what becomes of the stream, handler of its micro-batches, output mode)."""
     folder = sinks.scratch(spark, name)
-    stream_in, checkpoint = f"{folder}/in", f"{folder}/checkpoint"
     at = F.date_format(time, "yyyy-MM-dd")
     parts = [at < CUTS[0], (at >= CUTS[0]) & (at < CUTS[1]), at >= CUTS[1]]
     for part in parts:
-        rows.filter(part).write.mode("append").parquet(stream_in)
-        run_available(spark.readStream.schema(rows.schema).parquet(stream_in), handler, checkpoint)
+        rows.filter(part).write.mode("append").parquet(f"{folder}/in")
+        for i, (step, handler, mode) in enumerate(steps):
+            stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+            run_available(step(stream), handler, f"{folder}/checkpoint{i}", mode)
+
+
+def _same(stream):
+    return stream
 
 
 def _table(spark, name, schema, cls=BatchTable):
@@ -50,21 +58,41 @@ def _events(spark, sf):
 @query("stream_first_wins_insert", D.sql(["kfirst"], "SELECT event_id, tenant_id, idempotency_key FROM kfirst"))
 def _(spark, sf):
     table = _table(spark, "events", _EVENT)
-    play(spark, _events(spark, sf), SI.insert_new(table, ["received_at", "event_id"]), "ingest")
+    play(spark, _events(spark, sf), [(lambda s: SI.first_wins(s, ["received_at", "event_id"]), SI.insert_new(table), "update")], "ingest")
     return table.read().select("event_id", "tenant_id", "idempotency_key")
 
 
-@query("stream_dedup_within_watermark", D.sql(["evt"], "SELECT tenant_id, idempotency_key, count(DISTINCT idempotency_key) AS n FROM evt GROUP BY ALL"))
+@query(
+    "stream_dedup_within_watermark",
+    D.sql(["evt"], """SELECT tenant_id, idempotency_key, arg_min(event_id, {'t': received_at, 'e': event_id}) AS event_id, 1 AS n FROM evt
+    GROUP BY tenant_id, idempotency_key"""),
+)
 def _(spark, sf):
-    """Keys repeat within a day only, so a bounded delay of two days loses nothing."""
+    """Keys repeat within a day only, so a bounded delay of two days loses nothing. The first rows of all keys come in the
+    first micro-batch, the second ones in the second."""
     table = _table(spark, "dedup", "tenant_id string, idempotency_key string, event_id long")
     rows = T.events(spark, sf).select("event_id", "tenant_id", "idempotency_key", "received_at")
     folder = sinks.scratch(spark, "watermark")
-    rows.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    once = SI.dedup_within(stream, ["tenant_id", "idempotency_key"], "2 days")
-    run_available(once, lambda batch, i: table.write(batch, i), f"{folder}/checkpoint")
-    return table.read().groupBy("tenant_id", "idempotency_key").agg(F.count("*").alias("n"))
+    turn = F.row_number().over(Window.partitionBy("tenant_id", "idempotency_key").orderBy("received_at", "event_id"))
+    arrivals = rows.withColumn("turn", F.least(turn, F.lit(3)))
+    for n in (1, 2, 3):
+        arrivals.filter(F.col("turn") == n).drop("turn").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        once = SI.dedup_within(stream, ["tenant_id", "idempotency_key"], "2 days")
+        # each run of the stream numbers its micro-batches on
+        run_available(once, lambda batch, i: table.write(batch, i), f"{folder}/checkpoint")
+    won = table.read().groupBy("tenant_id", "idempotency_key")
+    return won.agg(F.min("event_id").alias("event_id"), F.count("*").cast("int").alias("n"))
+
+
+def _decide(spark, rows, name):
+    """Runs the decision flow over the stream of ``rows``; its tables."""
+    schemas = {"answers": SD.ANSWER_SCHEMA, "queue": SD.QUEUE_SCHEMA, "audit": SD.AUDIT_SCHEMA, "rejects": SD.REJECT_SCHEMA}
+    t = {n: _table(spark, n, s) for n, s in schemas.items()}
+    decided = lambda s: SD.decided(s, T.policy_rules(spark), T.quorum_rules(spark))
+    handler = SD.decide(t["answers"], t["queue"], t["audit"])
+    play(spark, rows, [(decided, handler, "update"), (SD.rejected, t["rejects"].write, "append")], name)
+    return t
 
 
 @query(
@@ -76,11 +104,8 @@ def _(spark, sf):
     """Every event arrives twice; the second arrival changes nothing."""
     e = _events(spark, sf).drop("idempotency_key", "channel_code")
     again = e.withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 3 DAYS"))
-    t = {n: _table(spark, n, s) for n, s in (("actions", SD.ACTION_SCHEMA), ("queue", SD.QUEUE_SCHEMA),
-                                             ("audit", SD.AUDIT_SCHEMA), ("rejects", SD.REJECT_SCHEMA))}
-    handler = SD.decide(T.policy_rules(spark), T.quorum_rules(spark), t["actions"], t["queue"], t["audit"], t["rejects"])
-    play(spark, e.unionByName(again), handler, "decide")
-    return t["actions"].read().select("action_id", "decision", "status")
+    t = _decide(spark, e.unionByName(again), "decide")
+    return SD.stored_actions(t["answers"]).select("action_id", "decision", "status")
 
 
 @query(
@@ -92,10 +117,8 @@ def _(spark, sf):
     """Every event arrives twice, in one batch or in two: the second arrival is answered with the stored action."""
     e = _events(spark, sf).drop("idempotency_key", "channel_code")
     again = e.withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 3 DAYS"))
-    schemas = (SD.ACTION_SCHEMA, SD.QUEUE_SCHEMA, SD.AUDIT_SCHEMA, SD.REJECT_SCHEMA, SD.ACTION_SCHEMA)
-    t = [_table(spark, n, s) for n, s in zip(("actions", "queue", "audit", "rejects", "replays"), schemas)]
-    play(spark, e.unionByName(again), SD.decide(T.policy_rules(spark), T.quorum_rules(spark), *t), "replay")
-    return t[-1].read().select("tenant_id", "event_id", "action_id", "decision", "status")
+    t = _decide(spark, e.unionByName(again), "replay")
+    return SD.replayed_actions(t["answers"]).select("tenant_id", "event_id", "action_id", "decision", "status")
 
 
 @query(
@@ -108,10 +131,7 @@ def _(spark, sf):
     """Audit entries per kind; every tenth event has lost its tenant and is refused without failing the batch."""
     e = _events(spark, sf).drop("idempotency_key", "channel_code")
     e = e.withColumn("tenant_id", F.when(F.col("event_id") % 10 != 0, F.col("tenant_id")))
-    t = {n: _table(spark, n, s) for n, s in (("actions", SD.ACTION_SCHEMA), ("queue", SD.QUEUE_SCHEMA),
-                                             ("audit", SD.AUDIT_SCHEMA), ("rejects", SD.REJECT_SCHEMA))}
-    handler = SD.decide(T.policy_rules(spark), T.quorum_rules(spark), t["actions"], t["queue"], t["audit"], t["rejects"])
-    play(spark, e, handler, "audit")
+    t = _decide(spark, e, "audit")
     kinds = t["audit"].read().groupBy("kind").agg(F.count("*").alias("n"))
     return kinds.unionByName(t["rejects"].read().agg(F.lit("refused").alias("kind"), F.count("*").alias("n")))
 
@@ -122,7 +142,8 @@ def _(spark, sf):
     queue_path = sinks.scratch(spark, "queue")
     DC.queue_rows(actions).write.parquet(queue_path)
     outcomes = _table(spark, "votes", SD.VOTE_SCHEMA)
-    play(spark, PQ.votes(spark, sf), SD.vote(spark.read.parquet(queue_path), outcomes), "votes", "voted_at")
+    queue = spark.read.parquet(queue_path)
+    play(spark, PQ.votes(spark, sf), [(lambda s: SD.voted(s, queue), outcomes.write, "append")], "votes", "voted_at")
     return outcomes.read().select("vote_id", "outcome")
 
 
@@ -134,7 +155,7 @@ def _(spark, sf):
 def _(spark, sf):
     ring = _table(spark, "ring", "tenant_id string, event_id long, event_type string, received_at timestamp", SR.RingTable)
     order = ["received_at", "event_id"]
-    play(spark, _events(spark, sf), SR.keep_ring(ring, order, SR.EVENTS_CAP), "ring")
+    play(spark, _events(spark, sf), [(_same, SR.keep_ring(ring, order, SR.EVENTS_CAP), "append")], "ring")
     return SR.newest(ring.read_last(), order, SR.EVENTS_CAP).select("tenant_id", "event_id", "age")
 
 
@@ -229,30 +250,29 @@ def _(spark, sf):
     return SI.envelopes(raw).groupBy("tenant_id", "event_type").agg(F.count("*").alias("n"))
 
 
-_ARRIVAL = f"CASE WHEN strftime(received_at, '%Y-%m-%d') < '{CUTS[0]}' THEN 0 WHEN strftime(received_at, '%Y-%m-%d') < '{CUTS[1]}' THEN 1 ELSE 2 END"
-
-
 @query(
     "stream_linked_customers",
     D.sql(
         ["link_walk"],
-        f""", a AS (SELECT w.*, {_ARRIVAL} AS arrival FROM link_walk w JOIN arrival_seq q ON q.event_id = w.event_id)
-        SELECT w.tenant_id, w.event_id, w.outcome, CASE w.outcome WHEN 'collision' THEN NULL WHEN 'replay'
-            THEN CASE WHEN s.arrival = w.arrival THEN s.customer END ELSE w.customer END AS customer_id,
+        """SELECT w.tenant_id, w.event_id, w.outcome, CASE w.outcome WHEN 'collision' THEN NULL WHEN 'replay' THEN s.customer
+            ELSE w.customer END AS customer_id,
+        CASE WHEN w.outcome = 'replay' THEN s.event_id END AS replay_of,
         CASE WHEN w.outcome = 'linked' THEN split_part(w.matched, ':', 1) END AS matched_kind,
-        CASE WHEN w.outcome = 'linked' THEN substr(w.matched, instr(w.matched, ':') + 1) END AS matched_value FROM a w
-        LEFT JOIN (SELECT * FROM a WHERE outcome IN ('created', 'linked')) s ON s.tenant_id = w.tenant_id AND s.key = w.key""",
+        CASE WHEN w.outcome = 'linked' THEN substr(w.matched, instr(w.matched, ':') + 1) END AS matched_value FROM link_walk w
+        LEFT JOIN (SELECT * FROM link_walk WHERE outcome IN ('created', 'linked')) s ON s.tenant_id = w.tenant_id AND s.key = w.key
+        WHERE w.event_id IS NOT NULL""",
         recursive=True,
     ),
 )
 def _(spark, sf):
-    """Identity linking in three arrivals. A replay names its customer only if the key was stored in the same arrival."""
+    """Identity linking in three arrivals; a replay names the stored event and its customer, whenever that was stored."""
     e = IQ.hinted_events(spark, sf).withColumn("customer_id", F.lit(None).cast("string"))
     rows = e.select("tenant_id", "event_id", "received_at", "idempotency_key", "customer_id", "hints")
     out = _table(spark, "outcomes", SI.OUTCOME_SCHEMA)
-    handler = SI.link(_table(spark, "identities", SI.IDENTITY_SCHEMA), _table(spark, "keys", SI.STORED_SCHEMA), out)
-    play(spark, rows, handler, "link")
-    return out.read().select("tenant_id", "event_id", "outcome", "customer_id", "matched_kind", "matched_value")
+    identities = KeyTable(spark, sinks.scratch(spark, "identities"), SI.IDENTITY_SCHEMA, ["tenant_id", "kind", "value"], 16)
+    stored = KeyTable(spark, sinks.scratch(spark, "keys"), SI.STORED_SCHEMA, sinks.KEY, 16)
+    play(spark, rows, [(_same, SI.link(identities, stored, out), "append")], "link")
+    return out.read().select("tenant_id", "event_id", "outcome", "customer_id", "replay_of", "matched_kind", "matched_value")
 
 
 @query(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from convspark.operators import approvals as AP, decisions as DC, proposals as PR, validate as A
-from convspark.streaming.state import BatchTable
+from convspark.streaming.state import BatchTable, first_arrivals
 
 ACTION_SCHEMA = (
     "action_id string, tenant_id string, event_id long, proposal_id string, customer_id string, event_type string, "
@@ -29,55 +33,109 @@ VOTE_SCHEMA = (
 )
 
 
-def decide(
-    rules: DataFrame,
-    quorum: DataFrame,
-    actions: BatchTable,
-    queue: BatchTable,
-    audit: BatchTable,
-    rejects: BatchTable,
-    replays: BatchTable | None = None,
-):
-    """Event -> proposal -> decision -> queue / execution -> audit, once per (tenant, event).
-
-    A row without tenant or event id goes to the reject table and never fails the batch; an event decided by an
-    earlier batch adds neither action nor audit. What is asked again is answered with the stored action: ``replays`` gets one
-    row for each further arrival of an event.
+_MAPS = ["payload", "executed_payload"]
+#: The action of each event that was asked in a micro-batch: whether it is new, and the arrivals of its event so far.
+ANSWER_SCHEMA = ACTION_SCHEMA + ", created boolean, arrivals long"
+
+
+def rejected(events: DataFrame) -> DataFrame:
+    """Rows without tenant or event id, for the reject table; they never reach the keyed state."""
+    bad = events.filter(A.missing_envelope_fields(events))
+    return bad.select("tenant_id", "event_id", F.lit("missing envelope field").alias("reason"))
+
+
+def decided(events: DataFrame, rules: DataFrame, quorum: DataFrame) -> DataFrame:
+    """Event -> proposal -> decision, once per (tenant, event), as keyed state (for update mode).
+
+    Every arrival is proposed and decided as it comes, row by row; the state keeps the action of the first one. So an
+    event that is asked again, in this micro-batch or a later one, gets the action that was stored, whatever the rules
+    have become since.
     """
+    good = events.filter(~A.missing_envelope_fields(events))
+    actions = DC.apply_decision(DC.decide(DC.as_actions(PR.propose(good)), rules), quorum)
+    flat = actions.withColumns({c: F.array_sort(F.map_entries(c)) for c in _MAPS})
+    kept = first_arrivals(flat, ["tenant_id", "event_id"], ["created_at", "proposal_id"])
+    return kept.withColumns({c: F.map_from_entries(c) for c in _MAPS})
+
+
+def decide(answers: BatchTable, queue: BatchTable, audit: BatchTable):
+    """Every answer of a micro-batch is written once; new actions also go to the approval queue and the audit log. No
+    earlier batch is read."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        bad = A.missing_envelope_fields(batch)
-        rejects.write(batch.filter(bad).select("tenant_id", "event_id", F.lit("missing envelope field").alias("reason")), batch_id)
-        key = ["tenant_id", "event_id"]
-        asked = batch.filter(~bad)
-        stored = actions.read(before=batch_id)
-        fresh = asked.join(stored.select(*key), key, "left_anti")
-        decided = DC.decide(DC.materialize(PR.propose(fresh)), rules)
-        actions.write(DC.apply_decision(decided, quorum), batch_id)
-        written = actions.read_batch(batch_id)
-        queue.write(DC.queue_rows(written), batch_id)
-        audit.write(DC.policy_audit(written), batch_id)
-        if replays is not None:
-            arrivals = asked.groupBy(*key).agg(F.count("*").alias("n"))
-            known = stored.withColumn("first", F.lit(0)).unionByName(written.withColumn("first", F.lit(1)))
-            again = known.join(arrivals, key).filter("n > first").withColumn("n", F.explode(F.expr("sequence(first + 1, n)")))
-            replays.write(again, batch_id)
+        answers.write(batch, batch_id)
+        new = answers.read_batch(batch_id).filter("created")
+        queue.write(DC.queue_rows(new), batch_id)
+        audit.write(DC.policy_audit(new), batch_id)
 
     return handle
 
 
-def vote(queue: DataFrame, outcomes: BatchTable):
-    """Votes per micro-batch. The votes accepted so far, at most N per action, are the state: put in front of the new
-    ones they give each new vote the outcome it has in the whole sequence."""
-    names = ["tenant_id", "action_id", "vote_id", "vote", "decided_by", "reason", "voted_at"]
+def stored_actions(answers: BatchTable) -> DataFrame:
+    """One action per (tenant, event), as it was decided when the event came first."""
+    return answers.read().filter("created").drop("created", "arrivals")
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        accepted = outcomes.read(before=batch_id).filter("outcome = 'accepted'")
-        touched = batch.select("tenant_id", "action_id").distinct()
-        prior = accepted.join(touched, ["tenant_id", "action_id"], "left_semi").select(*names)
-        rows = queue.join(touched, ["tenant_id", "action_id"], "left_semi")
-        classified = AP.classify(prior.unionByName(batch.select(*names)), rows)
-        fresh = classified.join(batch.select("tenant_id", "action_id", "vote_id"), ["tenant_id", "action_id", "vote_id"], "left_semi")
-        outcomes.write(fresh, batch_id)
 
-    return handle
+def replayed_actions(answers: BatchTable) -> DataFrame:
+    """The stored action once for each micro-batch in which its event was asked again."""
+    return answers.read().filter("NOT created OR arrivals > 1")
+
+
+#: What is kept of an action: who approved it, how often, and whether it has ended.
+_VOTING = "approvers array<string>, n int, ended boolean"
+
+
+def _step(votes: pd.DataFrame, approvers: list, n: int, ended: bool) -> tuple[list, list, list, int, bool]:
+    """The votes of one action, in order: (outcomes, tallies, approvers, approvals, ended)."""
+    outcomes, tallies, known = [], [], set(approvers)
+    for vote, who, may, needed in zip(votes["vote"], votes["decided_by"], votes["may_vote"], votes["required_approvals"]):
+        tally = None
+        if ended:
+            outcome = "already_decided"
+        elif not may:
+            outcome = "not_eligible"
+        elif vote == "reject":
+            outcome, ended = "accepted", True
+        elif who is not None and who in known:
+            outcome = "duplicate"
+        else:
+            n += 1
+            outcome, tally, ended = "accepted", n, n >= needed
+            if who is not None:
+                known.add(who)
+                approvers.append(who)
+        outcomes.append(outcome)
+        tallies.append(tally)
+    return outcomes, tallies, approvers, n, ended
+
+
+def voted(votes: DataFrame, queue: DataFrame) -> DataFrame:
+    """The outcome of every vote, with one state per action: its approvers (at most N) and whether it has ended.
+
+    Votes take effect by micro-batch, inside one in (voted_at, vote_id) order. Eligibility is settled before the state, by
+    a join of the stream to the queue; a vote on an action that is not there is ``not_found`` and makes no state. A task
+    holds the votes that one action gets in one micro-batch, and nothing of earlier ones. States have no time-out: an action
+    that forgot its votes would accept new ones.
+    """
+    key = ["tenant_id", "action_id"]
+    rules = queue.select(*key, "required_approvals", "eligible_approvers")
+    joined = votes.join(rules, key, "left")
+    found = F.col("required_approvals").isNotNull()
+    named = (F.col("required_approvals") <= 1) | F.col("decided_by").isNotNull()
+    may = AP.eligible(F.col("eligible_approvers"), F.col("decided_by")) & ((F.col("vote") == "reject") | named)
+    names = ["vote_id", "vote", "decided_by", "reason", "voted_at"]
+    joined = joined.select(*key, *names, "required_approvals", F.coalesce(may, F.lit(False)).alias("may_vote"), found.alias("found"))
+
+    def judge(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["voted_at", "vote_id"])
+        rows = rows.astype(object).where(rows.notna(), None)
+        if not rows["found"].iloc[0]:
+            outcomes, tallies = ["not_found"] * len(rows), [None] * len(rows)
+        else:
+            approvers, n, ended = state.get if state.exists else ([], 0, False)
+            outcomes, tallies, approvers, n, ended = _step(rows, list(approvers), n, ended)
+            state.update((approvers, n, ended))
+        out = rows[names].assign(tenant_id=group[0], action_id=group[1], outcome=outcomes, n_approvals=tallies)
+        yield out[["tenant_id", "action_id", *names, "outcome", "n_approvals"]]
+
+    return joined.groupBy(*key).applyInPandasWithState(judge, VOTE_SCHEMA, _VOTING, "append", GroupStateTimeout.NoTimeout)
