@@ -26,6 +26,22 @@ def sliced_rank(df: DataFrame, keys: list[str], order: list[Column], slices: Col
     return joined.withColumn(name, F.col("_before") + F.col("_in_slice")).drop("_slice", "_before", "_in_slice")
 
 
+def top_rank(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str, slots: int = 64) -> DataFrame:
+    """Position within ``keys`` of the first ``n`` rows of each key, null for all others, which pass through.
+
+    Rows are ranked in ``slots`` parts of a key; those in front there are ranked against each other, at most slots x n
+    of them. One pass over ``df``, no join back, and a key that holds most rows is spread over its slots.
+    """
+    # any dealing will do: the slot of a row has no part in the result
+    parted = df.withColumn("_slot", F.pmod(F.monotonically_increasing_id(), F.lit(slots)).cast("int"))
+    parted = parted.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order)))
+    ahead = F.col("_in") <= n
+    parted = parted.withColumn("_slot", F.when(ahead, F.lit(-1)).otherwise(F.col("_slot")))
+    place = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order))
+    parted = parted.withColumn("_at", place)
+    return parted.withColumn(name, F.when((F.col("_slot") == -1) & (F.col("_at") <= n), F.col("_at"))).drop("_slot", "_in", "_at")
+
+
 _BLOCK = 4096
 
 

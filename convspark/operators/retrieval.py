@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from convspark import values as V
 from convspark.functions import text as X
-from convspark.functions.scale import sliced_rank
+from convspark.functions.scale import sliced_rank, top_rank
+from convspark.functions.vectors import bag_cosine
 
 KEYS = ["tenant_id", "customer_id", "pair_id"]
 SEGMENT = ["source", "ord", "seq", "ts", "body", "token_estimate", "priority", "similarity"]
@@ -82,31 +83,22 @@ def naive_dump(messages: DataFrame, actions: DataFrame, keys: list[str] = KEYS)
     return msgs.unionByName(_segments(action_rows(actions, keys), keys, "prior_action", 1, -_epoch(F.col("ts"))))
 
 
-def query_vectors(queries: DataFrame, keys: list[str]) -> DataFrame:
-    """One sparse vector per query, built once before it meets the history."""
-    b = X.buckets(F.col("query"))
-    return queries.select(
-        *keys, "query", X.bucket_counts(b).alias("q_counts"), X.squared_norm(b).alias("q_sq")
-    )
-
-
-def _scored(rows: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
-    sim = X.cosine(X.buckets(F.col("text")), F.col("q_counts"), F.col("q_sq"))
-    return rows.join(vectors.drop("query"), keys).withColumn("sim", sim)
+def _scored(rows: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of keys that have a query, with ``sim`` to it."""
+    return rows.join(queries.select(*keys, "query"), keys).withColumn("sim", bag_cosine("text", "query")).drop("query")
 
 
 def semantic(queries: DataFrame, messages: DataFrame, actions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Hashed bag-of-words cosine to the query, newest first among equals."""
-    vectors = query_vectors(queries, keys)
     rank = F.col("sim") + _epoch(F.col("ts")) * F.lit(V.TIME_TIEBREAK)
-    msgs = _scored(message_rows(messages, keys).drop("line"), vectors, keys)
-    acts = _scored(action_rows(actions, keys), vectors, keys)
+    msgs = _scored(message_rows(messages, keys).drop("line"), queries, keys)
+    acts = _scored(action_rows(actions, keys), queries, keys)
     return _segments(msgs, keys, "semantic_match", 0, rank, F.round("sim", 6)).unionByName(
         _segments(acts, keys, "prior_action", 1, rank, F.round("sim", 6))
     )
 
 
-def _summary(cold_newest_first: DataFrame, counts: DataFrame, keys: list[str], summariser: X.Summariser) -> DataFrame:
+def _summary(cold_newest_first: DataFrame, keys: list[str], summariser: X.Summariser) -> DataFrame:
     """One SUMMARY segment per key from its cold messages."""
     block = cold_newest_first.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("cold_rank", "line"))).alias("lines"), F.max("ts").alias("ts")
@@ -114,7 +106,7 @@ def _summary(cold_newest_first: DataFrame, counts: DataFrame, keys: list[str], s
     body = F.concat(
         F.lit("[summary] "), summariser.text(F.array_join(F.transform("lines", lambda s: s["line"]), "\n"))
     )
-    rows = block.join(counts, keys).select(*keys, F.lit(0).alias("seq"), "ts", body.alias("body"), "n_cold")
+    rows = block.select(*keys, F.lit(0).alias("seq"), "ts", body.alias("body"))
     return _segments(rows, keys, "summary", 0, F.lit(V.SUMMARY_BAND))
 
 
@@ -137,10 +129,9 @@ def summarized(
     head = _newest(msgs, keys, None if summariser.reads is None else recent_window + summariser.reads, "r")
     warm = head.filter(F.col("r") <= recent_window)
     cold = head.filter(F.col("r") > recent_window).withColumn("cold_rank", F.col("r"))
-    counts = msgs.groupBy(*keys).agg((F.count("*") - recent_window).alias("n_cold")).filter("n_cold > 0")
     acts = _segments(action_rows(actions, keys), keys, "prior_action", 1, F.lit(V.ACTION_BAND) + _epoch(F.col("ts")))
     return (
-        _summary(cold, counts, keys, summariser)
+        _summary(cold, keys, summariser)
         .unionByName(acts)
         .unionByName(_segments(warm, keys, "recent_message", 2, _epoch(F.col("ts"))))
     )
@@ -172,20 +163,22 @@ def hybrid(
 ) -> DataFrame:
     """Summary of the cold tail, all actions, warm messages verbatim, mid messages by similarity."""
     tiered = tiers(messages, actions, warm_hours, cold_hours, keys)
-    cold = tiered.filter("tier = 'cold'")
-    counts = cold.groupBy(*keys).agg(F.count("*").alias("n_cold"))
+    cold = _newest(tiered.filter("tier = 'cold'"), keys, summariser.reads, "cold_rank")
     acts = _segments(action_rows(actions, keys), keys, "prior_action", 1, F.lit(V.ACTION_BAND) + _epoch(F.col("ts")))
-    warm = _segments(
-        tiered.filter("tier = 'warm'"), keys, "recent_message", 2, F.lit(V.WARM_BAND) + _epoch(F.col("ts"))
-    )
-    mid = _scored(tiered.filter("tier = 'mid'"), query_vectors(queries, keys), keys)
-    rank = F.col("sim") + _epoch(F.col("ts")) * F.lit(V.TIME_TIEBREAK)
-    return (
-        _summary(_newest(cold, keys, summariser.reads, "cold_rank"), counts, keys, summariser)
-        .unionByName(acts)
-        .unionByName(warm)
-        .unionByName(_segments(mid, keys, "semantic_match", 3, rank, F.round("sim", 6)))
+    # warm and mid rows in one pass: the tier decides source, priority and whether there is a cosine
+    asked = queries.select(*keys, "query", F.lit(True).alias("asked"))
+    live = tiered.filter("tier != 'cold'").drop("line").join(asked, keys, "left")
+    warm = F.col("tier") == "warm"
+    live = live.filter(warm | F.col("asked"))
+    live = live.withColumn("sim", bag_cosine(F.when(~warm, F.col("text")), F.when(~warm, F.col("query"))))
+    live = live.withColumn("sim", F.when(~warm, F.col("sim")))
+    near = F.col("sim") + _epoch(F.col("ts")) * F.lit(V.TIME_TIEBREAK)
+    rank = F.when(warm, F.lit(V.WARM_BAND) + _epoch(F.col("ts"))).otherwise(near)
+    rows = _segments(live.withColumn("rank", rank), [*keys, "tier"], "", 0, F.col("rank"), F.round("sim", 6))
+    rows = rows.withColumns(
+        {"source": F.when(warm, "recent_message").otherwise("semantic_match"), "ord": F.when(warm, 2).otherwise(3)}
     )
+    return _summary(cold, keys, summariser).unionByName(acts).unionByName(rows.drop("tier"))
 
 
 def rerank(
@@ -200,21 +193,22 @@ def rerank(
 
     Head rows come first. A blank query leaves the semantic result unchanged (stage is null).
     """
-    base = semantic(queries, messages, actions, keys)
+    base = top_rank(semantic(queries, messages, actions, keys), keys, reading_order(), top_k, "semantic_rank")
     blank = X.strip(F.coalesce(F.col("query"), F.lit(""))) == ""
     qtok = queries.select(*keys, X.tokens(F.col("query")).alias("q"), blank.alias("q_blank"))
-    w = Window.partitionBy(*keys).orderBy(*reading_order())
-    head = base.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_k)
-    head = head.join(qtok, keys).filter(~F.col("q_blank")).withColumn("t", X.tokens(F.col("body")))
     weight = V.RERANK_WEIGHTS
-    score = (
-        F.lit(weight["cosine"]) * F.col("similarity")
-        + F.lit(weight["bigram"]) * X.jaccard(X.bigrams(F.col("q")), X.bigrams(F.col("t")))
-        + F.lit(weight["jaccard"]) * X.jaccard(F.array_distinct("q"), F.array_distinct("t"))
-        + F.lit(weight["recency"]) * X.recency_decay(F.col("ts"), now)
-    )
-    scores = head.select(*keys, "ord", "seq", F.col("_r").alias("semantic_rank"), score.alias("rerank_score"))
-    joined = base.join(scores, [*keys, "ord", "seq"], "left").join(qtok.select(*keys, "q_blank"), keys)
+
+    def score(t: Column) -> Column:
+        return (
+            F.lit(weight["cosine"]) * F.col("similarity")
+            + F.lit(weight["bigram"]) * X.jaccard(X.bigrams(F.col("q")), X.bigrams(t))
+            + F.lit(weight["jaccard"]) * X.jaccard(F.array_distinct("q"), F.array_distinct(t))
+            + F.lit(weight["recency"]) * X.recency_decay(F.col("ts"), now)
+        )
+
+    joined = base.join(qtok, keys)
+    in_head = F.col("semantic_rank").isNotNull() & ~F.col("q_blank")
+    joined = joined.withColumn("rerank_score", F.when(in_head, X.let(X.tokens(F.col("body")), score)))
     stage = F.when(~F.col("q_blank"), F.when(F.col("rerank_score").isNotNull(), "head").otherwise("tail"))
     return joined.select(
         *keys,

@@ -336,3 +336,14 @@ def test_payload_strings_equal_json_walk(spark):
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "p string")
     got = [(r.p, list(r.s)) for r in df.select("p", payload_strings(F.col("p")).alias("s")).collect()]
     assert got == [(t, walk(json.loads(t))) for t in texts] + [(None, [])]
+
+
+def test_arrow_bags_equal_folded_ones(spark):
+    from convspark.functions.vectors import bag_cosine
+
+    texts = ["", None, "a b", "Hello hello WORLD 42", "KK kÅ İx", "x1 y22 " * 300, "café naïve caf", "ab-ab_ab.ab", "日本 ab"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    q = X.buckets(F.col("b"))
+    folded = X.cosine(X.buckets(F.col("a")), X.bucket_counts(q), X.squared_norm(q))
+    for r in df.select(folded.alias("x"), bag_cosine("a", "b").alias("y")).collect():
+        assert abs(r.x - r.y) < 1e-12
