@@ -7,15 +7,18 @@ seed and doc_id. Copies then go to partitions, and are ordered in them, by a has
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from convspark.llm.common import replaced, shared_folder, table
 
 SEED = 20
 #: Target weights of the query: this source three shares, each other source one.
 WEIGHTS = {"src0": 3.0}
+#: Bins of [0, 1) in which numbers meet the intervals of the distributions.
+_BINS = 256
+#: Numbers that are made from one row at once.
+_BLOCK = 4096
 _DIGITS = 13  # hexadecimal digits that a double holds exactly
 _NO_SOURCE = ""
 
@@ -42,23 +45,30 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float = 1.0, tota
 
 
 def distributions(rated: DataFrame) -> DataFrame:
-    """(source, cdf): the cumulative distribution of the copies, as far as doubles can tell it from 1.
+    """(source, copies, low, high): a document draws ``copies`` if its number in [0, 1) lies in [low, high).
 
-    Probabilities are taken from logarithms, so large rates do not underflow.
+    Terms are taken from rate - 12 sqrt(rate) - 40 to rate + 12 sqrt(rate) + 40; what lies outside is far below what doubles
+    tell apart. Neighbouring terms have the ratio rate / j, so logarithms are a running sum over the rows of a source, and
+    large rates do not underflow; the terms are divided by their sum.
     """
-    far = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
-    terms = rated.filter("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), far)).alias("j"))
-    factorial = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.col("j"), F.lit(1))), F.lit(0.0), lambda total, i: total + F.ln(i)
-    )
-    terms = terms.select("source", "j", F.exp(F.col("j") * F.ln("rate") - F.col("rate") - factorial).alias("p"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("j", "p"))), lambda t: t["p"])
-    sums = terms.groupBy("source").agg(ordered.alias("ps"))
-    start = F.struct(F.lit(0.0).alias("at"), F.array().cast(T.ArrayType(T.DoubleType())).alias("cdf"))
-    running = F.aggregate(
-        "ps", start, lambda s, p: F.struct((s["at"] + p).alias("at"), F.array_append(s["cdf"], s["at"] + p).alias("cdf"))
-    )
-    return sums.select("source", running["cdf"].alias("cdf"))
+    reach = 12 * F.sqrt("rate") + 40
+    first, last = F.greatest(F.floor(F.col("rate") - reach), F.lit(0)), F.ceil(F.col("rate") + reach)
+    terms = rated.filter("rate > 0").select("source", "rate", first.alias("first"), last.alias("last"))
+    # block by block, so that no array is longer than a block
+    block = F.explode(F.sequence(F.floor(F.col("first") / _BLOCK), F.floor(F.col("last") / _BLOCK))).alias("block")
+    terms = terms.select("*", block)
+    start = F.greatest("first", F.col("block") * _BLOCK)
+    terms = terms.select("*", F.explode(F.sequence(start, F.least("last", F.col("block") * _BLOCK + _BLOCK - 1))).alias("j"))
+    by_source = Window.partitionBy("source")
+    upto = by_source.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("j") == F.col("first"), F.lit(0.0)).otherwise(F.ln("rate") - F.ln("j"))
+    terms = terms.select("source", "j", "last", F.sum(step).over(upto).alias("s"))
+    terms = terms.withColumn("p", F.exp(F.col("s") - F.max("s").over(by_source)))
+    terms = terms.withColumn("p", F.col("p") / F.sum("p").over(by_source))
+    high = F.sum("p").over(upto)
+    terms = terms.withColumn("high", F.when(F.col("j") == F.col("last"), F.lit(2.0)).otherwise(high))
+    low = F.coalesce(F.lag("high").over(by_source.orderBy("j")), F.lit(0.0))
+    return terms.select("source", F.col("j").alias("copies"), low.alias("low"), "high")
 
 
 def _hash(seed: int, *parts) -> Column:
@@ -73,16 +83,24 @@ def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, total:
     as the source ''; rows that repeat a doc_id share its draw. A weight of 0 leaves a source out. Texts are not read.
     """
     spark = docs.sparkSession
-    # as a table its size is known: Spark broadcasts it if it is small, else joins by source and splits hot ones
+    # the range join as an equi-join: numbers and intervals meet in bins; as a table its size is known to Spark, which
+    # broadcasts it if it is small, else joins by source and bin and splits hot ones
+    cut = distributions(rates(docs, weights, default, total)).filter("copies > 0 AND low < high AND low < 1")
+    bins = F.sequence(F.floor(F.col("low") * _BINS), F.least(F.floor(F.col("high") * _BINS), F.lit(_BINS - 1).cast("long")))
     folder = shared_folder(spark, "mix")
-    distributions(rates(docs, weights, default, total)).write.parquet(folder)
-    cdf = spark.read.parquet(folder).select(F.col("source").alias("_llm_source"), F.col("cdf").alias("_llm_cdf"))
+    cut.select("source", F.explode(bins).alias("bin"), "copies", "low", "high").write.parquet(folder)
+    cut = spark.read.parquet(folder)
+    cut = cut.select(*[F.col(c).alias(f"_llm_{c}") for c in cut.columns])
     clean = replaced(docs).drop("copy_no", "order_key")
     u = F.conv(F.substring(_hash(seed, F.col("doc_id")), 1, _DIGITS), 16, 10).cast("long") / F.lit(float(16**_DIGITS))
-    drawn = clean.withColumns({"_llm_u": u, "_llm_key": _source()}).join(cdf, F.col("_llm_key") == F.col("_llm_source"))
-    copies = F.size(F.filter("_llm_cdf", lambda p: p <= F.col("_llm_u")))
-    drawn = drawn.withColumn("_llm_n", copies).filter("_llm_n > 0")
-    out = drawn.select(*clean.columns, F.explode(F.sequence(F.lit(1), F.col("_llm_n"))).alias("copy_no"))
+    drawn = clean.withColumns({"_llm_u": u, "_llm_key": _source()}).withColumn("_llm_in", F.floor(F.col("_llm_u") * _BINS))
+    drawn = drawn.join(cut, (F.col("_llm_key") == F.col("_llm_source")) & (F.col("_llm_in") == F.col("_llm_bin")))
+    drawn = drawn.filter((F.col("_llm_low") <= F.col("_llm_u")) & (F.col("_llm_u") < F.col("_llm_high")))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_llm_copies") - 1) / _BLOCK))).alias("_llm_block")
+    drawn = drawn.select(*clean.columns, "_llm_copies", blocks)
+    start = F.col("_llm_block") * _BLOCK + 1
+    copies = F.sequence(start.cast("int"), F.least(F.col("_llm_copies"), start + _BLOCK - 1).cast("int"))
+    out = drawn.select(*clean.columns, F.explode(copies).alias("copy_no"))
     out = out.withColumn("order_key", _hash(seed, F.lit("place"), F.col("doc_id"), F.col("copy_no")))
     return out.repartition("order_key").sortWithinPartitions("order_key")
 

@@ -7,15 +7,27 @@ from tests.llm.fixtures import DOCS, documents, frame
 
 
 def test_distributions_equal_the_formula(spark):
-    rates = [("a", 1, 0.3), ("b", 1, 7.5), ("c", 1, 900.0), ("d", 1, 0.0)]
-    got = {r.source: r.cdf for r in M.distributions(spark.createDataFrame(rates, "source string, n_docs long, rate double")).collect()}
-    assert set(got) == {"a", "b", "c"}
-    for source, _, rate in rates[:3]:
+    rates = [("a", 1, 0.3), ("b", 1, 7.5), ("c", 1, 900.0), ("d", 1, 0.0), ("e", 1, 100_000.0)]
+    rows = M.distributions(spark.createDataFrame(rates, "source string, n_docs long, rate double")).collect()
+    assert {r.source for r in rows} == {"a", "b", "c", "e"}
+    for source, _, rate in rates:
+        mine = sorted((r.copies, r.low, r.high) for r in rows if r.source == source)
+        assert len(mine) <= 24 * math.sqrt(rate) + 83
         total = 0.0
-        for j, c in enumerate(got[source]):
+        for n, (j, low, high) in enumerate(mine):
+            assert low == (mine[n - 1][2] if n else 0.0)
             total += math.exp(j * math.log(rate) - rate - math.lgamma(j + 1))
-            assert abs(c - total) < 1e-9
-        assert abs(got[source][-1] - 1) < 1e-9
+            if n < len(mine) - 1:
+                assert abs(high - total) < (1e-12 if rate < 1000 else 1e-8)
+        assert not mine or (mine[-1][2] > 1 and abs(total - 1) < 1e-8)
+
+
+def test_one_document_of_a_source_is_repeated_very_often(spark):
+    rows = [(0, "rare", "en", "rare", 4)] + [(i, "t", "en", "common", 1) for i in range(1, 5)]
+    out = M.mix(frame(spark, rows), {"rare": 1.0}, default=0.0, total=100_000).select("doc_id", "copy_no")
+    n = out.count()
+    assert abs(n - 100_000) < 6 * math.sqrt(100_000) and out.distinct().count() == n
+    assert out.agg(F.min("copy_no"), F.max("copy_no")).first() == (1, n)
 
 
 def test_shares_meet_the_weights(spark):
