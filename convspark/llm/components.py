@@ -18,7 +18,9 @@ def roots(links: DataFrame) -> DataFrame:
 
     ``links`` has two columns of the same orderable type. Large-star and small-star steps alternate until the links no
     longer change: every node then points at its root. Each step takes a minimum per node, which combines map-side, and
-    joins it back to the links of the node. Each round is checkpointed in the shared folder. Links with a null end and links from a node to itself are ignored.
+    joins it back to the links of the node. Both sides of these joins are checkpoints in the shared folder, so neither is
+    tied to the partitions of an aggregate, and the links of a hub are split at run time. Links with a null end and links
+    from a node to itself are ignored.
     """
     left, right = links.columns
     edges = links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
@@ -26,10 +28,10 @@ def roots(links: DataFrame) -> DataFrame:
     seen = _state(edges)
     while seen[0]:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")))
         large = both.join(low, "a").filter(F.col("b") > F.col("a"))
-        large = large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut_lineage(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.select("b", "m").filter(F.col("b") != F.col("m")))
         edges = cut_lineage(small.distinct())

@@ -137,6 +137,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, cell:
     placed = fps.repartition(parts, "fp").select("fp", embedding(F.col("fp")).alias("counts"))
     placed = placed.select("fp", F.explode(_cells(F.col("counts"), max_bits, blocks)).alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    # counted once; as a checkpoint it leaves the other side of the join free to be split where a cell is crowded
+    shared = cut_lineage(shared.filter("n > 1"))
     # most cells that are shared have two fingerprints
     pairs = shared.filter("n = 2").select("a", "b")
     bound = F.bit_count(embedding(F.col("a")).bitwiseXOR(embedding(F.col("b"))))
@@ -168,7 +170,9 @@ def components_of(prints: DataFrame, id_col: str = "doc_id", max_bits: int = MAX
     near = components.roots(links(distinct.select("fp"), max_bits))
     rooted = distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.select("fp", F.coalesce("root", "fp").alias("root"), "own")
-    first = rooted.groupBy("root").agg(F.min("own").alias("first_id"))
+    rooted = cut_lineage(rooted)
+    # both sides as checkpoints: the members of a large component are split
+    first = cut_lineage(rooted.groupBy("root").agg(F.min("own").alias("first_id")))
     return rooted.join(first, "root").select("fp", "root", "first_id")
 
 
