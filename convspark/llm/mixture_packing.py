@@ -31,18 +31,23 @@ WINDOW = 2048
 SLICE = 64
 END_ID = 1
 _UNIT = 20  # shares are multiples of 2^-20 slices a round
-#: Entries of a worker's tables of known words and known pieces of words; a full table starts anew.
+#: Entries of a worker's table of known words, half of those of its table of known pieces; a full table starts anew.
 _KNOWN = 1 << 18
 #: Slices that are placed at once.
 _AT_ONCE = 1 << 14
 _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Texts of printable ASCII and the letters of Latin-1, and their pieces: no mark joins a letter there, and lower case is
+#: one letter for one.
+_PLAIN = re.compile(r"[\x20-\x7e\n\t\r\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff \n\t\r]+")
 
 
 class Encoder:
     """Ids of texts as bytes, equal to what the tokenizer gives for the whole text.
 
     White space always ends a token of this kind of tokenizer (``splits_words``), so a text is the sequence of its words,
-    and words that were seen are not encoded again. A printable ASCII word is further cut as the tokenizer cuts it.
+    and words that were seen are not encoded again. Texts of Latin-1 letters are cut into the tokenizer's own pieces, as are
+    printable ASCII words of other texts.
     """
 
     def __init__(self, path: str):
@@ -59,12 +64,13 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        new = list(pieces - self.pieces.keys())
+        self.pieces.update(zip(new, self._plain(new)))
+
     def _learn(self, words: list[str]) -> None:
         cut = [self._cut(w) for w in words]
-        if len(self.pieces) > _KNOWN:
-            self.pieces.clear()
-        new = list({p for ps in cut for p in ps} - self.pieces.keys())
-        self.pieces.update(zip(new, self._plain(new)))
+        self._learn_pieces({p for ps in cut for p in ps})
         self.words.update((w, b"".join([self.pieces[p] for p in ps])) for w, ps in zip(words, cut))
 
     @staticmethod
@@ -81,11 +87,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._plain(texts)
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.pieces) > 2 * _KNOWN:
+            self.pieces.clear()
         if len(self.words) > _KNOWN:
             self.words.clear()
-        self._learn(list(set().union(*split) - self.words.keys()))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        cut = [_PLAIN_PIECE.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
+        self._learn_pieces(set().union(*[c for c in cut if c]))
+        blanks = str.maketrans("\n\t\r", "   ")
+        split = [None if p else t.translate(blanks).split(" ") for t, p in zip(texts, plain)]
+        self._learn(list(set().union(*[w for w in split if w]) - self.words.keys()))
+        pieces, words = self.pieces.__getitem__, self.words.__getitem__
+        return [b"".join(map(pieces, c) if p else map(words, w)) for p, c, w in zip(plain, cut, split)]
 
 
 def splits_words(tokenizer) -> bool:

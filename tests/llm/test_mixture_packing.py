@@ -23,6 +23,8 @@ def test_words_give_the_ids_of_whole_texts(tokenizer):
     rng = random.Random(4)
     alphabet = "abcXYZ  \n\t'.,;:!?-_<|>%$#0123éÉßıİΣςσ日本  \x0b\x0c\x1c\x85̸́ﬁ²Ⅷ"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    plain = "abcXYZ  \n\t'.,;:!?-_|>#0123éÉßÿÖöÆ sd'll've"
+    texts += ["".join(rng.choice(plain) for _ in range(rng.randrange(60))) for _ in range(4000)]
     texts += ["It's we'll DON'T 'Tis o'rec", "a <|endoftext|> b<|endoftext|>c <|startoftext|", "", " ", "x" * 50_000, "ΟΔΟΣ ΣΑΣ."]
     texts += [t for _, t, *_ in documents() if t]
     encoder = P.Encoder(PATH)
