@@ -1,9 +1,14 @@
 """Operator 7: WARC archives with revisit resolution.
 
 Headers (digest and id, no payload) are shuffled by payload digest to find the original of each payload; the resolved
-headers then meet their payloads by page, and Spark's text writer writes the records: responses with payload, revisits
-with a reference to the original. Reading parses the archives by Content-Length, so a payload may hold anything, a record
-head included; revisits are then joined to the original responses for what only those carry.
+headers then meet their payloads by page, and records are written: responses with payload, revisits with a reference to
+the original. Every record is compressed alone, so that it can be read from its place in an archive, and an archive ends
+at ``FILE_BYTES``. Reading parses the archives by Content-Length, so a payload may hold anything, a record head included;
+revisits are then joined to the original responses for what only those carry.
+
+Spark's text writer puts a separator behind each value. The last byte of a gzip member is the highest byte of its length,
+zero below 16 MiB, and that zero byte is the separator: an archive is nothing but its members one after another. A larger
+record is written in several members.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +29,12 @@ from convspark.llm.common import shared_folder, table
 
 #: Payloads of fewer bytes are never revisited.
 MIN_BYTES = 0
+#: Compressed bytes after which a task begins the next archive file.
+FILE_BYTES = 64 << 20
+#: Bytes of a gzip member before compression; below 2^24, see above.
+MEMBER_BYTES = (1 << 24) - 1
 _EOL = "\r\n"
+_NUMBER = re.compile(r"<urn:page:(-?\d+):")
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -67,17 +78,23 @@ def resolve(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return later.select("page_id", "payload_digest", "refers_to").distinct()
 
 
+def _record_id(page: Column) -> Column:
+    """Of the page and its payload: pages that share an id have records of their own unless the payload is the same too."""
+    number = F.coalesce(page.cast("string"), F.lit(""))
+    return F.concat(F.lit("<urn:page:"), number, F.lit(":"), F.col("payload_digest"), F.lit(">"))
+
+
 def _head(record_type: Column, length: Column) -> Column:
     """A fresh header; a line whose value is null is left out."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(_EOL))
     parts = [
         F.lit("WARC/1.1" + _EOL),
         line("WARC-Type", record_type),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", _record_id(F.col("page_id"))),
         line("WARC-Date", F.lit(_DATE)),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+        line("WARC-Refers-To", F.when(F.col("refers_to").isNotNull(), _record_id(F.col("refers_to")))),
         line("WARC-Profile", F.when(F.col("refers_to").isNotNull(), F.lit(_PROFILE))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", length),
@@ -86,11 +103,42 @@ def _head(record_type: Column, length: Column) -> Column:
     return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> None:
-    """Writes one record per row of ``pages`` (page_id, url, html) as gzip-compressed archives below ``folder``.
+def _members(record: memoryview) -> bytes:
+    """The record as gzip members; the zero byte that ends the last one is left to the writer."""
+    parts = [record[i : i + MEMBER_BYTES] for i in range(0, len(record), MEMBER_BYTES)]
+    return b"".join(gzip.compress(p, 6, mtime=0) for p in parts)[:-1]
+
+
+def _compressed(file_bytes: int):
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = size = 0
+        for batch in batches:
+            rows, held = [], 0
+            for record in batch.column(0):
+                if size >= file_bytes:
+                    file, size = file + 1, 0
+                rows.append((file, _members(memoryview(record.as_buffer()))))
+                size += len(rows[-1][1])
+                held += len(rows[-1][1])
+                if held > 4 << 20:
+                    yield _files(rows)
+                    rows, held = [], 0
+            yield _files(rows)
+
+    return compress
+
+
+def _files(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    file, value = ([r[i] for r in rows] for i in (0, 1))
+    return pa.record_batch([pa.array(file, pa.int32()), pa.array(value, pa.binary())], names=["file", "value"])
+
+
+def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """Writes one record per row of ``pages`` (page_id, url, html) as archives below ``folder``, a gzip member per record.
 
-    A null html has an empty payload, a null url or page_id no such header line. Rows that repeat both page_id and
-    payload are alike: all are responses or all are revisits. Other columns are not read.
+    A null html has an empty payload, a null url no such header line, a null page_id no number in its record id. Rows that
+    repeat both page_id and payload are alike: all are responses or all are revisits, under one record id. Other columns
+    are not read. An archive ends with the record that brings it to ``file_bytes`` compressed bytes.
     """
     payload = payload_of(F.col("html"))
     page = pages.select("page_id", "url", payload.alias("payload"), digest_of(payload).alias("payload_digest"))
@@ -102,9 +150,10 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> None:
     again = F.col("refers_to").isNotNull()
     body = F.when(again, F.lit("")).otherwise(F.col("payload"))
     kind = F.when(again, F.lit("revisit")).otherwise(F.lit("response"))
-    # the writer ends each value with the line separator: a record ends with two of them
-    record = F.concat(_head(kind, F.octet_length(body)), body, F.lit(_EOL))
-    page.select(record.alias("value")).write.option("lineSep", _EOL).option("compression", "gzip").text(folder)
+    record = F.concat(_head(kind, F.octet_length(body)), body, F.lit(_EOL * 2)).cast("binary")
+    members = page.select(record.alias("record")).mapInArrow(_compressed(file_bytes), "file int, value binary")
+    members = members.select("file", F.col("value").cast("string").alias("value"))
+    members.write.partitionBy("file").option("lineSep", "\0").text(folder)
 
 
 def _records(data: io.BufferedIOBase) -> Iterator[dict]:
@@ -121,7 +170,7 @@ def _records(data: io.BufferedIOBase) -> Iterator[dict]:
         payload = data.read(int(head["Content-Length"]))
         if data.read(4) != b"\r\n\r\n":
             raise ValueError("record of another length than its head says")
-        number = lambda name: int(head[name][len("<urn:page:") : -1]) if name in head else None
+        number = lambda name: int(found[1]) if (found := _NUMBER.match(head.get(name, ""))) else None
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
         whole = head["WARC-Type"] == "response"
         yield {
@@ -150,9 +199,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of the archives below ``folder``, payloads of responses included. A file is read by one task and
-    unpacked as a stream. A damaged record is an error. No archives: no rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
+    """The records of the archives below ``folder``, payloads of responses included. A file, which ``write`` bounds by its
+    bytes, is read by one task and unpacked as a stream. A damaged record is an error. No archives: no rows."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("content").mapInArrow(_parse, RECORD)
 
 

@@ -1,5 +1,9 @@
 import base64
+import gzip
 import hashlib
+import pathlib
+import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -47,14 +51,58 @@ def test_round_trip(spark, tmp_path, least):
     assert {r.page_id: bytes(r.payload).decode() for r in records.collect() if r.payload is not None}[5] == BODIES[5]
 
 
+def archives(folder):
+    return [p for p in pathlib.Path(folder).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]
+
+
+def members(data):
+    """Of each gzip member its place and content."""
+    at = 0
+    while at < len(data):
+        unpack = zlib.decompressobj(31)
+        content = unpack.decompress(data[at:])
+        assert unpack.eof
+        yield at, content
+        at = len(data) - len(unpack.unused_data)
+
+
+def test_records_are_members_of_bounded_files(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i % 40, f"http://h/{i}", "".join(rng.choices("abcdefgh", k=20_000))) for i in range(60)]
+    A.write(frame(spark, rows, SCHEMA).coalesce(1), f"{tmp_path}/w", file_bytes=100_000)
+    found = [list(members(p.read_bytes())) for p in archives(f"{tmp_path}/w")]
+    assert len(found) > 3 and sum(map(len, found)) == 60
+    assert all(p.stat().st_size < 100_000 + 20_000 for p in archives(f"{tmp_path}/w"))
+    records = [content for file in found for _, content in file]
+    assert all(r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") for r in records)
+    ids = [next(x for x in r.split(b"\r\n") if x.startswith(b"WARC-Record-ID")) for r in records]
+    assert len(set(ids)) == 60  # twenty page ids occur twice, with another payload
+
+
+def test_a_record_refers_to_the_id_of_its_original(spark, tmp_path):
+    A.write(frame(spark, [(3, "u", "a"), (1, "u", "a"), (1, "u", "b"), (5, "u", "b")], SCHEMA), f"{tmp_path}/w")
+    records = [c.decode() for p in archives(f"{tmp_path}/w") for _, c in members(p.read_bytes())]
+    head = [dict(x.split(": ", 1) for x in r.split("\r\n\r\n")[0].split("\r\n")[1:]) for r in records]
+    responses = {h["WARC-Record-ID"]: h["WARC-Payload-Digest"] for h in head if h["WARC-Type"] == "response"}
+    revisits = [h for h in head if h["WARC-Type"] == "revisit"]
+    assert len(responses) == len(revisits) == 2
+    assert all(responses[h["WARC-Refers-To"]] == h["WARC-Payload-Digest"] for h in revisits)
+
+
+def test_a_record_of_many_members():
+    record = bytes(range(256)) * 200_000  # 51 MB
+    data = A._members(memoryview(record)) + b"\0"
+    found = list(members(data))
+    assert len(found) == 4 and b"".join(c for _, c in found) == record
+    assert gzip.decompress(data) == record
+
+
 def test_no_pages(spark, tmp_path):
     A.write(frame(spark, [], SCHEMA), f"{tmp_path}/w")
     assert A.resolved(A.read(spark, f"{tmp_path}/w")).count() == 0
 
 
 def test_damaged_archive_is_an_error(spark, tmp_path):
-    import gzip
-
     (tmp_path / "w").mkdir()
     (tmp_path / "w/x.gz").write_bytes(gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\nWARC-Payload-Digest: sha1:X\r\n\r\nabcdef"))
     with pytest.raises(Exception, match="another length"):
