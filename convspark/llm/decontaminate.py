@@ -5,8 +5,9 @@ an Arrow batch of documents. Words that no phrase has are boundaries in the inde
 are shorter than the shortest phrase cannot hold one and are left out; both lose no occurrence. Phrases are searched
 backwards through the wavelet ranks, all at once; occurrences are located by sampled positions and merged to spans.
 
-No document leaves its task. The phrases are a stated query set: they are numbered by Spark and sent to the tasks in
-blocks of at most ``BLOCK`` phrases, each block bounded whatever the size of the benchmark.
+No document leaves its task. The phrases are a stated query set, sent to the tasks in blocks of at most ``BLOCK`` phrases.
+The driver and each Python worker hold one block at a time; the others lie in files, so that memory does not follow the size
+of the benchmark.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,6 +101,15 @@ def _blocks(found: DataFrame, size: int) -> Iterator[Block]:
         yield Block(rows)
 
 
+def _in_turn(sent: list[Broadcast]) -> Iterator[Block]:
+    """The blocks one after another. Where there are several, a worker forgets each before it reads the next; an encrypted
+    block cannot be read twice and stays."""
+    for one in sent:
+        yield one.value
+        if len(sent) > 1 and getattr(one, "_path", None):
+            one.__dict__.pop("_value", None)
+
+
 def _occurrences(texts: list[list[bytes]], block: Block):
     """(document, first word, length, phrase) of each occurrence, as arrays."""
     shortest = int(block.lengths.min())
@@ -138,14 +149,14 @@ def search_shard(texts: list[list[bytes]], blocks) -> list[dict]:
     found: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
     for block in blocks:
-        if (hits := _occurrences(texts, block)) is None:
-            continue
-        doc, at, length, which = hits
-        order = np.lexsort((at, doc))
-        for d, a, n in zip(doc[order].tolist(), at[order].tolist(), length[order].tolist()):
-            found[d].append((a, a + n))
-        for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
-            items[d].update(block.items[w])
+        if (hits := _occurrences(texts, block)) is not None:
+            doc, at, length, which = hits
+            order = np.lexsort((at, doc))
+            for d, a, n in zip(doc[order].tolist(), at[order].tolist(), length[order].tolist()):
+                found[d].append((a, a + n))
+            for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
+                items[d].update(block.items[w])
+        del block  # the next one is read without it
     out = []
     for words, spans, have in zip(texts, found, items):
         merged: list[list[int]] = []
@@ -179,9 +190,9 @@ def search(
                 texts.append(words_of(data.as_py()))
                 size += len(texts[-1])
                 if size >= SHARD_WORDS:
-                    out += search_shard(texts, (s.value for s in sent))
+                    out += search_shard(texts, _in_turn(sent))
                     texts, size = [], 0
-            out += search_shard(texts, (s.value for s in sent))
+            out += search_shard(texts, _in_turn(sent))
             yield pa.array(out, _ARROW_FOUND)
 
     return replaced(docs, **{name: look("text")})

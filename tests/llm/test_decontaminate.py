@@ -1,5 +1,6 @@
 import random
 import re
+import weakref
 
 import numpy as np
 
@@ -82,6 +83,41 @@ def test_small_shards_find_the_same(spark, monkeypatch):
     assert whole == [x for t in texts for x in D.search_shard([t], [block])]
 
 
+def test_one_block_is_resident(tmp_path):
+    alive = weakref.WeakSet()
+
+    class Sent:
+        """A block that lies in a file, as a broadcast in a Python worker does."""
+
+        def __init__(self, number):
+            self._path = f"block {number}"
+            self.number = number
+
+        @property
+        def value(self):
+            if not hasattr(self, "_value"):
+                assert len(alive) == 0
+                self._value = D.Block([{"phrase": f"a{self.number} b", "items": [str(self.number)]}])
+                alive.add(self._value)
+            return self._value
+
+    sent = [Sent(i) for i in range(5)]
+    for _ in range(2):
+        found = D.search_shard([b"a3 b a1 b x a4".split(), b"a0 b".split()], D._in_turn(sent))
+        assert [f["items"] for f in found] == [["1", "3"], ["0"]]
+    single = [Sent(7)]
+    list(D._in_turn(single))
+    assert single[0].value is next(D._in_turn(single))  # a single block is read once
+
+
+def test_many_blocks(spark):
+    rng = random.Random(3)
+    items = [(i, words(rng, 12, 5000)) for i in range(200)]
+    docs = [(i, f"{words(rng, 30)} {items[i * 9][1]} {words(rng, 5)}", "en", "s", 1) for i in range(20)]
+    got = D.search(frame(spark, docs), frame(spark, items, "item_id long, text string"), block=50).collect()
+    assert {r.doc_id: r.found["items"] for r in got} == {i: [str(i * 9)] for i in range(20)}
+
+
 def test_removal_cuts_the_spans(spark):
     docs, items = cases()
     out = {r.doc_id: r for r in D.decontaminate(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()}
