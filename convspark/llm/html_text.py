@@ -2,12 +2,14 @@
 
 A small tree builder closes what HTML lets authors leave open (paragraphs, list items, table cells, options), skips what a
 browser does not show, and keeps going on any markup. The renderer then writes blocks on lines of their own, with a blank
-line between paragraphs, list items with their markers, preformatted text as it is, and tables with aligned columns.
+line between paragraphs, list items with their markers, preformatted text as it is, and tables with aligned columns. Cells
+stand on a grid: one that spans columns or rows keeps its places, and what begins behind it in any row is aligned behind it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Generator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -43,7 +45,10 @@ CLOSES = {
 }
 #: Blocks that an end tag of something outside them does not close.
 WALLS = {"table", "td", "th", "caption"}
-_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.IGNORECASE)
+#: Most columns and rows that a cell may span, as browsers have it.
+MAX_SPAN = {"colspan": 1000, "rowspan": 65534}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: What indentation and padding may add to a page: so many characters, or so many times its markup. A table beyond that pads
 #: its columns to 40 only, a list or quotation beyond that is indented by its innermost 100 levels; no text is left out.
@@ -56,6 +61,8 @@ class Node:
     tag: str
     attrs: dict
     children: list = field(default_factory=list)
+    #: Takes its place without being seen, by its own or an outer visibility.
+    unseen: bool = False
 
     @property
     def visible(self) -> bool:
@@ -92,12 +99,14 @@ class TreeBuilder(HTMLParser):
             while at := self._last(closed, walls):
                 self._pop_to(at)
             if tag in ("td", "th") and not self._last({"tr"}, {"table"}):
-                self._push(Node("tr", {}))
+                self._push(Node("tr", {}, unseen=self.open[-1].unseen))
         elif tag in BLOCK and (at := self._last({"p"}, WALLS)):
             self._pop_to(at)
         if tag == "body" and (at := self._last({"head"}, set())):
             self._pop_to(at)
         node = Node(tag, dict(attrs))
+        said = _VISIBILITY.findall(node.attrs.get("style") or "")
+        node.unseen = said[-1].lower() != "visible" if said else self.open[-1].unseen
         if tag in VOID:
             self.open[-1].children.append(node)
         else:
@@ -121,7 +130,8 @@ class TreeBuilder(HTMLParser):
             self._pop_to(at)
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        if not self.open[-1].unseen:
+            self.open[-1].children.append(data)
 
 
 @dataclass(eq=False)
@@ -276,9 +286,9 @@ def _element(node: Node, out: Lines) -> Generator:
     if tag == "br":
         out.line() if out.now else out.add([""])
     elif tag == "hr":
-        out.add(["---"])
+        out.add([] if node.unseen else ["---"])
     elif tag == "img":
-        if node.attrs.get("alt"):
+        if node.attrs.get("alt") and not node.unseen:
             out.text(node.attrs["alt"])
     elif tag in ("ul", "ol"):
         yield _list(node, out)
@@ -288,7 +298,8 @@ def _element(node: Node, out: Lines) -> Generator:
         out.block(True)
     elif tag == "pre":
         out.block(True)
-        out.add(_raw(node).strip("\n").split("\n"))
+        raw = _raw(node).strip("\n")
+        out.add([] if node.unseen and not raw else raw.split("\n"))
         out.block(True)
     elif tag == "dd":
         out.indent((yield _inside(node, out.room)), "  ", "  ")
@@ -314,17 +325,100 @@ def _list(node: Node, out: Lines) -> Generator:
                 out.text(c)
         elif c.visible and c.tag == "li":
             mark = f"{count}. " if node.tag == "ol" else "- "
-            out.indent((yield _inside(c, out.room)) or [""], mark, " " * len(mark))
+            lines = yield _inside(c, out.room)
+            if c.unseen:
+                mark = " " * len(mark)
+            out.indent(lines or ([] if c.unseen else [""]), mark, " " * len(mark))
             count += 1
         elif c.visible:
             yield _element(c, out)
     out.block(True)
 
 
+def _span(cell: Node, name: str) -> int:
+    """The number of columns or rows; 0 rows: to the end of the row group."""
+    value = re.match(r"[ \t\n\r\f]*\+?([0-9]{1,9})", cell.attrs.get(name) or "", re.ASCII)
+    n = min(int(value[1]), MAX_SPAN[name]) if value else 1
+    return n if n or name == "rowspan" else 1
+
+
+class Grid:
+    """Cells of a table as (first column, column behind the last, text), row by row."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[int, int, str]]] = []
+        #: Columns that cells of earlier rows still hold: (first, behind the last, first row without it), in order.
+        self.held: list[tuple[int, int, float]] = []
+        self.at = 0
+
+    def group(self) -> None:
+        """A new row group: no cell reaches into it."""
+        self.held = []
+
+    def add(self, cells: list[tuple[int, int, str]], shown: bool = True) -> None:
+        """A row of cells given as (columns, rows, text); one that is not shown holds its places only."""
+        row, mine, at, held = [], [], 0, iter(self.held)
+        taken = next(held, None)
+        for columns, rows, text in cells:
+            while taken and taken[0] <= at:
+                at = max(at, taken[1])
+                taken = next(held, None)
+            # a cell may reach over what an earlier row holds, as it does in a browser
+            row.append((at, at + columns, text))
+            if rows != 1:
+                mine.append((at, at + columns, self.at + rows if rows else float("inf")))
+            at += columns
+        self.at += 1
+        if mine or any(end <= self.at for _, _, end in self.held):
+            merged: list[tuple[int, int, float]] = []
+            for a, b, end in sorted([x for x in self.held if x[2] > self.at] + mine):
+                if merged and merged[-1][1] == a and merged[-1][2] == end:
+                    merged[-1] = (merged[-1][0], b, end)
+                else:
+                    merged.append((a, b, end))
+            self.held = merged
+        if shown and row:
+            self.rows.append(row)
+
+    def places(self) -> dict[int, int]:
+        """The character at which each column that a cell begins in starts: two blanks behind all cells before it."""
+        starts = sorted({a for row in self.rows for a, _, _ in row})
+        longest: dict[tuple[int, int], int] = {}
+        for row in self.rows:
+            for a, b, text in row:
+                if (to := bisect_left(starts, b)) < len(starts):
+                    longest[(to, a)] = max(longest.get((to, a), 0), len(text))
+        behind: dict[int, list[tuple[int, int]]] = {}
+        for (to, a), n in longest.items():
+            behind.setdefault(to, []).append((a, n))
+        place: dict[int, int] = {}
+        for i, start in enumerate(starts):
+            least = place[starts[i - 1]] + 2 if i else 0
+            place[start] = max([least, *(place[a] + n + 2 for a, n in behind.get(i, ()))])
+        return place
+
+    def lines(self, room: Room) -> list[str]:
+        place = self.places()
+        if not room.take(sum(place[row[-1][0]] - sum(len(t) for _, _, t in row[:-1]) for row in self.rows)):
+            # padding up to one very long cell in every row would square the size
+            short = Grid()
+            short.rows = [[(a, b, t[:40]) for a, b, t in row] for row in self.rows]
+            place = short.places()
+        out = []
+        for row in self.rows:
+            line, size = [], 0
+            for a, _, text in row:
+                gap = max(place[a] - size, 2 if size else 0)
+                line += [" " * gap, text]
+                size += gap + len(text)
+            out.append("".join(line).rstrip())
+        return out
+
+
 def _table(node: Node, room: Room) -> Generator:
     """Cells of a column start at the same place; a cell of several lines is joined to one."""
     lead: list[str | Indented] = []
-    rows: list[list[str]] = []
+    grid = Grid()
 
     def joined(part: Node) -> Generator:
         return " ".join(x for x in _flat((yield _inside(part, room)), room) if x)
@@ -342,24 +436,21 @@ def _table(node: Node, room: Room) -> Generator:
                     if isinstance(x, str):
                         stray += [x] if x.strip() else []
                     elif x.visible and x.tag in ("td", "th"):
-                        row.append((yield joined(x)))
+                        row.append((_span(x, "colspan"), _span(x, "rowspan"), (yield joined(x))))
                     else:
                         stray.append(x)
                 if stray and (other := (yield joined(Node("div", {}, stray)))):
-                    row.append(other)
-                if row:
-                    rows.append(row)
+                    row.append((1, 1, other))
+                grid.add(row, not c.unseen or any(text for _, _, text in row))
             elif c.tag in ("thead", "tbody", "tfoot"):
+                grid.group()
                 yield collect(c)
+                grid.group()
             elif lines := (yield _inside(Node("div", {}, [c]), room)):
                 lead.append(Indented(lines, "", ""))
 
     yield collect(node)
-    widths = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
-    # padding up to one very long cell in every row would square the size
-    if not room.take(sum(w - len(x) for r in rows for x, w in zip(r[:-1], widths))):
-        widths = [min(w, 40) for w in widths]
-    return lead + ["  ".join([*(x.ljust(w) for x, w in zip(r[:-1], widths)), r[-1]]).rstrip() for r in rows]
+    return lead + grid.lines(room)
 
 
 def render(html: str | None) -> str:

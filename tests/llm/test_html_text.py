@@ -1,3 +1,7 @@
+import random
+from xml.etree import ElementTree
+
+import pytest
 from pyspark.sql import functions as F
 
 from convspark.llm.html_text import extract, render
@@ -57,6 +61,133 @@ def test_columns_are_as_wide_as_their_cells():
     assert rows[1:] == ["x".ljust(40) + "  2"] * 500
 
 
+def test_cells_that_span():
+    assert render("<table><tr><th colspan=2>head<th>z<tr><td>aa<td>b<td>c</table>") == "head   z\naa  b  c"
+    assert render("<table><tr><td rowspan=2>tall<td>q<tr><td>under<tr><td>x<td>y</table>") == "tall  q\n      under\nx     y"
+    # a row group ends what a cell holds; no rows means all of the group
+    assert render("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert render("<table><tr><td rowspan=3>a<td>b<tr><tr><td>c</table>") == "a  b\n   c"
+    assert render("<table><tr><td colspan=0 rowspan=x>a<td colspan=99999999>b<tr><td>c</table>") == "a  b\nc"
+    many = "<td rowspan=0>x" * 3000 + "<tr><td>y" * 3000
+    assert render(f"<table><tr>{many}</table>").count("y") == 3000
+
+
+def plain_table(rows):
+    """Browser grid by a set of places, columns moved right until nothing overlaps, characters put on a canvas."""
+    taken, cells = set(), []
+    for y, row in enumerate(rows):
+        x = 0
+        for wide, high, text in row:
+            while (y, x) in taken:
+                x += 1
+            cells.append((y, x, wide, text))
+            taken |= {(y + j, x + i) for j in range(high) for i in range(wide)}
+            x += wide
+    starts = sorted({x for _, x, _, _ in cells})
+    place = {x: 2 * i for i, x in enumerate(starts)}
+    while True:
+        moved = dict(place)
+        for _, x, wide, text in cells:
+            for other in starts:
+                if other >= x + wide:
+                    moved[other] = max(moved[other], moved[x] + len(text) + 2)
+        for a, b in zip(starts, starts[1:]):
+            moved[b] = max(moved[b], moved[a] + 2)
+        if moved == place:
+            break
+        place = moved
+    lines = []
+    for y, row in enumerate(rows):
+        if row:
+            canvas = [" "] * 2000
+            for _, x, _, text in (c for c in cells if c[0] == y):
+                canvas[place[x] : place[x] + len(text)] = text
+            lines.append("".join(canvas).rstrip())
+    return "\n".join(lines).strip("\n")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tables_equal_a_canvas(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        size = lambda: rng.choice([1, 1, 1, 2, 3])
+        rows = [
+            [(size(), size(), "abcdefghijkl"[: rng.randrange(1, 12)]) for _ in range(rng.randrange(5))]
+            for _ in range(rng.randrange(1, 7))
+        ]
+        cell = "<td colspan={} rowspan={}>{}"
+        html = "".join("<tr>" + "".join(cell.format(*c) for c in row) for row in rows)
+        assert render(f"<table>{html}</table>") == plain_table(rows), html
+
+
+def plain_lines(node, seen):
+    """Lines of a small well-formed subset, by recursion over another parser's tree."""
+    lines, words, gap = [], "", False
+
+    def flush():
+        nonlocal words, gap
+        if words.strip():
+            put([" ".join(words.split())])
+        words = ""
+
+    def put(more):
+        nonlocal gap
+        if more:
+            lines.extend(([""] if gap and lines else []) + more)
+            gap = False
+
+    def walk(part, seen, at=0):
+        nonlocal words, gap
+        words += (part.text or "") if seen else ""
+        for child in part:
+            inner = {"hidden": False, "visible": True}.get(child.get("style", "").removeprefix("visibility:"), seen)
+            if child.get("style") == "display:none":
+                pass
+            elif child.tag == "b":
+                walk(child, inner)
+            elif child.tag in ("div", "p"):
+                flush()
+                gap |= child.tag == "p"
+                walk(child, inner)
+                flush()
+                gap |= child.tag == "p"
+            elif child.tag == "ul":
+                flush()
+                gap = True
+                for item in child:
+                    put([f"{'  ' if i else '- '}{x}".rstrip() for i, x in enumerate(plain_lines(item, inner) or ([""] if inner else []))] if inner
+                        else [f"  {x}".rstrip() for x in plain_lines(item, inner)])
+                gap = True
+            words += (child.tail or "") if seen else ""
+
+    walk(node, seen)
+    flush()
+    return lines
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_equal_another_renderer(seed):
+    rng = random.Random(seed)
+
+    def tree(depth, inside_p):
+        out = [f"w{rng.randrange(99)}"] if rng.random() < 0.8 else []
+        for _ in range(rng.randrange(4) if depth else 0):
+            tag = rng.choice(["b"] if inside_p else ["b", "div", "p", "ul"])
+            style = rng.choice(["", "", "", ' style="display:none"', ' style="visibility:hidden"', ' style="visibility:visible"'])
+            if tag == "ul":
+                body = "".join(f"<li>{tree(depth - 1, False)}</li>" for _ in range(rng.randrange(3)))
+            else:
+                body = tree(depth - 1, inside_p or tag in ("p", "b"))
+            out.append(f"<{tag}{style}>{body}</{tag}>")
+            if rng.random() < 0.5:
+                out.append(f" t{rng.randrange(99)} ")
+        return "".join(out)
+
+    for _ in range(150):
+        html = f"<div>{tree(4, False)}</div>"
+        assert render(html) == "\n".join(plain_lines(ElementTree.fromstring(html), True)), html
+
+
 def test_rows_and_columns(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "v", "")]
     pages = frame(spark, rows, "page_id long, url string, html string").withColumn("text", F.lit(5))
