@@ -37,7 +37,7 @@ def exact_hits(requests: DataFrame, entries: DataFrame) -> DataFrame:
 LEVELS = [0.5, 0.2, 0.0]
 
 
-def _postings(counts: DataFrame, norms: DataFrame, threshold: float, df: DataFrame) -> DataFrame:
+def _postings(counts: DataFrame, norms: DataFrame, threshold: float | Column, df: DataFrame) -> DataFrame:
     """The rarest buckets of each key that two keys must share to reach the threshold.
 
     Buckets are put in one order by ``df`` (ns, bucket, df), rarest first. A key keeps buckets until the norm of what is
@@ -53,7 +53,7 @@ def _frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("ns", "bucket").agg(F.count("*").alias("df"))
 
 
-def _similar(pairs: DataFrame, asked: tuple, entries: tuple, threshold: float) -> DataFrame:
+def _similar(pairs: DataFrame, asked: tuple, entries: tuple, threshold: float | Column) -> DataFrame:
     """(ns, key_id, entry_id, sim) of the candidate pairs at or above the threshold; either side is (counts, norms)."""
     a = asked[0].select("ns", "key_id", "bucket", F.col("w").alias("wa"))
     b = entries[0].select("ns", F.col("key_id").alias("entry_id"), "bucket", F.col("w").alias("wb"))
@@ -134,7 +134,7 @@ def lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.95) ->
 # ---- replay -------------------------------------------------------------------------------------
 
 
-def stored_keys(keys: DataFrame, counts: DataFrame, norms: DataFrame, threshold: float) -> DataFrame:
+def stored_keys(keys: DataFrame, counts: DataFrame, norms: DataFrame, threshold: float | Column) -> DataFrame:
     """Keys a sequential run would store: those not similar to any stored key before them.
 
     ``keys``: ns, key_id, where key_id is the position of the key's first request. Per round, an open key that is the
@@ -166,16 +166,27 @@ def replay(requests: DataFrame, threshold: float = 0.95, miss_similarity: bool =
     (exact / near / miss), ``similarity``, ``entry_id`` (seq of the request that stored the entry) and ``answer``. A miss
     reports its best similarity to what was stored before it, or null if that is not asked for.
     """
+    _check(threshold)
+    out = _settled(requests, threshold, LEVELS if miss_similarity else [])
+    return out.drop("key_id")
+
+
+def _check(threshold: float) -> None:
     if not 0.0 < threshold <= 1.0:
         raise ValueError(f"threshold must be in (0, 1], got {threshold}")
+
+
+def _settled(requests: DataFrame, threshold: float | Column, levels: list[float]) -> DataFrame:
+    """``replay`` with the id of the key; ``threshold`` may be a Column over ``ns``, where no levels are wanted."""
     log = requests.withColumn("digest", F.sha2("key_text", 256))
     distinct = log.groupBy("ns", "digest").agg(F.min("seq").alias("key_id"))
     log = log.join(distinct, ["ns", "digest"])  # a key asked very often makes only the log side large
-    keys = log.filter(F.col("seq") == F.col("key_id")).select("ns", "key_id", "key_text", "response")
+    keys = log.filter(F.col("seq") == F.col("key_id")).select("ns", "key_id", "digest", "key_text", "response")
     keys = cut_lineage(keys)
-    counts, norms = vectors(keys, ["ns", "key_id"], "key_text")
-    counts = cut_lineage(counts)
-    norms = cut_lineage(norms)
+    # a text that several namespaces ask is cut into tokens once
+    texts = keys.groupBy("digest").agg(F.first("key_text").alias("key_text"))
+    names = keys.select("ns", "key_id", "digest")
+    counts, norms = (cut_lineage(names.join(part, "digest").drop("digest")) for part in vectors(texts, ["digest"], "key_text"))
     stored = stored_keys(keys, counts, norms, threshold)
     # candidates: other keys against stored ones, through the same postings
     postings = _postings(counts, norms, threshold, _frequencies(counts))
@@ -199,15 +210,15 @@ def replay(requests: DataFrame, threshold: float = 0.95, miss_similarity: bool =
         F.when(F.col("entry_id").isNull(), "miss").when(F.col("sim") >= V.EXACT_SIMILARITY, "exact").otherwise("near")
     )
     out = out.withColumn("kind", kind).withColumnRenamed("sim", "similarity")
-    if miss_similarity:
+    if levels:
         # a miss is the first request of a stored key
         side = tuple(cut_lineage(part.join(stored, ["ns", "key_id"], "left_semi")) for part in (counts, norms))
-        near = closest(side, side, [level for level in LEVELS if level < threshold], earlier=True)
+        near = closest(side, side, [level for level in levels if level < threshold], earlier=True)
         best = near.groupBy("ns", "key_id").agg(F.max("sim").alias("best"))
         out = out.join(best, ["ns", "key_id"], "left")
         missed = F.when(F.col("kind") == "miss", F.coalesce("best", F.lit(0.0)))
         out = out.withColumn("similarity", F.coalesce("similarity", missed)).drop("best")
-    return out.drop("key_id")
+    return out
 
 
 _SLICE = 1 << 16  # requests per slice of an entry's timeline
@@ -304,14 +315,22 @@ def report(replayed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sweep(requests: DataFrame, thresholds: list[float], scopes: dict[str, Column]) -> DataFrame:
-    """Replays under every scope and threshold, tagged with both."""
-    out = None
-    for scope, ns in scopes.items():
-        scoped = requests.withColumn("ns", ns)
-        for t in thresholds:
-            run = replay(scoped, t, miss_similarity=False).select(F.lit(scope).alias("scope"), F.lit(t).alias("threshold"), "*")
-            out = run if out is None else out.unionByName(run)
-    return out
+    """Replays under every scope and threshold, tagged with both, without the similarity of misses.
+
+    One replay in all: scope and threshold are part of the namespace, so texts are cut into tokens once and every round
+    serves all of them. Pairs are compared for each threshold apart, since the few that a threshold needs are not among
+    those of a lower one: there other keys are stored.
+    """
+    for t in thresholds:
+        _check(t)
+    spaces = [
+        F.struct(F.lit(scope).alias("scope"), F.lit(float(t)).alias("threshold"), ns.cast("string").alias("ns"))
+        for scope, ns in scopes.items()
+        for t in thresholds
+    ]
+    rows = requests.withColumn("ns", F.explode(F.array(*spaces))).filter("ns.ns IS NOT NULL")
+    runs = _settled(rows, F.col("ns.threshold"), []).drop("key_id")
+    return runs.select("ns.scope", "ns.threshold", *[c if c != "ns" else "ns.ns" for c in runs.columns])
 
 
 def replay_lru(requests: DataFrame, threshold: float, max_entries: int) -> DataFrame:
