@@ -76,21 +76,29 @@ def pad_histories(dialogues: DataFrame, starts: DataFrame, least: int, most: int
     Pairs own disjoint stretches of the pool, so the running count is a prefix-sum difference; dialogues before the
     next start are matched to their pair by position, not by comparing all pairs with all dialogues.
     """
-    owner = Window.partitionBy("stretch").orderBy("pool_pos")
-    marked = starts.select("pair_id", "pool_pos").join(dialogues, "pool_pos", "right")
     # a stretch is found from the sorted starts by counting starts at or before a position, slice by slice
+    marked = starts.select("pair_id", "pool_pos").join(dialogues, "pool_pos", "right")
     slice_ = F.floor(F.col("pool_pos") / 4096)
     per_slice = marked.groupBy(slice_.alias("s")).agg(F.count("pair_id").alias("n"))
     base = sums_before(per_slice, [], "s", "n", "base")
     inside = Window.partitionBy("s").orderBy("pool_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = marked.withColumn("s", slice_).withColumn("i", F.count("pair_id").over(inside)).join(base, "s")
     placed = counted.withColumn("stretch", F.col("base") + F.col("i")).filter("stretch > 0")
-    placed = placed.withColumn("nth", F.row_number().over(owner))
-    upto = owner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = placed.withColumn("sum", F.sum("n_messages").over(upto)).withColumn("pair_id", F.first("pair_id", True).over(upto))
-    used = run.filter((F.col("nth") == 1) | (F.col("sum") - F.col("n_messages") < least))
-    # the newest messages stay: the primary is newest, so what exceeds ``most`` falls off the last dialogue
-    kept = F.greatest(F.lit(0), F.least(F.col("n_messages"), F.lit(most) - (F.col("sum") - F.col("n_messages"))))
-    # a primary alone is never trimmed
-    kept = F.when(F.col("nth") == 1, F.col("n_messages")).otherwise(kept)
-    return used.select("pair_id", "conv_id", (F.col("nth") - 1).alias("days_back"), "n_messages", kept.alias("n_kept"))
+    # the messages and dialogues before a position are sums over the whole pool, so no stretch is summed in one task
+    for size, name in (("n_messages", "messages"), ("1", "rows")):
+        sizes = dialogues.select("pool_pos", F.expr(size).cast("long").alias("size"))
+        placed = placed.join(sums_before(sizes, [], "pool_pos", "size", name), "pool_pos")
+    placed = placed.select("stretch", "pair_id", "conv_id", "n_messages", "messages", "rows")
+    first = placed.filter("pair_id IS NOT NULL").select(
+        "stretch", "pair_id", F.col("messages").alias("messages_0"), F.col("rows").alias("rows_0")
+    )
+    run = placed.drop("pair_id").join(first, "stretch")
+    run = run.withColumn("before", F.col("messages") - F.col("messages_0"))
+    run = run.withColumn("days_back", (F.col("rows") - F.col("rows_0")).cast("int"))
+    primary = F.col("days_back") == 0
+    used = run.filter(primary | (F.col("before") < least))
+    # the newest messages stay: the primary is newest, so what exceeds ``most`` falls off the last dialogue; a primary
+    # alone is never trimmed
+    kept = F.greatest(F.lit(0), F.least(F.col("n_messages"), F.lit(most) - F.col("before")))
+    kept = F.when(primary, F.col("n_messages")).otherwise(kept)
+    return used.select("pair_id", "conv_id", "days_back", "n_messages", kept.alias("n_kept"))

@@ -1,8 +1,11 @@
 """Whole jobs: the five-event journey, stream = batch, tenant isolation, and the registry."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from convspark.operators import decisions as DC, identity as I, proposals as PR
+from convspark.plans import prepare
 from convspark.queries import identity_queries as IQ, registry
 from convspark.sources import readers, sinks
 from tests import folds
@@ -97,3 +100,21 @@ def test_lost_audit_entries_are_reported(spark):
     old = spark.createDataFrame([("t", 1), ("t", 2)], "tenant_id string, id long")
     assert sinks.lost_entries(old, old.filter("id = 1")).count() == 1
     assert sinks.lost_entries(old, old.union(old)).isEmpty()
+
+
+def test_padding_equals_a_walk_over_the_pool(spark):
+    rng = random.Random(5)
+    pool = [(i, f"d{i}", rng.choice([0, 1, 1, 2, 5])) for i in range(1, 9000)]
+    starts = {3: "a", 4: "b", 4095: "c", 4097: "d", 8995: "e"}
+    want, pair = set(), None
+    for at, name, n in pool:
+        if at in starts:
+            pair, back, total = starts[at], 0, 0
+        if pair and (back == 0 or total < 7):
+            want.add((pair, name, back, n, n if back == 0 else max(0, min(n, 8 - total))))
+        if pair:
+            back, total = back + 1, total + n
+    dialogues = spark.createDataFrame(pool, "pool_pos long, conv_id string, n_messages int")
+    first = spark.createDataFrame([(v, k) for k, v in starts.items()], "pair_id string, pool_pos long")
+    got = prepare.pad_histories(dialogues, first, 7, 8).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
