@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convspark.llm import components
-from convspark.llm.common import replaced, table
+from convspark.llm.common import replaced, shared_folder, table
 from convspark.session import cut_lineage
 
 SHINGLE_WORDS = 4
@@ -145,7 +145,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, cell:
     difference = F.col("a").bitwiseXOR(F.col("b"))
     pairs = pairs.filter(bound <= max_bits).filter(F.bit_count(difference) <= max_bits)
 
-    members = placed.join(shared.filter("n > 2").select("key", "n"), "key")
+    # the cells of more than two are few; as a table their true size is known, and Spark broadcasts them while it is small
+    folder = shared_folder(fps.sparkSession, "cells")
+    shared.filter("n > 2").select("key", "n").write.parquet(folder)
+    many = fps.sparkSession.read.schema("key long, n long").parquet(folder)
+    members = placed.join(many, "key")
     together = members.filter(F.col("n") <= cell).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     pairs = pairs.union(together.select(F.explode(stars("fps")).alias("link")).select("link.a", "link.b"))
 
