@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from convspark import values as V
 from convspark.functions import text as X
+from convspark.operators import graph
 from convspark.session import cut_lineage
 
 IDENTITY = ["tenant_id", "kind", "value"]
@@ -98,35 +99,84 @@ def add_identities(requests: DataFrame, identities: DataFrame, customers: DataFr
     return joined.withColumn("action", action).drop("known", "claim")
 
 
-def create_customers(requests: DataFrame, identities: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+#: Identity rows of a group of connected requests that one fold may walk; larger groups go on in rounds.
+WALK_ROWS = 4096
+_WHO = ["tenant_id", "customer_id"]
+
+
+def create_customers(
+    requests: DataFrame, identities: DataFrame | None, walk_rows: int = WALK_ROWS
+) -> tuple[DataFrame, DataFrame]:
     """(identity rows to insert, refused requests) for new customers created with all their identities or not at all.
 
-    ``requests``: tenant_id, customer_id, created_at, identities ARRAY<STRUCT<kind, value>>. A request is refused when
-    one of its identities is stored already, or belongs to a request of the batch that was accepted before it. Per
-    round, requests that are the earliest open ones for all their identities are accepted, and the open ones that share
-    an identity with them are refused; both are decided by map-side minima, and the rest goes to the next round.
+    ``requests``: tenant_id, customer_id, created_at, identities ARRAY<STRUCT<kind, value>>; hints without kind or value
+    are none. A request is refused when one of its identities is stored already, or belongs to a request of the batch
+    that was accepted before it, by (created_at, customer_id).
+
+    A round settles what the earliest requests decide. What is left depends on other requests in turn, and is cut into
+    groups connected by shared identities: no group concerns another, so each of at most ``walk_rows`` identity rows
+    is settled in one ordered fold, however long its chain of conflicts. Larger ones go on in rounds, and are cut again
+    after 2, 4, 8 ... rounds, as they fall apart.
     """
-    who = ["tenant_id", "customer_id"]
-    rows = requests.select(*who, "created_at", F.explode("identities").alias("h")).select(
-        *who, "created_at", "h.kind", "h.value"
+    rows = requests.select(*_WHO, "created_at", F.explode("identities").alias("h"))
+    rows = cut_lineage(
+        rows.select(*_WHO, "created_at", "h.kind", "h.value").filter("kind IS NOT NULL AND value IS NOT NULL")
     )
-    rows = cut_lineage(rows)
     if identities is None:
-        refused = rows.select(*who).limit(0)
+        refused = rows.select(*_WHO).limit(0)
     else:
-        refused = rows.join(identities.select(*IDENTITY), IDENTITY, "left_semi").select(*who).distinct()
-    open_ = cut_lineage(rows.join(refused, who, "left_anti"))
+        refused = rows.join(identities.select(*IDENTITY), IDENTITY, "left_semi").select(*_WHO).distinct()
+    open_ = cut_lineage(rows.join(refused, _WHO, "left_anti"))
     accepted = rows.limit(0)
+    rounds = 0
     while not open_.isEmpty():
-        first = open_.groupBy(*IDENTITY).agg(F.min(F.struct("created_at", "customer_id")).alias("first"))
-        marked = open_.join(first, IDENTITY).withColumn("leads", F.col("first.customer_id") == F.col("customer_id"))
-        leaders = marked.groupBy(*who).agg(F.bool_and("leads").alias("leads")).filter("leads").select(*who)
-        won = cut_lineage(open_.join(leaders, who, "left_semi"))
-        left = open_.join(won.select(*who).distinct(), who, "left_anti")
-        lost = cut_lineage(left.join(won.select(*IDENTITY), IDENTITY, "left_semi").select(*who).distinct())
-        open_ = cut_lineage(left.join(lost, who, "left_anti"))
-        accepted, refused = accepted.unionByName(won), refused.unionByName(lost)
-    return accepted.select(*who, "kind", "value", "created_at"), refused
+        steps = [_earliest]
+        rounds += 1
+        if rounds & (rounds - 1) == 0:
+            steps.append(lambda left: _walked(left, walk_rows))
+        for step in steps:
+            won, lost, open_ = step(open_)
+            accepted, refused = accepted.unionByName(won), refused.unionByName(lost)
+    return accepted.select(*_WHO, "kind", "value", "created_at"), refused
+
+
+def _earliest(open_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(identity rows accepted, requests refused, identity rows left): requests that are the earliest for all their
+    identities are accepted, those that share an identity with them refused; both by map-side minima."""
+    first = open_.groupBy(*IDENTITY).agg(F.min(F.struct("created_at", "customer_id")).alias("first"))
+    marked = open_.join(first, IDENTITY).withColumn("leads", F.col("first.customer_id") == F.col("customer_id"))
+    leaders = marked.groupBy(*_WHO).agg(F.bool_and("leads").alias("leads")).filter("leads").select(*_WHO)
+    won = cut_lineage(open_.join(leaders, _WHO, "left_semi"))
+    left = open_.join(won.select(*_WHO).distinct(), _WHO, "left_anti")
+    lost = cut_lineage(left.join(won.select(*IDENTITY), IDENTITY, "left_semi").select(*_WHO).distinct())
+    return won, lost, cut_lineage(left.join(lost, _WHO, "left_anti"))
+
+
+def _walked(open_: DataFrame, walk_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``_earliest``, but whole groups of connected requests, of at most ``walk_rows`` identity rows each."""
+    who = F.struct(*_WHO)
+    links = open_.join(open_.groupBy(*IDENTITY).agg(F.min(who).alias("first")), IDENTITY).select(who.alias("who"), "first")
+    found = graph.roots(links).select("node.*", "root")
+    grouped = cut_lineage(open_.join(found, _WHO, "left").withColumn("root", F.coalesce("root", who)))
+    small = grouped.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") <= walk_rows).select("root")
+    inside = cut_lineage(grouped.join(small, "root", "left_semi"))
+    key = F.to_json(F.struct("kind", "value"))
+    asked = inside.groupBy("root", *_WHO).agg(F.min("created_at").alias("created_at"), F.collect_set(key).alias("keys"))
+    line = F.sort_array(F.collect_list(F.struct("created_at", "customer_id", "keys"))).alias("line")
+    none = F.array().cast("array<string>")
+
+    def step(s, x):
+        took = F.struct(F.concat(s["taken"], x["keys"]).alias("taken"), F.array_append(s["won"], x["customer_id"]).alias("won"))
+        return F.when(F.arrays_overlap(s["taken"], x["keys"]), s).otherwise(took)
+
+    walked = asked.groupBy("root", "tenant_id").agg(line).select(
+        "tenant_id", F.aggregate("line", F.struct(none.alias("taken"), none.alias("won")), step)["won"].alias("won")
+    )
+    walked = cut_lineage(walked.select("tenant_id", F.explode("won").alias("customer_id")))
+    inside = inside.drop("root")
+    lost = inside.join(walked, _WHO, "left_anti").select(*_WHO).distinct()
+    left = grouped.join(small, "root", "left_anti").drop("root")
+    return inside.join(walked, _WHO, "left_semi"), lost, cut_lineage(left)
 
 
 # ---- resolution ---------------------------------------------------------------------------------

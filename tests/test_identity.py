@@ -108,7 +108,8 @@ def test_hints_order_and_types(spark):
     ]
 
 
-def test_customers_are_created_in_order(spark):
+@pytest.mark.parametrize("walk_rows", [0, 6, I.WALK_ROWS])
+def test_customers_are_created_in_order(spark, walk_rows):
     rng = random.Random(4)
     stored = {("t", "email", "m0")}
     rows, expect = [], {}
@@ -123,6 +124,36 @@ def test_customers_are_created_in_order(spark):
         rows, "tenant_id string, customer_id string, created_at long, identities array<struct<kind:string,value:string>>"
     )
     known = spark.createDataFrame([("t", "email", "m0", "old")], "tenant_id string, kind string, value string, customer_id string")
-    inserted, refused = I.create_customers(requests, known)
+    inserted, refused = I.create_customers(requests, known, walk_rows)
     assert {r.customer_id for r in inserted.collect()} == {c for c, ok in expect.items() if ok}
     assert {r.customer_id for r in refused.collect()} == {c for c, ok in expect.items() if not ok}
+
+
+def test_chain_of_a_thousand_requests_takes_one_walk(spark, monkeypatch):
+    rounds = []
+    step = I._earliest
+    monkeypatch.setattr(I, "_earliest", lambda open_: rounds.append(1) or step(open_))
+    # every request shares an identity with the one before it: each is accepted or refused only after that one
+    chain = spark.range(1000).select(
+        F.lit("t").alias("tenant_id"),
+        F.format_string("c%04d", "id").alias("customer_id"),
+        F.col("id").alias("created_at"),
+        F.transform(
+            F.array(F.col("id"), F.col("id") + 1),
+            lambda n: F.struct(F.lit("email").alias("kind"), n.cast("string").alias("value")),
+        ).alias("identities"),
+    )
+    inserted, refused = I.create_customers(chain, None)
+    assert {r.customer_id for r in inserted.collect()} == {f"c{i:04d}" for i in range(0, 1000, 2)}
+    assert {r.customer_id for r in refused.collect()} == {f"c{i:04d}" for i in range(1, 1000, 2)}
+    assert len(rounds) == 1
+
+
+def test_requests_without_a_usable_identity_end(spark):
+    rows = [("t", "a", 1, [(None, "x"), ("email", None)]), ("t", "b", 2, []), ("t", "c", 3, None), ("t", "d", 4, [("email", "m")])]
+    requests = spark.createDataFrame(
+        rows, "tenant_id string, customer_id string, created_at long, identities array<struct<kind:string,value:string>>"
+    )
+    inserted, refused = I.create_customers(requests, None)
+    assert [(r.customer_id, r.kind, r.value) for r in inserted.collect()] == [("d", "email", "m")]
+    assert refused.count() == 0
