@@ -7,20 +7,17 @@ from pyspark.sql import functions as F
 
 from convspark import values as V
 from convspark.functions import text as X
+from convspark.operators import similarity as S
 from convspark.session import cut_lineage
 
 
-def vectors(rows: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, DataFrame]:
-    """(bucket counts per key, squared norm per key); counting is map-side first."""
+def bags(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, bag, sq) of the texts that have tokens; counting is map-side first."""
     tokens = rows.select(*keys, F.explode(X.tokens(F.col(text))).alias("token"))
     words = tokens.groupBy(*keys, "token").agg(F.count("*").alias("c"))
     bucket = (X.fnv1a32(F.col("token")) % V.EMBED_BUCKETS).cast("int")
     counts = words.select(*keys, bucket.alias("bucket"), "c").groupBy(*keys, "bucket").agg(F.sum("c").alias("w"))
-    return counts, counts.groupBy(*keys).agg(F.sum(F.col("w") * F.col("w")).alias("sq"))
-
-
-def _cos(dot: Column, sq_a: Column, sq_b: Column) -> Column:
-    return dot / (F.sqrt(sq_a.cast("double")) * F.sqrt(sq_b.cast("double")))
+    return S.bags(counts, keys)
 
 
 def exact_hits(requests: DataFrame, entries: DataFrame) -> DataFrame:
@@ -33,70 +30,6 @@ def exact_hits(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return same.select("ns", "request_id", F.col("e.entry_id").alias("entry_id"))
 
 
-#: Below the threshold, the best similarity of what is still open is looked for step by step.
-LEVELS = [0.5, 0.2, 0.0]
-
-
-def _postings(counts: DataFrame, norms: DataFrame, threshold: float | Column, df: DataFrame) -> DataFrame:
-    """The rarest buckets of each key that two keys must share to reach the threshold.
-
-    Buckets are put in one order by ``df`` (ns, bucket, df), rarest first. A key keeps buckets until the norm of what is
-    left falls below threshold * norm; two keys without a common kept bucket have a cosine below the threshold.
-    """
-    order = Window.partitionBy("ns", "key_id").orderBy("df", "bucket").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = counts.join(df, ["ns", "bucket"]).join(norms, ["ns", "key_id"])
-    left = ranked.withColumn("left_sq", F.sum(F.col("w") * F.col("w")).over(order))
-    return left.filter(F.col("left_sq") >= (threshold * threshold - 1e-9) * F.col("sq")).select("ns", "bucket", "key_id")
-
-
-def _frequencies(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("ns", "bucket").agg(F.count("*").alias("df"))
-
-
-def _similar(pairs: DataFrame, asked: tuple, entries: tuple, threshold: float | Column) -> DataFrame:
-    """(ns, key_id, entry_id, sim) of the candidate pairs at or above the threshold; either side is (counts, norms)."""
-    a = asked[0].select("ns", "key_id", "bucket", F.col("w").alias("wa"))
-    b = entries[0].select("ns", F.col("key_id").alias("entry_id"), "bucket", F.col("w").alias("wb"))
-    dots = (
-        pairs.join(a, ["ns", "key_id"])
-        .join(b, ["ns", "entry_id", "bucket"])
-        .groupBy("ns", "key_id", "entry_id")
-        .agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    )
-    na = asked[1].select("ns", "key_id", F.col("sq").alias("sa"))
-    nb = entries[1].select("ns", F.col("key_id").alias("entry_id"), F.col("sq").alias("sb"))
-    sim = _cos(F.col("dot"), F.col("sa"), F.col("sb"))
-    scored = dots.join(na, ["ns", "key_id"]).join(nb, ["ns", "entry_id"]).withColumn("sim", sim)
-    return scored.filter(F.col("sim") >= threshold).select("ns", "key_id", "entry_id", "sim")
-
-
-def closest(asked: tuple, entries: tuple, levels: list[float], earlier: bool = False) -> DataFrame:
-    """(ns, key_id, entry_id, sim): of each key the entries at or above the first of the falling levels that any reaches.
-
-    Either side is (bucket counts, norms) by (ns, key_id). Only keys that reached no level yet go to the next one, where
-    the kept postings grow; so common words join only what nothing rarer connects. ``earlier``: entries have a smaller
-    key_id than the key.
-    """
-    df = cut_lineage(_frequencies(asked[0].select("ns", "bucket").unionByName(entries[0].select("ns", "bucket"))))
-    open_, found = asked[1].select("ns", "key_id"), None
-    for level in levels:
-        mine = _postings(asked[0].join(open_, ["ns", "key_id"], "left_semi"), asked[1], level, df)
-        theirs = _postings(*entries, level, df).withColumnRenamed("key_id", "entry_id")
-        pairs = mine.join(theirs, ["ns", "bucket"])
-        if earlier:
-            pairs = pairs.filter(F.col("entry_id") < F.col("key_id"))
-        scored = cut_lineage(_similar(pairs.select("ns", "key_id", "entry_id").distinct(), asked, entries, level))
-        open_ = cut_lineage(open_.join(scored.select("ns", "key_id").distinct(), ["ns", "key_id"], "left_anti"))
-        found = scored if found is None else found.unionByName(scored)
-        if open_.isEmpty():
-            break
-    return found
-
-
-def _levels(threshold: float) -> list[float]:
-    return [threshold, *[level for level in LEVELS if level < threshold]]
-
-
 def lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Every request against a snapshot of entries in its namespace.
 
@@ -106,59 +39,31 @@ def lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.95) ->
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError(f"threshold must be in (0, 1], got {threshold}")
-    exact = exact_hits(requests, entries)
-    asked = requests.select("ns", "request_id", "key_text", F.sha2("key_text", 256).alias("key_id"))
-    rest = asked.join(exact.select("ns", "request_id"), ["ns", "request_id"], "left_anti")
-    # a prompt asked many times is scored once; the first text combines map-side
-    prompts = rest.groupBy("ns", "key_id").agg(F.first("key_text").alias("key_text"))
-    stored = entries.select("ns", F.col("entry_id").alias("key_id"), "key_text")
-    sides = [tuple(cut_lineage(part) for part in vectors(rows, ["ns", "key_id"], "key_text")) for rows in (prompts, stored)]
-    scored = closest(*sides, _levels(threshold)).join(entries.select("ns", "entry_id", "last_touch_seq"), ["ns", "entry_id"])
-    best = scored.groupBy("ns", "key_id").agg(
-        F.max_by(F.struct("entry_id", "sim"), F.struct("sim", -F.col("last_touch_seq"))).alias("b")
-    )
-    near = rest.select("ns", "request_id", "key_id").join(best, ["ns", "key_id"], "left").select(
-        "ns", "request_id", "b.entry_id", F.coalesce("b.sim", F.lit(0.0)).alias("similarity")
-    )
+    # a prompt asked many times is judged once; the log itself meets the outcomes of its prompts only
+    digest = F.sha2("key_text", 256).alias("key_id")
+    prompts = cut_lineage(requests.select("ns", "key_text").distinct().select("ns", digest, "key_text"))
+    exact = cut_lineage(exact_hits(prompts.withColumnRenamed("key_id", "request_id"), entries))
+    exact = exact.withColumnRenamed("request_id", "key_id")
+    rest = prompts.join(exact, ["ns", "key_id"], "left_anti")
+    stored = entries.select("ns", "entry_id", F.col("last_touch_seq").alias("touch"), "key_text")
+    asked = cut_lineage(bags(rest, ["ns", "key_id"], "key_text"))
+    near = S.nearest(asked, cut_lineage(bags(stored, ["ns", "entry_id", "touch"], "key_text")))
     near = near.withColumn(
         "kind",
-        F.when(F.col("similarity") < threshold, "miss")
-        .when(F.col("similarity") >= V.EXACT_SIMILARITY, "exact")
-        .otherwise("near"),
+        F.when(F.col("sim") < threshold, "miss").when(F.col("sim") >= V.EXACT_SIMILARITY, "exact").otherwise("near"),
     ).withColumn("entry_id", F.when(F.col("kind") != "miss", F.col("entry_id")))
-    hits = exact.select("ns", "request_id", "entry_id", F.lit(1.0).alias("similarity"), F.lit("exact").alias("kind"))
+    hits = exact.select("ns", "key_id", "entry_id", F.lit(1.0).alias("sim"), F.lit("exact").alias("kind"))
     answers = entries.select("ns", "entry_id", "response")
-    return hits.unionByName(near).join(answers, ["ns", "entry_id"], "left")
+    judged = hits.unionByName(near).join(answers, ["ns", "entry_id"], "left")
+    out = requests.select("ns", "request_id", digest).join(judged, ["ns", "key_id"], "left")
+    similarity = F.coalesce("sim", F.lit(0.0)).alias("similarity")
+    kind = F.coalesce("kind", F.lit("miss")).alias("kind")
+    return out.select("ns", "entry_id", "request_id", similarity, kind, "response")
 
 
 # ---- replay -------------------------------------------------------------------------------------
 
 
-def stored_keys(keys: DataFrame, counts: DataFrame, norms: DataFrame, threshold: float | Column) -> DataFrame:
-    """Keys a sequential run would store: those not similar to any stored key before them.
-
-    ``keys``: ns, key_id, where key_id is the position of the key's first request. Per round, an open key that is the
-    earliest in all of its postings has no possible earlier match left, so it is stored. It is then compared with the
-    open keys of its postings only. A posting has at most one such key, so a round emits no more pairs than there are
-    postings, also in a namespace of near copies, where the first round settles the whole group.
-    """
-    postings = cut_lineage(_postings(counts, norms, threshold, _frequencies(counts)))
-    without = keys.join(postings.select("ns", "key_id").distinct(), ["ns", "key_id"], "left_anti")
-    stored = without.select("ns", "key_id")  # no tokens: never similar to anything
-    while not postings.isEmpty():
-        first = postings.groupBy("ns", "bucket").agg(F.min("key_id").alias("first"))
-        checked = postings.join(first, ["ns", "bucket"])
-        leaders = checked.groupBy("ns", "key_id").agg(F.bool_and(F.col("key_id") == F.col("first")).alias("leads"))
-        leaders = cut_lineage(leaders.filter("leads").select("ns", "key_id"))
-        lead_postings = postings.join(leaders, ["ns", "key_id"], "left_semi").withColumnRenamed("key_id", "entry_id")
-        open_ = postings.join(leaders, ["ns", "key_id"], "left_anti")
-        pairs = open_.join(lead_postings, ["ns", "bucket"]).select("ns", "key_id", "entry_id").distinct()
-        settled = _similar(pairs, (counts, norms), (counts, norms), threshold).select("ns", "key_id").distinct()
-        postings = cut_lineage(open_.join(settled, ["ns", "key_id"], "left_anti"))
-        stored = stored.unionByName(leaders)
-    return cut_lineage(stored)
-
-
 def replay(requests: DataFrame, threshold: float = 0.95, miss_similarity: bool = True) -> DataFrame:
     """Outcome of every request of a log processed in ``seq`` order against an initially empty cache without eviction.
 
@@ -167,8 +72,7 @@ def replay(requests: DataFrame, threshold: float = 0.95, miss_similarity: bool =
     reports its best similarity to what was stored before it, or null if that is not asked for.
     """
     _check(threshold)
-    out = _settled(requests, threshold, LEVELS if miss_similarity else [])
-    return out.drop("key_id")
+    return _settled(requests.withColumn("threshold", F.lit(float(threshold))), requests, miss_similarity).drop("threshold")
 
 
 def _check(threshold: float) -> None:
@@ -176,46 +80,42 @@ def _check(threshold: float) -> None:
         raise ValueError(f"threshold must be in (0, 1], got {threshold}")
 
 
-def _settled(requests: DataFrame, threshold: float | Column, levels: list[float]) -> DataFrame:
-    """``replay`` with the id of the key; ``threshold`` may be a Column over ``ns``, where no levels are wanted."""
-    log = requests.withColumn("digest", F.sha2("key_text", 256))
-    distinct = log.groupBy("ns", "digest").agg(F.min("seq").alias("key_id"))
-    log = log.join(distinct, ["ns", "digest"])  # a key asked very often makes only the log side large
-    keys = log.filter(F.col("seq") == F.col("key_id")).select("ns", "key_id", "digest", "key_text", "response")
-    keys = cut_lineage(keys)
+def _settled(requests: DataFrame, texts: DataFrame, miss_similarity: bool) -> DataFrame:
+    """``replay`` of namespaces that each have a ``threshold``; ``texts`` has every key text of the requests."""
+    digest = F.sha2("key_text", 256).alias("digest")
+    # the log between the steps is positions and digests; texts and responses are joined at the end
+    log = requests.select("ns", "threshold", "seq", digest)
+    first = cut_lineage(log.groupBy("ns", "threshold", "digest").agg(F.min("seq").alias("key_id")))
     # a text that several namespaces ask is cut into tokens once
-    texts = keys.groupBy("digest").agg(F.first("key_text").alias("key_text"))
-    names = keys.select("ns", "key_id", "digest")
-    counts, norms = (cut_lineage(names.join(part, "digest").drop("digest")) for part in vectors(texts, ["digest"], "key_text"))
-    stored = stored_keys(keys, counts, norms, threshold)
-    # candidates: other keys against stored ones, through the same postings
-    postings = _postings(counts, norms, threshold, _frequencies(counts))
-    entry_postings = postings.join(stored, ["ns", "key_id"], "left_semi").withColumnRenamed("key_id", "entry_id")
-    others = postings.join(stored, ["ns", "key_id"], "left_anti")
-    pairs = others.join(entry_postings, ["ns", "bucket"]).select("ns", "key_id", "entry_id").distinct()
-    candidates = _similar(pairs, (counts, norms), (counts, norms), threshold)
+    counted = cut_lineage(bags(texts.select("key_text").distinct().select(digest, "key_text"), ["digest"], "key_text"))
+    keys = cut_lineage(first.join(counted, "digest").drop("digest"))
+    names = first.select("ns", "key_id")
+    # without tokens: never similar to anything
+    without = names.join(keys.select("ns", "key_id"), ["ns", "key_id"], "left_anti")
+    stored = cut_lineage(S.stored_keys(keys).unionByName(without))
+    kept = cut_lineage(keys.join(stored, ["ns", "key_id"], "left_semi"))
+    others = keys.join(stored, ["ns", "key_id"], "left_anti")
+    found = S.candidates(others, kept.drop("threshold").withColumnRenamed("key_id", "entry_id"))
     own = stored.select("ns", "key_id", F.col("key_id").alias("entry_id"), F.lit(1.0).alias("sim"))
-    candidates = cut_lineage(candidates.unionByName(own))
-
-    open_requests = log.select("ns", "seq", "key_id").join(candidates, ["ns", "key_id"])
-    open_requests = open_requests.filter(F.col("entry_id") < F.col("seq"))
-    best = open_requests.groupBy("ns", "seq").agg(F.max("sim").alias("best"))
-    tied = cut_lineage(
-        open_requests.join(best, ["ns", "seq"]).filter("sim = best").select("ns", "seq", "entry_id", "sim")
-    )
-    chosen = _least_recent(tied)
-    answers = keys.select("ns", F.col("key_id").alias("entry_id"), F.col("response").alias("answer"))
-    out = log.drop("digest").join(chosen, ["ns", "seq"], "left").join(answers, ["ns", "entry_id"], "left")
+    found = cut_lineage(found.unionByName(own))
+
+    slim = log.join(first, ["ns", "threshold", "digest"]).select("ns", "seq", "key_id")
+    open_requests = slim.join(found, ["ns", "key_id"]).filter(F.col("entry_id") < F.col("seq"))
+    best = F.max("sim").alias("best")
+    sims = cut_lineage(open_requests.select("ns", "seq", "entry_id", "sim"))
+    tied = sims.join(sims.groupBy("ns", "seq").agg(best), ["ns", "seq"]).filter("sim = best").drop("best")
+    chosen = _least_recent(cut_lineage(tied))
+    answers = requests.select("ns", F.col("seq").alias("key_id"), F.col("response").alias("answer"))
+    answers = answers.join(stored, ["ns", "key_id"], "left_semi").withColumnRenamed("key_id", "entry_id")
+    out = requests.join(chosen, ["ns", "seq"], "left").join(answers, ["ns", "entry_id"], "left")
     kind = (
         F.when(F.col("entry_id").isNull(), "miss").when(F.col("sim") >= V.EXACT_SIMILARITY, "exact").otherwise("near")
     )
     out = out.withColumn("kind", kind).withColumnRenamed("sim", "similarity")
-    if levels:
+    if miss_similarity:
         # a miss is the first request of a stored key
-        side = tuple(cut_lineage(part.join(stored, ["ns", "key_id"], "left_semi")) for part in (counts, norms))
-        near = closest(side, side, [level for level in levels if level < threshold], earlier=True)
-        best = near.groupBy("ns", "key_id").agg(F.max("sim").alias("best"))
-        out = out.join(best, ["ns", "key_id"], "left")
+        ahead = S.best_before(kept).withColumnRenamed("key_id", "seq")
+        out = out.join(ahead, ["ns", "seq"], "left")
         missed = F.when(F.col("kind") == "miss", F.coalesce("best", F.lit(0.0)))
         out = out.withColumn("similarity", F.coalesce("similarity", missed)).drop("best")
     return out
@@ -232,13 +132,16 @@ def _least_recent(tied: DataFrame) -> DataFrame:
     """
     n = tied.groupBy("ns", "seq").agg(F.count("*").alias("n"))
     counted = tied.join(n, ["ns", "seq"])
-    single = counted.filter("n = 1").drop("n")
+    single = cut_lineage(counted.filter("n = 1").drop("n"))
     several = cut_lineage(counted.filter("n > 1").drop("n"))
     if several.isEmpty():
         return single
     choice = several.groupBy("ns", "seq").agg(F.min_by("entry_id", "entry_id").alias("entry_id"))
+    # of the settled requests only those on an entry that takes part in a tie matter, and they never change
+    involved = several.select("ns", "entry_id").distinct()
+    settled = cut_lineage(single.join(involved, ["ns", "entry_id"], "left_semi").select("ns", "entry_id", F.col("seq").alias("hit")))
     while True:
-        hits = single.select("ns", "entry_id", F.col("seq").alias("hit")).unionByName(
+        hits = settled.unionByName(
             choice.select("ns", "entry_id", F.col("seq").alias("hit"))
         )
         # last hit of each entry before the request: the latest one of the earlier slices, or of the own slice; an
@@ -324,13 +227,20 @@ def sweep(requests: DataFrame, thresholds: list[float], scopes: dict[str, Column
     for t in thresholds:
         _check(t)
     spaces = [
-        F.struct(F.lit(scope).alias("scope"), F.lit(float(t)).alias("threshold"), ns.cast("string").alias("ns"))
-        for scope, ns in scopes.items()
-        for t in thresholds
+        F.struct(
+            F.lit(scope).alias("scope"),
+            F.lit(float(t)).alias("threshold"),
+            ns.cast("string").alias("ns"),
+            F.concat(F.lit(f"{i}.{j}:"), ns.cast("string")).alias("space"),
+        )
+        for i, (scope, ns) in enumerate(scopes.items())
+        for j, t in enumerate(thresholds)
     ]
-    rows = requests.withColumn("ns", F.explode(F.array(*spaces))).filter("ns.ns IS NOT NULL")
-    runs = _settled(rows, F.col("ns.threshold"), []).drop("key_id")
-    return runs.select("ns.scope", "ns.threshold", *[c if c != "ns" else "ns.ns" for c in runs.columns])
+    rows = requests.withColumn("_space", F.explode(F.array(*spaces))).filter("_space.ns IS NOT NULL")
+    rows = rows.withColumns({"ns": F.col("_space.space"), "threshold": F.col("_space.threshold")})
+    runs = _settled(rows, requests, False)
+    names = [c if c != "ns" else "_space.ns" for c in runs.columns if c not in ("_space", "threshold")]
+    return runs.select("_space.scope", "_space.threshold", *names)
 
 
 def replay_lru(requests: DataFrame, threshold: float, max_entries: int) -> DataFrame:

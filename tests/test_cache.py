@@ -141,3 +141,12 @@ def test_lookup_equals_all_pairs(spark):
         r, best = got[seq], -sims[0][0]
         assert r.similarity == pytest.approx(1.0 if equal else best)
         assert r.entry_id == (equal[0] if equal else None if best < 0.9 else min(s for x, s in sims if abs(x + best) < 1e-12))
+
+
+def test_small_blocks_change_nothing(spark, monkeypatch):
+    from convspark.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    monkeypatch.setattr(similarity, "WALK", 5)
+    test_replay_equals_sequential_walk(spark, 3, 0.8)
+    test_lookup_equals_all_pairs(spark)
