@@ -150,3 +150,17 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(similarity, "WALK", 5)
     test_replay_equals_sequential_walk(spark, 3, 0.8)
     test_lookup_equals_all_pairs(spark)
+
+
+def test_a_chain_of_similar_prompts_takes_no_round_per_link(spark, monkeypatch):
+    from convspark.operators import similarity
+
+    tables = []
+    for module in (cache, similarity):
+        cut = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, cut=cut: tables.append(df) or cut(df))
+    texts = [f"w{i} w{i + 1} w{i + 2} w{i + 3}" for i in range(24)]  # each like the one before it, 24 links
+    rows = [("n", i, t, "r") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
+    got = {(r.ns, r.seq): r.kind for r in cache.replay(df, 0.7, miss_similarity=False).collect()}
+    assert got == {k: v[0] for k, v in _fold(rows, 0.7).items()} and len(tables) < 25
