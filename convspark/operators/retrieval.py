@@ -188,12 +188,15 @@ def rerank(
     now: Column,
     top_k: int = V.RERANK_TOP_K,
     keys: list[str] = KEYS,
+    first: DataFrame | None = None,
 ) -> DataFrame:
     """Semantic ranking whose first ``top_k`` rows are rescored; adds ``stage`` (head/tail) and ``rerank_score``.
 
-    Head rows come first. A blank query leaves the semantic result unchanged (stage is null).
+    Head rows come first. A blank query leaves the semantic result unchanged (stage is null). ``first``: the result of
+    ``semantic`` for the same histories, where it is there already.
     """
-    base = top_rank(semantic(queries, messages, actions, keys), keys, reading_order(), top_k, "semantic_rank")
+    first = semantic(queries, messages, actions, keys) if first is None else first
+    base = top_rank(first, keys, reading_order(), top_k, "semantic_rank")
     blank = X.strip(F.coalesce(F.col("query"), F.lit(""))) == ""
     qtok = queries.select(*keys, X.tokens(F.col("query")).alias("q"), blank.alias("q_blank"))
     weight = V.RERANK_WEIGHTS
@@ -250,19 +253,22 @@ def strategy_budget(name: str, default: int, overrides: dict[str, int | None] |
     return default if own is None else own
 
 
-def run_strategy(name: str, queries: DataFrame, messages: DataFrame, actions: DataFrame, now=None) -> DataFrame:
+def run_strategy(
+    name: str, queries: DataFrame, messages: DataFrame, actions: DataFrame, now=None, first: DataFrame | None = None
+) -> DataFrame:
+    """The segments of a strategy; ``first`` is the semantic result, for those that begin with it."""
     if name == "recency":
         return recency(messages, actions)
     if name == "naive_dump":
         return naive_dump(messages, actions)
     if name == "semantic":
-        return semantic(queries, messages, actions)
+        return semantic(queries, messages, actions) if first is None else first
     if name == "summarized":
         return summarized(messages, actions)
     if name == "hybrid":
         return hybrid(queries, messages, actions)
     if name == "rerank":
-        out = rerank(queries, messages, actions, now)
+        out = rerank(queries, messages, actions, now, first=first)
         # the head precedes the tail whatever the scores are
         return out.withColumn("priority", F.col("priority") + F.col("is_head") * F.lit(1e3))
     raise KeyError(f"unknown strategy {name!r}")

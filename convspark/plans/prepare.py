@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from convspark import values as V
 from convspark.functions import text as X
 from convspark.functions.scale import sums_before
+from convspark.session import cut_lineage
 from convspark.sources import tables as T
 
 
@@ -35,8 +36,12 @@ def enough_user_turns(dialogues: DataFrame, least: int = 3) -> DataFrame:
     )
 
 
-def histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, history messages, history actions): the turns before the query and all events of the customer."""
+def histories(spark: SparkSession, sf_dir: str, several: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, history messages, history actions): the turns before the query and all events of the customer.
+
+    ``several``: more than one plan reads them, so they are computed once and kept in the shared folder.
+    """
+    keep = cut_lineage if several else lambda df: df
     carved = carve(T.dialogues(spark, sf_dir)).withColumn("pair_id", F.concat(F.lit("p"), F.col("conv_id")))
     messages = (
         T.messages(spark, sf_dir)
@@ -44,8 +49,9 @@ def histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
         .filter(F.col("seq") < F.col("last_turn"))
         .drop("last_turn", "conv_id")
     )
+    messages = keep(messages)
     owners = carved.select("pair_id", F.concat(F.lit("c"), F.col("conv_id")).alias("customer_id"))
-    actions = T.prior_actions(spark, sf_dir).join(owners, "customer_id")
+    actions = keep(T.prior_actions(spark, sf_dir).join(owners, "customer_id"))
     sizes = (
         messages.select("pair_id", F.lit(1).alias("m"))
         .unionByName(actions.select("pair_id", F.lit(0).alias("m")))
@@ -62,7 +68,7 @@ def histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
         X.length_bucket(F.coalesce("n_rows", F.lit(0))).alias("bucket"),
         T.nth(V.FACT_INTENTS + ["greeting", "courtesy"], F.col("conv_id") % 12).alias("intent"),
     )
-    return pairs, messages, actions
+    return keep(pairs), messages, actions
 
 
 def pad_histories(dialogues: DataFrame, starts: DataFrame, least: int, most: int) -> DataFrame:

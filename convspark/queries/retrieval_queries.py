@@ -11,6 +11,7 @@ from convspark import values as V
 from convspark.operators import packing, retrieval as R
 from convspark.plans import prepare
 from convspark.queries import duck as D
+from convspark.session import cut_lineage
 from convspark.sources import tables as T
 
 QUERIES, ORACLE = {}, {}
@@ -306,8 +307,11 @@ def _(spark, sf):
 
 def run_all(spark, sf, default_budget: int = V.DEFAULT_BUDGET, strategies=tuple(R.STRATEGY_BUDGETS)):
     """The given strategies on every pair, each under its own budget or the run's default."""
-    pairs, messages, actions = prepare.histories(spark, sf)
+    pairs, messages, actions = prepare.histories(spark, sf, several=len(strategies) > 1)
     now = F.lit(NOW).cast("timestamp")
+    # every text is compared with its query once, whatever number of strategies begins with that
+    both = {"semantic", "rerank"} <= set(strategies)
+    first = cut_lineage(R.semantic(pairs, messages, actions)) if both else None
     keys, by_budget = ["strategy", *R.KEYS], {}
     for name in strategies:
         by_budget.setdefault(R.strategy_budget(name, default_budget), []).append(name)
@@ -315,7 +319,7 @@ def run_all(spark, sf, default_budget: int = V.DEFAULT_BUDGET, strategies=tuple(
     for budget, names in by_budget.items():  # strategies of one budget are packed together
         tag = lambda name: F.lit(name).alias("strategy")
         cols = [*R.KEYS, "source", "ord", "seq", "body", "token_estimate", "priority"]
-        runs = [R.run_strategy(n, pairs, messages, actions, now).select(tag(n), *cols) for n in names]
+        runs = [R.run_strategy(n, pairs, messages, actions, now, first).select(tag(n), *cols) for n in names]
         groups = [packing.brief_groups(pairs, F.lit(budget), [tag(n)]) for n in names]
         packed.append(packing.pack(reduce(DataFrame.unionByName, runs), reduce(DataFrame.unionByName, groups), keys, budget))
     return reduce(DataFrame.unionByName, packed), pairs

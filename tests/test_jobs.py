@@ -118,3 +118,11 @@ def test_padding_equals_a_walk_over_the_pool(spark):
     first = spark.createDataFrame([(v, k) for k, v in starts.items()], "pair_id string, pool_pos long")
     got = prepare.pad_histories(dialogues, first, 7, 8).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_all_strategies_share_one_reading_of_the_tables(spark):
+    from convspark.queries.retrieval_queries import run_all
+
+    briefs, _ = run_all(spark, "/root/testdata/sf0.001")
+    plan = briefs._jdf.queryExecution().toString()
+    assert "FileScan" not in plan and plan.split("== Physical Plan ==")[1].count("bag_cosine") == 1  # of hybrid's middle tier
