@@ -230,8 +230,16 @@ def resolve(
             "tenant_id", "event_id", "stored_event_id", "stored_customer_id"
         )
         base = base.join(used.select(*key), key, "left_anti")
-    base = cut_lineage(base)
-    rows = base.select("tenant_id", "event_id", "at", F.posexplode("hints").alias("pos", "h")).select(
+    # what events without hints store is known from the start: they neither claim nor collide. So the rounds need the events
+    # with hints only, and of these only such as come before the first event without hints of their key; others are replays
+    key = ["tenant_id", "idempotency_key"]
+    base = cut_lineage(base.withColumn("plain", F.coalesce(F.size("hints"), F.lit(0)) <= 0))
+    sure = base.filter("plain AND NOT refused").groupBy(*key).agg(F.min("at").alias("sure"))
+    open_ = ~F.col("plain") & (F.col("sure").isNull() | (F.col("at") < F.col("sure")))
+    every = cut_lineage(base.join(sure, key, "left").withColumn("open", open_).drop("plain"))
+    rest, hinted = every.filter("NOT open").drop("hints"), every.filter("open").drop("open", "sure")
+    base = cut_lineage(hinted.drop("hints"))
+    rows = hinted.select("tenant_id", "event_id", "at", F.posexplode("hints").alias("pos", "h")).select(
         "tenant_id", "event_id", "at", "pos", "h.kind", "h.value"
     )
     # the stored identities are read once: who owns a hint's identity already does not change from round to round
@@ -262,23 +270,28 @@ def resolve(
     added = owned.filter("mine").groupBy("tenant_id", "event_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "kind", "value"))).alias("added")  # at most 11 hints per event
     )
-    first_stored = (
-        base.join(state, ["tenant_id", "event_id"])
-        .filter(f"NOT replay AND cut = {_NO_CUT}")
-        .select("tenant_id", "idempotency_key", F.col("event_id").alias("stored_event_id"))
-    )
     c = customers.select("tenant_id", "event_id", "customer_id", "match_kind", "match_value", "created")
-    out = (
-        base.select("tenant_id", "event_id", "idempotency_key", "explicit")
-        .join(state, ["tenant_id", "event_id"])
-        .join(c, ["tenant_id", "event_id"])
-        .join(added, ["tenant_id", "event_id"], "left")
-        .join(first_stored, ["tenant_id", "idempotency_key"], "left")
+    event = ["tenant_id", "event_id"]
+    judged = base.select(*event, "idempotency_key", "explicit", "at").join(state, event).join(c, event)
+    kept = judged.filter(f"cut = {_NO_CUT}").groupBy(*key).agg(F.min("at").alias("s"))
+    none = F.lit(None).cast("string")
+    rest = rest.filter("tenant_id IS NOT NULL AND event_id IS NOT NULL").join(kept, key, "left").select(
+        *event,
+        "idempotency_key",
+        "explicit",
+        "at",
+        _first_cut().alias("cut"),
+        F.coalesce(F.col("at") > F.least("s", "sure"), F.lit(False)).alias("replay"),
+        F.coalesce("explicit", X.stable_id("cust_", F.col("tenant_id"), F.col("event_id"))).alias("customer_id"),
+        none.alias("match_kind"),
+        none.alias("match_value"),
+        F.col("explicit").isNull().alias("created"),
+    )
+    judged = cut_lineage(judged.unionByName(rest))
+    first_stored = judged.filter(f"NOT replay AND cut = {_NO_CUT}").select(
+        *key, F.col("event_id").alias("stored_event_id"), F.col("customer_id").alias("stored_customer_id")
     )
-    who = first_stored.select("tenant_id", F.col("stored_event_id").alias("event_id")).join(
-        c.select("tenant_id", "event_id", F.col("customer_id").alias("stored_customer_id")), ["tenant_id", "event_id"]
-    ).withColumnRenamed("event_id", "stored_event_id")
-    out = out.join(who, ["tenant_id", "stored_event_id"], "left")
+    out = judged.join(added, event, "left").join(first_stored, key, "left")
     collided = F.col("cut") < _NO_CUT
     refused = F.col("cut") == _REFUSED
     outcome = F.when(F.col("replay"), "replay").when(refused, "unknown_customer").when(collided, "collision")

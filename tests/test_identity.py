@@ -157,3 +157,16 @@ def test_requests_without_a_usable_identity_end(spark):
     inserted, refused = I.create_customers(requests, None)
     assert [(r.customer_id, r.kind, r.value) for r in inserted.collect()] == [("d", "email", "m")]
     assert refused.count() == 0
+
+
+def test_events_without_hints_take_no_part_in_the_rounds(spark, monkeypatch):
+    import datetime
+
+    seen, whole = [], I._round
+    monkeypatch.setattr(I, "_round", lambda base, *rest: seen.append(base.count()) or whole(base, *rest))
+    hint, at = [("email", "a@x")], lambda i: datetime.datetime(2024, 1, 1, 0, i)
+    rows = [("t", 1, at(1), "k1", None, []), ("t", 2, at(2), "k1", None, hint), ("t", 3, at(3), "k2", None, hint), ("t", 4, at(4), "k2", None, None)]
+    schema = "tenant_id string, event_id long, received_at timestamp, idempotency_key string, customer_id string, hints array<struct<kind:string,value:string>>"
+    got = {r.event_id: (r.outcome, r.replay_of) for r in I.resolve(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: ("created", None), 2: ("replay", 1), 3: ("created", None), 4: ("replay", 3)}
+    assert set(seen) == {1}
