@@ -81,41 +81,50 @@ def replayed_actions(answers: BatchTable) -> DataFrame:
     return answers.read().filter("NOT created OR arrivals > 1")
 
 
-#: What is kept of an action: who approved it, how often, and whether it has ended.
-_VOTING = "approvers array<string>, n int, ended boolean"
+#: What is kept of a group of actions, an entry for each: who approved it, how often, and whether it has ended.
+_VOTING = "tenants array<string>, actions array<string>, approvers array<array<string>>, n array<int>, ended array<boolean>"
+#: Groups of actions that share a state.
+GROUPS = 1 << 13
 
 
-def _step(votes: pd.DataFrame, approvers: list, n: int, ended: bool) -> tuple[list, list, list, int, bool]:
-    """The votes of one action, in order: (outcomes, tallies, approvers, approvals, ended)."""
-    outcomes, tallies, known = [], [], set(approvers)
-    for vote, who, may, needed in zip(votes["vote"], votes["decided_by"], votes["may_vote"], votes["required_approvals"]):
+def _walk(votes: pd.DataFrame, kept: dict[tuple[str, str], tuple[list, int, bool]]) -> tuple[list, list]:
+    """(outcomes, tallies) of votes in order; ``kept`` goes on from the state of their actions to the one behind them."""
+    outcomes, tallies = [], []
+    names = ["tenant_id", "action_id", "vote", "decided_by", "may_vote", "required_approvals", "found"]
+    for tenant, action, vote, who, may, needed, found in zip(*[votes[n].tolist() for n in names]):
         tally = None
-        if ended:
-            outcome = "already_decided"
-        elif not may:
-            outcome = "not_eligible"
-        elif vote == "reject":
-            outcome, ended = "accepted", True
-        elif who is not None and who in known:
-            outcome = "duplicate"
+        if not found:
+            outcome = "not_found"
         else:
-            n += 1
-            outcome, tally, ended = "accepted", n, n >= needed
-            if who is not None:
-                known.add(who)
-                approvers.append(who)
+            approvers, n, ended = kept.get((tenant, action), ([], 0, False))
+            if ended:
+                outcome = "already_decided"
+            elif not may:
+                outcome = "not_eligible"
+            elif vote == "reject":
+                outcome, ended = "accepted", True
+            elif who is not None and who in approvers:
+                outcome = "duplicate"
+            else:
+                n += 1
+                outcome, tally, ended = "accepted", n, n >= needed
+                if who is not None:
+                    approvers.append(who)  # at most N of them
+            kept[tenant, action] = approvers, n, ended
         outcomes.append(outcome)
         tallies.append(tally)
-    return outcomes, tallies, approvers, n, ended
+    return outcomes, tallies
 
 
-def voted(votes: DataFrame, queue: DataFrame) -> DataFrame:
-    """The outcome of every vote, with one state per action: its approvers (at most N) and whether it has ended.
+def voted(votes: DataFrame, queue: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """The outcome of every vote. The state keeps of each action its approvers (at most N) and whether it has ended.
 
     Votes take effect by micro-batch, inside one in (voted_at, vote_id) order. Eligibility is settled before the state, by
-    a join of the stream to the queue; a vote on an action that is not there is ``not_found`` and makes no state. A task
-    holds the votes that one action gets in one micro-batch, and nothing of earlier ones. States have no time-out: an action
-    that forgot its votes would accept new ones.
+    a join of the stream to the queue; a vote on an action that is not there is ``not_found`` and makes no state. A call of
+    Python costs milliseconds, so actions share a state by a hash, in ``groups`` groups: a micro-batch takes that many
+    calls at most, however many actions it touches. A task holds the votes that one group gets in one micro-batch, and the
+    state of its actions. A stream keeps its number of groups; one of very many actions and small micro-batches wants more,
+    since a state is written whole. States have no time-out: an action that forgot its votes would accept new ones.
     """
     key = ["tenant_id", "action_id"]
     rules = queue.select(*key, "required_approvals", "eligible_approvers")
@@ -124,18 +133,20 @@ def voted(votes: DataFrame, queue: DataFrame) -> DataFrame:
     named = (F.col("required_approvals") <= 1) | F.col("decided_by").isNotNull()
     may = AP.eligible(F.col("eligible_approvers"), F.col("decided_by")) & ((F.col("vote") == "reject") | named)
     names = ["vote_id", "vote", "decided_by", "reason", "voted_at"]
-    joined = joined.select(*key, *names, "required_approvals", F.coalesce(may, F.lit(False)).alias("may_vote"), found.alias("found"))
+    group = F.pmod(F.xxhash64(*key), F.lit(groups)).alias("group")
+    needed = F.coalesce("required_approvals", F.lit(0)).alias("required_approvals")
+    joined = joined.select(group, *key, *names, needed, F.coalesce(may, F.lit(False)).alias("may_vote"), found.alias("found"))
 
-    def judge(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def judge(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["voted_at", "vote_id"])
-        rows = rows.astype(object).where(rows.notna(), None)
-        if not rows["found"].iloc[0]:
-            outcomes, tallies = ["not_found"] * len(rows), [None] * len(rows)
-        else:
-            approvers, n, ended = state.get if state.exists else ([], 0, False)
-            outcomes, tallies, approvers, n, ended = _step(rows, list(approvers), n, ended)
-            state.update((approvers, n, ended))
-        out = rows[names].assign(tenant_id=group[0], action_id=group[1], outcome=outcomes, n_approvals=tallies)
-        yield out[["tenant_id", "action_id", *names, "outcome", "n_approvals"]]
-
-    return joined.groupBy(*key).applyInPandasWithState(judge, VOTE_SCHEMA, _VOTING, "append", GroupStateTimeout.NoTimeout)
+        kept = {}
+        if state.exists:
+            for tenant, action, approvers, n, ended in zip(*state.get):
+                kept[tenant, action] = list(approvers), n, ended
+        outcomes, tallies = _walk(rows, kept)
+        if kept:
+            tenants, actions = zip(*kept)
+            state.update(tuple(list(column) for column in (tenants, actions, *zip(*kept.values()))))
+        yield rows[[*key, *names]].assign(outcome=outcomes, n_approvals=pd.array(tallies, dtype="Int32"))
+
+    return joined.groupBy("group").applyInPandasWithState(judge, VOTE_SCHEMA, _VOTING, "append", GroupStateTimeout.NoTimeout)

@@ -184,3 +184,23 @@ def test_unknown_explicit_customers_are_refused(spark):
     assert got[1].attached_to is None and not got[1].added and got[4].replay_of == 2
     free = I.resolve(spark.createDataFrame(rows, EVENT)).filter("event_id = 1").first()
     assert (free.outcome, free.customer_id) == ("linked", "gone")
+
+
+def test_actions_share_a_state(spark, tmp_path):
+    """Many actions, two groups: a micro-batch calls Python once a group, and the outcomes are those of a plain walk."""
+    queue = {("t", f"a{i}"): (1 + i % 3, None) for i in range(200)}
+    rng = random.Random(7)
+    vote = lambda n: ("t", f"a{rng.randrange(210)}", n, "approve", rng.choice(["ann", "bob", "cy", None]), None, at(n % 50))
+    arrivals = [[vote(n) for n in range(start, start + 500)] for start in (0, 500)]
+    schema = "tenant_id string, action_id string, vote_id long, vote string, decided_by string, reason string, voted_at timestamp"
+    table = BatchTable(spark, f"{tmp_path}/votes", SD.VOTE_SCHEMA)
+    rules = [(t, a, k, pool) for (t, a), (k, pool) in queue.items()]
+    rules = spark.createDataFrame(rules, "tenant_id string, action_id string, required_approvals int, eligible_approvers array<string>")
+    feed = Feed(spark, schema, tmp_path)
+    calls = []
+    for rows in arrivals:
+        feed.arrive(rows, lambda s: SD.voted(s, rules, groups=2), table.write)
+        state = spark.read.format("statestore").load(f"{tmp_path}/checkpoint-q")
+        calls.append(state.count())
+    assert max(calls) <= 2
+    assert {r.vote_id: (r.outcome, r.n_approvals) for r in table.read().collect()} == plain_votes(arrivals, queue)
