@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +74,8 @@ def replay(requests: DataFrame, threshold: float = 0.95, miss_similarity: bool =
     reports its best similarity to what was stored before it, or null if that is not asked for.
     """
     _check(threshold)
-    return _settled(requests.withColumn("threshold", F.lit(float(threshold))), requests, miss_similarity).drop("threshold")
+    rows = requests.withColumns({"threshold": F.lit(float(threshold)), "digest": F.sha2("key_text", 256)})
+    return _settled(rows, requests, miss_similarity).drop("threshold")
 
 
 def _check(threshold: float) -> None:
@@ -81,10 +84,11 @@ def _check(threshold: float) -> None:
 
 
 def _settled(requests: DataFrame, texts: DataFrame, miss_similarity: bool) -> DataFrame:
-    """``replay`` of namespaces that each have a ``threshold``; ``texts`` has every key text of the requests."""
+    """``replay`` of namespaces that each have a ``threshold``; ``texts`` has every key text of the requests, and these have
+    the ``digest`` of theirs."""
     digest = F.sha2("key_text", 256).alias("digest")
-    # the log between the steps is positions and digests; texts and responses are joined at the end
-    log = requests.select("ns", "threshold", "seq", digest)
+    # the log between the steps is positions and digests; responses are joined at the end
+    log = requests.select("ns", "threshold", "seq", "digest")
     first = cut_lineage(log.groupBy("ns", "threshold", "digest").agg(F.min("seq").alias("key_id")))
     # a text that several namespaces ask is cut into tokens once
     counted = cut_lineage(bags(texts.select("key_text").distinct().select(digest, "key_text"), ["digest"], "key_text"))
@@ -99,15 +103,30 @@ def _settled(requests: DataFrame, texts: DataFrame, miss_similarity: bool) -> Da
     own = stored.select("ns", "key_id", F.col("key_id").alias("entry_id"), F.lit(1.0).alias("sim"))
     found = cut_lineage(found.unionByName(own))
 
-    slim = log.join(first, ["ns", "threshold", "digest"]).select("ns", "seq", "key_id")
+    # most keys have one entry that may answer them, so all requests behind it are settled with the key
+    only = F.min("entry_id").alias("entry_id"), F.min("sim").alias("sim")
+    judged = found.groupBy("ns", "key_id").agg(F.count("*").alias("n"), *only)
+    judged = cut_lineage(judged.join(first.select("ns", "key_id", "digest"), ["ns", "key_id"]))
+    sure = judged.filter("n = 1").select("ns", "digest", "entry_id", "sim")
+    slim = log.join(judged.filter("n > 1").select("ns", "digest", "key_id"), ["ns", "digest"]).select("ns", "seq", "key_id")
     open_requests = slim.join(found, ["ns", "key_id"]).filter(F.col("entry_id") < F.col("seq"))
     best = F.max("sim").alias("best")
     sims = cut_lineage(open_requests.select("ns", "seq", "entry_id", "sim"))
     tied = sims.join(sims.groupBy("ns", "seq").agg(best), ["ns", "seq"]).filter("sim = best").drop("best")
-    chosen = _least_recent(cut_lineage(tied))
+
+    def sure_hits(entries: DataFrame) -> DataFrame:
+        asked = log.join(sure.join(entries, ["ns", "entry_id"], "left_semi"), ["ns", "digest"])
+        return asked.filter(F.col("entry_id") < F.col("seq")).select("ns", "entry_id", F.col("seq").alias("hit"))
+
+    chosen = _least_recent(cut_lineage(tied), sure_hits)
     answers = requests.select("ns", F.col("seq").alias("key_id"), F.col("response").alias("answer"))
-    answers = answers.join(stored, ["ns", "key_id"], "left_semi").withColumnRenamed("key_id", "entry_id")
-    out = requests.join(chosen, ["ns", "seq"], "left").join(answers, ["ns", "entry_id"], "left")
+    answers = cut_lineage(answers.join(stored, ["ns", "key_id"], "left_semi").withColumnRenamed("key_id", "entry_id"))
+    whole = F.struct("entry_id", "sim", "answer")
+    sure = sure.join(answers, ["ns", "entry_id"]).select("ns", "digest", whole.alias("_sure"))
+    chosen = chosen.join(answers, ["ns", "entry_id"]).select("ns", "seq", whole.alias("_chosen"))
+    out = requests.join(sure, ["ns", "digest"], "left").join(chosen, ["ns", "seq"], "left")
+    answer = F.coalesce("_chosen", F.when(F.col("_sure.entry_id") < F.col("seq"), F.col("_sure")))
+    out = out.withColumn("_answer", answer).select("*", "_answer.*").drop("digest", "_sure", "_chosen", "_answer")
     kind = (
         F.when(F.col("entry_id").isNull(), "miss").when(F.col("sim") >= V.EXACT_SIMILARITY, "exact").otherwise("near")
     )
@@ -124,11 +143,12 @@ def _settled(requests: DataFrame, texts: DataFrame, miss_similarity: bool) -> Da
 _SLICE = 1 << 16  # requests per slice of an entry's timeline
 
 
-def _least_recent(tied: DataFrame) -> DataFrame:
+def _least_recent(tied: DataFrame, sure_hits: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One entry per request: the least recently touched of its equally similar ones.
 
     A touch is the storing or an earlier hit. Requests without a tie are settled at once. A tie depends on earlier
-    choices only, so choices are recomputed until they stop changing.
+    choices only, so choices are recomputed until they stop changing. ``sure_hits`` gives the (ns, entry_id, hit) of all
+    other requests on some entries.
     """
     n = tied.groupBy("ns", "seq").agg(F.count("*").alias("n"))
     counted = tied.join(n, ["ns", "seq"])
@@ -139,7 +159,8 @@ def _least_recent(tied: DataFrame) -> DataFrame:
     choice = several.groupBy("ns", "seq").agg(F.min_by("entry_id", "entry_id").alias("entry_id"))
     # of the settled requests only those on an entry that takes part in a tie matter, and they never change
     involved = several.select("ns", "entry_id").distinct()
-    settled = cut_lineage(single.join(involved, ["ns", "entry_id"], "left_semi").select("ns", "entry_id", F.col("seq").alias("hit")))
+    settled = single.join(involved, ["ns", "entry_id"], "left_semi").select("ns", "entry_id", F.col("seq").alias("hit"))
+    settled = cut_lineage(settled.unionByName(sure_hits(involved)))
     while True:
         hits = settled.unionByName(
             choice.select("ns", "entry_id", F.col("seq").alias("hit"))
@@ -236,7 +257,8 @@ def sweep(requests: DataFrame, thresholds: list[float], scopes: dict[str, Column
         for i, (scope, ns) in enumerate(scopes.items())
         for j, t in enumerate(thresholds)
     ]
-    rows = requests.withColumn("_space", F.explode(F.array(*spaces))).filter("_space.ns IS NOT NULL")
+    rows = requests.withColumn("digest", F.sha2("key_text", 256))  # once for all spaces
+    rows = rows.withColumn("_space", F.explode(F.array(*spaces))).filter("_space.ns IS NOT NULL")
     rows = rows.withColumns({"ns": F.col("_space.space"), "threshold": F.col("_space.threshold")})
     runs = _settled(rows, requests, False)
     names = [c if c != "ns" else "_space.ns" for c in runs.columns if c not in ("_space", "threshold")]

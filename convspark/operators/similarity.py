@@ -206,6 +206,24 @@ def candidates(asked: DataFrame, entries: DataFrame) -> DataFrame:
 WALK = 4096
 
 
+def _leaders(space: _Space) -> list[int]:
+    """The rows of a namespace that are stored when they come in order. Only rows that no earlier one covers are compared,
+    and only with those behind them."""
+    words = np.unique(space.bucket)
+    dtype = np.float32 if float(space.sq.max()) < 2.0**24 else np.float64  # as in ``_similarities``
+    bags, roots = space.matrix(words, dtype), np.sqrt(space.sq.astype(float))
+    threshold, covered, out = space.columns["threshold"], np.zeros(len(space.sq), bool), []
+    for at in range(0, len(roots), _ROWS):
+        rows = at + np.flatnonzero(~covered[at : at + _ROWS])
+        dot = (bags[rows] @ bags[at:].T).astype(float)
+        near = dot / (roots[rows, None] * roots[None, at:]) >= threshold[None, at:]
+        for row, reached_ in zip(rows.tolist(), near):
+            if not covered[row]:
+                out.append(row)
+                covered[at:] |= reached_
+    return out
+
+
 def _walked(front: DataFrame) -> DataFrame:
     """(ns, key_id) of the keys that are stored when the keys of each namespace come in order, each one being stored
     unless it reaches its threshold with a stored one. At most ``WALK`` keys per namespace."""
@@ -214,15 +232,7 @@ def _walked(front: DataFrame) -> DataFrame:
 
     def walk(table: pa.Table) -> pa.Table:
         table, spaces = _spaces(table, ["key_id"])
-        stored = []
-        for space in spaces.values():
-            threshold, covered = space.columns["threshold"], np.zeros(len(space.sq), bool)
-            for at, sim in _similarities(space, space):
-                near = sim >= threshold[None, :]
-                for i in range(len(sim)):
-                    if not covered[at + i]:
-                        stored.append(space.start + at + i)
-                        covered |= near[i]
+        stored = [space.start + i for space in spaces.values() for i in _leaders(space)]
         return table.take(stored).select(["ns", "key_id"])
 
     return front.select("*", group).groupBy("g").applyInArrow(walk, "ns string, key_id long")

@@ -164,3 +164,34 @@ def test_a_chain_of_similar_prompts_takes_no_round_per_link(spark, monkeypatch):
     df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
     got = {(r.ns, r.seq): r.kind for r in cache.replay(df, 0.7, miss_similarity=False).collect()}
     assert got == {k: v[0] for k, v in _fold(rows, 0.7).items()} and len(tables) < 25
+
+
+def test_prompts_of_one_possible_entry_take_no_part_in_ties(spark, monkeypatch):
+    """Their requests are settled with the key: only those of prompts between several entries are looked at one by one."""
+    plain, near = "alpha beta gamma delta", "alpha beta gamma delta epsilon"
+    rows = [("a", i, plain if i % 2 else near, f"r{i}") for i in range(1, 60)]
+    rows += [("b", 1, "one two", "x"), ("b", 2, "three four", "y"), ("b", 3, "one three", "z"), ("b", 4, "one three", "w")]
+    seen, least_recent = [], cache._least_recent
+    monkeypatch.setattr(cache, "_least_recent", lambda tied, *rest: seen.append(tied.select("ns", "seq").distinct().collect()) or least_recent(tied, *rest))
+    got = {}
+    df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
+    for r in cache.replay(df, 0.45).collect():
+        got[r.ns, r.seq] = (r.kind, r.entry_id, r.answer)
+    assert sorted((r.ns, r.seq) for r in seen[0]) == [("b", 3), ("b", 4)]
+    assert got == {k: v[:3] for k, v in _fold(rows, 0.45).items()}
+
+
+def test_leaders_across_blocks_of_rows(spark, monkeypatch):
+    """Rows are compared with those behind them only, block by block; copies lie in other blocks than their leaders."""
+    from convspark.operators import similarity
+
+    monkeypatch.setattr(similarity, "_ROWS", 3)
+    rows = [("n", *row[1:]) for row in _rows(11, 60, 5) if row[2] != "!"]
+    bags = cache.bags(spark.createDataFrame([(r[1], r[2]) for r in rows], "key_id long, key_text string"), ["key_id"], "key_text")
+    table = bags.select(F.lit("n").alias("ns"), F.col("key_id"), F.lit(0.8).alias("threshold"), "bag", "sq").toArrow()
+    space = similarity._spaces(table, ["key_id"])[1]["n"]
+    texts, stored = {r[1]: r[2] for r in rows}, []
+    for key in sorted(texts):
+        if not any(_cos(_vec(texts[key]), _vec(texts[other])) >= 0.8 for other in stored):
+            stored.append(key)
+    assert [int(space.columns["key_id"][i]) for i in similarity._leaders(space)] == stored
