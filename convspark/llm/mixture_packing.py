@@ -39,7 +39,9 @@ _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Texts of printable ASCII and the letters of Latin-1, and their pieces: no mark joins a letter there, and lower case is
 #: one letter for one.
 _PLAIN = re.compile(r"[\x20-\x7e\n\t\r\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-_PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff \n\t\r]+")
+_PLAIN_PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff \n\t\r]+")
+#: Pieces of such letters that are encoded in one call, with blanks between them.
+_LETTERS, _TOGETHER = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+"), 512
 
 
 class Encoder:
@@ -59,14 +61,46 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.by_word = splits_words(self.tokenizer)
+        self.last = self._last_of_words()
+
+    def _last_of_words(self) -> np.ndarray | None:
+        """Whether each id is the last one of a word; None for tokenizers that do not mark it."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not self.by_word or not suffix:
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return last
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _letters(self, pieces: list[str]) -> list[bytes]:
+        """Pieces of letters, many in a call. Each is one word, so its ids go on to the next id that ends one; where there
+        are not as many of these as pieces, the pieces are encoded one by one."""
+        out, size = [], self.dtype.itemsize
+        chunks = [pieces[at : at + _TOGETHER] for at in range(0, len(pieces), _TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)
+        for chunk, e in zip(chunks, found):
+            ids = np.array(e.ids, self.dtype)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * size).tolist()
+            raw = ids.tobytes()
+            if len(ends) == len(chunk) and ends[-1] == len(raw):
+                out.extend([raw[a:b] for a, b in zip([0, *ends], ends)])
+            else:
+                out.extend(self._plain(chunk))
+        return out
+
     def _learn_pieces(self, pieces: set[str]) -> None:
-        new = list(pieces - self.pieces.keys())
-        self.pieces.update(zip(new, self._plain(new)))
+        new = pieces - self.pieces.keys()
+        if self.last is not None:
+            letters = [p for p in new if _LETTERS.fullmatch(p)]
+            self.pieces.update(zip(letters, self._letters(letters)))
+            new.difference_update(letters)
+        rest = list(new)
+        self.pieces.update(zip(rest, self._plain(rest)))
 
     def _learn(self, words: list[str]) -> None:
         cut = [self._cut(w) for w in words]

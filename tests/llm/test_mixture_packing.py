@@ -34,6 +34,29 @@ def test_words_give_the_ids_of_whole_texts(tokenizer):
         assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == want
 
 
+def test_pieces_of_letters_are_encoded_together(tokenizer):
+    class Counted:
+        texts = 0
+
+        def encode_batch_fast(self, texts, **options):
+            Counted.texts += len(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeéßøÿst") for _ in range(rng.randrange(1, 30))) for _ in range(2000)]
+    texts = [" ".join(words[at : at + 100]) + "'s 'till 3,5" for at in range(0, 2000, 100)]
+    encoder = P.Encoder(PATH)
+    encoder.tokenizer = Counted()
+    got = [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)]
+    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert Counted.texts < 20  # 2,000 before
+    # ids that do not end as many words as there are pieces: one by one
+    encoder.pieces.clear()
+    encoder.last = np.zeros_like(encoder.last)
+    encoder.last[tokenizer.encode("a", add_special_tokens=False).ids] = True
+    assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == got
+
+
 def plain_service(totals, shares):
     """Deficit round-robin, round by round, slice by slice: the sources of the tokens in the order of service."""
     left, credit, out = list(totals), [0] * len(totals), []
