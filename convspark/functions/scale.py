@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convspark.session import cut_lineage
 
 
 def sliced_rank(df: DataFrame, keys: list[str], order: list[Column], slices: Column, name: str = "rank") -> DataFrame:
@@ -15,7 +16,8 @@ def sliced_rank(df: DataFrame, keys: list[str], order: list[Column], slices: Col
     counted with a map-side aggregate, are added on.
     """
     df = df.withColumn("_slice", slices)
-    sizes = df.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    # a row for each slice; without the cut its two readers would each count the rows anew
+    sizes = cut_lineage(df.groupBy(*keys, "_slice").agg(F.count("*").alias("_n")))
     offsets = sums_before(sizes, keys, "_slice", "_n", "_before")
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     ranked = df.withColumn("_in_slice", F.row_number().over(inside))

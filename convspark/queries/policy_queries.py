@@ -438,11 +438,15 @@ def votes(spark, sf):
     return v.join(actions, "target").drop("target")
 
 
-def voted(spark, sf):
-    """(actions, queue rows, classified votes, resolved queue rows)"""
-    actions = flow(spark, sf)
+def voted(spark, sf, several: bool = False):
+    """(actions, queue rows, classified votes, resolved queue rows)
+
+    ``several``: more than one plan reads actions and votes, so they are computed once and kept in the shared folder.
+    """
+    keep = sinks.kept if several else lambda rows, name: rows
+    actions = keep(flow(spark, sf), "actions")
     queue = DC.queue_rows(actions)
-    classified = AP.classify(votes(spark, sf), queue)
+    classified = keep(AP.classify(votes(spark, sf), queue), "classified")
     return actions, queue, classified, AP.resolve(classified, queue)
 
 
@@ -511,8 +515,8 @@ D.part(
 )
 
 
-def audit(spark, sf):
-    actions, _, classified, _ = voted(spark, sf)
+def audit(spark, sf, flow_and_votes=None):
+    actions, _, classified, _ = flow_and_votes or voted(spark, sf, several=True)
     entries = DC.policy_audit(actions).unionByName(DC.vote_audit(classified, actions))
     return sinks.with_audit_ids(entries, ["ts", "action_id", "step", "vote_id"])
 
@@ -567,8 +571,9 @@ def _(spark, sf):
           recursive=True),
 )
 def _(spark, sf):
-    actions, _, _, resolved = voted(spark, sf)
-    view = W.action_view(AP.promote(actions, resolved), audit(spark, sf))
+    parts = voted(spark, sf, several=True)
+    actions, _, _, resolved = parts
+    view = W.action_view(AP.promote(actions, resolved), audit(spark, sf, parts))
     return view.select("action_id", "status", "reasoning", F.array_join(F.transform("audit_trail", lambda a: a["kind"]), ">").alias("trail"))
 
 

@@ -16,6 +16,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/convspark-{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, computed once, from a table of the shared folder."""
+    folder = scratch(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
 def iso(ts: Column) -> Column:
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.unix_micros(ts) % 1000000

@@ -126,3 +126,12 @@ def test_all_strategies_share_one_reading_of_the_tables(spark):
     briefs, _ = run_all(spark, "/root/testdata/sf0.001")
     plan = briefs._jdf.queryExecution().toString()
     assert "FileScan" not in plan and plan.split("== Physical Plan ==")[1].count("bag_cosine") == 1  # of hybrid's middle tier
+
+
+def test_views_read_actions_and_votes_that_were_computed_once(spark):
+    from convspark.queries import policy_queries as PQ
+
+    folder = "/root/testdata/sf0.001"
+    view = PQ.QUERIES["action_views"](spark, folder)
+    assert not [f for f in view.inputFiles() if f.endswith("events.parquet")]
+    assert view.count() == spark.read.parquet(f"{folder}/events.parquet").count()
