@@ -52,8 +52,9 @@ def decide(actions: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def quorum_of(actions: DataFrame, rules: DataFrame) -> DataFrame:
-    """Required approvals and voter pool per action; one open approval where no rule is set."""
-    joined = actions.join(rules, ["tenant_id", "action_type"], "left")
+    """Required approvals and voter pool per action; one open approval where no rule is set. Rules are broadcast, as
+    policies are."""
+    joined = actions.join(F.broadcast(rules), ["tenant_id", "action_type"], "left")
     return joined.withColumn("required_approvals", F.coalesce("required_approvals", F.lit(1)))
 
 

@@ -47,8 +47,9 @@ def resolve(rules: Column, action_type: Column) -> Column:
 
 
 def declarative(actions: DataFrame, rules: DataFrame, out: str = "decision") -> DataFrame:
-    """One table per tenant joined to the actions; Spark broadcasts it while it is small."""
-    return actions.join(tables(rules), "tenant_id", "left").withColumn(out, resolve(F.col("rules"), F.col("action_type"))).drop("rules")
+    """One table per tenant joined to the actions. It is broadcast: a policy has a few rules a tenant, and a shuffle by tenant,
+    which a stream would plan, puts all actions into as many tasks as there are tenants."""
+    return actions.join(F.broadcast(tables(rules)), "tenant_id", "left").withColumn(out, resolve(F.col("rules"), F.col("action_type"))).drop("rules")
 
 
 def table_rules(tenant, rules, actions, events):

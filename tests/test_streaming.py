@@ -204,3 +204,14 @@ def test_actions_share_a_state(spark, tmp_path):
         calls.append(state.count())
     assert max(calls) <= 2
     assert {r.vote_id: (r.outcome, r.n_approvals) for r in table.read().collect()} == plain_votes(arrivals, queue)
+
+
+def test_policies_do_not_gather_a_stream_by_tenant(spark):
+    """Policy and quorum rules are broadcast whatever Spark knows of their size, so actions are not shuffled by tenant."""
+    rows = [(i, f"t{i % 2}", "c", "message_received", at(i)) for i in range(20)]
+    events = spark.createDataFrame(rows, "event_id long, tenant_id string, customer_id string, event_type string, received_at timestamp")
+    rules = spark.createDataFrame([("t0", "*", "auto")], "tenant_id string, key string, decision string")
+    quorum = "tenant_id string, action_type string, required_approvals int, eligible_approvers array<string>"
+    decided = SD.decided(events, rules, spark.createDataFrame([("t1", "send_borrower_message", 2, None)], quorum))
+    assert "SortMergeJoin" not in decided._jdf.queryExecution().executedPlan().toString()
+    assert {(r.tenant_id, r.decision, r.required_approvals) for r in decided.collect()} == {("t0", "auto", 1), ("t1", "approval_required", 2)}
