@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from convspark import values as V
 from convspark.functions import text as X
@@ -183,6 +188,9 @@ def _walked(open_: DataFrame, walk_rows: int) -> tuple[DataFrame, DataFrame, Dat
 
 _NO_CUT = 1 << 20  # above any hint position
 _REFUSED = -1  # below any: a refused event claims nothing
+_EVENT, _KEY = ["tenant_id", "event_id"], ["tenant_id", "idempotency_key"]
+#: Hint rows of a tenant's core that one ordered walk may settle; larger ones are settled in rounds.
+CORE_ROWS = 1 << 17
 
 
 def _first_cut() -> Column:
@@ -194,6 +202,7 @@ def resolve(
     identities: DataFrame | None = None,
     stored: DataFrame | None = None,
     customers: DataFrame | None = None,
+    walk_rows: int = CORE_ROWS,
 ) -> DataFrame:
     """Resolve every event to a customer, exactly as processing them one by one in (received_at, event_id) order would.
 
@@ -207,10 +216,9 @@ def resolve(
     first owned hint, or a new customer takes it, and its free hints become that customer's, in order, up to the first
     hint owned by somebody else: that is a collision, the event is not stored and its key stays free.
 
-    No group is walked. What happens to an event depends only on earlier ones, so the job repeats three set steps until
-    nothing changes: (1) each identity belongs to its earliest claim, a map-side minimum; (2) customers follow from
-    pointers to the earlier claiming event, by pointer doubling; (3) collisions and replays give the next claims.
-    The first k dependent outcomes are final after k rounds, so the fixed point is the sequential result.
+    What happens to an event depends only on earlier ones. Who owns which identity follows from a core of the events
+    (``_core``); the others meet owners that the core made, and are judged in one pass at the end. The core of a tenant of
+    at most ``walk_rows`` hint rows is walked in order by one task; larger cores are settled as set steps to a fixed point.
     """
     at = F.struct("received_at", "event_id")
     base = events.select(
@@ -232,16 +240,16 @@ def resolve(
         base = base.join(used.select(*key), key, "left_anti")
     # what events without hints store is known from the start: they neither claim nor collide. So the rounds need the events
     # with hints only, and of these only such as come before the first event without hints of their key; others are replays
-    key = ["tenant_id", "idempotency_key"]
     base = cut_lineage(base.withColumn("plain", F.coalesce(F.size("hints"), F.lit(0)) <= 0))
-    sure = base.filter("plain AND NOT refused").groupBy(*key).agg(F.min("at").alias("sure"))
+    live = base.filter("NOT refused").groupBy(*_KEY)
+    heads = live.agg(F.min(F.when(F.col("plain"), F.col("at"))).alias("sure"), F.min(F.when(~F.col("plain"), F.col("at"))).alias("head"))
     open_ = ~F.col("plain") & (F.col("sure").isNull() | (F.col("at") < F.col("sure")))
-    every = cut_lineage(base.join(sure, key, "left").withColumn("open", open_).drop("plain"))
-    rest, hinted = every.filter("NOT open").drop("hints"), every.filter("open").drop("open", "sure")
-    base = cut_lineage(hinted.drop("hints"))
-    rows = hinted.select("tenant_id", "event_id", "at", F.posexplode("hints").alias("pos", "h")).select(
-        "tenant_id", "event_id", "at", "pos", "h.kind", "h.value"
-    )
+    every = cut_lineage(base.join(heads, _KEY, "left").withColumn("open", open_).drop("plain", "sure"))
+    rest, hinted = every.filter("NOT open").drop("hints"), every.filter("open").drop("open")
+    base = hinted.drop("hints")
+    rows = hinted.select(*_EVENT, "idempotency_key", "explicit", "refused", "at", "head", F.posexplode("hints").alias("pos", "h"))
+    sure = (F.col("at") == F.col("head")) & (F.col("pos") <= F.when(F.col("explicit").isNull(), 1).otherwise(0))
+    rows = rows.select(*_EVENT, "idempotency_key", "refused", "at", "pos", sure.alias("sure"), "h.kind", "h.value")
     # the stored identities are read once: who owns a hint's identity already does not change from round to round
     if identities is None:
         rows = rows.withColumn("known", F.lit(None).cast("string"))
@@ -249,49 +257,21 @@ def resolve(
         rows = rows.join(identities.select(*IDENTITY, F.col("customer_id").alias("known")), IDENTITY, "left")
     rows = cut_lineage(rows)
 
-    key_first = base.groupBy("tenant_id", "idempotency_key").agg(F.min("at").alias("s"))
-    state = cut_lineage(
-        base.join(key_first, ["tenant_id", "idempotency_key"]).select(
-            "tenant_id", "event_id", _first_cut().alias("cut"), (F.col("at") > F.col("s")).alias("replay")
-        )
-    )
-    while True:
-        owned, customers = _round(base, rows, state)
-        new = cut_lineage(_outcomes(base, owned, customers))
-        changed = new.join(
-            state.select("tenant_id", "event_id", F.col("cut").alias("cut0"), F.col("replay").alias("replay0")),
-            ["tenant_id", "event_id"],
-        ).filter((F.col("cut") != F.col("cut0")) | (F.col("replay") != F.col("replay0")))
-        stable = changed.isEmpty()
-        state = new
-        if stable:
-            break
-
-    added = owned.filter("mine").groupBy("tenant_id", "event_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "kind", "value"))).alias("added")  # at most 11 hints per event
-    )
-    c = customers.select("tenant_id", "event_id", "customer_id", "match_kind", "match_value", "created")
-    event = ["tenant_id", "event_id"]
-    judged = base.select(*event, "idempotency_key", "explicit", "at").join(state, event).join(c, event)
-    kept = judged.filter(f"cut = {_NO_CUT}").groupBy(*key).agg(F.min("at").alias("s"))
+    judged = _round(base, rows, _settled(*_core(base, rows), walk_rows))
     none = F.lit(None).cast("string")
-    rest = rest.filter("tenant_id IS NOT NULL AND event_id IS NOT NULL").join(kept, key, "left").select(
-        *event,
+    rest = rest.filter("tenant_id IS NOT NULL AND event_id IS NOT NULL").select(
+        *_EVENT,
         "idempotency_key",
         "explicit",
         "at",
         _first_cut().alias("cut"),
-        F.coalesce(F.col("at") > F.least("s", "sure"), F.lit(False)).alias("replay"),
         F.coalesce("explicit", X.stable_id("cust_", F.col("tenant_id"), F.col("event_id"))).alias("customer_id"),
         none.alias("match_kind"),
         none.alias("match_value"),
         F.col("explicit").isNull().alias("created"),
+        F.lit(None).cast(judged.schema["added"].dataType).alias("added"),
     )
-    judged = cut_lineage(judged.unionByName(rest))
-    first_stored = judged.filter(f"NOT replay AND cut = {_NO_CUT}").select(
-        *key, F.col("event_id").alias("stored_event_id"), F.col("customer_id").alias("stored_customer_id")
-    )
-    out = judged.join(added, event, "left").join(first_stored, key, "left")
+    out = _replays(cut_lineage(judged.unionByName(rest)))
     collided = F.col("cut") < _NO_CUT
     refused = F.col("cut") == _REFUSED
     outcome = F.when(F.col("replay"), "replay").when(refused, "unknown_customer").when(collided, "collision")
@@ -306,7 +286,7 @@ def resolve(
         F.when(live & F.col("explicit").isNull(), F.col("match_kind")).alias("matched_kind"),
         F.when(live & F.col("explicit").isNull(), F.col("match_value")).alias("matched_value"),
         # hints in front of a colliding one stay attached
-        F.when(~F.col("replay"), F.transform("added", lambda h: F.struct(h["kind"].alias("kind"), h["value"].alias("value")))).alias("added"),
+        F.when(~F.col("replay"), F.col("added")).alias("added"),
         F.when(~F.col("replay") & ~refused, F.col("customer_id")).alias("attached_to"),
         F.when(F.col("replay"), F.col("stored_event_id")).alias("replay_of"),
     )
@@ -318,79 +298,168 @@ def resolve(
     return result
 
 
-def _round(base: DataFrame, rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hint rows with their owner, customer of every event) under the claims that ``state`` leaves."""
-    event = ["tenant_id", "event_id"]
-    claims = rows.join(state, event).filter("NOT replay AND pos < cut")
-    first = claims.groupBy(*IDENTITY).agg(F.min("at").alias("first"))
+def _core(base: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events, and their hint rows, that decide who owns which identity.
+
+    The earliest live event of a key is no replay. Its first two hints (with an explicit customer, the first) are owned
+    after it: nothing ahead of them can collide, since that takes two owners. So later events of these identities claim
+    them no more (``sure``). The core is the events with a hint that they may claim, and those ahead of them in their keys;
+    no other event concerns these.
+    """
+    free = rows.filter("known IS NULL AND NOT refused")
+    owned = free.filter("sure").groupBy(*IDENTITY).agg(F.min("at").alias("owned"))
+    may = free.join(owned, IDENTITY, "left").filter(F.col("owned").isNull() | (F.col("at") <= F.col("owned")))
+    last = may.groupBy(*_KEY).agg(F.max("at").alias("last"))
+    ahead = F.col("idempotency_key").isNull() | (F.col("at") <= F.col("last"))
+    core = cut_lineage(base.filter("NOT refused").join(last, _KEY, "left").filter(ahead).drop("last"))
+    own = X.stable_id("cust_", F.col("tenant_id"), F.col("event_id")).alias("own")
+    wanted = core.select(*_EVENT, "explicit", own)
+    return core, cut_lineage(rows.drop("refused", "sure").join(wanted, _EVENT))
+
+
+def _settled(core: DataFrame, rows: DataFrame, walk_rows: int) -> DataFrame:
+    """(identity, at, owner): the event that first claims each identity, and the customer that has it since."""
+    sizes = cut_lineage(rows.groupBy("tenant_id").agg(F.count("*").alias("n")))
+    small = F.col("n") <= walk_rows
+    total, large = sizes.agg(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)), F.count_if(~small)).first()
+    group = F.pmod(F.xxhash64("tenant_id"), F.lit(-(-total // max(walk_rows, 1)) or 1)).alias("g")
+    walked = rows.join(sizes.filter(small).select("tenant_id"), "tenant_id", "left_semi") if large else rows
+    claims = _walked_claims(walked.select("*", "at.received_at", group))
+    if large:
+        others = sizes.filter(~small).select("tenant_id")
+        part = [cut_lineage(x.join(others, "tenant_id", "left_semi")) for x in (core, rows)]
+        claims = claims.unionByName(_fixed_point(*part))
+    return cut_lineage(claims)
+
+
+def _walked_claims(rows: DataFrame) -> DataFrame:
+    """``_settled`` by walking the events of each tenant in order; memory holds the tenants of one group."""
+    names = [*IDENTITY, "received_at", "event_id"]
+    schema = StructType([*[rows.schema[n] for n in names], StructField("owner", StringType())])
+    order = [(n, "ascending") for n in ("tenant_id", "received_at", "event_id", "pos", "known")]
+
+    def walk(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_start"))
+        tenant, event, kind, value, known, key, explicit, own = (
+            table[n].to_pylist() for n in ("tenant_id", "event_id", "kind", "value", "known", "idempotency_key", "explicit", "own")
+        )
+        owners: dict[tuple, str] = {}
+        used, taken = set(), {}
+        for _, positions in groupby(range(len(event)), lambda i: (tenant[i], event[i])):
+            at = list(positions)
+            first = at[0]
+            name = (tenant[first], key[first])
+            if name in used:
+                continue
+            usable = [i for i in at if kind[i] is not None and value[i] is not None]
+            hints = [((tenant[i], kind[i], value[i]), i) for i in usable]
+            customer = explicit[first]
+            if customer is None:
+                found = (owners.get(h) if known[i] is None else known[i] for h, i in hints)
+                customer = next((c for c in found if c is not None), own[first])
+            for h, i in hints:
+                owner = owners.get(h) if known[i] is None else known[i]
+                if owner is None:
+                    owners[h] = taken[i] = customer
+                elif owner != customer:
+                    break
+            else:
+                if key[first] is not None:
+                    used.add(name)
+        return table.select(names).take(pa.array(list(taken), pa.int64())).append_column("owner", pa.array(list(taken.values()), pa.string()))
+
+    claims = rows.groupBy("g").applyInArrow(walk, schema)
+    return claims.select(*IDENTITY, F.struct("received_at", "event_id").alias("at"), "owner")
+
+
+def _fixed_point(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """``_settled`` with no group walked. The job repeats three set steps until nothing changes: (1) each identity belongs
+    to its earliest claim, a map-side minimum; (2) customers follow from pointers to the earlier claiming event, by
+    pointer doubling; (3) collisions and replays give the next claims. The first k dependent outcomes are final after k
+    rounds, so the fixed point is the sequential result."""
+    head = F.coalesce(F.col("at") > F.col("head"), F.lit(False)).alias("replay")
+    state = cut_lineage(base.select(*_EVENT, F.lit(_NO_CUT).alias("cut"), head))
+    while True:
+        claims = cut_lineage(_claims(rows, state))
+        new = cut_lineage(_replays(_round(base, rows, claims)).select(*_EVENT, "cut", "replay"))
+        old = state.select(*_EVENT, F.col("cut").alias("cut0"), F.col("replay").alias("replay0"))
+        changed = new.join(old, _EVENT).filter((F.col("cut") != F.col("cut0")) | (F.col("replay") != F.col("replay0")))
+        if changed.isEmpty():
+            return claims
+        state = new
+
+
+def _claims(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """``_settled`` under the claims that ``state`` leaves."""
+    live = rows.join(state, _EVENT).filter("NOT replay AND pos < cut")
+    first = cut_lineage(live.filter("known IS NULL").groupBy(*IDENTITY).agg(F.min("at").alias("first")))
+    claimers = first.select("tenant_id", F.col("first.event_id").alias("event_id")).distinct()
     # one row per identity on the right: a hot identity only makes the left side large, which is split at run time
-    hint = rows.join(first, IDENTITY, "left")
-    before = F.col("known").isNotNull() | F.coalesce(F.col("first") < F.col("at"), F.lit(False))
-    claimer = F.when(F.col("known").isNull(), F.col("first.event_id"))
-    mine = F.col("known").isNull() & F.coalesce(F.col("first") == F.col("at"), F.lit(False))
-    hint = hint.select(
-        *event, "at", "pos", "kind", "value", "known", claimer.alias("claimer"), before.alias("before"), mine.alias("mine")
-    )
-    hint = cut_lineage(hint)
-    match = (
-        hint.filter("before")
-        .groupBy(*event)
-        .agg(F.min(F.struct("pos", "kind", "value", "known", "claimer")).alias("m"))
-    )
-    own = X.stable_id("cust_", F.col("tenant_id"), F.col("event_id"))
-    nodes = base.select(*event, "explicit").join(match, event, "left").select(
-        *event,
-        "explicit",
-        F.col("m.kind").alias("match_kind"),
-        F.col("m.value").alias("match_value"),
+    hint = rows.join(claimers, _EVENT, "left_semi").join(first, IDENTITY, "left")
+    before = F.col("known").isNotNull() | (F.col("first") < F.col("at"))
+    claimer = F.when(F.col("known").isNull(), F.col("first.event_id")).alias("claimer")
+    match = F.min(F.when(before, F.struct("pos", "known", claimer))).alias("m")
+    nodes = hint.groupBy(*_EVENT).agg(F.first("explicit").alias("explicit"), F.first("own").alias("own"), match)
+    roots = nodes.select(
+        *_EVENT,
         F.when(F.col("explicit").isNull(), F.col("m.claimer")).alias("parent"),
-        (F.col("explicit").isNull() & F.col("m").isNull()).alias("created"),
-        F.coalesce("explicit", "m.known", F.when(F.col("m").isNull(), own)).alias("customer_id"),
+        F.coalesce("explicit", "m.known", F.when(F.col("m").isNull(), F.col("own"))).alias("customer_id"),
     )
-    nodes = cut_lineage(nodes)
-    # pointer doubling over the claiming events alone
-    claimers = hint.filter("mine").select(*event).distinct()
-    roots = cut_lineage(nodes.join(claimers, event, "left_semi").select(*event, "parent", "customer_id"))
+    roots = cut_lineage(roots)
     while not roots.filter("customer_id IS NULL").isEmpty():
         up = roots.select(
             "tenant_id", F.col("event_id").alias("parent"), F.col("parent").alias("p2"), F.col("customer_id").alias("c2")
         )
         roots = cut_lineage(
             roots.join(up, ["tenant_id", "parent"], "left").select(
-                *event, F.col("p2").alias("parent"), F.coalesce("customer_id", "c2").alias("customer_id")
+                *_EVENT, F.col("p2").alias("parent"), F.coalesce("customer_id", "c2").alias("customer_id")
             )
         )
-    owner = roots.select("tenant_id", F.col("event_id").alias("parent"), F.col("customer_id").alias("root"))
-    customers = nodes.join(owner, ["tenant_id", "parent"], "left").select(
-        *event, "match_kind", "match_value", "created", F.coalesce("customer_id", "root").alias("customer_id")
-    )
-    owned = hint.join(
-        owner.withColumnRenamed("parent", "claimer"), ["tenant_id", "claimer"], "left"
-    ).withColumn("owner", F.coalesce("known", "root"))
-    return owned, customers
-
-
-def _outcomes(base: DataFrame, owned: DataFrame, customers: DataFrame) -> DataFrame:
-    """Next ``cut`` (position of the first colliding hint) and ``replay`` of every event."""
-    event = ["tenant_id", "event_id"]
-    clash = (
-        owned.filter("before")
-        .join(customers.select(*event, "customer_id"), event)
-        .filter(F.col("owner") != F.col("customer_id"))
-        .groupBy(*event)
-        .agg(F.min("pos").alias("cut"))
+    owner = roots.select("tenant_id", F.col("event_id").alias("claimer"), F.col("customer_id").alias("owner"))
+    first = first.withColumn("claimer", F.col("first.event_id"))
+    return first.join(owner, ["tenant_id", "claimer"]).select(*IDENTITY, F.col("first").alias("at"), "owner")
+
+
+def _round(base: DataFrame, rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """Customer of every event under ``claims``, ``cut``, the position of its first colliding hint, and what it adds."""
+    # one row per identity on the right: a hot identity only makes the left side large, which is split at run time
+    hint = rows.select(*_EVENT, "at", "pos", "kind", "value", "known").join(
+        claims.withColumnRenamed("at", "first"), IDENTITY, "left"
     )
-    judged = base.select(*event, "idempotency_key", "at", "refused").join(clash, event, "left")
-    judged = judged.withColumn("cut", F.when(F.col("refused"), F.lit(_REFUSED)).otherwise(F.col("cut")))
-    key = ["tenant_id", "idempotency_key"]
-    kept = judged.filter("cut IS NULL").groupBy(*key).agg(F.min("at").alias("s"))
-    return judged.join(kept, key, "left").select(
-        *event,
-        F.coalesce("cut", F.lit(_NO_CUT)).alias("cut"),
-        F.coalesce(F.col("at") > F.col("s"), F.lit(False)).alias("replay"),
+    before = F.col("known").isNotNull() | F.coalesce(F.col("first") < F.col("at"), F.lit(False))
+    mine = F.col("known").isNull() & F.coalesce(F.col("first") == F.col("at"), F.lit(False))
+    hint = hint.filter(before | mine)
+    owner = F.coalesce("known", "owner").alias("owner")
+    seen = F.sort_array(F.collect_list(F.struct("pos", "kind", "value", owner, before.alias("before")))).alias("seen")  # at most 11 hints per event
+    out = base.filter("tenant_id IS NOT NULL AND event_id IS NOT NULL")
+    out = out.join(hint.groupBy(*_EVENT).agg(seen), _EVENT, "left")
+    out = out.withColumn("met", F.filter("seen", lambda h: h["before"])).withColumn("m", F.get("met", 0))
+    own = X.stable_id("cust_", F.col("tenant_id"), F.col("event_id"))
+    out = out.withColumn("customer", F.coalesce("explicit", "m.owner", own))
+    clash = F.get(F.filter("met", lambda h: h["owner"] != F.col("customer")), 0)["pos"]
+    added = F.filter("seen", lambda h: ~h["before"])
+    return out.select(
+        *_EVENT,
+        "idempotency_key",
+        "explicit",
+        "at",
+        F.when(F.col("refused"), F.lit(_REFUSED)).otherwise(F.coalesce(clash, F.lit(_NO_CUT))).alias("cut"),
+        F.col("customer").alias("customer_id"),
+        F.col("m.kind").alias("match_kind"),
+        F.col("m.value").alias("match_value"),
+        (F.col("explicit").isNull() & F.col("m").isNull()).alias("created"),
+        F.when(F.size(added) > 0, F.transform(added, lambda h: F.struct(h["kind"].alias("kind"), h["value"].alias("value")))).alias("added"),
     )
 
 
+def _replays(judged: DataFrame) -> DataFrame:
+    """With the stored event of each key and its customer, and whether the event itself is a ``replay`` of that."""
+    stored = judged.filter(f"cut = {_NO_CUT}").groupBy(*_KEY).agg(F.min(F.struct("at", "event_id", "customer_id")).alias("s"))
+    out = judged.join(stored, _KEY, "left")
+    replay = F.coalesce(F.col("at") > F.col("s.at"), F.lit(False)).alias("replay")
+    return out.select("*", replay, F.col("s.event_id").alias("stored_event_id"), F.col("s.customer_id").alias("stored_customer_id")).drop("s")
+
+
 def new_identities(resolved: DataFrame) -> DataFrame:
     """Identity rows the resolution adds to the identity table."""
     return resolved.filter("added IS NOT NULL").select(

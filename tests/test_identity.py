@@ -170,3 +170,44 @@ def test_events_without_hints_take_no_part_in_the_rounds(spark, monkeypatch):
     got = {r.event_id: (r.outcome, r.replay_of) for r in I.resolve(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: ("created", None), 2: ("replay", 1), 3: ("created", None), 4: ("replay", 3)}
     assert set(seen) == {1}
+
+
+@pytest.mark.parametrize("walk_rows", [0, 150, I.CORE_ROWS])
+def test_cores_walked_and_settled_in_rounds_agree(spark, walk_rows):
+    rng = random.Random(4)
+    rows = [(f"t{rng.randrange(3) // 2}", *r[1:]) for r in _random_rows(rng, 150)]
+    rows = [(t, e, None if e % 9 == 0 else k, x, h) for t, e, k, x, h in rows]
+    known = [("t0", "external_id", "e1", "old1"), ("t1", "phone", "p0", "old3")]
+    expect = folds.link([(t, e, k or f"none-{e}", x, h) for t, e, k, x, h in rows], known)
+    table = spark.createDataFrame(known, "tenant_id string, kind string, value string, customer_id string")
+    got = {r.event_id: r for r in I.resolve(_events(spark, rows), table, walk_rows=walk_rows).collect()}
+    assert {e: (r.outcome, [(h.kind, h.value) for h in r.added or []]) for e, r in got.items()} == {
+        e: (outcome, added) for e, (outcome, _, added) in expect.items()
+    }
+    pairs = {(customer, got[e].customer_id) for e, (_, customer, _) in expect.items()}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_dependent_collisions_take_no_round_each(spark, monkeypatch):
+    """Every collision frees a key, whose next event claims what the next collision depends on."""
+    seen, whole = [], I._round
+    monkeypatch.setattr(I, "_round", lambda *args: seen.append(1) or whole(*args))
+    rows = [("t", 0, "a", None, [("email", "m0")])]
+    for i in range(12):
+        e = 3 * i + 1
+        rows += [
+            ("t", e, f"b{i}", None, [("phone", f"p{i}")]),
+            ("t", e + 1, f"k{i}", None, [("phone", f"p{i}"), ("email", f"m{i}")]),
+            ("t", e + 2, f"k{i}", None, [("email", f"m{i + 1}")]),
+        ]
+    _check(spark, rows)
+    assert len(seen) == 1
+
+
+def test_settled_identities_leave_the_core(spark, monkeypatch):
+    """Only the events that may claim an identity, and those ahead of them in their keys, decide who owns what."""
+    cores, settled = [], I._settled
+    monkeypatch.setattr(I, "_settled", lambda core, *rest: cores.append(core) or settled(core, *rest))
+    rows = [("t", i, f"k{i // 2}", None, [("email", f"m{i % 3}"), ("phone", f"p{i % 3}")]) for i in range(60)]
+    _check(spark, rows)
+    assert {r.event_id for r in cores[0].collect()} == {0, 1, 2, 4}
