@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from convspark import values as V
 from convspark.functions import text as X
 from convspark.operators import similarity as S
 from convspark.session import cut_lineage
+from convspark.sources.sinks import kept
 
 
 def bags(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -74,8 +77,17 @@ def replay(requests: DataFrame, threshold: float = 0.95, miss_similarity: bool =
     reports its best similarity to what was stored before it, or null if that is not asked for.
     """
     _check(threshold)
-    rows = requests.withColumns({"threshold": F.lit(float(threshold)), "digest": F.sha2("key_text", 256)})
-    return _settled(rows, requests, miss_similarity).drop("threshold")
+    rows = requests.withColumns({"base": F.col("ns"), "digest": _digest("key_text")})
+    log = rows.select("base", "seq", "digest", F.col("response").alias("answer"))
+    sure, chosen, kept_keys = _settled(log, requests, [threshold])
+    out = _joined(rows, sure, chosen, [threshold]).drop("threshold")
+    if miss_similarity:
+        # a miss is the first request of a stored key
+        ahead = S.best_before(kept_keys).withColumnRenamed("key_id", "seq")
+        out = out.join(ahead, ["ns", "seq"], "left")
+        missed = F.when(F.col("kind") == "miss", F.coalesce("best", F.lit(0.0)))
+        out = out.withColumn("similarity", F.coalesce("similarity", missed)).drop("best")
+    return out
 
 
 def _check(threshold: float) -> None:
@@ -83,72 +95,92 @@ def _check(threshold: float) -> None:
         raise ValueError(f"threshold must be in (0, 1], got {threshold}")
 
 
-def _settled(requests: DataFrame, texts: DataFrame, miss_similarity: bool) -> DataFrame:
-    """``replay`` of namespaces that each have a ``threshold``; ``texts`` has every key text of the requests, and these have
-    the ``digest`` of theirs."""
-    digest = F.sha2("key_text", 256).alias("digest")
-    # the log between the steps is positions and digests; responses are joined at the end
-    log = requests.select("ns", "threshold", "seq", "digest")
-    first = cut_lineage(log.groupBy("ns", "threshold", "digest").agg(F.min("seq").alias("key_id")))
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _settled(log: DataFrame, texts: DataFrame, thresholds: list[float]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Which entries answer the requests of a log at each threshold.
+
+    ``log``: base (its namespace), seq, digest (of the key text), answer (what its entry would say). ``texts`` has every key
+    text of the log. Returns (base, digest, sure), (base, seq, chosen) and the stored keys. ``sure`` and ``chosen`` have at
+    most one (j, entry_id, sim, answer) for each threshold j: the only entry that may answer a prompt, which it does for the
+    requests behind it, and the entry of a request that had a choice. So the log itself is never repeated by threshold.
+    """
+    digest = _digest("key_text").alias("digest")
+    # a namespace at a threshold is called as in the log, behind the number of the threshold if there are several
+    several = len(thresholds) > 1
+    base = (F.substr("ns", F.instr("ns", ":") + 1) if several else F.col("ns")).alias("base")
+    spaces = F.array(*[F.struct(F.lit(f"{j}:" if several else "").alias("j"), F.lit(float(t)).alias("threshold")) for j, t in enumerate(thresholds)])
+    first = log.groupBy("base", "digest").agg(F.min("seq").alias("key_id")).withColumn("s", F.explode(spaces))
+    first = cut_lineage(first.select("base", F.concat("s.j", "base").alias("ns"), "s.threshold", "digest", "key_id"))
     # a text that several namespaces ask is cut into tokens once
     counted = cut_lineage(bags(texts.select("key_text").distinct().select(digest, "key_text"), ["digest"], "key_text"))
-    keys = cut_lineage(first.join(counted, "digest").drop("digest"))
+    keys = cut_lineage(first.drop("base").join(counted, "digest").drop("digest"))
     names = first.select("ns", "key_id")
     # without tokens: never similar to anything
     without = names.join(keys.select("ns", "key_id"), ["ns", "key_id"], "left_anti")
     stored = cut_lineage(S.stored_keys(keys).unionByName(without))
-    kept = cut_lineage(keys.join(stored, ["ns", "key_id"], "left_semi"))
+    kept_keys = cut_lineage(keys.join(stored, ["ns", "key_id"], "left_semi"))
     others = keys.join(stored, ["ns", "key_id"], "left_anti")
-    found = S.candidates(others, kept.drop("threshold").withColumnRenamed("key_id", "entry_id"))
+    found = S.candidates(others, kept_keys.drop("threshold").withColumnRenamed("key_id", "entry_id"))
     own = stored.select("ns", "key_id", F.col("key_id").alias("entry_id"), F.lit(1.0).alias("sim"))
     found = cut_lineage(found.unionByName(own))
 
     # most keys have one entry that may answer them, so all requests behind it are settled with the key
     only = F.min("entry_id").alias("entry_id"), F.min("sim").alias("sim")
     judged = found.groupBy("ns", "key_id").agg(F.count("*").alias("n"), *only)
-    judged = cut_lineage(judged.join(first.select("ns", "key_id", "digest"), ["ns", "key_id"]))
-    sure = judged.filter("n = 1").select("ns", "digest", "entry_id", "sim")
-    slim = log.join(judged.filter("n > 1").select("ns", "digest", "key_id"), ["ns", "digest"]).select("ns", "seq", "key_id")
+    judged = cut_lineage(judged.join(first.drop("threshold"), ["ns", "key_id"]))
+    sure = judged.filter("n = 1").select("base", "ns", "digest", "entry_id", "sim")
+    slim = log.join(judged.filter("n > 1").select("base", "ns", "digest", "key_id"), ["base", "digest"]).select("ns", "seq", "key_id")
     open_requests = slim.join(found, ["ns", "key_id"]).filter(F.col("entry_id") < F.col("seq"))
     best = F.max("sim").alias("best")
     sims = cut_lineage(open_requests.select("ns", "seq", "entry_id", "sim"))
     tied = sims.join(sims.groupBy("ns", "seq").agg(best), ["ns", "seq"]).filter("sim = best").drop("best")
 
     def sure_hits(entries: DataFrame) -> DataFrame:
-        asked = log.join(sure.join(entries, ["ns", "entry_id"], "left_semi"), ["ns", "digest"])
+        asked = log.join(sure.join(entries, ["ns", "entry_id"], "left_semi"), ["base", "digest"])
         return asked.filter(F.col("entry_id") < F.col("seq")).select("ns", "entry_id", F.col("seq").alias("hit"))
 
-    chosen = _least_recent(cut_lineage(tied), sure_hits)
-    answers = requests.select("ns", F.col("seq").alias("key_id"), F.col("response").alias("answer"))
-    answers = cut_lineage(answers.join(stored, ["ns", "key_id"], "left_semi").withColumnRenamed("key_id", "entry_id"))
-    whole = F.struct("entry_id", "sim", "answer")
-    sure = sure.join(answers, ["ns", "entry_id"]).select("ns", "digest", whole.alias("_sure"))
-    chosen = chosen.join(answers, ["ns", "entry_id"]).select("ns", "seq", whole.alias("_chosen"))
-    out = requests.join(sure, ["ns", "digest"], "left").join(chosen, ["ns", "seq"], "left")
-    answer = F.coalesce("_chosen", F.when(F.col("_sure.entry_id") < F.col("seq"), F.col("_sure")))
-    out = out.withColumn("_answer", answer).select("*", "_answer.*").drop("digest", "_sure", "_chosen", "_answer")
-    kind = (
-        F.when(F.col("entry_id").isNull(), "miss").when(F.col("sim") >= V.EXACT_SIMILARITY, "exact").otherwise("near")
-    )
-    out = out.withColumn("kind", kind).withColumnRenamed("sim", "similarity")
-    if miss_similarity:
-        # a miss is the first request of a stored key
-        ahead = S.best_before(kept).withColumnRenamed("key_id", "seq")
-        out = out.join(ahead, ["ns", "seq"], "left")
-        missed = F.when(F.col("kind") == "miss", F.coalesce("best", F.lit(0.0)))
-        out = out.withColumn("similarity", F.coalesce("similarity", missed)).drop("best")
-    return out
+    chosen = _least_recent(cut_lineage(tied), sure_hits).select("*", base)
+    answers = log.select("base", F.col("seq").alias("entry_id"), "answer")
+    asked = stored.select(base, F.col("key_id").alias("entry_id")).distinct()
+    answers = cut_lineage(answers.join(asked, ["base", "entry_id"]))
+    j = (F.substring_index("ns", ":", 1).cast("int") if several else F.lit(0)).alias("j")
+    entry = F.collect_list(F.struct(j, "entry_id", "sim", "answer"))  # at most one for a threshold
+    sure = sure.join(answers, ["base", "entry_id"]).groupBy("base", "digest").agg(entry.alias("sure"))
+    chosen = chosen.join(answers, ["base", "entry_id"]).groupBy("base", "seq").agg(entry.alias("chosen"))
+    return sure, chosen, kept_keys
+
+
+def _joined(rows: DataFrame, sure: DataFrame, chosen: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The requests, with ``base`` and ``digest``, once for each threshold, with the entry that ``_settled`` found."""
+    out = rows.join(sure, ["base", "digest"], "left").join(chosen, ["base", "seq"], "left")
+
+    def answer(j: int) -> Column:
+        took = F.get(F.filter("chosen", lambda e: e["j"] == j), 0)
+        only = F.get(F.filter("sure", lambda e: (e["j"] == j) & (e["entry_id"] < F.col("seq"))), 0)
+        return F.struct(F.lit(float(thresholds[j])).alias("threshold"), F.coalesce(took, only).alias("e"))
+
+    out = out.withColumn("_run", F.explode(F.array(*[answer(j) for j in range(len(thresholds))])))
+    similarity = F.col("_run.e.sim")
+    kind = F.when(similarity.isNull(), "miss").when(similarity >= V.EXACT_SIMILARITY, "exact").otherwise("near")
+    found = {"entry_id": F.col("_run.e.entry_id"), "similarity": similarity, "answer": F.col("_run.e.answer"), "kind": kind}
+    return out.withColumns({"threshold": F.col("_run.threshold")} | found).drop("_run", "sure", "chosen", "base", "digest")
 
 
 _SLICE = 1 << 16  # requests per slice of an entry's timeline
+#: Ties, and hits on their entries, of a namespace that one ordered walk settles; larger namespaces go on in rounds.
+TIE_ROWS = 1 << 17
 
 
 def _least_recent(tied: DataFrame, sure_hits: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One entry per request: the least recently touched of its equally similar ones.
 
     A touch is the storing or an earlier hit. Requests without a tie are settled at once. A tie depends on earlier
-    choices only, so choices are recomputed until they stop changing. ``sure_hits`` gives the (ns, entry_id, hit) of all
-    other requests on some entries.
+    choices only, so a namespace with at most ``TIE_ROWS`` rows of ties and hits on their entries is walked in order; in a
+    larger one choices are recomputed until they stop changing. ``sure_hits`` gives the (ns, entry_id, hit) of all other
+    requests on some entries.
     """
     n = tied.groupBy("ns", "seq").agg(F.count("*").alias("n"))
     counted = tied.join(n, ["ns", "seq"])
@@ -156,11 +188,46 @@ def _least_recent(tied: DataFrame, sure_hits: Callable[[DataFrame], DataFrame])
     several = cut_lineage(counted.filter("n > 1").drop("n"))
     if several.isEmpty():
         return single
-    choice = several.groupBy("ns", "seq").agg(F.min_by("entry_id", "entry_id").alias("entry_id"))
     # of the settled requests only those on an entry that takes part in a tie matter, and they never change
     involved = several.select("ns", "entry_id").distinct()
     settled = single.join(involved, ["ns", "entry_id"], "left_semi").select("ns", "entry_id", F.col("seq").alias("hit"))
     settled = cut_lineage(settled.unionByName(sure_hits(involved)))
+    sizes = several.select("ns").unionByName(settled.select("ns")).groupBy("ns").agg(F.count("*").alias("n"))
+    sizes = cut_lineage(sizes)
+    small = F.col("n") <= TIE_ROWS
+    total, large = sizes.agg(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)), F.count_if(~small)).first()
+    if not large:
+        choice = _ties_walked(several, settled, total)
+    else:
+        few, many = sizes.filter(small).select("ns"), sizes.filter(~small).select("ns")
+        choice = _ties_walked(*[x.join(few, "ns", "left_semi") for x in (several, settled)], total)
+        choice = choice.unionByName(_ties_in_rounds(*[cut_lineage(x.join(many, "ns", "left_semi")) for x in (several, settled)]))
+    return single.unionByName(several.join(choice, ["ns", "seq", "entry_id"]))
+
+
+def _ties_walked(several: DataFrame, settled: DataFrame, total: int) -> DataFrame:
+    """(ns, seq, entry_id) that the requests of each namespace choose when they come in order."""
+    rows = several.select("ns", "seq", "entry_id", F.lit(False).alias("hit"))
+    rows = rows.unionByName(settled.select("ns", F.col("hit").alias("seq"), "entry_id", F.lit(True).alias("hit")))
+    group = F.pmod(F.xxhash64("ns"), F.lit(-(-total // max(TIE_ROWS, 1)) or 1)).alias("g")
+
+    def walk(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(n, "ascending") for n in ("ns", "seq", "entry_id")])
+        ns, seq, entry, hit = (table[n].to_pylist() for n in ("ns", "seq", "entry_id", "hit"))
+        touched, chosen = {}, []
+        for _, at in groupby(range(len(seq)), lambda i: (ns[i], seq[i])):
+            best = min(at, key=lambda i: (touched.get((ns[i], entry[i]), entry[i]), entry[i]))
+            touched[ns[best], entry[best]] = seq[best]
+            if not hit[best]:
+                chosen.append(best)
+        return table.select(["ns", "seq", "entry_id"]).take(pa.array(chosen, pa.int64()))
+
+    return rows.select("*", group).groupBy("g").applyInArrow(walk, "ns string, seq long, entry_id long")
+
+
+def _ties_in_rounds(several: DataFrame, settled: DataFrame) -> DataFrame:
+    """As ``_ties_walked``, with no namespace walked: a round settles the ties that no open one is ahead of."""
+    choice = several.groupBy("ns", "seq").agg(F.min_by("entry_id", "entry_id").alias("entry_id"))
     while True:
         hits = settled.unionByName(
             choice.select("ns", "entry_id", F.col("seq").alias("hit"))
@@ -189,7 +256,7 @@ def _least_recent(tied: DataFrame, sure_hits: Callable[[DataFrame], DataFrame])
         choice = new
         if stable:
             break
-    return single.unionByName(several.join(choice, ["ns", "seq", "entry_id"]))
+    return choice
 
 
 def stats(replayed: DataFrame, keys: list[str]) -> DataFrame:
@@ -219,7 +286,8 @@ def stats(replayed: DataFrame, keys: list[str]) -> DataFrame:
 def report(replayed: DataFrame, keys: list[str]) -> DataFrame:
     """Savings against no cache and false hits (answer differs from the request's own truth)."""
     hit = F.col("kind") != "miss"
-    wrong = hit & (F.col("answer") != F.col("response"))
+    differs = F.col("wrong") if "wrong" in replayed.columns else F.col("answer") != F.col("response")
+    wrong = hit & differs
     saved = F.sum(F.when(hit, F.col("call_cost")).otherwise(0.0))
     rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return replayed.groupBy(*keys).agg(
@@ -238,31 +306,39 @@ def report(replayed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def sweep(requests: DataFrame, thresholds: list[float], scopes: dict[str, Column]) -> DataFrame:
-    """Replays under every scope and threshold, tagged with both, without the similarity of misses.
+def sweep(requests: DataFrame, thresholds: list[float], scopes: dict[str, Column], answers: bool = True) -> DataFrame:
+    """Replays under every scope and threshold, tagged with both, without the similarity of misses. ``wrong``: the answer
+    of a hit differs from the request's own response.
 
     One replay in all: scope and threshold are part of the namespace, so texts are cut into tokens once and every round
     serves all of them. Pairs are compared for each threshold apart, since the few that a threshold needs are not among
-    those of a lower one: there other keys are stored.
+    those of a lower one: there other keys are stored. The log goes through the joins once for each scope, with digests
+    for texts, and is repeated by threshold behind them. Without ``answers`` the text of an answer, which is the response
+    of the request ``entry_id``, is not joined.
     """
     for t in thresholds:
         _check(t)
     spaces = [
-        F.struct(
-            F.lit(scope).alias("scope"),
-            F.lit(float(t)).alias("threshold"),
-            ns.cast("string").alias("ns"),
-            F.concat(F.lit(f"{i}.{j}:"), ns.cast("string")).alias("space"),
-        )
+        F.struct(F.lit(scope).alias("scope"), ns.cast("string").alias("ns"), F.concat(F.lit(f"{i}:"), ns.cast("string")).alias("base"))
         for i, (scope, ns) in enumerate(scopes.items())
-        for j, t in enumerate(thresholds)
     ]
-    rows = requests.withColumn("digest", F.sha2("key_text", 256))  # once for all spaces
-    rows = rows.withColumn("_space", F.explode(F.array(*spaces))).filter("_space.ns IS NOT NULL")
-    rows = rows.withColumns({"ns": F.col("_space.space"), "threshold": F.col("_space.threshold")})
-    runs = _settled(rows, requests, False)
-    names = [c if c != "ns" else "_space.ns" for c in runs.columns if c not in ("_space", "threshold")]
-    return runs.select("_space.scope", "_space.threshold", *names)
+    # digests once for all spaces
+    rows = requests.withColumns({"digest": _digest("key_text"), "_told": _digest("response"), "_spaces": F.array(*spaces)})
+
+    def spread(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_space", F.explode("_spaces")).drop("_spaces").filter("_space.ns IS NOT NULL")
+        return rows.withColumn("base", F.col("_space.base"))
+
+    log = kept(rows.select("seq", "digest", F.col("_told").alias("answer"), "_spaces"), "log")
+    sure, chosen, _ = _settled(spread(log).select("base", "seq", "digest", "answer"), requests, thresholds)
+    runs = _joined(spread(rows), sure, chosen, thresholds)
+    runs = runs.withColumn("wrong", F.col("answer") != F.col("_told"))
+    names = [c for c in runs.columns if c not in ("_space", "_told", "ns", "threshold", "answer")]
+    runs = runs.select("_space.scope", "threshold", "_space.ns", *names)
+    if not answers:
+        return runs
+    said = spread(rows).select("_space.scope", "_space.ns", F.col("seq").alias("entry_id"), F.col("response").alias("answer"))
+    return runs.join(said, ["scope", "ns", "entry_id"], "left")
 
 
 def replay_lru(requests: DataFrame, threshold: float, max_entries: int) -> DataFrame:

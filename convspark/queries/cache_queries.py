@@ -248,7 +248,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    runs = C.sweep(requests(spark, sf), THRESHOLDS, _scopes())
+    runs = C.sweep(requests(spark, sf), THRESHOLDS, _scopes(), answers=False)
     return C.report(runs, ["scope", "threshold"])
 
 

@@ -195,3 +195,54 @@ def test_leaders_across_blocks_of_rows(spark, monkeypatch):
         if not any(_cos(_vec(texts[key]), _vec(texts[other])) >= 0.8 for other in stored):
             stored.append(key)
     assert [int(space.columns["key_id"][i]) for i in similarity._leaders(space)] == stored
+
+
+def _tied_log(n):
+    """Two entries that every later prompt is as similar to: each request depends on the choice of the one before."""
+    rows = [("a", 0, "red blue", "r0"), ("a", 1, "red green", "r1")]
+    return rows + [("a", i, "red" if i % 5 else "red blue", f"r{i}") for i in range(2, n)]
+
+
+@pytest.mark.parametrize("walk_rows", [0, cache.TIE_ROWS])
+def test_chains_of_ties_walked_and_in_rounds_agree(spark, monkeypatch, walk_rows):
+    monkeypatch.setattr(cache, "TIE_ROWS", walk_rows)
+    rows = _tied_log(14)
+    got = {r.seq: r.entry_id for r in cache.replay(spark.createDataFrame(rows, "ns string, seq long, key_text string, response string"), 0.6).collect()}
+    touched, want = {0: 0, 1: 1}, {0: None, 1: None}
+    for _, seq, text, _ in rows[2:]:
+        want[seq] = 0 if text == "red blue" else min(touched, key=touched.get)
+        touched[want[seq]] = seq
+    assert got == want
+
+
+def test_a_chain_of_ties_takes_no_round_per_request(spark, monkeypatch):
+    cuts, cut = [], cache.cut_lineage
+    monkeypatch.setattr(cache, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    df = spark.createDataFrame(_tied_log(60), "ns string, seq long, key_text string, response string")
+    cache.replay(df, 0.6).collect()
+    assert len(cuts) < 20
+
+
+def test_the_log_of_a_sweep_is_not_repeated_by_threshold(spark, monkeypatch):
+    """The joins of the log see a request once for each scope, without texts; answers are joined where they are asked for."""
+    seen, joined = [], cache._joined
+    monkeypatch.setattr(cache, "_joined", lambda rows, *rest: seen.append(rows.count()) or joined(rows, *rest))
+    rows = [(f"t{i % 2}", i, ["what is my rate", "my rate please"][i % 3 > 1], f"answer {i % 4}" if i % 7 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "ns string, seq long, key_text string, response string")
+    scopes, thresholds = {"one": F.lit("x"), "own": F.col("ns")}, [1.0, 0.9, 0.8, 0.6]
+    whole = cache.sweep(df, thresholds, scopes).collect()
+    assert seen == [80] and len(whole) == 320
+    told = {seq: response for _, seq, _, response in rows}
+    for scope, ns in scopes.items():
+        for t in thresholds:
+            want = {r.seq: (r.kind, r.entry_id, r.answer) for r in cache.replay(df.withColumn("ns", ns), t).collect()}
+            got = {r.seq: r for r in whole if (r.scope, r.threshold) == (scope, t)}
+            assert {k: (r.kind, r.entry_id, r.answer) for k, r in got.items()} == want
+            for r in got.values():
+                both = told.get(r.entry_id) is not None and r.response is not None
+                assert r.wrong == (told[r.entry_id] != r.response if both else None)
+    slim = cache.sweep(df, thresholds, scopes, answers=False)
+    assert "answer" not in slim.columns
+    assert sorted((r.scope, r.threshold, r.seq, r.kind, str(r.wrong)) for r in slim.collect()) == sorted(
+        (r.scope, r.threshold, r.seq, r.kind, str(r.wrong)) for r in whole
+    )
